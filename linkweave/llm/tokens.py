@@ -48,12 +48,12 @@ class Encoder:
     def _known(self, lists: list[list[bytes]]) -> None:
         """Encode pieces not seen so far; a full stop or comma after a letter is a token of its own, so the stem is encoded without."""
         every = set().union(*lists)
-        missing = every - self.cache.keys()
+        missing = every.difference(self.cache)
         if len(self.cache) + len(missing) > CACHE:
             self.cache.clear()
             missing = every
         tails = {p: m for p in missing if (m := _MARK.match(p))}
-        stems = list(((missing - tails.keys()) | {m[1] for m in tails.values()} | {m[2] for m in tails.values()}) - self.cache.keys())
+        stems = list(((missing - tails.keys()) | {m[1] for m in tails.values()} | {m[2] for m in tails.values()}).difference(self.cache))
         self.cache.update(zip(stems, self._raw([s.decode() for s in stems])))
         self.cache.update((p, self.cache[m[1]] + self.cache[m[2]]) for p, m in tails.items())
 
