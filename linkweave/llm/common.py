@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold, so that a batch of long texts fits a worker.
-BATCH_ROWS = 512
+#: Rows and bytes an Arrow batch may hold, so that a batch of long texts fits a worker.
+BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
 #: White space of the contracts, as a Java and Python character class.
 WS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -45,8 +46,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in rows; a few very long texts then fit a worker's memory."""
+    """Keep Arrow batches small in bytes; a batch ends with the text that takes it over the bound."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -16,6 +16,7 @@ are searched pair by pair, in blocks.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,40 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import bounded_batches, partitions, stored
+from .common import bounded_batches, partitions, release, stored
 from .lines import mix
 
 SHINGLE = 5
 #: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
 STAR_ROUNDS = 3
-_WORDS = 1_000_000
 #: Fixed odd multipliers of a shingle's five words.
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-_known: dict[bytes, int] = {}
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles of a text; a shorter text is one shingle, no words none."""
-    words = text.encode().lower().split()  # bytes: ASCII letters and white space only
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    if missing := set(words) - _known.keys():
-        if len(_known) > _WORDS:
-            _known.clear()
-            missing = set(words)
-        _known.update((w, xxhash.xxh3_64_intdigest(w)) for w in missing)
-    h = np.fromiter(map(_known.__getitem__, words), np.uint64, n)
-    if n < SHINGLE:
-        h = np.concatenate([h, np.full(SHINGLE - n, n, np.uint64)])
-    m = len(h) - SHINGLE + 1
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its 5-word shingles; a shorter text is one shingle, no words none."""
+    words = [t.encode().lower().split() for t in texts]  # bytes: ASCII letters and white space only
+    padded = [w if not w or len(w) >= SHINGLE else w + [b"%d" % len(w)] * (SHINGLE - len(w)) for w in words]
+    ends = np.cumsum([len(w) for w in padded])
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(padded)), np.uint64, int(ends[-1]) if len(ends) else 0)
+    m = max(0, len(h) - SHINGLE + 1)
     out = np.zeros(m, np.uint64)
     for j in range(SHINGLE):
-        out += mix(h[j : j + m], j) * _MUL[j]
+        out += h[j : j + m] * _MUL[j]
     out = mix(out, 99)
-    out.sort()
-    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+    sets, at = [], 0
+    for end in ends:
+        s = np.sort(out[at : end - SHINGLE + 1]) if end > at else out[:0]
+        sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+        at = end
+    return sets
+
+
+def shingles(text: str) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
 def name_of(s: np.ndarray) -> tuple[int, int]:
@@ -127,8 +126,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
         empty = np.zeros(4, np.int64)
         for b in batches:
             out = []
-            for d, th, t in b.itertuples(index=False):
-                s = shingles(t)
+            for d, th, s in zip(b["d"], b["th"], shingle_sets(b["t"].tolist())):
                 cls, chk = name_of(s)
                 out.append((0, d, th, len(s), cls, chk, *(sketch(s) if len(s) else empty), 0, 0, 0.0))
                 if len(s) and cls not in seen:
@@ -170,8 +168,7 @@ def _buckets(docs: DataFrame, rank: dict[int, np.ndarray], parts: int) -> DataFr
         seen: set[int] = set()
         for b in batches:
             sigs, owners = [], []
-            for t in b["t"]:
-                s = shingles(t)
+            for s in shingle_sets(b["t"].tolist()):
                 if len(s) and (cls := name_of(s)[0]) not in seen:
                     seen.add(cls)
                     sigs.append(signatures(s, rank))
@@ -230,31 +227,40 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return j.mapInPandas(keep, "a long, b long")
 
 
+def _both(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
+    j = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col(what).alias("x")), "a")
+    return j.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col(what).alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets link."""
-    j = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs whose full sets link; a wide sketch spares most others the shipping of their sets."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            gaps = [int(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum()) for x, y in zip(f["x"], f["y"])]
+            yield f.loc[9 * np.array(gaps, np.int64) <= (f["na"] + f["nb"]).to_numpy(), ["a", "b"]]
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             ok = []
             for x, y in zip(f["x"], f["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= 80 * (len(both) - common))
             yield f.loc[np.array(ok, bool), ["a", "b"]]
 
-    return stored(j.mapInPandas(check, "a long, b long"), "links")
+    left = stored(_both(pairs, sets, "wide").mapInPandas(near, "a long, b long"), "near-pairs")
+    return stored(_both(left, sets, "set").mapInPandas(check, "a long, b long"), "links")
 
 
-def _block_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """Possible pairs of different components in a bucket; large buckets are dealt out in pairs of blocks."""
+def _in_blocks(rows: DataFrame, parts: int, compare, schema: str) -> DataFrame:
+    """compare() over the rows of each bucket together; large buckets are dealt out in pairs of blocks, none over 2 * BLOCK rows."""
     size = rows.groupBy("sig").agg(F.count("*").alias("c"))
     k = F.ceil(F.col("c") / BLOCK).cast("int")
     r = rows.join(size, "sig").withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls", "comp", "n", "s0", "s1", "s2", "s3")
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for f in batches:
             f = f if held is None else pd.concat([held, f], ignore_index=True)
@@ -268,12 +274,40 @@ def _block_pairs(rows: DataFrame, parts: int) -> DataFrame:
         if held is not None and len(held):
             yield compare(held)
 
+    return r.repartition(parts, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInPandas(groups, schema)
+
+
+def _arrays(f: pd.DataFrame):
+    key = f[["sig", "lo", "hi"]].to_numpy()
+    new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
+    cross = key[:, 1] != key[:, 2]
+    return key[:, 0], np.cumsum(new), cross, f["i"].to_numpy(), f["cls"].to_numpy(), f["comp"].to_numpy(), f["n"].to_numpy(), np.ascontiguousarray(f[["s0", "s1", "s2", "s3"]].to_numpy())
+
+
+def _with_mates(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows whose class has a class of near enough size and sketch in the same bucket; the others link with none there."""
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        sig, group, _, _, cls, _, n, s = _arrays(f)
+        met, x, d = np.zeros(len(f), bool), np.arange(len(f)), 1
+        while len(x := x[x + d < len(f)]) and len(x := x[group[x] == group[x + d]]):
+            a = x[~(met[x] & met[x + d])]
+            a = a[(cls[a] != cls[a + d])]
+            a = a[_near(s[a], s[a + d], n[a], n[a + d])]
+            met[a] = met[a + d] = True
+            d += 1
+        return pd.DataFrame({"sig": sig[met], "cls": cls[met]})
+
+    return stored(_in_blocks(rows, parts, compare, "sig long, cls long").distinct(), "mates")
+
+
+def _block_pairs(rows: DataFrame, parts: int) -> DataFrame:
+    """Possible pairs of different components in a bucket."""
+
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        key, i, cls, comp, n = f[["sig", "lo", "hi"]].to_numpy(), f["i"].to_numpy(), f["cls"].to_numpy(), f["comp"].to_numpy(), f["n"].to_numpy()
-        s = np.ascontiguousarray(f[["s0", "s1", "s2", "s3"]].to_numpy())
-        cross = key[:, 1] != key[:, 2]
+        _, group, cross, i, cls, comp, n, s = _arrays(f)
         got, x, d = [np.empty((0, 2), np.int64)], np.arange(len(f)), 1
-        while len(x := x[x + d < len(f)]) and len(x := x[(key[x] == key[x + d]).all(axis=1)]):
+        while len(x := x[x + d < len(f)]) and len(x := x[group[x] == group[x + d]]):
             a = x[(comp[x] != comp[x + d]) & ~(cross[x] & (i[x] == i[x + d]))]
             a = a[_near(s[a], s[a + d], n[a], n[a + d])]
             got.append(np.stack([np.minimum(cls[a], cls[a + d]), np.maximum(cls[a], cls[a + d])], axis=1))
@@ -281,7 +315,7 @@ def _block_pairs(rows: DataFrame, parts: int) -> DataFrame:
         p = np.unique(np.concatenate(got), axis=0)
         return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
-    return r.repartition(parts, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInPandas(pairs, "a long, b long").distinct()
+    return _in_blocks(rows, parts, compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,33 +335,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = stored(classes, "class-table")
     if classes.where("chk <> chk2").limit(1).count():
         raise RuntimeError("two different sets have the same 64-bit name")
-    buckets = _buckets(t, rank, parts)
+    marks = classes.drop("holder", "chk", "chk2")
+    buckets = _with_mates(_buckets(t, rank, parts).join(marks, "cls").withColumn("comp", F.col("cls")), parts)
+    release(spark)
     met = buckets.select("cls").distinct().join(classes, "cls").select("cls", "holder.d", "holder.th")
     # texts of classes that share a signature; ids that are null are matched by the text's hash alone
     fetch = t.withColumn("k", F.coalesce("d", "th")).join(met.select(F.coalesce("d", "th").alias("k"), F.col("th").alias("th2"), "cls"), "k").where("th = th2").select("cls", "t")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(c, s) for c, t in zip(b["cls"], b["t"]) if name_of(s := shingles(t))[0] == c]
-            yield pd.DataFrame({"cls": [c for c, _ in found], "set": [s.tobytes() for _, s in found]}).astype({"cls": "int64"})
+            found = [(c, s) for c, s in zip(b["cls"], shingle_sets(b["t"].tolist())) if name_of(s)[0] == c]
+            wide = [np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024), 255).astype(np.uint8).tobytes() for _, s in found]
+            yield pd.DataFrame({"cls": [c for c, _ in found], "n": [len(s) for _, s in found], "wide": wide, "set": [s.tobytes() for _, s in found]}).astype({"cls": "int64", "n": "int64"})
 
-    sets_df = stored(fetch.mapInPandas(sets, "cls long, set binary").dropDuplicates(["cls"]), "sets")
+    sets_df = stored(fetch.mapInPandas(sets, "cls long, n long, wide binary, set binary").dropDuplicates(["cls"]), "sets")
+    release(spark)
     rows = buckets.withColumn("comp", F.col("cls"))
-    links = None
+    links = tried = None
     for _ in range(STAR_ROUNDS):
-        lead = rows.groupBy("sig").agg(F.min("comp").alias("lead"))
-        pairs = rows.join(lead, "sig").where("comp <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
-        found = _verified(_possible(pairs, classes), sets_df)
+        # each class tries the leader that it shares most buckets with, of those not tried
+        lead = rows.groupBy("sig").agg(F.min(F.struct("comp", F.col("cls").alias("lead"))).alias("l"))
+        pairs = rows.join(lead, "sig").where("comp <> l.comp").groupBy("cls", F.col("l.lead").alias("lead")).count()
+        if tried is not None:
+            pairs = pairs.join(tried, ["cls", "lead"], "left_anti")
+        best = stored(pairs.groupBy("cls").agg(F.max(F.struct("count", "lead")).alias("best")).select("cls", "best.lead"), "star-pairs")
+        tried = best if tried is None else tried.unionByName(best)
+        found = _verified(_possible(best.select(F.col("cls").alias("a"), F.col("lead").alias("b")), classes), sets_df)
         links = found if links is None else links.unionByName(found)
+        release(spark)
         comp = components(links, "a", "b")
         named = buckets.join(comp, buckets["cls"] == comp["node"], "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
         open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
         rows = stored(named.join(open_, "sig"), "open-buckets")
+        release(spark)
         if not rows.limit(1).count() or not found.limit(1).count():
             break
     if rows.limit(1).count():
-        pairs = stored(_block_pairs(rows.join(classes.drop("holder", "chk", "chk2"), "cls"), parts), "block-pairs")
-        links = links.unionByName(_verified(pairs, sets_df))
+        pairs = _block_pairs(rows.join(marks, "cls"), parts)
+        done = tried.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
+        links = links.unionByName(_verified(stored(pairs.join(done, ["a", "b"], "left_anti"), "block-pairs"), sets_df))
+        release(spark)
         comp = components(links, "a", "b")
     named = members.join(comp, members["cls"] == comp["node"], "left").select("d", "n", "cls", F.coalesce("component", "cls").alias("comp"))
     least = named.where("n > 0").groupBy("comp").agg(F.min("d").alias("least"))
