@@ -1,4 +1,541 @@
-"""All queries of the engine by name, with their SQL."""
+"""All queries of the engine, named after the operators of the inventory, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .. import api
+from ..functions import layout as L
+from ..functions import text as T
+from ..functions.layout import Settings
+from ..operators import graph, layout, rank
+from ..sources import articles as S
+from . import fixtures as X
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def both(name: str, sql: str, *names: str, duck: str | None = None) -> None:
+    """A query whose Spark form is SQL as well; duck: DuckDB's form where it differs."""
+    query(name, duck or sql)(lambda spark, d: X.run_sql(spark, d, sql, *names))
+
+
+def arts(s, d, sparse=False, unique=True):
+    return X.articles(s, d, sparse, unique)
+
+
+def nodes_edges(s, d, sparse=False):
+    a = arts(s, d, sparse)
+    e = graph.resolve(a)
+    return graph.degrees(a.select("seq", "id", "title", "byte_length"), e), e
+
+
+E_, ES_ = X.with_edges(False), X.with_edges(True)
+DEG = """deg AS (SELECT id, title, art.seq, byte_length, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM art
+LEFT JOIN (SELECT dst AS id, count(*) AS i FROM edges GROUP BY dst) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM edges GROUP BY src) USING (id))"""
+KEY = "lower(trim(regexp_replace(ref, '\\s+', ' ', 'g')))"
+#: The hash as a fold; DuckDB adds up in hugeint, so the mask keeps it in range.
+HASH = "CASE WHEN {0} = '' THEN 2166136261 ELSE CAST(list_reduce(list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS HUGEINT)), lambda h, c: (CAST(xor(CAST(h AS UBIGINT), CAST(c AS UBIGINT)) AS HUGEINT) * 16777619) % 4294967296, CAST(2166136261 AS HUGEINT)) AS BIGINT) END"
+
+# --- B: text -------------------------------------------------------------------------------------------------------
+
+
+@query("b1_b2_b34_title_keys", f"{E_.split(', art AS')[0]} SELECT DISTINCT ref, {KEY} AS k, trim(regexp_replace(ref, '\\s+', ' ', 'g')) AS t, upper(substr(trim(regexp_replace(ref, '\\s+', ' ', 'g')), 1, 1)) || substr(trim(regexp_replace(ref, '\\s+', ' ', 'g')), 2) AS title FROM raw")
+def _(s, d):
+    r = X.run_sql(s, d, f"{E_.split(', art AS')[0]} SELECT DISTINCT ref FROM raw", "lineitem", "part")
+    return r.select("ref", T.key(F.col("ref")).alias("k"), T.squeezed(F.col("ref")).alias("t"), T.title(F.col("ref")).alias("title"))
+
+
+_WIKI = "concat('[[', p_name, '#x|y]] and [[', p_brand, ']] [[File:a]] [[', p_name, ']] [[_', p_type, '_]]')"
+
+
+@query("b4_link_extraction", "SELECT p_partkey, array_to_string(list_distinct_ordered, '|') AS links FROM (SELECT p_partkey, [upper(substr(p_name, 1, 1)) || substr(p_name, 2), 'Brand', upper(substr(p_type, 1, 1)) || substr(p_type, 2)] AS list_distinct_ordered FROM part)")
+def _(s, d):
+    return X.run_sql(s, d, f"SELECT p_partkey, {_WIKI} AS w FROM part", "part").select("p_partkey", F.array_join(T.links(F.col("w")), "|").alias("links"))
+
+
+@query("b5_stable_hash", f"SELECT doc_id, {HASH.format('left(text, 60)')} AS h FROM documents")
+def _(s, d):
+    return X.tables(s, d, "documents")["documents"].select("doc_id", T.stable_hash(F.substring("text", 1, 60)).alias("h"))
+
+
+@query("b6_article_urls", "SELECT p_partkey, 'https://en.wikipedia.org/wiki/' || replace(url_encode(replace(p_name || ' (' || p_brand || ')', ' ', '_')), '+', '%20') AS url FROM part")
+def _(s, d):
+    p = X.tables(s, d, "part")["part"]
+    return p.select("p_partkey", T.url_path_safe(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("url"))
+
+
+_TITLES = """tt AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CAST(1900 + p_partkey % 120 AS STRING) WHEN 1 THEN 'January ' || CAST(p_partkey % 40 AS STRING) WHEN 2 THEN CAST(p_partkey % 40 AS STRING) || ' March'
+WHEN 3 THEN p_name || ' (Disambiguation)' WHEN 4 THEN CAST(p_partkey AS STRING) || ' in music' ELSE p_name END AS t FROM part)"""
+
+
+@query("b7_b8_b9_b35_title_predicates", f"WITH {_TITLES} SELECT p_partkey, regexp_matches(t, '^[0-9]{{4}}$') AS year, regexp_matches(t, '^({T.MONTHS} {T.DAY}|{T.DAY} {T.MONTHS})$') AS day, regexp_matches(t, '^([0-9]{{4}}|{T.MONTHS} {T.DAY}|{T.DAY} {T.MONTHS})$') AS either, t ILIKE '% (disambiguation)' AS dis FROM tt")
+def _(s, d):
+    t = F.col("t")
+    return X.run_sql(s, d, f"WITH {_TITLES} SELECT p_partkey, t FROM tt", "part").select("p_partkey", T.is_year(t).alias("year"), T.is_day(t).alias("day"), T.is_year_or_day(t).alias("either"), T.is_disambiguation_title(t).alias("dis"))
+
+
+@query("b10_disambiguation_markup", "SELECT p_partkey, p_partkey % 3 < 2 AS dis FROM part")
+def _(s, d):
+    return X.run_sql(s, d, "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' {{ Disambig |x}}') WHEN 1 THEN '[[Category : All disambiguation pages]]' ELSE concat('{{disambiguated}} ', p_name) END AS w FROM part", "part").select("p_partkey", T.is_disambiguation_text(F.col("w")).alias("dis"))
+
+
+@query("b12_byte_sizes", "SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%.1f GiB', round(n / 1073741824.0, 1)) WHEN n >= 1048576 THEN printf('%.1f MiB', round(n / 1048576.0, 1)) WHEN n >= 1024 THEN printf('%.1f KiB', round(n / 1024.0, 1)) ELSE printf('%d B', n) END AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 37 % 5000000000 AS n FROM orders)")
+def _(s, d):
+    return X.tables(s, d, "orders")["orders"].select("o_orderkey", T.byte_size(F.col("o_orderkey") * F.col("o_orderkey") * 37 % 5000000000).alias("size"))
+
+
+@query("b13_durations", "SELECT o_orderkey, CASE WHEN n < 1 THEN '<1s' WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm ' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') || 's' ELSE (n // 3600) || 'h ' || lpad(CAST(n // 60 % 60 AS VARCHAR), 2, '0') || 'm' END AS t FROM (SELECT o_orderkey, o_orderkey * 7 % 9000 AS n FROM orders)")
+def _(s, d):
+    return X.tables(s, d, "orders")["orders"].select("o_orderkey", T.duration(F.col("o_orderkey") * 7 % 9000).alias("t"))
+
+
+@query("b14_b15_b32_formats")
+def _(s, d):
+    o = X.tables(s, d, "orders")["orders"]
+    return o.select("o_orderkey", T.rate(F.col("o_orderkey"), F.lit(2.0)).alias("rate"), T.energy(F.col("o_totalprice")).alias("energy"), T.iso_time(F.col("o_orderkey") * 86399).alias("iso"))
+
+
+@query("b16_xml_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped, true AS back FROM pages")
+def _(s, d):
+    e = X.tables(s, d, "pages")["pages"].withColumn("escaped", T.xml_escape(F.col("html")))
+    plain = F.col("html").rlike("&(amp|lt|gt|quot|apos);")
+    return e.select("page_id", "escaped", (plain | (T.xml_unescape(F.col("escaped")) == F.col("html"))).alias("back"))
+
+
+@query("b17_svg_numbers", "SELECT l_orderkey, l_linenumber, regexp_replace(printf('%.3f', x), '\\.?0+$', '') AS n FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / 7 AS x FROM lineitem)")
+def _(s, d):
+    return X.run_sql(s, d, "SELECT l_orderkey, l_linenumber, l_extendedprice / 7 AS x FROM lineitem", "lineitem").select("l_orderkey", "l_linenumber", T.svg_number(F.col("x")).alias("n"))
+
+
+@query("b18_labels", "SELECT doc_id, CASE WHEN length(t) > 28 THEN left(t, 27) || '…' ELSE t END AS label FROM (SELECT doc_id, regexp_replace(left(text, 30), '[\\r\\n]', ' ', 'g') AS t FROM documents)")
+def _(s, d):
+    return X.tables(s, d, "documents")["documents"].select("doc_id", T.label(F.substring("text", 1, 30)).alias("label"))
+
+
+_NUM = "SELECT l_orderkey, l_linenumber, {} FROM lineitem"
+for _name, _exprs in {
+    "b19_b37_finite_floats": {"f": "round(CAST(CAST(CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice / 7 END AS FLOAT) AS DOUBLE), 3)"},
+    "b20_link_distance": {"d": L.link_distance("(l_extendedprice / 3)")},
+    "b21_spacing": {"s": f"round({L.spacing('l_extendedprice')}, 6)"},
+    "b22_boundary_radius": {"r2": f"round({L.boundary_radius('l_extendedprice')}, 6)", "r3": f"round({L.boundary_radius('l_extendedprice', True)}, 6)"},
+    "b23_b24_importance_radius": {"i": f"round({L.importance('l_extendedprice', 'l_quantity')}, 6)", "r": f"round({L.node_radius('l_returnflag', L.importance('l_extendedprice', 'l_quantity'))}, 6)"},
+    "b25_hub_score": {"h": f"round({L.hub_score('l_linenumber = 1', 'l_quantity', '50')}, 6)"},
+    "b26_collision_strength": {"c": f"round({L.collision_strength('l_discount * 10')}, 6)"},
+    "b27_export_radius": {"r": "round(least(l_quantity, l_quantity / 2 + 0.35 * 4), 6)"},
+    "b28_visual_scale": {"v": "round(1.0 + 1.6 * exp(-l_quantity / 12.0) / (1.0 + ln(1.0 + l_linenumber)), 6)"},
+    "b29_log_slider": {"p": f"round({L.slider_position('l_extendedprice', 1000.0, 200000.0)}, 6)", "v": f"round({L.slider_value('l_discount * 10', 1000.0, 200000.0)}, 4)"},
+    "b30_jiggle": {"j": f"round({L.jiggle('l_orderkey', 'l_partkey')}, 12)"},
+    "b33_tick_delay": {"t": "round(greatest(0.0, 1000.0 / 60.0 - l_quantity), 6)"},
+    "b36_degree_bytes": {"g": "greatest(0, CAST(l_quantity AS BIGINT) + coalesce(CASE WHEN l_linenumber = 2 THEN CAST(NULL AS BIGINT) ELSE l_partkey END, 0))"},
+    "b38_safe_direction": {"x": f"round(CASE WHEN l_discount = 0 THEN {L.jiggle('l_orderkey', 'l_partkey')} ELSE l_discount / sqrt(l_discount * l_discount + l_tax * l_tax) END, 6)"},
+    "d9_projection": {"px": "round((l_discount * cos(0.5) - l_tax * sin(0.5)) / (1.0 + l_quantity / 100.0), 6)"},
+    "k9_boundary_force": {"f": f"round({L.boundary_pull('(l_extendedprice / 10)', '4000.0')}, 4)"},
+    "k3_spring_law": {"f": f"round({L.spring('(l_extendedprice / 30)')}, 4)"},
+    "k10_k11_speed_cap": {"k": "round(least(1.0, greatest(1.0, l_quantity + 18) / greatest(sqrt(l_extendedprice), 0.000001)), 6)"},
+    "k12_cooling": {"a": f"round(0.8 * pow(1.0 - {Settings().alpha_decay!r}, l_quantity), 8)"},
+}.items():
+    _sql = _NUM.format(", ".join(f"{v} AS {k}" for k, v in _exprs.items()))
+    if _name.startswith("b19"):
+        query(_name, _sql.replace("CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice / 7 END", "CASE WHEN l_linenumber = 3 THEN 0 ELSE l_extendedprice / 7 END"))(
+            lambda s, d: X.tables(s, d, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber", F.round(F.nanvl(F.when(F.col("l_linenumber") == 3, float("nan")).otherwise(F.col("l_extendedprice") / 7), F.lit(0.0)).cast("float").cast("double"), 3).alias("f"))
+        )
+    else:
+        _spark = _sql.replace("exp(", "exp(").replace("0.000001", "0.000001D").replace(".0 ", ".0D ").replace(".0)", ".0D)").replace(".0,", ".0D,")
+        query(_name, _sql)(lambda s, d, q=_spark: X.run_sql(s, d, q, "lineitem"))
+
+# --- A: sources ----------------------------------------------------------------------------------------------------
+
+
+_LINES = """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN '{broken' WHEN 1 THEN concat('{"id":', CAST(o_orderkey AS STRING), ',"title":"x"}') WHEN 2 THEN concat('{"id":"', CAST(o_orderkey AS STRING), '"}')
+WHEN 3 THEN concat('{"id":"', CAST(o_orderkey AS STRING), '","title":"T (disambiguation)"}') WHEN 4 THEN ' ' WHEN 5 THEN concat('{"id":"', CAST(o_orderkey AS STRING), '","title":"T","links":["a"," b ",{"id":"c"},{"title":"a"}],"byteLength":12}')
+WHEN 6 THEN concat('{"title":"no id ', CAST(o_orderkey AS STRING), '"}') ELSE concat('{"id":"', CAST(o_orderkey AS STRING), '","title":"U","isDisambiguation":true}') END AS value FROM orders"""
+
+
+@query("a6_b3_c2_jsonl_scan", """SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (2, 3, 5, 7) THEN CAST(o_orderkey AS VARCHAR) END AS id,
+CASE o_orderkey % 8 WHEN 1 THEN 'x' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) WHEN 3 THEN 'T (disambiguation)' WHEN 5 THEN 'T' WHEN 6 THEN 'no id ' || o_orderkey WHEN 7 THEN 'U' END AS title,
+CASE WHEN o_orderkey % 8 = 5 THEN 'a|b|c' ELSE '' END AS links, CASE WHEN o_orderkey % 8 IN (0, 1, 6) THEN 'malformed' WHEN o_orderkey % 8 IN (3, 7) THEN 'disambiguation' WHEN o_orderkey % 8 = 4 THEN 'blank' ELSE 'accepted' END AS state FROM orders""")
+def _(s, d):
+    return S.read_lines(X.run_sql(s, d, _LINES, "orders")).select("o_orderkey", "id", "title", F.array_join("links", "|").alias("links"), "state")
+
+
+@query("a9_f12_index_manifest", "SELECT count(*) FILTER (o_orderkey % 8 IN (2, 5)) AS accepted, count(*) FILTER (o_orderkey % 8 IN (0, 1, 6)) AS malformed, count(*) FILTER (o_orderkey % 8 IN (3, 7)) AS disambiguation, count(*) FILTER (o_orderkey % 8 = 4) AS blank FROM orders")
+def _(s, d):
+    return S.index_manifest(S.read_lines(X.run_sql(s, d, _LINES, "orders")))
+
+
+_PAGES = "SELECT CASE WHEN p_partkey % 7 = 1 THEN '' ELSE p_name || ' ' || CAST(p_partkey AS STRING) END AS title, CAST(p_partkey % 5 AS INT) AS ns, CAST(p_partkey AS STRING) AS id, {} AS redirect, {} AS revision FROM part"
+
+
+@query("a5_c1_pages_to_articles", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title, CAST(strlen('[[' || p_brand || ']] é') AS DOUBLE) AS byte_length, 'Brand' AS links FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 7 <> 1 AND p_partkey % 3 <> 0")
+def _(s, d):
+    p = X.run_sql(s, d, _PAGES.format("CASE WHEN p_partkey % 3 = 0 THEN named_struct('_title', 'x') END", "named_struct('text', named_struct('_VALUE', concat('[[', p_brand, ']] é')))"), "part")
+    return S.articles_of(p).select("id", "title", "byte_length", F.array_join("links", "|").alias("links"))
+
+
+@query("a14_svg_scan", "SELECT p_partkey, 'circle' AS kind, CAST(p_size AS VARCHAR) AS r FROM part")
+def _(s, d):
+    lines = X.run_sql(s, d, "SELECT concat('<circle cx=\"', p_partkey, '\" cy=\"1\" r=\"', p_size, '\"/>') AS value FROM part UNION ALL SELECT '<svg>' FROM region", "part", "region")
+    return S.svg_elements(lines).select(F.col("attributes")["cx"].cast("long").alias("p_partkey"), "kind", F.col("attributes")["r"].alias("r"))
+
+
+both("a20_fallback_graph", "WITH n AS (SELECT DISTINCT n_nationkey AS i FROM nation), o AS (SELECT 1 AS o UNION ALL SELECT 2 UNION ALL SELECT 4) SELECT DISTINCT CAST(i AS BIGINT) AS src, CAST((i + o) % 25 AS BIGINT) AS dst FROM n CROSS JOIN o", "nation")
+QUERIES["a20_fallback_graph"] = lambda s, d: rank.fallback_graph(25, s)
+
+
+@query("a13_svg_fragments")
+def _(s, d):
+    n = X.run_sql(s, d, f"WITH {X.POS_SPARK} SELECT idx, x, y, 5.0D AS radius, concat('n', idx, ' <', label, '>') AS title FROM pos", "embeddings")
+    return S.svg_fragments(n, s.createDataFrame([], "seq long, x1 double, y1 double, x2 double, y2 double"))
+
+
+# --- D, E, H: edges ------------------------------------------------------------------------------------------------
+
+
+@query("d1_explode_links", f"WITH {X.refs_sql(False)} SELECT seq, pos, ref FROM raw")
+def _(s, d):
+    return graph.explode_links(arts(s, d)).select("seq", "pos", "ref")
+
+
+@query("d4_distinct_links", f"WITH {X.refs_sql(False)} SELECT seq, count(DISTINCT trim(ref)) AS n FROM raw GROUP BY seq")
+def _(s, d):
+    return arts(s, d).select("seq", F.size(graph.distinct_links(F.col("links"))).cast("long").alias("n")).where("n > 0")
+
+
+_MODES = """WITH {raw}, art AS (SELECT p_partkey AS seq, CAST(p_partkey AS VARCHAR) AS id, p_name AS title FROM part), refs AS (SELECT seq, pos, {key} AS k FROM raw),
+t AS (SELECT lower(title) AS k, max_by(id, seq) AS target FROM art GROUP BY lower(title)), i AS (SELECT id AS k, id AS target FROM art),
+u AS (SELECT k, max_by(target, (seq, slot)) AS target FROM (SELECT lower(title) AS k, id AS target, seq, 1 AS slot FROM art UNION ALL SELECT id, id, seq, 0 FROM art) GROUP BY k),
+f AS ({found}) SELECT src, dst, min((seq, pos)).seq AS seq, min((seq, pos)).pos AS pos FROM (SELECT src, dst, seq, pos, {{'seq': seq, 'pos': pos}} AS sp FROM f) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst"""
+_MODES = _MODES.replace("min((seq, pos)).seq", "min(sp).seq").replace("min((seq, pos)).pos", "min(sp).pos")
+for _mode, _found in {
+    "e1_resolve_title_first": "SELECT CAST(seq AS VARCHAR) AS src, coalesce(t.target, i.target) AS dst, seq, pos FROM refs LEFT JOIN t USING (k) LEFT JOIN i USING (k)",
+    "e2_resolve_id_first": "SELECT CAST(seq AS VARCHAR) AS src, coalesce(i.target, t.target) AS dst, seq, pos FROM refs LEFT JOIN t USING (k) LEFT JOIN i USING (k)",
+    "e3_resolve_last_wins": "SELECT v.target AS src, u.target AS dst, seq, pos FROM refs JOIN u USING (k) JOIN u v ON v.k = CAST(seq AS VARCHAR)",
+}.items():
+    query(_mode, _MODES.format(raw=X.refs_sql(False), key=KEY, found=_found))(lambda s, d, m=_mode[11:]: graph.resolve(arts(s, d, unique=False), m))
+
+
+@query("e4_h1_distinct_edges", f"{E_} SELECT src, dst FROM edges")
+def _(s, d):
+    return graph.resolve(arts(s, d)).select("src", "dst")
+
+
+@query("h2_undirected_pairs", f"{E_} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges")
+def _(s, d):
+    return graph.pairs(graph.resolve(arts(s, d)))
+
+
+@query("f1_e5_degrees", f"{E_}, {DEG} SELECT id, in_degree, out_degree FROM deg")
+def _(s, d):
+    return nodes_edges(s, d)[0].select("id", "in_degree", "out_degree")
+
+
+@query("d7_csr", f"{E_}, b AS (SELECT DISTINCT src AS node, dst AS t FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)), g AS (SELECT node, count(*) AS n, string_agg(t, ',' ORDER BY t) AS targets FROM b GROUP BY node) SELECT node, CAST(coalesce(sum(n) OVER (ORDER BY substr(node, 1, 2), node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, targets FROM g")
+def _(s, d):
+    return rank.csr(graph.resolve(arts(s, d))).select("node", "first", F.array_join("targets", ",").alias("targets"))
+
+
+@query("d5_dense_index", "SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part")
+def _(s, d):
+    return arts(s, d).select("id", (F.row_number().over(W.orderBy("seq")) - 1).cast("long").alias("idx"))
+
+
+@query("d3_defaults", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 2 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END, ''), p_name) AS id FROM part")
+def _(s, d):
+    return X.tables(s, d, "part")["part"].select("p_partkey", F.coalesce(F.nullif(F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_partkey").cast("string")), F.lit("")), "p_name").alias("id"))
+
+
+@query("d8_node_colour", f"{E_}, {DEG} SELECT id, CASE WHEN in_degree + out_degree >= 60 THEN 'hub' WHEN in_degree + out_degree >= 4 THEN 'linked' ELSE 'other' END AS colour FROM deg")
+def _(s, d):
+    n = F.col("in_degree") + F.col("out_degree")
+    return nodes_edges(s, d)[0].select("id", F.when(n >= 60, "hub").when(n >= 4, "linked").otherwise("other").alias("colour"))
+
+
+@query("c3_calendar_removal", f"{E_}, k AS (SELECT id FROM art WHERE seq % 4 <> 0), e AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)) SELECT id, (SELECT count(*) FROM e WHERE dst = k.id) AS in_degree, (SELECT count(*) FROM e WHERE src = k.id) AS out_degree FROM k")
+def _(s, d):
+    n, e = nodes_edges(s, d)
+    n = n.withColumn("title", F.when(F.col("seq") % 4 == 0, "May 4").otherwise(F.col("title")))
+    return rank.without_calendar(n, e)[0].select("id", "in_degree", "out_degree")
+
+
+@query("c4_i5_induced", f"{E_} SELECT src, dst FROM edges WHERE CAST(src AS BIGINT) <= 300 AND CAST(dst AS BIGINT) <= 300")
+def _(s, d):
+    a = arts(s, d)
+    return graph.induced(graph.resolve(a), a.where("seq <= 300")).select("src", "dst")
+
+
+both("c5_g6_g7_tier_pick", "WITH t AS (SELECT 1000 AS n UNION ALL SELECT 5000 UNION ALL SELECT 25000), w AS (SELECT DISTINCT o_orderkey AS want FROM orders) SELECT want, coalesce(min(CASE WHEN n >= want THEN n END), max(n)) AS tier FROM w CROSS JOIN t GROUP BY want", "orders")
+both("c6_payload_sample", "SELECT min(CASE WHEN p_name IS NOT NULL THEN 1 ELSE 0 END) AS valid, count(*) AS n FROM part WHERE p_partkey % 3 = 0", "part")
+both("c7_viewport", f"WITH {X.POS_SPARK} SELECT idx FROM pos WHERE x + 5 >= -400 AND x - 5 <= 400 AND y + 5 >= -300 AND y - 5 <= 300", "embeddings", duck=f"WITH {X.POS_DUCK} SELECT idx FROM pos WHERE x + 5 >= -400 AND x - 5 <= 400 AND y + 5 >= -300 AND y - 5 <= 300")
+both("c9_remote_flag", "SELECT page_id, CASE WHEN url LIKE '%?%' THEN true ELSE false END AS dis FROM pages", "pages")
+
+
+@query("c10_relations", f"{E_}, h AS (SELECT id FROM art WHERE seq <= 10) SELECT id, EXISTS (SELECT 1 FROM edges e, h WHERE (e.src = art.id AND e.dst = h.id) OR (e.dst = art.id AND e.src = h.id)) AS linked FROM art")
+def _(s, d):
+    a = arts(s, d)
+    h, p = a.where("seq <= 10").select("id"), graph.pairs(graph.resolve(a))
+    both_ = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    m = both_.join(h.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"), F.lit(True).alias("linked")).distinct()
+    return a.select("id").join(m, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+@query("e6_alias_closure", "WITH RECURSIVE r AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey % 3 = 0), c(src, z) AS (SELECT src, dst FROM r UNION ALL SELECT c.src, r.dst FROM c JOIN r ON r.src = c.z) SELECT src, min(z) AS final FROM c GROUP BY src")
+def _(s, d):
+    return graph.alias_closure(X.run_sql(s, d, "SELECT p_partkey AS src, p_partkey div 3 AS dst FROM part WHERE p_partkey % 3 = 0", "part"))
+
+
+@query("e7_related", f"{E_} SELECT id FROM (SELECT CASE WHEN src = '7' THEN dst ELSE src END AS id, min({{'s': seq, 'p': pos}}) AS z FROM edges WHERE src = '7' OR dst = '7' GROUP BY 1) ORDER BY z, id LIMIT 5")
+def _(s, d):
+    return rank.related(graph.resolve(arts(s, d)), "7")
+
+
+@query("e8_o4_lookup", "SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE CAST(p_partkey AS VARCHAR) = '17' OR lower(p_name) = '17' ORDER BY p_partkey LIMIT 1")
+def _(s, d):
+    return rank.find_article(arts(s, d), " 17 ").select("id")
+
+
+_NEAR = "WITH {pos} SELECT a.idx AS i, b.idx AS j, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) AS d FROM pos a JOIN pos b ON a.idx <> b.idx WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 150"
+
+
+def positions(s, d):
+    return X.run_sql(s, d, f"WITH {X.POS_SPARK} SELECT idx, x, y, label, 0.0D AS vx, 0.0D AS vy FROM pos", "embeddings")
+
+
+@query("e9_l1_l3_grid_neighbours", _NEAR.format(pos=X.POS_DUCK))
+def _(s, d):
+    return layout.near_pairs(positions(s, d), 150.0).select("i", "j", F.round("d", 4).alias("d"))
+
+
+@query("e10_unrelated_pairs", _NEAR.format(pos=X.POS_DUCK) + " AND (a.idx - b.idx) % 7 <> 0")
+def _(s, d):
+    p = layout.near_pairs(positions(s, d), 150.0)
+    linked = p.where("(i - j) % 7 = 0").select("i", "j")
+    return p.join(linked, ["i", "j"], "left_anti").select("i", "j", F.round("d", 4).alias("d"))
+
+
+@query("g10_nearest_k", f"SELECT i, j, k FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS k FROM (SELECT a.idx AS i, b.idx AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pos a JOIN pos b ON a.idx <> b.idx) WHERE d2 <= 22500) WHERE k <= 4".replace("SELECT i, j, k", f"WITH {X.POS_DUCK} SELECT i, j, k", 1))
+def _(s, d):
+    k = F.row_number().over(W.partitionBy("i").orderBy(F.expr("dx * dx + dy * dy"), "j")).cast("long")
+    return layout.near_pairs(positions(s, d), 150.0).select("i", "j", k.alias("k")).where("k <= 4")
+
+
+both("e11_hub_article_join", f"WITH {X.POS_SPARK} SELECT a.idx, h.idx AS hub FROM pos a JOIN pos h ON h.idx < 20 AND a.idx <> h.idx WHERE (a.x - h.x) * (a.x - h.x) + (a.y - h.y) * (a.y - h.y) < 230400", "embeddings", duck=f"WITH {X.POS_DUCK} SELECT a.idx, h.idx AS hub FROM pos a JOIN pos h ON h.idx < 20 AND a.idx <> h.idx WHERE (a.x - h.x) * (a.x - h.x) + (a.y - h.y) * (a.y - h.y) < 230400")
+
+# --- F: aggregates -------------------------------------------------------------------------------------------------
+
+
+@query("f2_o2_corpus_stats", f"WITH {X.refs_sql(False)} SELECT count(*) AS articles, (SELECT count(*) FROM raw) AS links, sum(p_size * 100.0) AS bytes FROM part".replace("sum(p_size * 100.0)", "CAST(sum(p_size * 100.0) AS DOUBLE)"))
+def _(s, d):
+    return api.stats(arts(s, d))
+
+
+@query("f3_repulsion_scale", f"{ES_}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges) SELECT round(least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM p) / (SELECT count(*) FROM art) / 6))), 6) AS scale")
+def _(s, d):
+    n, e = nodes_edges(s, d, True)
+    return graph.pairs(e).agg(F.count("*").alias("p")).crossJoin(n.agg(F.count("*").alias("n"))).select(F.expr(f"round(CAST({L.repulsion('p', 'n')} AS DOUBLE), 6)").alias("scale"))
+
+
+both("f4_kinetic_energy", "SELECT round(sum(0.5 * (l_discount * l_discount + l_tax * l_tax)), 3) AS e FROM lineitem", "lineitem")
+_POSQ = {
+    "f5_k6_centroid": "SELECT round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM pos",
+    "f6_bounds": "SELECT round(min(x) - 5, 4) AS x0, round(min(y) - 5, 4) AS y0, round(max(x) + 5, 4) AS x1, round(max(y) + 5, 4) AS y1 FROM pos",
+    "f11_a16_tile_counts": "SELECT CAST(least(15, greatest(0, floor((x + 600) / 1200 * 16))) AS INT) AS tx, CAST(least(15, greatest(0, floor((y + 600) / 1200 * 16))) AS INT) AS ty, count(*) AS n FROM pos GROUP BY 1, 2",
+    "l4_tile_query": "SELECT idx FROM pos WHERE least(15, greatest(0, floor((x + 600) / 1200 * 16))) BETWEEN 4 AND 9 AND least(15, greatest(0, floor((y + 600) / 1200 * 16))) BETWEEN 4 AND 9",
+    "l6_initial_view": "SELECT round(least(1.0, greatest(0.02, 400 / (160 * sqrt(count(*) / pi())))), 6) AS scale FROM pos",
+    "g12_depth_order": "SELECT idx, row_number() OVER (ORDER BY x * sin(0.5) + y * cos(0.5) DESC, idx) AS place FROM pos",
+    "g13_hit_test": "SELECT min(idx) AS idx FROM pos WHERE (x - 10) * (x - 10) + (y - 10) * (y - 10) <= 40000",
+    "k1_spiral_seed": "SELECT idx, round(32 * sqrt(idx + 0.5) * cos(idx * pi() * (3 - sqrt(5))), 4) AS sx, round(32 * sqrt(idx + 0.5) * sin(idx * pi() * (3 - sqrt(5))), 4) AS sy FROM pos",
+}
+for _name, _q in _POSQ.items():
+    both(_name, f"WITH {X.POS_SPARK} {_q}", "embeddings", duck=f"WITH {X.POS_DUCK} {_q}")
+
+
+@query("f7_frontier", f"WITH {X.refs_sql(False)} SELECT {KEY} AS k, count(DISTINCT seq) AS n FROM raw WHERE ref LIKE 'dangling%' GROUP BY 1")
+def _(s, d):
+    a = arts(s, d)
+    known = graph.last_aliases(a).select("k")
+    return graph.explode_links(a).select("seq", T.key(F.col("ref")).alias("k")).distinct().join(known, "k", "left_anti").groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("f8_spring_weights", f"{E_}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), g AS (SELECT n, count(*) AS k FROM (SELECT a AS n FROM p UNION ALL SELECT b FROM p) GROUP BY n) SELECT n AS id, round(sum(w), 6) AS total FROM (SELECT p.a AS n, greatest(0.02, 1 / sqrt(x.k * y.k)) AS w FROM p JOIN g x ON x.n = p.a JOIN g y ON y.n = p.b UNION ALL SELECT p.b, greatest(0.02, 1 / sqrt(x.k * y.k)) FROM p JOIN g x ON x.n = p.a JOIN g y ON y.n = p.b) GROUP BY n")
+def _(s, d):
+    p = graph.pairs(graph.resolve(arts(s, d)))
+    g = p.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("k"))
+    w = p.join(g.select(F.col("n").alias("a"), F.col("k").alias("ka")), "a").join(g.select(F.col("n").alias("b"), F.col("k").alias("kb")), "b")
+    return w.select(F.explode(F.array("a", "b")).alias("id"), F.expr("greatest(0.02D, 1 / sqrt(ka * kb))").alias("w")).groupBy("id").agg(F.round(F.sum("w"), 6).alias("total"))
+
+
+@query("f9_hub_memberships", f"{E_} SELECT id, count(DISTINCT h) AS hubs FROM (SELECT src AS id, dst AS h FROM edges UNION ALL SELECT dst, src FROM edges) WHERE CAST(h AS BIGINT) <= 10 AND CAST(id AS BIGINT) > 10 GROUP BY id")
+def _(s, d):
+    p = graph.pairs(graph.resolve(arts(s, d)))
+    e = p.select(F.col("a").alias("id"), F.col("b").alias("h")).unionByName(p.select(F.col("b").alias("id"), F.col("a").alias("h")))
+    return e.where("cast(h as bigint) <= 10 and cast(id as bigint) > 10").groupBy("id").agg(F.count("*").alias("hubs"))
+
+
+both("f10_impulse_cap", "SELECT l_partkey AS id, round(sum(l_discount) * least(1.0, 0.5 / greatest(sqrt(sum(l_discount) * sum(l_discount) + sum(l_tax) * sum(l_tax)), 0.000001)), 4) AS ix FROM lineitem GROUP BY l_partkey", "lineitem")
+
+
+@query("f13_f14_averages", f"{E_} SELECT round((SELECT count(*) FROM edges) / (SELECT count(*) FROM art), 6) AS links_per_node, (SELECT count(*) FROM art WHERE seq % 4 <> 0) AS eligible")
+def _(s, d):
+    a = arts(s, d)
+    e = graph.resolve(a)
+    return e.agg(F.count("*").alias("e")).crossJoin(a.agg(F.count("*").alias("n"), F.count_if(F.col("seq") % 4 != 0).alias("eligible"))).select(F.round(F.col("e") / F.col("n"), 6).alias("links_per_node"), "eligible")
+
+
+# --- G, H, I: ranking, sets, samples -------------------------------------------------------------------------------
+
+
+@query("g1_o3_search", "SELECT id, title FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title FROM part) WHERE contains(lower(title), '11') ORDER BY length(title), title, id LIMIT 20")
+def _(s, d):
+    return rank.search(arts(s, d), " 11 ")
+
+
+@query("g2_finder", "SELECT id, title, CASE WHEN lower(title) = '1' THEN 0 WHEN instr(lower(title), '1') = 1 THEN 1 WHEN instr(lower(title), '1') > 0 THEN 2 ELSE 3 END AS score, CASE WHEN instr(lower(title), '1') > 0 THEN instr(lower(title), '1') ELSE instr(id, '1') END AS place FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title FROM part) WHERE contains(lower(title), '1') OR contains(id, '1') ORDER BY score, place, title, id LIMIT 18")
+def _(s, d):
+    return rank.finder(arts(s, d), "1 ")
+
+
+@query("g3_visible", f"{E_}, {DEG}, h AS (SELECT id FROM art WHERE seq <= 10) SELECT id FROM h UNION SELECT id FROM (SELECT id FROM deg WHERE id NOT IN (SELECT id FROM h) ORDER BY in_degree + out_degree DESC, id LIMIT 40) UNION SELECT '7' UNION SELECT CASE WHEN src = '7' THEN dst ELSE src END FROM edges WHERE src = '7' OR dst = '7'")
+def _(s, d):
+    n, e = nodes_edges(s, d)
+    return rank.visible(n, n.where("seq <= 10").select("id"), 50, e, "7")
+
+
+@query("g4_prefix", "SELECT CAST(p_partkey AS VARCHAR) AS id FROM part ORDER BY p_partkey LIMIT 100")
+def _(s, d):
+    return arts(s, d).orderBy("seq").limit(100).select("id")
+
+
+@query("g5_edge_limit", f"{E_.replace('min(seq) AS seq, min(pos) AS pos', 'min(seq) AS seq, min(pos) AS pos')} SELECT src, dst FROM edges ORDER BY seq, pos LIMIT 500")
+def _(s, d):
+    return graph.resolve(arts(s, d), limit=500).select("src", "dst")
+
+
+both("g8_clamping", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 20 ELSE least(100, greatest(1, o_orderkey - 50)) END AS lim FROM orders", "orders")
+
+
+@query("g9_decimation", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS n, count(*) OVER () AS c FROM lineitem) WHERE n % CAST(ceil(c / 5000.0) AS BIGINT) = 0")
+def _(s, d):
+    return rank.decimate(X.tables(s, d, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 5000)
+
+
+@query("g11_label_budget", f"{E_}, {DEG} SELECT id FROM deg ORDER BY CASE WHEN id = '7' THEN 0 WHEN seq <= 10 THEN 1 ELSE 2 END, in_degree + out_degree DESC, id LIMIT 60")
+def _(s, d):
+    n, _e = nodes_edges(s, d)
+    return n.orderBy(F.when(F.col("id") == "7", 0).when(F.col("seq") <= 10, 1).otherwise(2), F.desc(F.col("in_degree") + F.col("out_degree")), "id").limit(60).select("id")
+
+
+both("g14_h6_ticks", "SELECT DISTINCT least(p_size * 100, 4000) AS tick FROM part", "part")
+both("h3_progressive_merge", "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 2", "lineitem")
+both("h4_h5_tail_append", "WITH c AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size, p_partkey) AS pos FROM part WHERE p_partkey % 3 = 0), m AS (SELECT max(pos) AS m FROM c) SELECT id, pos FROM c UNION ALL SELECT p_partkey, m + row_number() OVER (ORDER BY p_partkey) FROM part CROSS JOIN m WHERE p_partkey % 3 <> 0", "part")
+
+
+@query("h7_seed_list", "SELECT title FROM (SELECT title, min(z) AS z FROM (SELECT p_name AS title, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) * 1000000 + dense_rank() OVER (ORDER BY p_brand) AS z FROM part) GROUP BY title) ORDER BY z LIMIT 40")
+def _(s, d):
+    c = X.run_sql(s, d, "SELECT dense_rank() OVER (ORDER BY p_brand) AS cluster, titles FROM (SELECT p_brand, transform(array_sort(collect_list(struct(p_partkey, p_name))), x -> x.p_name) AS titles FROM part GROUP BY p_brand)", "part")
+    return rank.seeds(c, s.createDataFrame([], "pos long, title string"), 40).select("title")
+
+
+@query("i1_hash_sample", f"SELECT CAST(p_partkey AS VARCHAR) AS id, {HASH.format('CAST(p_partkey AS VARCHAR)')} AS h FROM part ORDER BY h, p_partkey LIMIT 500")
+def _(s, d):
+    return rank.hash_sample(arts(s, d)).select("id", "h")
+
+
+_TS = "WITH {pos}, r AS (SELECT CAST(idx AS STRING) AS id, CASE WHEN idx % 2 = 0 THEN 'node' ELSE 'line' END AS kind, CAST(least(3, greatest(0, floor((x + 600) / 1200 * 4))) AS INT) AS tx FROM pos)"
+
+
+@query("i2_i3_i4_tile_sample", f"{_TS.format(pos=X.POS_DUCK)} SELECT id, kind, tx FROM (SELECT *, row_number() OVER (PARTITION BY tx, kind ORDER BY {HASH.format('id')}, id) AS n FROM r) WHERE n <= CASE kind WHEN 'node' THEN 15 ELSE 25 END")
+def _(s, d):
+    r = positions(s, d).select(F.col("idx").cast("string").alias("id"), F.when(F.col("idx") % 2 == 0, "node").otherwise("line").alias("kind"), rank.tile(F.col("x"), -600.0, 1200.0, 4).alias("tx"))
+    return rank.tile_sample(r, ["tx"], {"node": 15, "line": 25})
+
+
+@query("i6_o1_jsonl_answer", f"{E_} SELECT src, dst FROM edges WHERE CAST(src AS BIGINT) <= 200 AND CAST(dst AS BIGINT) <= 200")
+def _(s, d):
+    return api.Engine(arts(s, d)).graph(200)[1].select("src", "dst")
+
+
+# --- J: graph algorithms -------------------------------------------------------------------------------------------
+
+both("j1_hub_count", "SELECT o_orderkey, least(100, greatest(1, CAST(ceil(5 * o_orderkey / 100.0) AS BIGINT))) AS hubs FROM orders", "orders")
+
+
+@query("j2_hubs", f"WITH RECURSIVE {E_[5:]}, {DEG}, q AS (SELECT id, in_degree + out_degree AS degree, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) AS r FROM deg), nb AS (SELECT a, list(b) AS ns FROM (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) GROUP BY a), g(r, picked) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL SELECT q.r, CASE WHEN list_has_any(picked, coalesce(ns, [])) OR len(picked) >= 100 THEN picked ELSE list_append(picked, q.id) END FROM g JOIN q ON q.r = g.r + 1 LEFT JOIN nb ON nb.a = q.id) SELECT unnest(picked) AS id FROM (SELECT list_slice(picked, 1, CAST(least(100, greatest(1, ceil(0.05 * (SELECT count(*) FROM art)))) AS BIGINT)) AS picked FROM g ORDER BY r DESC LIMIT 1)")
+def _(s, d):
+    return graph.hubs(*nodes_edges(s, d)).select("id")
+
+
+@query("components_min_label", f"WITH RECURSIVE {ES_[5:]}, u AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r(a, c) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.a AND r.c < u.b) SELECT a AS id, min(c) AS component FROM r GROUP BY a")
+def _(s, d):
+    from ..operators.components import components
+
+    return components(graph.resolve(arts(s, d, True))).select(F.col("node").alias("id"), "component")
+
+
+@query("j3_j9_connected_order")
+def _(s, d):
+    return graph.connected_order(graph.resolve(arts(s, d, True)))
+
+
+@query("j4_dense_core")
+def _(s, d):
+    n, e = nodes_edges(s, d, True)
+    return graph.dense_core(n, e, 50)
+
+
+@query("j6_tier_passes", f"WITH RECURSIVE {ES_[5:]}, h AS (SELECT CAST(src AS BIGINT) AS u, CAST(dst AS BIGINT) AS v, CASE WHEN CAST(dst AS BIGINT) < CAST(src AS BIGINT) THEN 1 ELSE 0 END AS w FROM edges), r(v, p) AS (SELECT min(seq), 0 FROM raw UNION SELECT h.v, r.p + h.w FROM r JOIN h ON h.u = r.v WHERE r.p + h.w <= 40) SELECT v AS seq, CAST(v AS VARCHAR) AS id, CAST(min(p) AS BIGINT) AS pass FROM r GROUP BY v")
+def _(s, d):
+    return graph.tier_passes(arts(s, d, True))
+
+
+both("j8_top_up", "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 <> 0 ORDER BY p_partkey LIMIT 120", "part")
+
+
+# --- K: layout -----------------------------------------------------------------------------------------------------
+
+
+def layout_graph(s, d):
+    n = positions(s, d)
+    top = n.agg(F.max("idx")).first()[0]
+    n = n.withColumns({"id": F.col("idx").cast("string"), "importance": F.expr("(idx % 10) / 10D"), "hub": F.col("idx") < 10, "hub_score": F.when(F.col("idx") < 10, 0.9).otherwise(0.0)}).withColumn("radius", F.expr("6 + 6 * importance"))
+    e = n.select(F.col("idx").alias("a"), F.explode(F.array(*[F.lit(o) for o in (1, 7, 31)])).alias("o")).select("a", F.expr(f"(a + o) % {top + 1}").alias("b"))
+    return n, e
+
+
+_FD = "round(sum(ix), 3) AS dvx, round(sum(iy), 3) AS dvy"
+_K2 = f"""WITH {X.POS_DUCK}, c AS (SELECT count(*) AS n FROM pos), k AS (SELECT least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM (SELECT idx AS i, (idx + unnest([1, 7, 31])) % (SELECT n FROM c) AS j FROM pos))) / n / 6))) AS rho, 480 * least(2.5, greatest(1.0, pow(n / 250.0, 0.25))) AS cut FROM c),
+p AS (SELECT a.idx AS i, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, rho * (115 + 126 * (b.idx % 10) / 10.0) AS q, cut FROM pos a JOIN pos b ON a.idx <> b.idx CROSS JOIN k)
+SELECT i AS idx, round(sum(-dx * q * 0.8 / greatest(d * d, 1.0)), 3) AS dvx, round(sum(-dy * q * 0.8 / greatest(d * d, 1.0)), 3) AS dvy FROM p WHERE d <= cut GROUP BY i"""
+
+
+@query("k2_charge", _K2)
+def _(s, d):
+    return layout.charge(*layout_graph(s, d), Settings(), 0.8).select("idx", F.round("dvx", 3).alias("dvx"), F.round("dvy", 3).alias("dvy"))
+
+
+for _name, _force in {"k3_springs": layout.springs, "k4_hub_interactions": layout.hub_forces, "k5_unrelated": layout.unrelated, "k7_collision": layout.collide, "k9_boundary": layout.boundary}.items():
+    QUERIES[_name] = lambda s, d, f=_force: f(*layout_graph(s, d), Settings(), 0.8)
+QUERIES["k13_k15_tick"] = lambda s, d: layout.tick(*layout_graph(s, d), Settings(), 0.8)
+
+# --- flagship ------------------------------------------------------------------------------------------------------
+
+
+@query("flagship_top_articles", f"{E_}, {DEG} SELECT id, title, in_degree, out_degree FROM deg ORDER BY in_degree + out_degree DESC, id LIMIT 20")
+def _(s, d):
+    n, _e = nodes_edges(s, d)
+    return n.orderBy(F.desc(F.col("in_degree") + F.col("out_degree")), "id").limit(20).select("id", "title", "in_degree", "out_degree")
