@@ -26,6 +26,15 @@ def item_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP, -1), "")
 
 
+def _runs_of(n: int):
+    """Every run of n words with its hash; a function of the words alone, as higher-order functions count arguments."""
+
+    def runs(w):
+        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.lit(n), F.slice(w, i + 1, n)).alias("fp")))
+
+    return runs
+
+
 def fingerprints(words: Column, lengths: list[int]) -> Column:
     """array<struct<pos,len,fp>>: one for each 10-word window, and for each shorter run of the given lengths."""
     empty = F.array().cast("array<struct<pos:int,len:int,fp:bigint>>")
@@ -36,8 +45,7 @@ def fingerprints(words: Column, lengths: list[int]) -> Column:
 
     parts = [F.when(F.size(words) >= WINDOW, let(words, long_ones)).otherwise(empty)]
     for n in lengths:
-        runs = let(words, lambda w, n=n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.lit(n), F.slice(w, i + 1, n)).alias("fp"))))
-        parts.append(F.when(F.size(words) >= n, runs).otherwise(empty))
+        parts.append(F.when(F.size(words) >= n, let(words, _runs_of(n))).otherwise(empty))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
