@@ -8,7 +8,9 @@ import re
 import numpy as np
 
 #: Pieces that a worker keeps; beyond, it starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
+#: New pieces that are encoded in one go.
+JOINED = 4000
 _MARK = re.compile(rb"^(.*[A-Za-z])([.,])\Z", re.S)
 _EDGE = "[!-~¡-ɏ]"
 _SPACE, _NEWLINE = re.compile(f"(?<={_EDGE}) (?={_EDGE})"), re.compile(f"(?<={_EDGE})\n(?={_EDGE})")
@@ -40,12 +42,37 @@ class Encoder:
         self.t, self.words = vocabulary(path), words
         self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 65536 else "<u4")
         self.cache: dict = {}
+        self.heads: dict = {}
+        self.rests: dict = {}
         self.newline = self._raw(["\n"])[0]
+        vocab = self.t.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # ends of words, or bytes (one character each in the byte-level alphabet)
+            self.size[i] = token.endswith("</w>") if words else len(token)
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _known(self, lists: list[list[bytes]]) -> None:
+    def _plain(self, pieces: list[bytes]) -> list[bytes]:
+        """ids of pieces that are letters alone (after a space, if byte-level): no token crosses their ends, so many are encoded as one text."""
+        out = []
+        for k in range(0, len(pieces), JOINED):
+            part = pieces[k : k + JOINED]
+            text = (b" " if self.words else b"").join(part).decode()
+            ids = np.frombuffer(self._raw([text])[0], self.dtype)
+            if self.words:
+                ends = np.nonzero(self.size[ids])[0] + 1
+            else:
+                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p) for p in part])) + 1
+            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
+                out += self._raw([p.decode() for p in part])
+                continue
+            raw, w = ids.tobytes(), self.dtype.itemsize
+            cuts = [0, *(ends * w).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _known(self, lists: list[list[bytes]], docs: list | None = None) -> None:
         """Encode pieces not seen so far; a full stop or comma after a letter is a token of its own, so the stem is encoded without."""
         every = set().union(*lists)
         missing = every.difference(self.cache)
@@ -54,8 +81,22 @@ class Encoder:
             missing = every
         tails = {p: m for p in missing if (m := _MARK.match(p))}
         stems = list(((missing - tails.keys()) | {m[1] for m in tails.values()} | {m[2] for m in tails.values()}).difference(self.cache))
-        self.cache.update(zip(stems, self._raw([s.decode() for s in stems])))
+        plain, rest = [], []
+        for p in stems:
+            letters = p if self.words else p[1:]
+            (plain if (self.words or p[:1] == b" ") and letters.decode().isalpha() else rest).append(p)
+        self.cache.update(zip(plain, self._plain(plain)))
+        self.cache.update(zip(rest, self._raw([p.decode() for p in rest])))
         self.cache.update((p, self.cache[m[1]] + self.cache[m[2]]) for p, m in tails.items())
+        if docs is not None:  # pieces move to the tables keyed by text; cache holds the new ones only
+            if len(self.heads) + len(self.rests) > CACHE:
+                self.heads.clear()
+                self.rests.clear()
+                self.cache.clear()
+                return self._known([[x[0].encode() for d in docs for x in d], [b" " + p.encode() for d in docs for x in d for p in x[1:]]], docs)
+            self.heads.update((p.decode(), self.cache[p]) for p in lists[0])
+            self.rests.update((p[1:].decode(), self.cache[p]) for p in lists[1])
+            self.cache.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.words:
@@ -63,13 +104,16 @@ class Encoder:
             self._known(lists)
             return [b"".join(map(self.cache.__getitem__, x)) for x in lists]
         docs = [[self._pieces(line) for line in _NEWLINE.split(t)] for t in texts]
-        self._known([x for d in docs for x in d])
-        return [self.newline.join([b"".join(map(self.cache.__getitem__, x)) for x in d]) for d in docs]
+        self._known([[p.encode() for p in {x[0] for d in docs for x in d}.difference(self.heads)], [b" " + p.encode() for p in set().union(*[x[1:] for d in docs for x in d]).difference(self.rests)]], docs)
+        heads, rests = self.heads, self.rests
+        return [self.newline.join([heads[x[0]] + b"".join(map(rests.__getitem__, x[1:])) for x in d]) for d in docs]
 
     @staticmethod
-    def _pieces(line: str) -> list[bytes]:
-        head, *rest = _SPACE.split(line)
-        return [head.encode(), *[b" " + p.encode() for p in rest]]
+    def _pieces(line: str) -> list[str]:
+        """The first piece, then those that a space begins. In a printable line the only white space is the space itself."""
+        if line.isprintable() and "  " not in line and line[-1:] != " ":
+            return line.split(" ")
+        return _SPACE.split(line)
 
 
 _encoders: dict = {}
