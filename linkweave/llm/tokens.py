@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker keeps; beyond, it starts anew.
-CACHE = 1_000_000
+CACHE = 400_000
 #: New pieces that are encoded in one go.
 JOINED = 4000
 _MARK = re.compile(rb"^(.*[A-Za-z])([.,])\Z", re.S)
