@@ -1,19 +1,31 @@
-"""Fast exact encoding with the tokenizers library: texts are cut where no token can cross, and pieces are cached."""
+"""Fast exact encoding with the tokenizers library: texts are cut where no token can cross, and each distinct piece is encoded once.
+
+Cutting, counting and gathering pieces are done on whole Arrow arrays; the
+library merges the distinct pieces that a worker has not met yet.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker keeps; beyond, it starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 #: New pieces that are encoded in one go.
 JOINED = 4000
-_MARK = re.compile(rb"^(.*[A-Za-z])([.,])\Z", re.S)
+#: Between pieces; a text that holds it is encoded as it is.
+_CUT = "\x1f"
+#: Visible characters of which none is white space.
 _EDGE = "[!-~¡-ɏ]"
-_SPACE, _NEWLINE = re.compile(f"(?<={_EDGE}) (?={_EDGE})"), re.compile(f"(?<={_EDGE})\n(?={_EDGE})")
+_ODD = re.compile(f"(?<={_EDGE})([ \n])(?={_EDGE})")
+_EVEN = f"^{_EDGE}+([ \n]{_EDGE}+)*$"
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_TEXT = pa.large_string()
 _loaded: dict = {}
 
 
@@ -29,91 +41,112 @@ def vocabulary(path: str):
     return _loaded[path]
 
 
+def _merger(path: str):
+    """The same model for text that is normalized and cut already: pieces are what white space parts."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    return Tokenizer.from_str(json.dumps(j | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}))
+
+
 class Encoder:
     """ids of whole texts as little-endian bytes, of ``dtype``.
 
     ``words``: the vocabulary drops white space and lower-cases, so no token
     crosses ASCII white space and pieces are the words in lower case. Otherwise
     (byte-level) a space between two visible characters always begins a token,
-    and a newline between two such stands alone.
+    and a newline between two such stands alone; pieces begin at these.
     """
 
     def __init__(self, path: str, words: bool):
-        self.t, self.words = vocabulary(path), words
+        self.t, self.merger, self.words = vocabulary(path), _merger(path), words
         self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 65536 else "<u4")
-        self.cache: dict = {}
-        self.heads: dict = {}
-        self.rests: dict = {}
-        self.newline = self._raw(["\n"])[0]
         vocab = self.t.get_vocab()
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # ends of words, or bytes (one character each in the byte-level alphabet)
             self.size[i] = token.endswith("</w>") if words else len(token)
+        self._forget()
 
-    def _raw(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known, self.start, self.length, self.ids = pa.array([], _TEXT), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
 
-    def _plain(self, pieces: list[bytes]) -> list[bytes]:
-        """ids of pieces that are letters alone (after a space, if byte-level): no token crosses their ends, so many are encoded as one text."""
-        out = []
+    def _raw(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of pieces, each encoded by itself."""
+        got = [e.ids for k in range(0, len(pieces), JOINED) for e in self.t.encode_batch_fast(pieces[k : k + JOINED], add_special_tokens=False)]
+        return np.fromiter(map(len, got), np.int64, len(got)), np.array([i for x in got for i in x], self.dtype)
+
+    def _joint(self, tokenizer, pieces: pa.Array, forms: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of pieces whose forms, one after the other, are encoded as one text: sizes tell where each ends."""
+        lengths, ids = [], []
         for k in range(0, len(pieces), JOINED):
-            part = pieces[k : k + JOINED]
-            text = (b" " if self.words else b"").join(part).decode()
-            ids = np.frombuffer(self._raw([text])[0], self.dtype)
-            if self.words:
-                ends = np.nonzero(self.size[ids])[0] + 1
+            got = np.array(tokenizer.encode_batch_fast(["".join(forms[k : k + JOINED].to_pylist())], add_special_tokens=False)[0].ids, self.dtype)
+            reached, due = np.cumsum(self.size[got]), np.cumsum(sizes[k : k + JOINED])
+            ends = np.searchsorted(reached, due)
+            if not len(got) or reached[-1] != due[-1] or (reached[ends] != due).any():
+                n, got = self._raw(pieces[k : k + JOINED].to_pylist())
             else:
-                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p) for p in part])) + 1
-            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
-                out += self._raw([p.decode() for p in part])
-                continue
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            cuts = [0, *(ends * w).tolist()]
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def _known(self, lists: list[list[bytes]], docs: list | None = None) -> None:
-        """Encode pieces not seen so far; a full stop or comma after a letter is a token of its own, so the stem is encoded without."""
-        every = set().union(*lists)
-        missing = every.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-            missing = every
-        tails = {p: m for p in missing if (m := _MARK.match(p))}
-        stems = list(((missing - tails.keys()) | {m[1] for m in tails.values()} | {m[2] for m in tails.values()}).difference(self.cache))
-        plain, rest = [], []
-        for p in stems:
-            letters = p if self.words else p[1:]
-            (plain if (self.words or p[:1] == b" ") and letters.decode().isalpha() else rest).append(p)
-        self.cache.update(zip(plain, self._plain(plain)))
-        self.cache.update(zip(rest, self._raw([p.decode() for p in rest])))
-        self.cache.update((p, self.cache[m[1]] + self.cache[m[2]]) for p, m in tails.items())
-        if docs is not None:  # pieces move to the tables keyed by text; cache holds the new ones only
-            if len(self.heads) + len(self.rests) > CACHE:
-                self.heads.clear()
-                self.rests.clear()
-                self.cache.clear()
-                return self._known([[x[0].encode() for d in docs for x in d], [b" " + p.encode() for d in docs for x in d for p in x[1:]]], docs)
-            self.heads.update((p.decode(), self.cache[p]) for p in lists[0])
-            self.rests.update((p[1:].decode(), self.cache[p]) for p in lists[1])
-            self.cache.clear()
+                n = np.diff(ends + 1, prepend=0)
+            lengths.append(n)
+            ids.append(got)
+        return np.concatenate([*lengths, np.empty(0, np.int64)]), np.concatenate([*ids, np.empty(0, self.dtype)])
+
+    def _encoded(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pieces in some order, lengths, ids)."""
+        ascii_ = pc.match_substring_regex(pieces, "^[!-&(-~]+$" if self.words else "^[ \n]?[!-&(-~]+$")
+        letters = pc.and_not(pc.match_substring_regex(pieces, f"^[{_LETTER}]+[.,]?$" if self.words else f"^ [{_LETTER}]+[.,]?$"), ascii_)
+        a, b = pieces.filter(ascii_), pieces.filter(letters)
+        c = pieces.filter(pc.invert(pc.or_(ascii_, letters)))
+        if self.words:
+            fa = pc.replace_substring_regex(a, "([a-z]+|[0-9]|[^a-z0-9]+)", "\\1 ")
+            sa = pc.count_substring(fa, " ").to_numpy()
+            fb, sb = pc.replace_substring_regex(b, "$", " "), 1 + pc.match_substring_regex(b, "[.,]$").to_numpy(zero_copy_only=False)
+        else:
+            fa = pc.replace_substring_regex(a, "(\n| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 \n]+)", "\\1" + _CUT)
+            for x, y in ((" ", "Ġ"), ("\n", "Ċ"), (_CUT, " ")):  # the byte-level alphabet's signs
+                fa = pc.replace_substring(fa, x, y)
+            sa, fb, sb = pc.binary_length(a).to_numpy(), b, pc.binary_length(b).to_numpy()
+        got = [self._joint(self.merger, a, fa, sa), self._joint(self.t, b, fb, sb), self._raw(c.to_pylist())]
+        return pa.concat_arrays([a, b, c]), np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the table has each of the distinct pieces, after learning those that it lacks."""
+        found = pc.index_in(pieces, self.known)
+        missing = pieces.filter(found.is_null())
+        if not len(missing):
+            return found.to_numpy()
+        if len(self.known) + len(missing) > CACHE:
+            self._forget()
+            missing = pieces
+        new, length, ids = self._encoded(missing)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.known, self.length, self.ids = pa.concat_arrays([self.known, new]), np.concatenate([self.length, length]), np.concatenate([self.ids, ids])
+        return pc.index_in(pieces, self.known).to_numpy()
+
+    def _cut(self, texts: list[str]) -> pa.Array:
+        """The pieces of each text."""
+        if self.words:
+            return pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, _TEXT)))
+        whole = pa.array(texts, _TEXT)
+        even = pc.match_substring_regex(whole, _EVEN).to_numpy(zero_copy_only=False)
+        if even.all():
+            cut = pc.replace_substring(pc.replace_substring(whole, " ", _CUT + " "), "\n", _CUT + "\n")
+        else:  # unusual white space: only marks between visible characters are cut at
+            cut = pa.array([t.replace(" ", _CUT + " ").replace("\n", _CUT + "\n") if e else _ODD.sub(_CUT + "\\1", t) for t, e in zip(texts, even)], _TEXT)
+        return pc.split_pattern(cut, _CUT)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.words:
-            lists = [t.encode().lower().split() for t in texts]
-            self._known(lists)
-            return [b"".join(map(self.cache.__getitem__, x)) for x in lists]
-        docs = [[self._pieces(line) for line in _NEWLINE.split(t)] for t in texts]
-        self._known([[p.encode() for p in {x[0] for d in docs for x in d}.difference(self.heads)], [b" " + p.encode() for p in set().union(*[x[1:] for d in docs for x in d]).difference(self.rests)]], docs)
-        heads, rests = self.heads, self.rests
-        return [self.newline.join([heads[x[0]] + b"".join(map(rests.__getitem__, x[1:])) for x in d]) for d in docs]
-
-    @staticmethod
-    def _pieces(line: str) -> list[str]:
-        """The first piece, then those that a space begins. In a printable line the only white space is the space itself."""
-        if line.isprintable() and "  " not in line and line[-1:] != " ":
-            return line.split(" ")
-        return _SPACE.split(line)
+        if not self.words and any(_CUT in t for t in texts):
+            return [self._raw([t])[1].tobytes() if _CUT in t else self.encode([t])[0] for t in texts]
+        lists = self._cut(texts)
+        coded = lists.flatten().dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        n = self.length[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = self.ids[np.repeat(self.start[place] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        cuts = (ends[at] * self.dtype.itemsize).tolist()
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
 _encoders: dict = {}

@@ -153,6 +153,20 @@ def test_token_ids(spark):
     assert idfile.read_shards(idfile.write_shards(docs(spark, []), path)).count() == 0
 
 
+@pytest.mark.parametrize("name, words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_matches_the_library(name, words, monkeypatch):
+    """Pieces encoded once give the ids of the whole text, also with odd white space, marks, letters and a table that starts anew."""
+    random.seed(5)
+    signs = [" ", "\n", "a", "B", "'", "s", ".", "7", "é", "İ", "Ġ", "\t", "\u0301", "\x85", "–", "ɐ", "\x1f", "²"]
+    texts = ["", "  a  b", "a\n\nb", " lead", "trail ", "İstanbul, ÀÉ.", "don't we'll 'S", "<|endoftext|> hi</w>", "日本語 テスト，。", "x" * 3000]
+    texts += ["".join(random.choice(signs) for _ in range(random.randint(0, 40))) for _ in range(1500)]
+    e = tokens.Encoder(vocabulary(name), words)
+    want = [np.array(x.ids, e.dtype).tobytes() for x in e.t.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode(texts) == want
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    assert [x for k in range(0, len(texts), 7) for x in e.encode(texts[k : k + 7])] == want
+
+
 def test_packing(spark):
     path = vocabulary("byte_bpe_50k.json")
     rows = ODD + all_texts(spark) + [(500, "a  b \n\n c d it's\r\n x.\n"), (501, "end.\n")]
