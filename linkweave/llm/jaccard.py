@@ -253,12 +253,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(_both(left, sets, "set").mapInPandas(check, "a long, b long"), "links")
 
 
-def _in_blocks(rows: DataFrame, parts: int, compare, schema: str) -> DataFrame:
-    """compare() over the rows of each bucket together; large buckets are dealt out in pairs of blocks, none over 2 * BLOCK rows."""
+def _in_blocks(rows: DataFrame, parts: int, compare, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """compare() over the rows of each bucket together; large buckets are dealt out in pairs of blocks, none over 2 * BLOCK rows. more: columns besides."""
     size = rows.groupBy("sig").agg(F.count("*").alias("c"))
     k = F.ceil(F.col("c") / BLOCK).cast("int")
     r = rows.join(size, "sig").withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls", "comp", "n", "s0", "s1", "s2", "s3")
+    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls", "comp", "n", "s0", "s1", "s2", "s3", *more)
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -302,20 +302,32 @@ def _with_mates(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """Possible pairs of different components in a bucket."""
+    """Possible pairs of different components in a bucket.
+
+    Buckets with the same leader are searched together, so a pair that meets
+    in many of them comes up once; marks of a class's buckets (256 bits) keep
+    apart most that share none.
+    """
+    marks = ("m0", "m1", "m2", "m3")
+    lead = rows.groupBy("sig").agg(F.min(F.struct("comp", F.col("cls").alias("lead"))).alias("l"))
+    cell = F.pmod(F.xxhash64("sig"), F.lit(256)).cast("int")
+    bit = [F.bit_or(F.when(F.floor(cell / 64) == k, F.expr("shiftleft(1L, cast(pmod(xxhash64(sig), 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(m) for k, m in enumerate(marks)]
+    whole = rows.join(lead, "sig").groupBy(F.col("l.lead").alias("to"), "cls").agg(*[F.min(c).alias(c) for c in ("comp", "n", "s0", "s1", "s2", "s3")], *bit).withColumnRenamed("to", "sig")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         _, group, cross, i, cls, comp, n, s = _arrays(f)
+        met = f[list(marks)].to_numpy()
         got, x, d = [np.empty((0, 2), np.int64)], np.arange(len(f)), 1
         while len(x := x[x + d < len(f)]) and len(x := x[group[x] == group[x + d]]):
             a = x[(comp[x] != comp[x + d]) & ~(cross[x] & (i[x] == i[x + d]))]
+            a = a[(met[a] & met[a + d]).any(axis=1)]
             a = a[_near(s[a], s[a + d], n[a], n[a + d])]
             got.append(np.stack([np.minimum(cls[a], cls[a + d]), np.maximum(cls[a], cls[a + d])], axis=1))
             d += 1
         p = np.unique(np.concatenate(got), axis=0)
         return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
-    return _in_blocks(rows, parts, compare, "a long, b long").distinct()
+    return _in_blocks(whole, parts, compare, "a long, b long", marks).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

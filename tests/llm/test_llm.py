@@ -269,6 +269,19 @@ def test_near_duplicates(spark):
     assert jaccard.representatives(d).columns == d.columns
 
 
+def test_block_pairs(spark, monkeypatch):
+    """Every pair of near enough classes of two components that meets in a bucket, and no pair of another kind, also when buckets are dealt out in blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = random.Random(4)
+    comp = {c: c if c % 3 else 0 for c in range(60)}
+    rows = sorted({(rng.randrange(25), c) for c in comp for _ in range(4)})
+    df = spark.createDataFrame([(g, c, comp[c], 50, c % 2 * 7, 0, 0, 0) for g, c in rows], "sig long, cls long, comp long, n long, s0 long, s1 long, s2 long, s3 long")
+    met = {(a, b) for g, a in rows for h, b in rows if g == h and a < b and comp[a] != comp[b]}
+    found = [tuple(r) for r in jaccard._block_pairs(df, 4).collect()]
+    assert len(found) == len(set(found)) and met <= set(found)
+    assert all(comp[a] != comp[b] for a, b in found)
+
+
 def test_signatures_meet():
     """Any two sets that link share a signature, also where segments are few."""
     r = np.random.default_rng(2)
