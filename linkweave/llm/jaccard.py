@@ -351,8 +351,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = _with_mates(_buckets(t, rank, parts).join(marks, "cls").withColumn("comp", F.col("cls")), parts)
     release(spark)
     met = buckets.select("cls").distinct().join(classes, "cls").select("cls", "holder.d", "holder.th")
-    # texts of classes that share a signature; ids that are null are matched by the text's hash alone
-    fetch = t.withColumn("k", F.coalesce("d", "th")).join(met.select(F.coalesce("d", "th").alias("k"), F.col("th").alias("th2"), "cls"), "k").where("th = th2").select("cls", "t")
+    # texts of classes that share a signature; ids that are null are matched by the text's hash alone;
+    # repeated rows go where the join by k put them, before texts become sets, so that no set is shuffled
+    fetch = t.withColumn("k", F.coalesce("d", "th")).join(met.select(F.coalesce("d", "th").alias("k"), F.col("th").alias("th2"), "cls"), "k").where("th = th2").select("k", "cls", "t")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -360,7 +361,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             wide = [np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024), 255).astype(np.uint8).tobytes() for _, s in found]
             yield pd.DataFrame({"cls": [c for c, _ in found], "n": [len(s) for _, s in found], "wide": wide, "set": [s.tobytes() for _, s in found]}).astype({"cls": "int64", "n": "int64"})
 
-    sets_df = stored(fetch.mapInPandas(sets, "cls long, n long, wide binary, set binary").dropDuplicates(["cls"]), "sets")
+    sets_df = stored(fetch.dropDuplicates().select("cls", "t").mapInPandas(sets, "cls long, n long, wide binary, set binary"), "sets")
     release(spark)
     rows = buckets.withColumn("comp", F.col("cls"))
     links = tried = None
