@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import bounded_batches, partitions, release, stored
+from .common import bounded_batches, discard, partitions, release, stored
 from .lines import mix
 
 SHINGLE = 5
@@ -250,7 +250,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield f.loc[np.array(ok, bool), ["a", "b"]]
 
     left = stored(_both(pairs, sets, "wide").mapInPandas(near, "a long, b long"), "near-pairs")
-    return stored(_both(left, sets, "set").mapInPandas(check, "a long, b long"), "links")
+    out = stored(_both(left, sets, "set").mapInPandas(check, "a long, b long"), "links")
+    discard(left)
+    return out
 
 
 def _in_blocks(rows: DataFrame, parts: int, compare, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -348,7 +350,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if classes.where("chk <> chk2").limit(1).count():
         raise RuntimeError("two different sets have the same 64-bit name")
     marks = classes.drop("holder", "chk", "chk2")
-    buckets = _with_mates(_buckets(t, rank, parts).join(marks, "cls").withColumn("comp", F.col("cls")), parts)
+    signed = _buckets(t, rank, parts)
+    buckets = _with_mates(signed.join(marks, "cls").withColumn("comp", F.col("cls")), parts)
+    discard(signed)
     release(spark)
     met = buckets.select("cls").distinct().join(classes, "cls").select("cls", "holder.d", "holder.th")
     # texts of classes that share a signature; ids that are null are matched by the text's hash alone;
