@@ -357,7 +357,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = buckets.select("cls").distinct().join(classes, "cls").select("cls", "holder.d", "holder.th")
     # texts of classes that share a signature; ids that are null are matched by the text's hash alone;
     # repeated rows go where the join by k put them, before texts become sets, so that no set is shuffled
-    fetch = t.withColumn("k", F.coalesce("d", "th")).join(met.select(F.coalesce("d", "th").alias("k"), F.col("th").alias("th2"), "cls"), "k").where("th = th2").select("k", "cls", "t")
+    fetch = t.withColumn("k", F.coalesce("d", "th")).join(met.select(F.coalesce("d", "th").alias("k"), F.col("th").alias("th2"), "cls"), "k").where("th = th2").select("k", "th", "cls", "t")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
