@@ -228,8 +228,9 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _both(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
-    j = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col(what).alias("x")), "a")
-    return j.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col(what).alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
+    # only sets that an end of a pair needs are shuffled where the pairs are few enough for Spark to send them along
+    side = lambda x, n, v: sets.select(F.col("cls").alias(x), F.col("n").alias(n), F.col(what).alias(v)).join(pairs.select(x), x, "left_semi")
+    return pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
