@@ -32,7 +32,7 @@ from .lines import mix
 SHINGLE = 5
 #: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: Fixed odd multipliers of a shingle's five words.
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
