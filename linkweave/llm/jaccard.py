@@ -306,37 +306,41 @@ def _with_mates(rows: DataFrame, parts: int) -> DataFrame:
     return stored(_in_blocks(rows, parts, compare, "sig long, cls long").distinct(), "mates")
 
 
-def _block_pairs(rows: DataFrame, mids: DataFrame, parts: int) -> DataFrame:
+def _block_pairs(rows: DataFrame, parts: int, mids: DataFrame | None = None) -> DataFrame:
     """Possible pairs of different components in a bucket.
 
     Buckets with the same leader are searched together, so a pair that meets
     in many of them comes up once; marks of a class's buckets (256 bits) keep
-    apart most that share none. mids: (cls, mid), a sketch that few pairs
-    without a link pass.
+    apart most that share none. mids: (cls, mid), a finer sketch that few pairs
+    without a link pass; None: pairs go by the rows' own sketch alone.
     """
     marks = ("m0", "m1", "m2", "m3")
     lead = rows.groupBy("sig").agg(F.min(F.struct("comp", F.col("cls").alias("lead"))).alias("l"))
     cell = F.pmod(F.xxhash64("sig"), F.lit(256)).cast("int")
     bit = [F.bit_or(F.when(F.floor(cell / 64) == k, F.expr("shiftleft(1L, cast(pmod(xxhash64(sig), 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(m) for k, m in enumerate(marks)]
-    whole = rows.join(lead, "sig").groupBy(F.col("l.lead").alias("to"), "cls").agg(*[F.min(c).alias(c) for c in ("comp", "n", "s0", "s1", "s2", "s3")], *bit).withColumnRenamed("to", "sig").join(mids, "cls")
+    whole = rows.join(lead, "sig").groupBy(F.col("l.lead").alias("to"), "cls").agg(*[F.min(c).alias(c) for c in ("comp", "n", "s0", "s1", "s2", "s3")], *bit).withColumnRenamed("to", "sig")
+    fine = mids is not None
+    if fine:
+        whole = whole.join(mids, "cls")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         _, group, cross, i, cls, comp, n, s = _arrays(f)
         met = f[list(marks)].to_numpy()
-        mid = np.frombuffer(b"".join(f["mid"]), np.uint8).reshape(-1, MID)
+        mid = np.frombuffer(b"".join(f["mid"]), np.uint8).reshape(-1, MID) if fine else None
         got, x, d = [np.empty((0, 2), np.int64)], np.arange(len(f)), 1
         while len(x := x[x + d < len(f)]) and len(x := x[group[x] == group[x + d]]):
             a = x[(comp[x] != comp[x + d]) & ~(cross[x] & (i[x] == i[x + d]))]
             a = a[(met[a] & met[a + d]).any(axis=1)]
             a = a[_near(s[a], s[a + d], n[a], n[a + d])]
-            gap = np.abs(mid[a].astype(np.int16) - mid[a + d]).sum(axis=1)
-            a = a[9 * gap <= n[a] + n[a + d]]
+            if fine:
+                gap = np.abs(mid[a].astype(np.int16) - mid[a + d]).sum(axis=1)
+                a = a[9 * gap <= n[a] + n[a + d]]
             got.append(np.stack([np.minimum(cls[a], cls[a + d]), np.maximum(cls[a], cls[a + d])], axis=1))
             d += 1
         p = np.unique(np.concatenate(got), axis=0)
         return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
-    return _in_blocks(whole, parts, compare, "a long, b long", (*marks, "mid")).distinct()
+    return _in_blocks(whole, parts, compare, "a long, b long", (*marks, "mid") if fine else marks).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -396,7 +400,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if not rows.limit(1).count() or not found.limit(1).count():
             break
     if rows.limit(1).count():
-        pairs = _block_pairs(rows.join(marks, "cls"), sets_df.select("cls", "mid"), parts)
+        pairs = _block_pairs(rows.join(marks, "cls"), parts, sets_df.select("cls", "mid"))
         done = tried.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
         links = links.unionByName(_verified(stored(pairs.join(done, ["a", "b"], "left_anti"), "block-pairs"), sets_df))
         release(spark)

@@ -282,6 +282,18 @@ def test_block_pairs(spark, monkeypatch):
     assert all(comp[a] != comp[b] for a, b in found)
 
 
+def test_block_pairs_by_finer_sketch(spark, monkeypatch):
+    """The finer sketch keeps every pair whose gap a link allows (50 + 50 shingles: 11), and drops the others."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rows = [(c % 3, c) for c in range(45)]
+    df = spark.createDataFrame([(g, c, c, 50, 0, 0, 0, 0) for g, c in rows], "sig long, cls long, comp long, n long, s0 long, s1 long, s2 long, s3 long")
+    level = lambda c: 5 * (c % 4)
+    mids = spark.createDataFrame([(c, bytearray([level(c)] + [0] * (jaccard.MID - 1))) for _, c in rows], "cls long, mid binary")
+    met = {(a, b) for g, a in rows for h, b in rows if g == h and a < b and abs(level(a) - level(b)) <= 11}
+    found = [tuple(r) for r in jaccard._block_pairs(df, 4, mids).collect()]
+    assert len(found) == len(set(found)) and set(found) == met
+
+
 def test_signatures_meet():
     """Any two sets that link share a signature, also where segments are few."""
     r = np.random.default_rng(2)
