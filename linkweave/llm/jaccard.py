@@ -34,7 +34,9 @@ SHINGLE = 5
 BLOCK = 2048
 STAR_ROUNDS = 1
 #: Cells of the sketch that pairs of an open bucket must pass.
-MID = 128
+MID = 512
+#: Signatures by which a class knows in a group whom it has met in an earlier one; beyond them a pair may come up again.
+MET = 64
 #: Fixed odd multipliers of a shingle's five words.
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -311,14 +313,17 @@ def _block_pairs(rows: DataFrame, parts: int, mids: DataFrame | None = None) ->
 
     Buckets with the same leader are searched together, so a pair that meets
     in many of them comes up once; marks of a class's buckets (256 bits) keep
-    apart most that share none. mids: (cls, mid), a finer sketch that few pairs
+    apart most that share none. Pairs that share a signature of a smaller
+    leader are left to that leader's group. mids: (cls, mid), a finer sketch that few pairs
     without a link pass; None: pairs go by the rows' own sketch alone.
     """
     marks = ("m0", "m1", "m2", "m3")
     lead = rows.groupBy("sig").agg(F.min(F.struct("comp", F.col("cls").alias("lead"))).alias("l"))
     cell = F.pmod(F.xxhash64("sig"), F.lit(256)).cast("int")
     bit = [F.bit_or(F.when(F.floor(cell / 64) == k, F.expr("shiftleft(1L, cast(pmod(xxhash64(sig), 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(m) for k, m in enumerate(marks)]
-    whole = rows.join(lead, "sig").groupBy(F.col("l.lead").alias("to"), "cls").agg(*[F.min(c).alias(c) for c in ("comp", "n", "s0", "s1", "s2", "s3")], *bit).withColumnRenamed("to", "sig")
+    whole = rows.join(lead, "sig").groupBy(F.col("l.lead").alias("to"), "cls").agg(*[F.min(c).alias(c) for c in ("comp", "n", "s0", "s1", "s2", "s3")], *bit)
+    mine = rows.join(lead, "sig").groupBy("cls").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.col("l.lead").alias("to"), "sig"))), 1, MET).alias("mine"))
+    whole = whole.join(mine, "cls").withColumn("met", F.expr("transform(filter(mine, x -> x.to < to), x -> x.sig)")).drop("mine").withColumnRenamed("to", "sig")
     fine = mids is not None
     if fine:
         whole = whole.join(mids, "cls")
@@ -326,6 +331,7 @@ def _block_pairs(rows: DataFrame, parts: int, mids: DataFrame | None = None) ->
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         _, group, cross, i, cls, comp, n, s = _arrays(f)
         met = f[list(marks)].to_numpy()
+        before = [frozenset(x.tolist()) for x in f["met"]]
         mid = np.frombuffer(b"".join(f["mid"]), np.uint8).reshape(-1, MID) if fine else None
         got, x, d = [np.empty((0, 2), np.int64)], np.arange(len(f)), 1
         while len(x := x[x + d < len(f)]) and len(x := x[group[x] == group[x + d]]):
@@ -335,12 +341,13 @@ def _block_pairs(rows: DataFrame, parts: int, mids: DataFrame | None = None) ->
             if fine:
                 gap = np.abs(mid[a].astype(np.int16) - mid[a + d]).sum(axis=1)
                 a = a[9 * gap <= n[a] + n[a + d]]
+            a = a[np.array([before[k].isdisjoint(before[k + d]) for k in a.tolist()], bool)]
             got.append(np.stack([np.minimum(cls[a], cls[a + d]), np.maximum(cls[a], cls[a + d])], axis=1))
             d += 1
         p = np.unique(np.concatenate(got), axis=0)
         return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
-    return _in_blocks(whole, parts, compare, "a long, b long", (*marks, "mid") if fine else marks).distinct()
+    return _in_blocks(whole, parts, compare, "a long, b long", (*marks, "met", "mid") if fine else (*marks, "met")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,7 +381,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for b in batches:
             found = [(c, s) for c, s in zip(b["cls"], shingle_sets(b["t"].tolist())) if name_of(s)[0] == c]
             wide = [np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024), 255).astype(np.uint8).tobytes() for _, s in found]
-            mid = [np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=MID), 255).astype(np.uint8).tobytes() for _, s in found]
+            mid = [np.minimum(np.bincount((s >> np.uint64(65 - MID.bit_length())).astype(np.int64), minlength=MID), 255).astype(np.uint8).tobytes() for _, s in found]
             yield pd.DataFrame({"cls": [c for c, _ in found], "n": [len(s) for _, s in found], "mid": mid, "wide": wide, "set": [s.tobytes() for _, s in found]}).astype({"cls": "int64", "n": "int64"})
 
     sets_df = stored(fetch.dropDuplicates().select("cls", "t").mapInPandas(sets, "cls long, n long, mid binary, wide binary, set binary"), "sets")
