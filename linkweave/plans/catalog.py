@@ -344,10 +344,19 @@ def _(s, d):
     return api.stats(arts(s, d))
 
 
+def repulsion(n, e):
+    return graph.pairs(e).agg(F.count("*").alias("p")).crossJoin(n.agg(F.count("*").alias("n"))).select(F.expr(f"round(CAST({L.repulsion('p', 'n')} AS DOUBLE), 6)").alias("scale"))
+
+
 @query("f3_repulsion_scale", f"{ES_}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges) SELECT round(least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM p) / (SELECT count(*) FROM art) / 6))), 6) AS scale")
 def _(s, d):
     n, e = nodes_edges(s, d, True)
-    return graph.pairs(e).agg(F.count("*").alias("p")).crossJoin(n.agg(F.count("*").alias("n"))).select(F.expr(f"round(CAST({L.repulsion('p', 'n')} AS DOUBLE), 6)").alias("scale"))
+    return repulsion(n, e)
+
+
+@query("f3_repulsion_scale_whole", f"{E_}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges) SELECT round(least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM p) / (SELECT count(*) FROM art) / 6))), 6) AS scale")
+def _(s, d):
+    return repulsion(*nodes_edges(s, d))
 
 
 both("f4_kinetic_energy", "SELECT round(sum(0.5 * (l_discount * l_discount + l_tax * l_tax)), 3) AS e FROM lineitem", "lineitem")
@@ -487,14 +496,21 @@ def _(s, d):
     return components(graph.resolve(arts(s, d, True))).select(F.col("node").alias("id"), "component")
 
 
+@query("components_min_label_whole")  # a recursion that carries every label to every node is too slow on the dense graph
+def _(s, d):
+    from ..operators.components import components
+
+    return components(graph.resolve(arts(s, d))).select(F.col("node").alias("id"), "component")
+
+
 @query("j3_j9_connected_order")
 def _(s, d):
-    return graph.connected_order(graph.resolve(arts(s, d, True)))
+    return graph.connected_order(graph.resolve(arts(s, d)))
 
 
 @query("j4_dense_core")
 def _(s, d):
-    n, e = nodes_edges(s, d, True)
+    n, e = nodes_edges(s, d)
     return graph.dense_core(n, e, 50)
 
 
@@ -503,6 +519,11 @@ def _(s, d):
     return graph.tier_passes(arts(s, d, True))
 
 
+@query("j6_tier_passes_whole")  # as for components
+def _(s, d):
+    return graph.tier_passes(arts(s, d))
+
+
 both("j8_top_up", "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 <> 0 ORDER BY p_partkey LIMIT 120", "part")
 
 
