@@ -100,12 +100,13 @@ def hubs(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("degree"), "id")).cast("long"))  # at most 100 rows
 
 
-def connected_order(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def connected_order(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, component, level, pos): breadth-first order of each component.
 
     Components follow their smallest member by (hash, id); within one, nodes
     follow their first parent's place, then (hash, id). Nodes without an edge
-    are not listed. A level's places are ranked within its component.
+    are not listed. A level's places are ranked within its component. Rounds
+    go on until a level is empty; a bound that is reached before is an error.
     """
     p = pairs(edges)
     both = cut(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -114,35 +115,45 @@ def connected_order(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     nodes = cut(nodes.join(comp, "id"))
     start = nodes.groupBy("component").agg(F.min(F.struct("h", "id")).alias("s"))
     seen = cut(start.select(F.col("s.id").alias("id"), "component", F.lit(0).alias("level"), F.lit(1).cast("long").alias("at")))
-    level = seen
-    for k in range(1, max_rounds):
+    level, k = seen, 0
+    while True:
+        k += 1
         step = both.join(level.select(F.col("id").alias("a"), "at"), "a").groupBy(F.col("b").alias("id")).agg(F.min("at").alias("parent")).join(seen, "id", "left_anti").join(nodes, "id")
         level = cut(step.withColumn("at", F.row_number().over(W.partitionBy("component").orderBy("parent", "h", "id")).cast("long")).select("id", "component", F.lit(k).alias("level"), "at"))
         if not level.limit(1).count():
             break
+        if max_rounds is not None and k >= max_rounds:
+            raise RuntimeError(f"nodes are left after {max_rounds} levels")
         seen = seen.unionByName(level)
+        if k % 50 == 0:  # else the plan grows with the depth
+            seen = cut(seen)
     comps = start.select("component", F.struct("s.h", "s.id").alias("s"))
     return seen.join(comps, "component").select("id", "component", "level", F.row_number().over(W.orderBy("s", "level", "at")).cast("long").alias("pos"))
 
 
-def tier_passes(articles: DataFrame, max_rounds: int = 500) -> DataFrame:
+def tier_passes(articles: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(seq, id, pass): when connected expansion takes an article up (J6); unreached ones are not listed.
 
     The first article with links is the seed. A scan in source order takes up
     what an article taken before refers to; what lies behind waits for the
-    next scan. So pass(v) = min over u of pass(u) + (seq(v) < seq(u)).
+    next scan. So pass(v) = min over u of pass(u) + (seq(v) < seq(u)). Each
+    round goes one link further, until nothing changes; a bound that is
+    reached before is an error.
     """
     refs = explode_links(articles).select("seq", key(F.col("ref")).alias("k")).where("k <> ''")
     keys = articles.select("seq", key(F.col("id")).alias("k")).unionByName(articles.select("seq", key(F.col("title")).alias("k"))).distinct()
     steps = cut(refs.join(keys.withColumnRenamed("seq", "to"), "k").select(F.col("seq").alias("u"), F.col("to").alias("v"), (F.col("to") < F.col("seq")).cast("int").alias("w")).where("u <> v").distinct())
     seed = articles.where(F.size("links") > 0).agg(F.min("seq").alias("seq")).where("seq is not null")
     best = cut(seed.select("seq", F.lit(0).alias("pass")))
-    front = best
-    for _ in range(max_rounds):
+    front, k = best, 0
+    while True:
         new = steps.join(front.withColumnRenamed("seq", "u"), "u").groupBy(F.col("v").alias("seq")).agg(F.min(F.col("pass") + F.col("w")).alias("p"))
         front = cut(new.join(best, "seq", "left").where("pass is null or p < pass").select("seq", F.col("p").alias("pass")))
         if not front.limit(1).count():
             break
+        if max_rounds is not None and k >= max_rounds:
+            raise RuntimeError(f"articles are left after {max_rounds} rounds")
+        k += 1
         best = cut(best.unionByName(front).groupBy("seq").agg(F.min("pass").alias("pass")))
     return best.join(articles.select("seq", "id"), "seq").select("seq", "id", F.col("pass").cast("long").alias("pass"))
 
