@@ -74,6 +74,11 @@ def _(s, d):
     return X.tables(s, d, "documents")["documents"].select("doc_id", T.stable_hash(F.substring("text", 1, 60)).alias("h"))
 
 
+@query("b5_stable_hash_whole", f"SELECT doc_id, {HASH.format('text')} AS h FROM documents")
+def _(s, d):
+    return X.tables(s, d, "documents")["documents"].select("doc_id", T.stable_hash(F.col("text")).alias("h"))
+
+
 @query("b6_article_urls", "SELECT p_partkey, 'https://en.wikipedia.org/wiki/' || replace(url_encode(replace(p_name || ' (' || p_brand || ')', ' ', '_')), '+', '%20') AS url FROM part")
 def _(s, d):
     p = X.tables(s, d, "part")["part"]
