@@ -358,6 +358,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shingles, link with nothing and are their own component. Rows that repeat
     an id are members each by their own text.
     """
+    return _grouped(docs, doc_id, text).select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("comp").alias("cls"))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(d, th, n, least, first, comp): near_duplicates() with the text's hash and, of a component with shingles, the (no id, d, th) that is its first."""
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = partitions(spark)
@@ -412,14 +417,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         links = links.unionByName(_verified(stored(pairs.join(done, ["a", "b"], "left_anti"), "block-pairs"), sets_df))
         release(spark)
         comp = components(links, "a", "b")
-    named = members.join(comp, members["cls"] == comp["node"], "left").select("d", "n", "cls", F.coalesce("component", "cls").alias("comp"))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("d").alias("least"))
-    some = named.where("n > 0").join(least, "comp").select("d", "n", "least", "comp")
-    none = named.where("n = 0").select("d", "n", F.col("d").alias("least"), "comp")
-    return some.unionByName(none).select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("comp").alias("cls"))
+    named = members.join(comp, members["cls"] == comp["node"], "left").select("d", "th", "n", "cls", F.coalesce("component", "cls").alias("comp"))
+    least = named.where("n > 0").groupBy("comp").agg(F.min("d").alias("least"), F.min(F.struct(F.col("d").isNull().alias("no"), "d", "th")).alias("first"))
+    some = named.where("n > 0").join(least, "comp").select("d", "th", "n", "least", "first", "comp")
+    none = named.where("n = 0").select("d", "th", "n", F.col("d").alias("least"), F.lit(None).cast(some.schema["first"].dataType).alias("first"), "comp")
+    return some.unionByName(none)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; the rest are near copies of those."""
-    held = near_duplicates(docs).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs for each component: of its smallest doc_id, then of the smallest hash of a text; the rest are near copies of those.
+
+    Rows without an id come last. Of rows that repeat both id and text any one
+    stays. Rows without shingles all stay.
+    """
+    rows = stored(_grouped(docs, "doc_id", "text").where("n > 0").select("d", "th", (~(F.col("first.d").eqNullSafe(F.col("d")) & (F.col("first.th") == F.col("th")))).alias("held")), "grouped")
+    keys = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+    def at(x: DataFrame, how: str, frame: DataFrame) -> DataFrame:
+        y = x.select(F.col("d").alias("__d2"), F.col("th").alias("__th2"))
+        return frame.join(y, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__th") == F.col("__th2")), how)
+
+    left = at(rows.where("held").distinct(), "left_anti", keys)
+    again = rows.where("not held").groupBy("d", "th").count().where("count > 1")
+    if again.limit(1).count():
+        left = at(again, "left_anti", left).unionByName(at(again, "left_semi", left).dropDuplicates(["__d", "__th"]))
+    return left.select(*docs.columns)
