@@ -44,7 +44,7 @@ _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its 5-word shingles; a shorter text is one shingle, no words none."""
     words = [t.encode().lower().split() for t in texts]  # bytes: ASCII letters and white space only
-    padded = [w if not w or len(w) >= SHINGLE else w + [b"%d" % len(w)] * (SHINGLE - len(w)) for w in words]
+    padded = [w if not w or len(w) >= SHINGLE else w + [b" "] * (SHINGLE - len(w)) for w in words]  # no word is a space
     ends = np.cumsum([len(w) for w in padded])
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(padded)), np.uint64, int(ends[-1]) if len(ends) else 0)
     m = max(0, len(h) - SHINGLE + 1)
