@@ -35,11 +35,11 @@ class Engine:
         return rank.find_article(self.articles, ref)
 
     def tiers(self, counts: list[int]) -> DataFrame:
-        """(seq, id, tier_pos) by connected expansion; tiers are prefixes (A10)."""
+        """(seq, id, tier_pos) by connected expansion, then what it does not reach in source order (H4); tiers are prefixes (A10)."""
         from pyspark.sql import Window as W
 
-        p = graph.tier_passes(self.articles)
-        return p.withColumn("tier_pos", F.row_number().over(W.orderBy("pass", "seq")).cast("long")).where(F.col("tier_pos") <= max(counts)).select("seq", "id", "tier_pos")
+        p = self.articles.select("seq", "id").join(graph.tier_passes(self.articles).select("seq", "pass"), "seq", "left")
+        return p.withColumn("tier_pos", F.row_number().over(W.orderBy(F.asc_nulls_last("pass"), "seq")).cast("long")).where(F.col("tier_pos") <= max(counts)).select("seq", "id", "tier_pos")
 
     def health(self) -> dict:
         return {"index": bool(self.articles.limit(1).count())}
