@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from .common import fresh_dir, joined, of_kind, spans
 
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)"
+#: Least length of an assigned value.
+ASSIGN_LEAST = 6
+#: Access keys, and the literal that a text must hold. A maximal run of at least so many signs is what a run with its length test gives.
+ACCESS, ACCESS_NEED = "AKIA[A-Z0-9]{16,}", "AKIA"
+HEX = "[0-9a-f]{24,}"
 BASE_KINDS = ["assign", "access", "hex"]
 #: Further rules: kind, pattern, literal that a text must hold.
 MORE = [
@@ -27,8 +32,14 @@ MORE = [
     ("google", r"AIza[A-Za-z0-9_-]{35}", "AIza"),
 ]
 KINDS = BASE_KINDS + [k for k, *_ in MORE]
+
+
+def version_of_rules() -> str:
+    return hashlib.sha256(json.dumps([ASSIGN, ASSIGN_LEAST, ACCESS, ACCESS_NEED, HEX, BASE_KINDS, MORE]).encode()).hexdigest()[:16]
+
+
 #: Changes whenever a rule does; ledger entries of other versions don't count.
-RULE_VERSION = hashlib.sha256(json.dumps([ASSIGN, MORE]).encode()).hexdigest()[:16]
+RULE_VERSION = version_of_rules()
 
 FINDINGS = "array<struct<start:int,kind:string,end:int,hit:string>>"
 LEDGER = f"blob string, rule_version string, findings {FINDINGS}"
@@ -36,9 +47,8 @@ LEDGER = f"blob string, rule_version string, findings {FINDINGS}"
 
 def scan(text: Column) -> Column:
     """All findings of a text that is not null."""
-    value = lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= 6
-    # a maximal run of at least 24 is what a run with its length test gives
-    base = [F.filter(spans(text, ASSIGN, "assign"), value), spans(text, "AKIA[A-Z0-9]{16,}", "access", F.contains(text, F.lit("AKIA"))), spans(text, "[0-9a-f]{24,}", "hex")]
+    value = lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= ASSIGN_LEAST
+    base = [F.filter(spans(text, ASSIGN, "assign"), value), spans(text, ACCESS, "access", F.contains(text, F.lit(ACCESS_NEED))), spans(text, HEX, "hex")]
     return F.concat(*base, *[spans(text, p, k, F.contains(text, F.lit(need))) for k, p, need in MORE])
 
 
