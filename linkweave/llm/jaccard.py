@@ -4,8 +4,10 @@ Candidates come from a partition of the universe of shingles: hashing deals a
 set's shingles to the segments of its size band. Two sets that link differ in
 at most H shingles, so of any H + 1 non-empty segments of one of them at least
 one is equal in both; a document indexes the segments of its band in order of
-cost, up to H + 1 non-empty ones. Costs are the collisions that a segment
-causes over all documents. Where a document has too few non-empty segments it
+cost, up to H + 1 non-empty ones. Costs are estimates: the collisions that a
+segment causes among the classes of one task, summed over tasks; those between
+tasks are not counted. Any common order gives the same links, a worse one more
+candidates. Where a document has too few non-empty segments it
 indexes all, with their one-deletion neighbourhoods, each of which forgives a
 further difference. Every candidate is verified on the full sets.
 
