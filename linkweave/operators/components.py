@@ -2,32 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: str | None = None
-
-
-def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    global _own
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own is None:
-        import tempfile
-
-        _own = "file://" + tempfile.mkdtemp(prefix="linkweave-")
-    return _own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that plans of loops stay short."""
-    path = f"{scratch(df.sparkSession)}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..storage import discard, measured, stored
 
 
 def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -37,21 +15,24 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int
     and self-edges are ignored. Each round hangs every node on the smallest
     neighbour it knows (large star, then small star), so the number of rounds
     grows with the logarithm of the graph's size. Minima are combined before
-    the shuffle, so that a hub does not gather its neighbours in one task.
+    the shuffle, so that a hub does not gather its neighbours in one task. The
+    write of a round also tells whether it changed anything; the table of the
+    round before is deleted then.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
-    e, before = cut(e), None
+    e, before = stored(e, "edges"), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        big = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        new, state = measured(small, "edges", n=F.count("*"), x=F.bit_xor(F.xxhash64("u", "v")))
+        discard(e)
+        e = new
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     else:
         raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import key, stable_hash
-from .components import components, cut
+from ..storage import discard, fresh, measured, positions, stored, written
+from .components import components
 
 
 def explode_links(articles: DataFrame) -> DataFrame:
@@ -75,29 +75,42 @@ def hub_count(n: int) -> int:
     return 0 if n <= 0 else min(100, max(1, -(-5 * n // 100)))
 
 
-def hubs(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def hub_count_of(n: Column) -> Column:
+    """hub_count() of a column of graph sizes."""
+    return F.when(n <= 0, 0).otherwise(F.least(F.lit(100), F.greatest(F.lit(1), F.ceil(5 * n / 100)))).cast("long")
+
+
+def hubs(nodes: DataFrame, edges: DataFrame, window: int = 512) -> DataFrame:
     """(id, degree, rank): greedily chosen non-adjacent nodes by degree, then id.
 
-    The greedy choice is the first k of the lexicographically first independent
-    set. Each round takes all nodes that precede their open neighbours and
-    drops these neighbours, until none is open.
+    At most 100 hubs are wanted, so the greedy choice looks at the next
+    ``window`` open nodes and the pairs among them (a bounded number, chosen
+    on the driver) and then closes these nodes and all neighbours of what was
+    chosen. The first open node is always chosen, so there are at most as many
+    rounds as hubs, one or two as a rule; no round looks at other nodes twice.
     """
-    n = nodes.count()
+    want = hub_count(nodes.count())
     p = pairs(edges)
-    both = cut(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = cut(nodes.select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree")).withColumn("chosen", F.lit(None).cast("boolean")))
-    rank = lambda x: F.struct((-F.col(f"{x}degree")).alias("d"), F.col(f"{x}id").alias("i"))
-    for _ in range(max_rounds):
-        open_ = state.where("chosen is null").select("id", "degree")
-        if not open_.limit(1).count():
-            break
-        near = both.join(open_.select(F.col("id").alias("b"), F.col("degree").alias("bdegree"), F.col("id").alias("bid")), "b").groupBy("a").agg(F.min(rank("b")).alias("first"))
-        taken = open_.join(near, open_["id"] == near["a"], "left").where(F.col("first").isNull() | (rank("") < F.col("first"))).select("id")
-        out = both.join(taken.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        new = taken.withColumn("now", F.lit(True)).unionByName(out.withColumn("now", F.lit(False)))
-        state = cut(state.join(new, "id", "left").select("id", "degree", F.coalesce("chosen", "now").alias("chosen")))
-    best = state.where("chosen").select("id", "degree").orderBy(F.desc("degree"), "id").limit(hub_count(n))
-    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("degree"), "id")).cast("long"))  # at most 100 rows
+    both = stored(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
+    left = nodes.select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    best = lambda df, n: [tuple(r) for r in df.orderBy(F.desc("degree"), "id").limit(n).collect()]
+    chosen: list[tuple[str, int]] = []
+    while len(chosen) < want and (head := best(left, window)):
+        ids = [i for i, _ in head]
+        near: dict[str, set[str]] = {}
+        for x, y in both.where(F.col("a").isin(ids) & F.col("b").isin(ids)).collect():
+            near.setdefault(x, set()).add(y)
+        new: list[tuple[str, int]] = []
+        for i, degree in head:
+            if not any(i in near.get(j, ()) for j, _ in new):
+                new.append((i, degree))
+        chosen += new
+        closed = both.where(F.col("a").isin([i for i, _ in new])).select(F.col("b").alias("id"))
+        last = head[-1]
+        behind = (F.col("degree") < last[1]) | ((F.col("degree") == last[1]) & (F.col("id") > last[0]))
+        left = left.where(behind).join(closed, "id", "left_anti")
+    rows = [(i, d, k + 1) for k, (i, d) in enumerate(chosen[:want])]  # at most 100
+    return nodes.sparkSession.createDataFrame(rows, "id string, degree long, rank long")
 
 
 def connected_order(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -105,30 +118,42 @@ def connected_order(edges: DataFrame, max_rounds: int | None = None) -> DataFram
 
     Components follow their smallest member by (hash, id); within one, nodes
     follow their first parent's place, then (hash, id). Nodes without an edge
-    are not listed. A level's places are ranked within its component. Rounds
-    go on until a level is empty; a bound that is reached before is an error.
+    are not listed. A level is placed by a range sort, so no task holds it or
+    a component whole, and is written as a folder of one growing table, so the
+    plan does not grow with the depth. Rounds go on until a level is empty; a
+    bound that is reached before is an error.
     """
+    spark = edges.sparkSession
     p = pairs(edges)
-    both = cut(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    nodes = both.select(F.col("a").alias("id")).distinct().withColumn("h", stable_hash(F.col("id")))
+    both = stored(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
     comp = components(p, "a", "b").withColumnRenamed("node", "id")
-    nodes = cut(nodes.join(comp, "id"))
+    nodes = stored(comp.withColumn("h", stable_hash(F.col("id"))), "nodes")
     start = nodes.groupBy("component").agg(F.min(F.struct("h", "id")).alias("s"))
-    seen = cut(start.select(F.col("s.id").alias("id"), "component", F.lit(0).alias("level"), F.lit(1).cast("long").alias("at")))
-    level, k = seen, 0
+    order = stored(positions(start, ["s.h", "s.id"], "c").select("component", "c", F.col("s.id").alias("id")), "starts")
+    folder = fresh(spark, "levels")
+    written(order.select("id", "component", F.col("c").alias("at")), f"{folder}/level=0")
+    schema = f"id {nodes.schema['id'].dataType.simpleString()}, component {nodes.schema['component'].dataType.simpleString()}, at long, level int"
+    k = 0
     while True:
         k += 1
-        step = both.join(level.select(F.col("id").alias("a"), "at"), "a").groupBy(F.col("b").alias("id")).agg(F.min("at").alias("parent")).join(seen, "id", "left_anti").join(nodes, "id")
-        level = cut(step.withColumn("at", F.row_number().over(W.partitionBy("component").orderBy("parent", "h", "id")).cast("long")).select("id", "component", F.lit(k).alias("level"), "at"))
-        if not level.limit(1).count():
+        seen = spark.read.schema(schema).parquet(folder)
+        front = seen.where(F.col("level") == k - 1).select(F.col("id").alias("a"), "at")
+        step = both.join(front, "a").groupBy(F.col("b").alias("id")).agg(F.min("at").alias("parent")).join(seen, "id", "left_anti").join(nodes, "id")
+        if not (step := stored(step, "step")).limit(1).count():
             break
         if max_rounds is not None and k >= max_rounds:
             raise RuntimeError(f"nodes are left after {max_rounds} levels")
-        seen = seen.unionByName(level)
-        if k % 50 == 0:  # else the plan grows with the depth
-            seen = cut(seen)
-    comps = start.select("component", F.struct("s.h", "s.id").alias("s"))
-    return seen.join(comps, "component").select("id", "component", "level", F.row_number().over(W.orderBy("s", "level", "at")).cast("long").alias("pos"))
+        placed = positions(step, ["component", "parent", "h", "id"], "at")
+        written(placed.select("id", "component", "at"), f"{folder}/level={k}")
+        discard(step)
+    seen = spark.read.schema(schema).parquet(folder).join(order.select("component", "c"), "component")
+    return positions(seen, ["c", "level", "at"]).select("id", "component", "level", (F.col("pos") + 1).alias("pos"))
+
+
+def completed_order(nodes: DataFrame, ordered: DataFrame, order: list) -> DataFrame:
+    """(id, pos): what is ordered by its pos, then all other nodes by ``order`` (H4, H5)."""
+    at = nodes.join(ordered.select("id", F.col("pos").alias("_first")), "id", "left")
+    return positions(at, [F.asc_nulls_last("_first"), *order]).select("id", (F.col("pos") + 1).alias("pos"))
 
 
 def tier_passes(articles: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -137,73 +162,125 @@ def tier_passes(articles: DataFrame, max_rounds: int | None = None) -> DataFrame
     The first article with links is the seed. A scan in source order takes up
     what an article taken before refers to; what lies behind waits for the
     next scan. So pass(v) = min over u of pass(u) + (seq(v) < seq(u)). Each
-    round goes one link further, until nothing changes; a bound that is
-    reached before is an error.
+    round goes one link further and writes the state once, which also counts
+    what changed; rounds end when nothing does. A bound that is reached before
+    is an error.
     """
     refs = explode_links(articles).select("seq", key(F.col("ref")).alias("k")).where("k <> ''")
     keys = articles.select("seq", key(F.col("id")).alias("k")).unionByName(articles.select("seq", key(F.col("title")).alias("k"))).distinct()
-    steps = cut(refs.join(keys.withColumnRenamed("seq", "to"), "k").select(F.col("seq").alias("u"), F.col("to").alias("v"), (F.col("to") < F.col("seq")).cast("int").alias("w")).where("u <> v").distinct())
+    steps = refs.join(keys.withColumnRenamed("seq", "to"), "k").select(F.col("seq").alias("u"), F.col("to").alias("v"), (F.col("to") < F.col("seq")).cast("int").alias("w")).where("u <> v").distinct()
+    steps = stored(steps, "steps")
     seed = articles.where(F.size("links") > 0).agg(F.min("seq").alias("seq")).where("seq is not null")
-    best = cut(seed.select("seq", F.lit(0).alias("pass")))
-    front, k = best, 0
-    while True:
-        new = steps.join(front.withColumnRenamed("seq", "u"), "u").groupBy(F.col("v").alias("seq")).agg(F.min(F.col("pass") + F.col("w")).alias("p"))
-        front = cut(new.join(best, "seq", "left").where("pass is null or p < pass").select("seq", F.col("p").alias("pass")))
-        if not front.limit(1).count():
-            break
-        if max_rounds is not None and k >= max_rounds:
+    state = stored(seed.select("seq", F.lit(0).alias("pass"), F.lit(True).alias("fresh")), "passes")
+    k, fresh_rows = 0, 1
+    while fresh_rows:
+        front = state.where("fresh").select(F.col("seq").alias("u"), "pass")
+        new = steps.join(front, "u").groupBy(F.col("v").alias("seq")).agg(F.min(F.col("pass") + F.col("w")).alias("p"))
+        better = F.col("p").isNotNull() & (F.col("pass").isNull() | (F.col("p") < F.col("pass")))
+        both = state.select("seq", "pass").join(new, "seq", "full").select("seq", F.when(better, F.col("p")).otherwise(F.col("pass")).alias("pass"), better.alias("fresh"))
+        after, facts = measured(both, "passes", n=F.count_if("fresh"))
+        discard(state)
+        state, fresh_rows = after, facts["n"]
+        if fresh_rows and max_rounds is not None and k >= max_rounds:
             raise RuntimeError(f"articles are left after {max_rounds} rounds")
         k += 1
-        best = cut(best.unionByName(front).groupBy("seq").agg(F.min("pass").alias("pass")))
-    return best.join(articles.select("seq", "id"), "seq").select("seq", "id", F.col("pass").cast("long").alias("pass"))
-
-
-def alias_closure(redirects: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(src, final): the end of each chain of aliases by pointer jumping; chains that return to themselves stop at their smallest member."""
-    r = cut(redirects.select("src", F.col("dst").alias("final"), F.least("src", "dst").alias("low")))
-    for _ in range(max_rounds):
-        nxt = r.select(F.col("src").alias("final"), F.col("final").alias("f2"), F.col("low").alias("low2"))
-        new = cut(r.join(nxt, "final", "left").select("src", F.coalesce("f2", "final").alias("final"), F.least("low", F.coalesce("low2", "low")).alias("low")))
-        changed = new.join(r.select("src", F.col("final").alias("was"), F.col("low").alias("waslow")), "src").where("final <> was or low <> waslow").limit(1).count()
-        steady = new.join(redirects.select(F.col("src").alias("final")), "final", "left_semi").limit(1).count() == 0
-        r = new
-        if steady or not changed:
-            break
-    ends = redirects.select(F.col("src").alias("final"), F.lit(True).alias("loops"))
-    return r.join(ends, "final", "left").select("src", F.when(F.col("loops"), F.col("low")).otherwise(F.col("final")).alias("final"))
+    return state.join(articles.select("seq", "id"), "seq").select("seq", "id", F.col("pass").cast("long").alias("pass"))
+
+
+def tier_order(articles: DataFrame, whole: bool = False) -> DataFrame:
+    """(seq, id, tier_pos): connected expansion order, then what it does not reach in source order (A10, H4). whole: source order alone, as a tier of the whole corpus is cut."""
+    a = articles.select("seq", "id")
+    if whole:
+        return positions(a, ["seq"], "tier_pos").withColumn("tier_pos", F.col("tier_pos") + 1)
+    p = a.join(tier_passes(articles).select("seq", "pass"), "seq", "left")
+    return positions(p, [F.asc_nulls_last("pass"), "seq"], "tier_pos").select("seq", "id", (F.col("tier_pos") + 1).alias("tier_pos"))
+
 
+def alias_closure(redirects: DataFrame) -> DataFrame:
+    """(src, final): the end of each chain of aliases.
 
-def peel(pool: list[tuple[str, int, int]], edges: list[tuple[str, str]], want: int) -> list[str]:
-    """Drop the node of least inner out-degree, then least pool degree, then largest id, until ``want`` remain."""
+    Each src has one dst. A chain that returns to itself ends at the first of
+    its loop that it meets; a member of the loop is its own end. Pointers are
+    doubled: as many rounds as the logarithm of the number of aliases settle
+    all chains that end, and what is left then points into its loop; so the
+    loops' members are known, count as ends, and the doubling is done again.
+    """
+
+    def doubled(r: DataFrame, rounds: int) -> tuple[DataFrame, int]:
+        r, left = stored(r, "aliases"), 1
+        for _ in range(rounds):
+            nxt = r.select(F.col("src").alias("final"), F.col("final").alias("f2"))
+            new, facts = measured(r.join(nxt, "final", "left").select("src", F.coalesce("f2", "final").alias("final"), F.col("f2").isNotNull().alias("moved")), "aliases", n=F.count_if("moved"))
+            discard(r)
+            r, left = new.select("src", "final"), facts["n"]
+            r.stored_path = new.stored_path
+            if not left:
+                break
+        return r, left
+
+    first = redirects.select("src", F.col("dst").alias("final")).where("src is not null and dst is not null")
+    rounds = first.count().bit_length() + 1
+    done, left = doubled(first, rounds)
+    if not left:
+        return done
+    loops = stored(done.join(first.select(F.col("src").alias("final")), "final", "left_semi").select(F.col("final").alias("src")).distinct(), "loops")
+    done, _ = doubled(first.join(loops, "src", "left_anti"), rounds)
+    return done.unionByName(loops.select("src", F.col("src").alias("final")))
+
+
+def dense_pick(pool: list[tuple[str, int]], edges: list[tuple[str, str]], want: int) -> list[str]:
+    """Order of the ``want`` nodes left of a bounded pool [(id, hash)] in pool order.
+
+    Peels the node of least inner out-degree, then least degree within the
+    pool, then largest id; then breadth first over the rest, starts and
+    neighbours by (hash, id), and what has no link in pool order.
+    """
     import heapq
 
-    rank = {i: (deg, k) for k, (i, deg, _) in enumerate(pool)}
-    last = {i: -k for k, i in enumerate(sorted(rank))}
-    out = {i: 0 for i in rank}
-    into: dict[str, list[str]] = {i: [] for i in rank}
+    h = dict(pool)
+    out: dict[str, set[str]] = {i: set() for i in h}
+    into: dict[str, set[str]] = {i: set() for i in h}
     for a, b in edges:
-        if a in rank and b in rank:
-            out[a] += 1
-            into[b].append(a)
-    heap = [(out[i], rank[i][0], last[i], i) for i in rank]
+        if a in h and b in h and a != b:
+            out[a].add(b)
+            into[b].add(a)
+    degree = {i: len(out[i]) + len(into[i]) for i in h}
+    last = {i: -k for k, i in enumerate(sorted(h))}
+    inner = {i: len(out[i]) for i in h}
+    heap = [(inner[i], degree[i], last[i], i) for i in h]
     heapq.heapify(heap)
-    live = set(rank)
+    live = set(h)
     while len(live) > want:
         n, _, _, i = heapq.heappop(heap)
-        if i not in live or n != out[i]:
+        if i not in live or n != inner[i]:
             continue
         live.remove(i)
-        for a in into[i]:
-            if a in live:
-                out[a] -= 1
-                heapq.heappush(heap, (out[a], rank[a][0], last[a], a))
-    return [i for i, *_ in pool if i in live]
-
-
-def dense_core(nodes: DataFrame, edges: DataFrame, want: int) -> DataFrame:
-    """(id): the link-dense core of ``want`` nodes (J4). Pools are at most max(8 want, want + 100) and want at most 5000, so one task peels."""
-    if want > 5000:
-        return nodes.select("id")
+        for a in into[i] & live:
+            inner[a] -= 1
+            heapq.heappush(heap, (inner[a], degree[a], last[a], a))
+    by = lambda i: (h[i], i)
+    order, seen = [], set()
+    for s in sorted(live, key=by):
+        queue = [s] if s not in seen and (out[s] | into[s]) & live else []
+        seen.update(queue)
+        for a in queue:
+            new = sorted(((out[a] | into[a]) & live) - seen, key=by)
+            seen.update(new)
+            queue += new
+        order += queue
+    return order + [i for i, _ in pool if i in live and i not in seen]
+
+
+def dense_order(nodes: DataFrame, edges: DataFrame, want: int) -> DataFrame:
+    """(id, pos): the link-dense core of ``want`` nodes in connected order.
+
+    For over 5000 wanted nodes, or as many as there are, the nodes stay in
+    source order (``seq``). The pool is at most max(8 want, want + 100) nodes,
+    so one task peels it.
+    """
+    want = max(1, want)
+    if want > 5000 or nodes.limit(want + 1).count() <= want:
+        return positions(nodes.select("seq", "id"), ["seq"]).select("id", (F.col("pos") + 1).alias("pos"))
     d = degrees(nodes.select("id"), edges).withColumns({"deg": 2 * F.col("out_degree") + F.col("in_degree"), "h": stable_hash(F.col("id"))})
     pool = d.orderBy(F.desc("deg"), "h", "id").limit(max(8 * want, want + 100)).select("id", "deg", "h")
     inner = induced(edges.select("src", "dst"), pool)
@@ -214,6 +291,76 @@ def dense_core(nodes: DataFrame, edges: DataFrame, want: int) -> DataFrame:
         import pandas as pd
 
         p = sorted(((x["id"], x["deg"], x["h"]) for x in f["n"].dropna()), key=lambda x: (-x[1], x[2], x[0]))
-        return pd.DataFrame({"id": peel(p, [(x["src"], x["dst"]) for x in f["e"].dropna()], want)})
+        order = dense_pick([(i, h) for i, _, h in p], [(x["src"], x["dst"]) for x in f["e"].dropna()], want)
+        return pd.DataFrame({"id": order, "pos": range(1, len(order) + 1)})
+
+    return rows.groupBy("g").applyInPandas(run, "id string, pos long")
+
+
+def page_pick(titles: list[str], links: list[tuple[str, str]], limit: int) -> list[str]:
+    """Order of the ``limit`` best linked of a bounded list of titles.
+
+    The same peel over all of them, ties by title; then up to min(16, limit)
+    swaps, each the best that adds inner links; then the title with most links
+    into what is placed already, then highest degree, then smallest title.
+    """
+    rank = {t: k for k, t in enumerate(sorted(set(titles), key=lambda t: (t.lower(), t)))}
+    out: dict[str, set[str]] = {t: set() for t in rank}
+    into: dict[str, set[str]] = {t: set() for t in rank}
+    for a, b in links:
+        if a in rank and b in rank and a != b:
+            out[a].add(b)
+            into[b].add(a)
+    want = min(max(1, limit), len(rank))
+    degree = {t: len(out[t]) + len(into[t]) for t in rank}
+    live = set(rank)
+    inner = {t: len(out[t]) for t in rank}
+    while len(live) > want:
+        gone = min(live, key=lambda t: (inner[t], degree[t], -rank[t]))
+        live.remove(gone)
+        for a in into[gone] & live:
+            inner[a] -= 1
+    rest = set(rank) - live
+    held = lambda t: len(out[t] & live) + len(into[t] & live)
+    for _ in range(min(16, want)):
+        has, best = {t: held(t) for t in rank}, (0, 0, 0, "", "")
+        for c in rest:
+            for r in live:
+                gain = has[c] - (r in out[c]) - (r in into[c]) - has[r]
+                if gain > 0:
+                    best = max(best, (gain, -rank[c], -rank[r], c, r))
+        if not best[0]:
+            break
+        live = (live - {best[4]}) | {best[3]}
+        rest = (rest - {best[3]}) | {best[4]}
+    placed, order = set(), []
+    met = dict.fromkeys(live, 0)
+    while met:
+        t = max(met, key=lambda t: (met[t], degree[t], -rank[t]))
+        del met[t]
+        placed.add(t)
+        order.append(t)
+        for x in out[t]:
+            if x in met:
+                met[x] += 1
+        for x in into[t]:
+            if x in met:
+                met[x] += 1
+    return order
+
+
+def page_order(pages: DataFrame, links: DataFrame, limit: int, most: int = 1500) -> DataFrame:
+    """(title, pos): page_pick() over at most ``most`` candidate pages (title), links(src, dst) by title, in one task (J5). More candidates are an error."""
+    if pages.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} candidates")
+    p = pages.select(F.lit(0).alias("g"), "title", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"))
+    e = induced(links.select("src", "dst"), pages, "title").distinct().select(F.lit(0).alias("g"), F.lit(None).cast("string").alias("title"), "src", "dst")
+
+    def run(f):
+        import pandas as pd
+
+        edges = f[f["title"].isna()]
+        order = page_pick(f["title"].dropna().tolist(), list(zip(edges["src"], edges["dst"])), limit)
+        return pd.DataFrame({"title": order, "pos": range(1, len(order) + 1)})
 
-    return rows.groupBy("g").applyInPandas(run, "id string")
+    return p.unionByName(e).groupBy("g").applyInPandas(run, "title string, pos long")

@@ -516,7 +516,7 @@ def _(s, d):
 @query("j4_dense_core")
 def _(s, d):
     n, e = nodes_edges(s, d)
-    return graph.dense_core(n, e, 50)
+    return graph.dense_order(n, e, 50)
 
 
 @query("j6_tier_passes", f"WITH RECURSIVE {ES_[5:]}, h AS (SELECT CAST(src AS BIGINT) AS u, CAST(dst AS BIGINT) AS v, CASE WHEN CAST(dst AS BIGINT) < CAST(src AS BIGINT) THEN 1 ELSE 0 END AS w FROM edges), r(v, p) AS (SELECT min(seq), 0 FROM raw UNION SELECT h.v, r.p + h.w FROM r JOIN h ON h.u = r.v WHERE r.p + h.w <= 40) SELECT v AS seq, CAST(v AS VARCHAR) AS id, CAST(min(p) AS BIGINT) AS pass FROM r GROUP BY v")

@@ -85,18 +85,34 @@ def test_hubs_and_peel(spark):
         if not any((i, p) in edges or (p, i) in edges for p in picked):
             picked.append(i)
     assert [r["id"] for r in graph.hubs(n, e).orderBy("rank").collect()] == picked[: graph.hub_count(40)]
-    pool = sorted(((i, 2 * sum(a == i for a, _ in edges) + sum(b == i for _, b in edges), fnv(i)) for i in deg), key=lambda x: (-x[1], x[2], x[0]))
-    live, poold = {p[0] for p in pool}, {p[0]: p[1] for p in pool}
-    while len(live) > 10:
-        inner = {i: sum(a == i and b in live for a, b in edges) for i in live}
-        least = min((inner[i], poold[i]) for i in live)
-        live.remove(max(i for i in live if (inner[i], poold[i]) == least))
-    assert {r["id"] for r in graph.dense_core(n, e, 10).collect()} == live
+    pool = {i for i, *_ in sorted(((i, 2 * sum(a == i for a, _ in edges) + sum(b == i for _, b in edges), fnv(i)) for i in deg), key=lambda x: (-x[1], x[2], x[0]))[:110]}
+    assert [r["id"] for r in graph.dense_order(n.join(df.select("id", "seq"), "id"), e, 10).orderBy("pos").collect()] == slow_dense(pool, edges, 10)
+
+
+def slow_dense(pool, edges, want):
+    """Peel by inner out-degree, degree within the pool, largest id; then breadth first by (hash, id)."""
+    inside = [(a, b) for a, b in edges if a in pool and b in pool]
+    degree = {i: sum(i in p for p in inside) for i in pool}
+    live = set(pool)
+    while len(live) > want:
+        inner = {i: sum(a == i and b in live for a, b in inside) for i in live}
+        least = min((inner[i], degree[i]) for i in live)
+        live.remove(max(i for i in live if (inner[i], degree[i]) == least))
+    near = {i: {b for a, b in inside if a == i and b in live} | {a for a, b in inside if b == i and a in live} for i in live}
+    k, order = lambda i: (fnv(i), i), []
+    for s in sorted((i for i in live if near[i]), key=k):
+        queue = [s] if s not in order else []
+        for a in queue:
+            order.append(a)
+            queue += [b for b in sorted(near[a], key=k) if b not in order and b not in queue]
+    return order + sorted(live - set(order), key=k)
 
 
 def test_alias_loops(spark):
-    df = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "src string, dst string")
-    assert dict(map(tuple, graph.alias_closure(df).collect())) == {"a": "c", "b": "c", "x": "x", "y": "x"}
+    df = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("t", "u"), ("u", "y"), ("s", "s"), (None, "a")], "src string, dst string")
+    assert dict(map(tuple, graph.alias_closure(df).collect())) == {"a": "c", "b": "c", "x": "x", "y": "y", "t": "y", "u": "y", "s": "s"}
+    assert dict(map(tuple, graph.alias_closure(df.where("src < 'c'")).collect())) == {"a": "c", "b": "c"}
+    assert graph.alias_closure(df.limit(0)).count() == 0
 
 
 def test_empty_corpus(spark):
