@@ -25,6 +25,7 @@ class Boosted:
     base: float = 0.0
     trees: list = field(default_factory=list)
     threshold: float = 0.0
+    thresholds: dict[str, float] = field(default_factory=dict)
 
     def column(self, get) -> Column:
         """Log-odds; ``get`` maps a feature's name to its Column."""
@@ -79,11 +80,13 @@ def _tree(x, grad, hess, rows, depth, rate, cuts):
     return (j, cut, _tree(x, grad, hess, rows[low], depth - 1, rate, cuts), _tree(x, grad, hess, rows[~low], depth - 1, rate, cuts))
 
 
-def fit(x: np.ndarray, y: np.ndarray, features: list[str], rounds: int = 12, depth: int = 3, rate: float = 0.4, precision: float = 0.95) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, features: list[str], rounds: int = 12, depth: int = 3, rate: float = 0.4, precision: float = 0.95, groups: list[str] | None = None, cuts: dict[str, list[float]] | None = None) -> Boosted:
     """Fit on two thirds; set the threshold on the other third.
 
     The threshold is the smallest log-odds at which held-out precision reaches
-    ``precision`` (never below even odds). With one class only, or no rows, the
+    ``precision`` (never below even odds). Thresholds of splits are quantiles,
+    or those that ``cuts`` gives for a feature. Where ``groups`` names a group for
+    each row, every group gets a threshold of its own, too. With one class only, or no rows, the
     model is a constant that follows the class at hand (no rows: negative).
     """
     if len(x) > MAX_ROWS:
@@ -98,16 +101,28 @@ def fit(x: np.ndarray, y: np.ndarray, features: list[str], rounds: int = 12, dep
     xt, yt = x[~held], y[~held].astype(float)
     p = yt.mean()
     model.base = float(np.round(np.log(p / (1 - p)), 6))
-    cuts = [np.unique(np.round(np.quantile(xt[:, j], np.linspace(0.02, 0.98, 17)), 6)) for j in range(x.shape[1])]
+    own = cuts or {}
+    points = [np.array(own[f]) if f in own else np.unique(np.round(np.quantile(xt[:, j], np.linspace(0.02, 0.98, 17)), 6)) for j, f in enumerate(features)]
     score = np.full(len(xt), model.base)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-score))
-        t = _tree(xt, yt - q, q * (1 - q), np.arange(len(xt)), depth, rate, cuts)
+        t = _tree(xt, yt - q, q * (1 - q), np.arange(len(xt)), depth, rate, points)
         model.trees.append(t)
         score += Boosted(features, 0.0, [t]).predict(xt)
-    s, truth = (model.predict(x[held]), y[held]) if held.any() else (score, yt)
-    order = np.argsort(-s, kind="stable")
-    hits = np.cumsum(truth[order]) / np.arange(1, len(s) + 1)
-    good = np.nonzero(hits >= precision)[0]
-    model.threshold = float(max(0.0, np.round(s[order][good[-1]], 6))) if len(good) else float(np.round(s.max(), 6))
+    if not held.any():
+        held[:] = True
+    s = model.predict(x[held])
+    model.threshold = _threshold(s, y[held], precision)
+    for g in dict.fromkeys(groups or []):
+        at = np.array([z == g for z in groups])[held]
+        model.thresholds[g] = _threshold(s[at], y[held][at], precision) if at.any() else model.threshold
     return model
+
+
+def _threshold(s: np.ndarray, truth: np.ndarray, precision: float) -> float:
+    """The smallest log-odds of at least 0 from which on precision holds; a little over the highest where it never does."""
+    order = np.argsort(-s, kind="stable")
+    s = s[order]
+    last = np.append(s[1:] != s[:-1], True)  # rows of equal log-odds are taken together
+    good = np.nonzero(last & (np.cumsum(truth[order]) / np.arange(1, len(s) + 1) >= precision))[0]
+    return float(max(0.0, np.floor(s[good[-1]] * 1e6) / 1e6)) if len(good) else float(np.round(s.max() + 1e-3, 6))

@@ -41,7 +41,8 @@ def fingerprints(words: Column, lengths: list[int]) -> Column:
 
     def long_ones(w):
         grams = F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.xxhash64(*[w[i + j] for j in range(GRAM)]))
-        return let(grams, lambda h: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.struct(i.alias("pos"), F.lit(WINDOW).alias("len"), F.array_min(F.slice(h, i + 1, WINDOW - GRAM + 1)).alias("fp"))))
+        least = lambda h, i: F.least(*[h[i + j] for j in range(WINDOW - GRAM + 1)])
+        return let(grams, lambda h: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.struct(i.alias("pos"), F.lit(WINDOW).alias("len"), least(h, i).alias("fp"))))
 
     parts = [F.when(F.size(words) >= WINDOW, let(words, long_ones)).otherwise(empty)]
     for n in lengths:
@@ -78,19 +79,26 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
         cand = let(F.col("w"), lambda w: pick(w, F.filter(fingerprints(w, lengths), lambda f: f["fp"].isin(known)))) if known else F.array().cast(_CAND)
     else:
         base = stored(base, "words")
-        met = base.select("nr", F.explode(F.array_distinct(F.transform(fingerprints(F.col("w"), lengths), lambda f: f["fp"]))).alias("fp")).join(marks, "fp").groupBy("nr").agg(F.collect_set("fp").alias("fps"))
+        met = base.select("nr", F.explode(fingerprints(F.col("w"), lengths)).alias("f")).join(marks, F.col("f.fp") == F.col("fp")).groupBy("nr").agg(F.collect_list("f").alias("found"))
         base = base.join(met, "nr", "left")
-        cand = F.when(F.col("fps").isNull(), F.array().cast(_CAND)).otherwise(let(F.col("w"), lambda w: pick(w, F.filter(fingerprints(w, lengths), lambda f: F.array_contains(F.col("fps"), f["fp"])))))
+        cand = F.when(F.col("found").isNull(), F.array().cast(_CAND)).otherwise(let(F.col("w"), lambda w: pick(w, F.array_sort("found"))))
     # texts with the same candidate windows are looked up once, however many share a passage
     shared = F.sha2(F.array_join(F.array_sort(F.array_distinct(F.transform("cand", lambda c: c["win"]))), "\n"), 256)
     seen = stored(base.select("row", F.size("w").cast("long").alias("n_words"), cand.alias("cand")).withColumn("shared", F.when(F.size("cand") > 0, shared)), "candidates")
     some = seen.where(F.col("shared").isNotNull())
+    distinct = F.array_distinct(F.transform("cand", lambda c: c["win"]))
     found = (
-        some.select("shared", F.array_distinct(F.transform("cand", lambda c: c["win"])).alias("ws")).dropDuplicates(["shared"])
+        some.select("shared", distinct.alias("ws")).dropDuplicates(["shared"])
         .select("shared", F.explode("ws").alias("win")).join(wins.select("win", F.col("item").cast("string").alias("item")), "win")
         .groupBy("shared").agg(F.collect_set("win").alias("ok"), F.array_sort(F.collect_set("item")).alias("names"))
     )
-    hits = F.array_sort(F.transform(F.filter("cand", lambda c: F.array_contains(F.col("ok"), c["win"])), lambda c: F.struct(c["pos"], c["end"])))
+    # candidates are compared with the shorter list, of true or of false ones: in a text that is an item from end to end, false ones are few
+    cand = F.col("cand")
+    true_ones = let(
+        F.array_except(distinct, F.col("ok")),
+        lambda bad: F.when(F.size(bad) <= F.size("ok"), F.filter(cand, lambda c: ~F.array_contains(bad, c["win"]))).otherwise(F.filter(cand, lambda c: F.array_contains(F.col("ok"), c["win"]))),
+    )
+    hits = F.array_sort(F.transform(true_ones, lambda c: F.struct(c["pos"], c["end"])))
     covered = F.aggregate(
         hits,
         F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("n")),

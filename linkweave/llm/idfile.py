@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import bounded_batches, fresh_dir, partitions, stored
+from .common import bounded_batches, fresh, partitions, stored
 from .tokens import encoder
 
-MAGIC = b"LWEFIDS1"
-_HEAD = struct.Struct("<8sBBqqqqq")  # magic, bytes an id, low bits, documents, ids, bytes of low, high, samples
+MAGIC = b"LWEFIDS2"
+_HEAD = struct.Struct("<8sBBBqqqqqqqq")  # magic, bytes an id, low bits of bounds and of names, null names, documents, least name, bytes of low and high twice, samples being 4 bytes each
 STEP = 64  # ones between select samples
+#: Bytes of ids after which a task begins its next shard; a shard holds one document more at most.
+SHARD_BYTES = 64 << 20
+#: Documents whose bounds a reader has in hand at once.
+GROUP = 4096
 
 
 class EliasFano:
@@ -29,56 +33,63 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        n, top = len(values), int(values[-1]) if len(values) else 0
+        """values: unsigned 64-bit integers in order."""
+        v = np.asarray(values).astype(np.uint64)
+        n, top = len(v), int(v[-1]) if len(v) else 0
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        v = values.astype(np.uint64)
-        lows = (v & np.uint64((1 << bits) - 1))[:, None] >> np.arange(bits, dtype=np.uint64)[None, :] & np.uint64(1)
+        lows = np.unpackbits(np.ascontiguousarray(v.astype("<u8")).view(np.uint8), bitorder="little").reshape(n, 64)[:, :bits]
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(ones[-1]) + 1 if n else 0), dtype=np.uint8)
         high[ones] = 1
-        return cls(n, bits, np.packbits(lows.astype(np.uint8).ravel(), bitorder="little"), np.packbits(high, bitorder="little"), ones[::STEP].astype("<u4"))
-
-    def select(self, i: int) -> int:
-        """The i-th value, from a sample and a short scan of the unary part."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self.samples[i // STEP]), i % STEP
-        byte, skip = at // 8, at % 8
-        word = int(self.high[byte]) >> skip << skip
-        while (c := word.bit_count()) <= left:
-            left -= c
-            byte += 1
-            word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        pos = byte * 8 + ((word & -word).bit_length() - 1)
-        low, b0 = 0, i * self.bits
-        for k in range(self.bits):
-            low |= (int(self.low[(b0 + k) // 8]) >> ((b0 + k) % 8) & 1) << k
-        return (pos - i << self.bits) | low
-
-    def all(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.nonzero(np.unpackbits(self.high, bitorder="little"))[0][: self.n] - np.arange(self.n)
-        lows = np.unpackbits(self.low, bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits).astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
-        return (ones.astype(np.int64) << self.bits) | lows
+        return cls(n, bits, np.packbits(lows.ravel(), bitorder="little"), np.packbits(high, bitorder="little"), ones[::STEP].astype("<u4"))
+
+    def select(self, first: int, last: int) -> np.ndarray:
+        """Values number first to last - 1, as unsigned 64-bit integers.
+
+        The sample before ``first`` gives the place to start in the unary
+        part; as many bytes are unpacked as hold the ones that are asked for,
+        and as many low bits.
+        """
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        want = last - first
+        if not want:
+            return np.empty(0, np.uint64)
+        at, skip = int(self.samples[first // STEP]), first % STEP
+        byte, stop = at // 8, at // 8
+        found, parts = 0, []
+        while found < skip + want:  # the samples bound how far; gaps are runs of zero bytes
+            stop = min(len(self.high), byte + max(64, (skip + want - found) // 2))
+            bits = np.unpackbits(self.high[byte:stop], bitorder="little")
+            if not parts:
+                bits[: at % 8] = 0
+            ones = np.nonzero(bits)[0] + 8 * byte
+            parts.append(ones)
+            found, byte = found + len(ones), stop
+        ones = np.concatenate(parts)[skip : skip + want]
+        upper = (ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.bits)
+        b0, b1 = first * self.bits, last * self.bits
+        lows = np.unpackbits(self.low[b0 // 8 : (b1 + 7) // 8], bitorder="little")[b0 % 8 : b0 % 8 + b1 - b0].reshape(want, self.bits)
+        wide = np.zeros((want, 64), np.uint8)
+        wide[:, : self.bits] = lows
+        return upper | np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def pack_shard(doc_ids: list, lengths: list[int], parts: list[bytes], width: int) -> list[bytes]:
-    """The sections of a shard file: head, boundaries, validity of ids, document ids, token ids."""
-    ends = np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))])
-    ef = EliasFano.of(ends)
-    null = np.array([d is None for d in doc_ids], dtype=np.uint8)
-    ids = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
-    head = _HEAD.pack(MAGIC, width, ef.bits, len(doc_ids), int(ends[-1]), len(ef.low), len(ef.high), 4 * len(ef.samples))
-    return [head, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), np.packbits(null).tobytes(), ids.tobytes(), *parts]
+    """The sections of a shard file: head, bounds, names, token ids. doc_ids ascend, nulls before all; both sequences are Elias-Fano coded."""
+    bounds = EliasFano.of(np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))]))
+    nulls = sum(d is None for d in doc_ids)
+    least = doc_ids[nulls] if nulls < len(doc_ids) else 0
+    names = EliasFano.of(np.array([d - least for d in doc_ids[nulls:]], dtype=np.uint64))
+    head = _HEAD.pack(MAGIC, width, bounds.bits, names.bits, nulls, len(doc_ids), least, len(bounds.low), len(bounds.high), len(names.low), len(names.high), sum(map(len, parts)))
+    return [head, *(x.tobytes() for e in (bounds, names) for x in (e.low, e.high, e.samples)), *parts]
 
 
 class Shard:
-    """A shard file in memory; ``ids(i)`` are those of its i-th document."""
+    """A shard file in memory; bounds and names are looked up with select."""
 
     def __init__(self, data: bytes):
-        magic, width, bits, self.n, total, low, high, samples = _HEAD.unpack_from(data)
+        magic, width, bits, name_bits, self.nulls, self.n, self.least, low, high, name_low, name_high, size = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token-id shard")
         at = _HEAD.size
@@ -88,64 +99,85 @@ class Shard:
             at += size
             return np.frombuffer(data, dtype=dtype, count=size // np.dtype(dtype).itemsize, offset=at - size)
 
-        self.bounds = EliasFano(self.n + 1, bits, take(low, np.uint8), take(high, np.uint8), take(samples, "<u4"))
-        null = np.unpackbits(take((self.n + 7) // 8, np.uint8))[: self.n]
-        self.doc_ids = [None if z else int(d) for d, z in zip(take(8 * self.n, "<i8"), null)]
-        self.array = take(width * total, f"<u{width}")
+        coded = lambda n, bits, low, high: EliasFano(n, bits, take(low, np.uint8), take(high, np.uint8), take(4 * -(-n // STEP), "<u4"))
+        self.bounds = coded(self.n + 1, bits, low, high)
+        self.names = coded(self.n - self.nulls, name_bits, name_low, name_high)
+        self.array = take(size, f"<u{width}")
+
+    def doc_ids(self, first: int, last: int) -> list:
+        a, b = max(first - self.nulls, 0), max(last - self.nulls, 0)
+        return [None] * (min(last, self.nulls) - min(first, self.nulls)) + [self.least + int(x) for x in self.names.select(a, b)]
 
     def ids(self, i: int) -> np.ndarray:
-        return self.array[self.bounds.select(i) : self.bounds.select(i + 1)]
+        a, b = self.bounds.select(i, i + 2).tolist()
+        return self.array[a:b]
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 1, words: bool = True, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 1, words: bool = True, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, append end_id, and write shards in ascending order of document id.
 
-    Returns the manifest (shard, path, documents, ids), one row a shard. Null
-    ids come first; equal ids are ordered by their text's hash; null text is
+    Returns the manifest (task, shard, path, documents, ids, before), one row a
+    shard, ``before`` being the task's ids in earlier shards. A task rolls over
+    to its next shard after ``shard_bytes`` of ids, so memory doesn't grow with
+    the table. Null ids come first; equal ids are ordered by their text's hash; null text is
     empty, so only end_id is written. An empty table gives an empty manifest.
     A task writes under a name of its own, so a lost or repeated attempt
     leaves no half file in the manifest.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    folder = folder or fresh_dir(spark, "token-ids")
+    folder = folder or fresh(spark, "token-ids")
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary, words)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        doc_ids, lengths, parts = [], [], []
+        doc_ids, lengths, parts, held, before, rows = [], [], [], 0, 0, []
+        k = TaskContext.get().partitionId()
+
+        def close() -> None:
+            nonlocal doc_ids, lengths, parts, held, before
+            path = files.attempt(folder, f"shard-{k:06d}-{len(rows):06d}")
+            files.write(path, *pack_shard(doc_ids, lengths, parts, enc.dtype.itemsize))
+            rows.append((k, len(rows), path, len(doc_ids), sum(lengths), before))
+            before += rows[-1][4]
+            doc_ids, lengths, parts, held = [], [], [], 0
+
         for b in batches:
             for d, e in zip(b["d"], enc.encode(b["t"].tolist())):
                 doc_ids.append(None if pd.isna(d) else int(d))
                 lengths.append(len(e) // enc.dtype.itemsize + 1)
                 parts += (e, end)
+                held += len(e)
+                if held >= shard_bytes:
+                    close()
         if doc_ids:
-            k = TaskContext.get().partitionId()
-            path = files.attempt(folder, f"shard-{k:06d}")
-            files.write(path, *pack_shard(doc_ids, lengths, parts, enc.dtype.itemsize))
-            yield pd.DataFrame({"shard": [k], "path": [path], "documents": [len(doc_ids)], "ids": [sum(lengths)]})
+            close()
+        yield pd.DataFrame(rows, columns=["task", "shard", "path", "documents", "ids", "before"])
 
     t = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     ordered = t.repartitionByRange(partitions(spark), "d", "h").sortWithinPartitions("d", "h").select("d", "t")
-    return stored(ordered.mapInPandas(shard, "shard long, path string, documents long, ids long"), "manifest")
+    return stored(ordered.mapInPandas(shard, "task long, shard long, path string, documents long, ids long, before long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, shard) of every document, from the files themselves."""
+    """(doc_id, start, n_tokens, ids_crc32, task, shard) of every document, from the files themselves: bounds and names through select, a group of documents at a time."""
     spark = manifest.sparkSession
-    # a row a shard: its size is the number of tasks, not of documents
-    rows, at, placed = sorted(tuple(r) for r in manifest.select("shard", "path", "ids").collect()), 0, []
-    for k, path, ids in rows:
-        placed.append((k, path, at))
+    # a row a task, not a shard or document
+    at, bases = 0, []
+    for k, ids in sorted(tuple(r) for r in manifest.groupBy("task").agg(F.sum("ids")).collect()):
+        bases.append((k, at))
         at += ids
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, path, base in zip(b["shard"], b["path"], b["base"]):
+            for k, no, path, base in zip(b["task"], b["shard"], b["path"], b["base"]):
                 s = Shard(files.read(path))
-                bounds = s.bounds.all()
-                crc = [zlib.crc32(s.array[i:j].astype("<u4").tobytes()) for i, j in zip(bounds[:-1], bounds[1:])]
-                yield pd.DataFrame({"doc_id": pd.array(s.doc_ids, dtype="Int64"), "start": bounds[:-1] + base, "n_tokens": np.diff(bounds), "ids_crc32": crc, "shard": k})
-
-    files_df = spark.createDataFrame(placed, "shard long, path string, base long")
-    return files_df.repartition(max(1, len(placed))).mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+                for i in range(0, s.n, GROUP):
+                    j = min(s.n, i + GROUP)
+                    bounds = s.bounds.select(i, j + 1).astype(np.int64)
+                    crc = [zlib.crc32(s.array[x:y].astype("<u4").tobytes()) for x, y in zip(bounds[:-1], bounds[1:])]
+                    yield pd.DataFrame({"doc_id": pd.array(s.doc_ids(i, j), dtype="Int64"), "start": bounds[:-1] + base, "n_tokens": np.diff(bounds), "ids_crc32": crc, "task": k, "shard": no})
+
+    shards = manifest.join(F.broadcast(spark.createDataFrame(bases, "task long, at long")), "task").select("task", "shard", "path", (F.col("at") + F.col("before")).alias("base"))
+    n = manifest.count()
+    return shards.repartition(max(1, min(n, 10_000)), "path").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long, task long, shard long")

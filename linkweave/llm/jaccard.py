@@ -18,6 +18,7 @@ are searched pair by pair, in blocks.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from .common import bounded_batches, discard, partitions, release, stored
 from .lines import mix
 
 SHINGLE = 5
-#: Rows of a bucket that are compared with each other in one task.
+#: Rows of a block, of which two are compared in one task; a bucket below 16 such blocks is dealt to up to 16 smaller ones, so that it is no heavy task among light ones.
 BLOCK = 2048
 STAR_ROUNDS = 1
 #: Cells of the sketch that pairs of an open bucket must pass.
@@ -66,10 +67,11 @@ def shingles(text: str) -> np.ndarray:
     return shingle_sets([text])[0]
 
 
-def name_of(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit names of a set: its class, and a check against another set of the same class."""
+def name_of(s: np.ndarray, taken: frozenset = frozenset(), bits: int = 64) -> tuple[int, int]:
+    """The two halves of a set's 128-bit name: the first (of ``bits``, fewer in tests) names its class, unless other sets have it too (``taken``): then the second does."""
     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
-    return int(d[0]), int(d[1])
+    first, second = int(d[0]) >> (64 - bits), int(d[1])
+    return (second if first in taken else first), second
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def signatures(s: np.ndarray, rank: dict[int, np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
+def _classes(docs: DataFrame, bits: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """Members (d, th, n, cls, chk, s0..s3) of all rows, and each band's segments ranked by cost."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +135,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
         for b in batches:
             out = []
             for d, th, s in zip(b["d"], b["th"], shingle_sets(b["t"].tolist())):
-                cls, chk = name_of(s)
+                cls, chk = name_of(s, bits=bits)
                 out.append((0, d, th, len(s), cls, chk, *(sketch(s) if len(s) else empty), 0, 0, 0.0))
                 if len(s) and cls not in seen:
                     seen.add(cls)
@@ -167,7 +169,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
     return all_.where("kind = 0").drop("kind", "band", "seg", "cost"), rank
 
 
-def _buckets(docs: DataFrame, rank: dict[int, np.ndarray], parts: int) -> DataFrame:
+def _buckets(docs: DataFrame, rank: dict[int, np.ndarray], parts: int, name) -> DataFrame:
     """(sig, cls) of the signatures that several classes share."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +177,7 @@ def _buckets(docs: DataFrame, rank: dict[int, np.ndarray], parts: int) -> DataFr
         for b in batches:
             sigs, owners = [], []
             for s in shingle_sets(b["t"].tolist()):
-                if len(s) and (cls := name_of(s)[0]) not in seen:
+                if len(s) and (cls := name(s)[0]) not in seen:
                     seen.add(cls)
                     sigs.append(signatures(s, rank))
                     owners.append(np.full(len(sigs[-1]), cls, np.int64))
@@ -265,7 +267,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _in_blocks(rows: DataFrame, parts: int, compare, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
     """compare() over the rows of each bucket together; large buckets are dealt out in pairs of blocks, none over 2 * BLOCK rows. more: columns besides."""
     size = rows.groupBy("sig").agg(F.count("*").alias("c"))
-    k = F.ceil(F.col("c") / BLOCK).cast("int")
+    k = F.least(F.ceil(F.col("c") * 16 / BLOCK), F.greatest(F.lit(16), F.ceil(F.col("c") / BLOCK))).cast("int")
     r = rows.join(size, "sig").withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls", "comp", "n", "s0", "s1", "s2", "s3", *more)
 
@@ -352,7 +354,7 @@ def _block_pairs(rows: DataFrame, parts: int, mids: DataFrame | None = None) ->
     return _in_blocks(whole, parts, compare, "a long, b long", (*marks, "met", "mid") if fine else (*marks, "met")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id, cls): a row for each row of docs.
 
     component_id is the smallest doc_id reachable by links, itself included;
@@ -360,22 +362,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shingles, link with nothing and are their own component. Rows that repeat
     an id are members each by their own text.
     """
-    return _grouped(docs, doc_id, text).select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("comp").alias("cls"))
+    return _grouped(docs, doc_id, text, bits).select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("comp").alias("cls"))
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _grouped(docs: DataFrame, doc_id: str, text: str, bits: int = 64) -> DataFrame:
     """(d, th, n, least, first, comp): near_duplicates() with the text's hash and, of a component with shingles, the (no id, d, th) that is its first."""
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = partitions(spark)
     t = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
-    members, rank = _classes(t)
-    classes = members.where("n > 0").groupBy("cls").agg(F.min(F.struct("d", "th")).alias("holder"), *[F.min(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")], F.min("chk").alias("chk"), F.max("chk").alias("chk2"))
-    classes = stored(classes, "class-table")
-    if classes.where("chk <> chk2").limit(1).count():
-        raise RuntimeError("two different sets have the same 64-bit name")
+    members, rank = _classes(t, bits)
+
+    def class_table(members: DataFrame) -> DataFrame:
+        return stored(members.where("n > 0").groupBy("cls").agg(F.min(F.struct("d", "th")).alias("holder"), *[F.min(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")], F.min("chk").alias("chk"), F.max("chk").alias("chk2")), "class-table")
+
+    classes = class_table(members)
+    # names that different sets have: n*n/2^65 of n sets, so three of ten billion
+    taken = frozenset(r[0] for r in classes.where("chk <> chk2").select("cls").collect())
+    if taken:
+        members = members.withColumn("cls", F.when(F.col("cls").isin(list(taken)), F.col("chk")).otherwise(F.col("cls")))
+        classes = class_table(members)
+        if classes.where("chk <> chk2").limit(1).count():
+            raise RuntimeError("two different sets have the same name in both halves")
+    name = functools.partial(name_of, taken=taken, bits=bits)
     marks = classes.drop("holder", "chk", "chk2")
-    signed = _buckets(t, rank, parts)
+    signed = _buckets(t, rank, parts, name)
     buckets = _with_mates(signed.join(marks, "cls").withColumn("comp", F.col("cls")), parts)
     discard(signed)
     release(spark)
@@ -386,7 +397,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(c, s) for c, s in zip(b["cls"], shingle_sets(b["t"].tolist())) if name_of(s)[0] == c]
+            found = [(c, s) for c, s in zip(b["cls"], shingle_sets(b["t"].tolist())) if name(s)[0] == c]
             wide = [np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024), 255).astype(np.uint8).tobytes() for _, s in found]
             mid = [np.minimum(np.bincount((s >> np.uint64(65 - MID.bit_length())).astype(np.int64), minlength=MID), 255).astype(np.uint8).tobytes() for _, s in found]
             yield pd.DataFrame({"cls": [c for c, _ in found], "n": [len(s) for _, s in found], "mid": mid, "wide": wide, "set": [s.tobytes() for _, s in found]}).astype({"cls": "int64", "n": "int64"})

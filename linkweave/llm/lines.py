@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import WS_CHARS, bounded_batches, fresh_dir, lower_ascii, partitions, stored
+from .common import WS_CHARS, bounded_batches, fresh, lower_ascii, partitions, stored
 
 LEAST = 10
 #: Keys a shard holds, about; and bytes of arrays that every task may probe in place.
@@ -75,17 +75,26 @@ class PerfectHash:
 
 
 class LineShard:
-    """Arrays under one perfect hash: 64-bit fingerprints, counts, smallest document."""
+    """Arrays under one perfect hash: 64-bit fingerprints, counts, smallest document.
 
-    def __init__(self, h: PerfectHash, prints: np.ndarray, counts: np.ndarray, first: np.ndarray):
-        self.h, self.prints, self.counts, self.first = h, prints, counts, first
+    ``twins`` lists, sorted by fingerprint, the keys whose first hash another
+    key of the shard has too (about n*n/2^65 of them): (first hash, fingerprint,
+    count, smallest document), looked up when the hash gives another key.
+    """
+
+    def __init__(self, h: PerfectHash, prints: np.ndarray, counts: np.ndarray, first: np.ndarray, twins: np.ndarray):
+        self.h, self.prints, self.counts, self.first, self.twins = h, prints, counts, first, twins
 
     @classmethod
     def of(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, first: np.ndarray) -> LineShard:
+        alone = np.zeros(len(h1), bool)
+        alone[np.unique(h1, return_index=True)[1]] = True
+        twins = np.stack([h1, h2, counts, first]).astype(np.int64)[:, ~alone]
+        h1, h2, counts, first = h1[alone], h2[alone], counts[alone], first[alone]
         keys = h1.astype(np.int64).view(np.uint64)
         h = PerfectHash.of(keys)
         i = h.index(keys)
-        out = cls(h, np.empty_like(h2), np.empty(len(i), np.uint32), np.empty(len(i), np.int64))
+        out = cls(h, np.empty_like(h2), np.empty(len(i), np.uint32), np.empty(len(i), np.int64), twins[:, np.argsort(twins[1], kind="stable")])
         out.prints[i], out.counts[i], out.first[i] = h2, np.minimum(counts, 2**32 - 1), first
         return out
 
@@ -95,12 +104,19 @@ class LineShard:
             return np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
         i = self.h.index(h1.view(np.uint64))
         at = np.maximum(i, 0)
-        return (i >= 0) & (self.prints[at] == h2), self.first[at]
+        found, first = (i >= 0) & (self.prints[at] == h2), self.first[at]
+        if self.twins.shape[1]:
+            low, high = np.searchsorted(self.twins[1], h2, "left"), np.searchsorted(self.twins[1], h2, "right")
+            for k in np.nonzero(~found & (low < high))[0]:
+                for j in range(low[k], high[k]):
+                    if self.twins[0, j] == h1[k]:
+                        found[k], first[k] = True, self.twins[3, j]
+        return found, first
 
     def dump(self) -> bytes:
         buf = io.BytesIO()
         n = len(self.h.levels)
-        np.savez(buf, prints=self.prints, counts=self.counts, first=self.first, rest=self.h.rest, starts=np.array(self.h.starts), **{f"l{k}": self.h.levels[k] for k in range(n)}, **{f"r{k}": self.h.ranks[k] for k in range(n)})
+        np.savez(buf, prints=self.prints, counts=self.counts, first=self.first, twins=self.twins, rest=self.h.rest, starts=np.array(self.h.starts), **{f"l{k}": self.h.levels[k] for k in range(n)}, **{f"r{k}": self.h.ranks[k] for k in range(n)})
         return buf.getvalue()
 
     @classmethod
@@ -108,7 +124,7 @@ class LineShard:
         z = np.load(io.BytesIO(data))
         n = sum(k[0] == "l" and k[1:].isdigit() for k in z.files)
         h = PerfectHash([z[f"l{k}"] for k in range(n)], [z[f"r{k}"] for k in range(n)], z["starts"].tolist(), z["rest"])
-        return cls(h, z["prints"], z["counts"], z["first"])
+        return cls(h, z["prints"], z["counts"], z["first"], z["twins"])
 
 
 @functools.lru_cache(maxsize=4)
@@ -135,10 +151,9 @@ def index(docs: DataFrame, doc_id: str, text: str, shard_keys: int = SHARD_KEYS)
     shared = stored(held.groupBy("h.a", "h.b").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n")).where("first < last").select("a", "b", "first", "n"), "lines")
     n = shared.count()
     shards = max(1, -(-n // shard_keys))
-    folder = fresh_dir(spark, "line-shards")
+    folder = fresh(spark, "line-shards")
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
-        # keys are identified by both hashes; of keys with equal first halves (about n*n/2^65) one is indexed apart
         f = f.sort_values(["a", "b"]).reset_index(drop=True)
         data = LineShard.of(f["a"].to_numpy(), f["b"].to_numpy(), f["n"].to_numpy(), f["first"].to_numpy()).dump()
         k = int(f["shard"].iloc[0])
@@ -180,17 +195,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pro
     count, shards = index(docs, doc_id, text, shard_keys)
     own = docs.select(F.struct(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")]).alias("own"), F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     if not shards:
-        probed = own.withColumn("gone", F.array().cast("array<boolean>"))
+        probed = own.select("own", F.array().cast("array<boolean>").alias("gone"))
     elif sum(b for *_, b in shards) <= probe_bound:
-        h = hashes(F.col("t"))
-        probed = own.withColumn("h", h).select("own", "d", "t", F.transform("h", lambda x: x["a"]).alias("a"), F.transform("h", lambda x: x["b"]).alias("b"))
+        h = own.withColumn("h", hashes(F.col("t")))
+        probed = h.select("own", "d", F.transform("h", lambda x: x["a"]).alias("a"), F.transform("h", lambda x: x["b"]).alias("b"))
         probed = probed.mapInArrow(_probe_in_place(shards, count), _with_gone(own))
     else:
         probed = _probe_by_shard(own, shards, count, partitions(spark))
-    lines = F.split("t", "\n", -1)
+    own_text = F.coalesce(F.col("own")[text], F.lit(""))
+    lines = F.split(own_text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False))), "\n")
     n_gone = F.size(F.filter("gone", lambda g: g)).cast("long")
-    out = probed.select("own", F.size(lines).cast("long").alias("n_lines"), n_gone.alias("n_dropped"), F.when(n_gone > 0, kept).otherwise(F.col("t")).alias("kept"))
+    out = probed.select("own", F.size(lines).cast("long").alias("n_lines"), n_gone.alias("n_dropped"), F.when(n_gone > 0, kept).otherwise(own_text).alias("kept"))
     cols = [F.col("kept").alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*cols, "n_lines", "n_dropped")
 
@@ -198,7 +214,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pro
 def _with_gone(own: DataFrame):
     from pyspark.sql import types as T
 
-    return T.StructType([*own.schema.fields, T.StructField("gone", T.ArrayType(T.BooleanType()))])
+    return T.StructType([own.schema["own"], T.StructField("gone", T.ArrayType(T.BooleanType()))])
 
 
 def _probe_in_place(shards: list[tuple[int, str, int]], count: int):
@@ -217,7 +233,7 @@ def _probe_in_place(shards: list[tuple[int, str, int]], count: int):
             known = np.asarray(flat_a.is_valid())
             gone = _drops(ids, known, flat_a.fill_null(0).to_numpy(zero_copy_only=False), flat_b.fill_null(0).to_numpy(zero_copy_only=False), row, count, held.get)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(gone))
-            yield pa.RecordBatch.from_arrays([b.column("own"), d, b.column("t"), lists], ["own", "d", "t", "gone"])
+            yield pa.RecordBatch.from_arrays([b.column("own"), lists], ["own", "gone"])
 
     return probe
 
@@ -236,4 +252,4 @@ def _probe_by_shard(own: DataFrame, shards: list[tuple[int, str, int]], count: i
 
     hit = probes.repartition(parts, "shard", "salt").sortWithinPartitions("shard").mapInPandas(probe, "nr long, i int").groupBy("nr").agg(F.collect_set("i").alias("at"))
     n = F.size(F.split("t", "\n", -1))
-    return base.join(hit, "nr", "left").withColumn("gone", F.when(F.col("at").isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains("at", i)))).select("own", "d", "t", F.coalesce("gone", F.array().cast("array<boolean>")).alias("gone"))
+    return base.join(hit, "nr", "left").withColumn("gone", F.when(F.col("at").isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains("at", i)))).select("own", F.coalesce("gone", F.array().cast("array<boolean>")).alias("gone"))

@@ -29,8 +29,9 @@ def measures(text: Column) -> Column:
     """The counts of a text as one struct; null counts as empty.
 
     Only array functions that hash or sort are used, so cost stays near linear
-    in the text. Repeated 3-word windows are located only in texts that have
-    any (distinct count first, then a sort of (window, position)). Everything
+    in the text. 3-word windows are hashed; only where hashes repeat are they
+    sorted with their positions, and only repeated ones become strings, which
+    decide. Everything
     is bound by ``let``, so that a filter pushed below repeats nothing.
     """
 
@@ -54,23 +55,26 @@ def measures(text: Column) -> Column:
         )
 
     def windows(w):
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", w[i], w[i + 1], w[i + 2]))
-        return F.when(F.size(w) >= 3, grams).otherwise(F.array().cast("array<string>"))
+        """Hashes of the 3-word windows."""
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+        return F.when(F.size(w) >= 3, grams).otherwise(F.array().cast("array<bigint>"))
 
-    def repeats(g):
-        """Sorted positions of the windows that occur twice or more."""
+    def repeats(w, g):
+        """Sorted positions of the windows that occur twice or more: those whose hash does, if their words do."""
 
         def twice(r):
             n = F.size(r)
             return F.filter(r, lambda s, k: ((k > 0) & (F.get(r, k - 1)["x"] == s["x"])) | ((k < n - 1) & (F.get(r, k + 1)["x"] == s["x"])))
 
         ranked = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        at = F.sort_array(F.transform(let(ranked, twice), lambda s: s["i"]))
+        words = lambda s: F.struct(F.concat_ws(" ", w[s["i"]], w[s["i"] + 1], w[s["i"] + 2]).alias("x"), s["i"].alias("i"))
+        exact = let(F.sort_array(F.transform(let(ranked, twice), words)), twice)
+        at = F.sort_array(F.transform(exact, lambda s: s["i"]))
         return F.when(F.size(g) > F.size(F.array_distinct(g)), at).otherwise(F.array().cast("array<int>"))
 
     def of_text(t):
         lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-        return let(words_of(t), lambda w: let(lines, lambda ls: let(windows(w), lambda g: let(repeats(g), lambda at: counts(t, w, ls, g, at)))))
+        return let(words_of(t), lambda w: let(lines, lambda ls: let(windows(w), lambda g: let(repeats(w, g), lambda at: counts(t, w, ls, g, at)))))
 
     return let(F.coalesce(text, F.lit("")), of_text)
 

@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, joined, of_kind, spans
+from .common import exists, fresh, joined, of_kind, spans
 
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Least length of an assigned value.
@@ -61,19 +61,16 @@ def update(versions: DataFrame, ledger: str | None = None, path: str = "doc_id",
 
     ledger: folder of earlier runs, or None for a new one. The new entries are
     written in one append, so a failed run leaves the ledger as it was and a
-    repeated one adds nothing.
+    repeated one adds nothing. Two runs at once may both write an entry;
+    readers take one of each blob.
     """
     spark = versions.sparkSession
-    folder = ledger or fresh_dir(spark, "ledger")
+    folder = ledger or fresh(spark, "ledger")
     named = versions.select(F.col(path).alias("path"), blob_of(F.col(text)).alias("blob"))
     # one holder of each blob: a row number would need all copies in one task, a minimum is combined before the shuffle
     holders = named.groupBy("blob").agg(F.min("path").alias("path"))
-    try:
-        seen = spark.read.schema(LEDGER).parquet(folder).where(F.col("rule_version") == rule_version).select("blob")
-        holders = holders.join(seen, "blob", "left_anti")
-    except Exception as e:  # no ledger yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if exists(spark, folder):
+        holders = holders.join(_entries(spark, folder, rule_version).select("blob"), "blob", "left_anti")
     nulls = holders.where(F.col("path").isNull())
     texts = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     unseen = texts.join(holders, "path").where(F.sha2("t", 256) == F.col("blob")).dropDuplicates(["blob"]) if _has_ties(versions, path) else texts.join(holders, "path")
@@ -81,7 +78,12 @@ def update(versions: DataFrame, ledger: str | None = None, path: str = "doc_id",
     lost = texts.where(F.col("path").isNull()).withColumn("blob", F.sha2("t", 256)).join(nulls.select("blob"), "blob").select("path", "t", "blob").dropDuplicates(["blob"])
     new = unseen.select("path", "t", "blob").unionByName(lost)
     new.select("blob", F.lit(rule_version).alias("rule_version"), scan(F.col("t")).alias("findings")).write.mode("append").parquet(folder)
-    return named, spark.read.schema(LEDGER).parquet(folder).where(F.col("rule_version") == rule_version)
+    return named, _entries(spark, folder, rule_version)
+
+
+def _entries(spark, folder: str, rule_version: str) -> DataFrame:
+    """What is in the ledger for these rules; entries that two runs both wrote are there twice."""
+    return spark.read.schema(LEDGER).parquet(folder).where(F.col("rule_version") == rule_version)
 
 
 def _has_ties(versions: DataFrame, path: str) -> bool:
@@ -92,7 +94,7 @@ def _has_ties(versions: DataFrame, path: str) -> bool:
 def findings(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text") -> DataFrame:
     """(path, blob, findings): a row for each row of versions. Null text is the empty blob; null paths stay null."""
     named, entries = update(versions, ledger, path, text)
-    some = entries.where(F.size("findings") > 0).select("blob", "findings")
+    some = entries.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     out = named.join(some, "blob", "left")
     return out.select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 

@@ -1,7 +1,10 @@
 """Fast exact encoding with the tokenizers library: texts are cut where no token can cross, and each distinct piece is encoded once.
 
 Cutting, counting and gathering pieces are done on whole Arrow arrays; the
-library merges the distinct pieces that a worker has not met yet.
+library merges the distinct pieces that a worker has not met yet. The ids are
+those of the plain library call: a text that holds the string of an added
+token, or any text under a vocabulary whose normalizer and pre-tokenizer are
+not the ones that the cuts are made for, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -29,24 +32,41 @@ _TEXT = pa.large_string()
 _loaded: dict = {}
 
 
+#: The normalizer and pre-tokenizer that cutting is right for; fixed formats of the library.
+_BYTES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def vocabulary(path: str):
-    """The tokenizer at path, loaded once a worker; special tokens' strings are ordinary text."""
+    """The tokenizer at path, loaded once a worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _loaded[path] = t
+        _loaded[path] = Tokenizer.from_file(path)
     return _loaded[path]
 
 
-def _merger(path: str):
+def _cuttable(j: dict, words: bool) -> bool:
+    """Whether pieces of a text can be encoded by themselves: normalizer, pre-tokenizer and model are the known ones."""
+    known, model = _WORDS if words else _BYTES, j["model"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+    return plain and all(j.get(k) == v for k, v in known.items()) and (model.get("end_of_word_suffix") or "") == ("</w>" if words else "")
+
+
+def _merger(j: dict):
     """The same model for text that is normalized and cut already: pieces are what white space parts."""
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        j = json.load(f)
     return Tokenizer.from_str(json.dumps(j | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}))
 
 
@@ -60,9 +80,14 @@ class Encoder:
     """
 
     def __init__(self, path: str, words: bool):
-        self.t, self.merger, self.words = vocabulary(path), _merger(path), words
-        self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 65536 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            j = json.load(f)
+        self.t, self.merger, self.words, self.cuttable = vocabulary(path), _merger(j), words, _cuttable(j, words)
+        # a text with one of these goes to the library; letter case is passed over, as a normalizer might
+        marks = [re.escape(a["content"]) for a in j.get("added_tokens") or []] + ([] if words else [_CUT])
+        self.marked = "|".join(marks) or "$^"
         vocab = self.t.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 65536 else "<u4")
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # ends of words, or bytes (one character each in the byte-level alphabet)
             self.size[i] = token.endswith("</w>") if words else len(token)
@@ -136,8 +161,14 @@ class Encoder:
         return pc.split_pattern(cut, _CUT)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.words and any(_CUT in t for t in texts):
-            return [self._raw([t])[1].tobytes() if _CUT in t else self.encode([t])[0] for t in texts]
+        own = np.zeros(len(texts), bool) if self.cuttable else np.ones(len(texts), bool)
+        if self.cuttable and texts:
+            own = pc.match_substring_regex(pa.array(texts, _TEXT), self.marked, ignore_case=True).to_numpy(zero_copy_only=False)
+        if own.any():
+            rest = iter(self.encode([t for t, o in zip(texts, own) if not o]) if not own.all() else [])
+            return [self._raw([t])[1].tobytes() if o else next(rest) for t, o in zip(texts, own)]
+        if not texts:
+            return []
         lists = self._cut(texts)
         coded = lists.flatten().dictionary_encode()
         place = self._places(coded.dictionary)[coded.indices.to_numpy()]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import bounded_batches, fresh_dir, stored
+from .common import bounded_batches, fresh, stored
 
 #: Payloads of fewer bytes are stored again rather than revisited.
 LEAST = 1000
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     """
     spark = pages.sparkSession
     bounded_batches(spark)
-    folder = folder or fresh_dir(spark, "warc")
+    folder = folder or fresh(spark, "warc")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumns({"size": F.length("payload"), "digest": F.sha1("payload")})
     keepers = p.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null").select("digest", "keeper")

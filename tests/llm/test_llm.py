@@ -68,22 +68,45 @@ def test_pii(spark):
     same([(r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got], want)
     split = pii.find(docs(spark, [(1, "pay 4111111111111111 4012888888881881 now")])).first()
     assert [s["kind"] for s in split["pii"]] == ["number", "number"]
+    clash = pii.find(docs(spark, [(1, "a@b.cd")]).withColumns({"_t": F.lit("x"), "own": F.lit("y"), "pii": F.lit("z")}))
+    assert sorted(clash.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "_t", "own", "pii", "pii_base"]) and clash.first()["_t"] == "x"
     assert pii.redact(docs(spark, [(1, "to a@b.cd now"), (2, None)])).select("text").collect()[0][0] == "to [email] now"
     assert pii.digest(docs(spark, [])).count() == 0
 
 
 def test_pii_features(spark):
     ex = pii.examples(300)
-    df = spark.createDataFrame([(h, b) for h, b, _ in ex], "h string, b string")
-    f = pii.features(F.col("h"), F.col("b"))
+    df = spark.createDataFrame([(k, h, b) for k, h, b, _ in ex], "k string, h string, b string")
+    f = pii.features(F.col("h"), F.col("b"), F.col("k"))
     got = df.select(*[f[k].cast("double").alias(k) for k in pii.FEATURES], pii.model().column(lambda k: f[k]).alias("s")).collect()
-    x = np.array([pii._example_features(h, b) for h, b, _ in ex], dtype=float)
+    x = np.array([pii._example_features(k, h, b) for k, h, b, _ in ex], dtype=float)
     same([list(r)[:-1] for r in got], x.tolist())
     assert np.allclose(sorted(r["s"] for r in got), sorted(pii.model().predict(x)))
     fresh = pii.examples(900, seed=5)
-    s = pii.model().predict(np.array([pii._example_features(h, b) for h, b, _ in fresh], dtype=float)) > pii.model().threshold
+    least = np.array([pii.model().thresholds[k] for k, *_ in fresh])
+    s = pii.model().predict(np.array([pii._example_features(k, h, b) for k, h, b, _ in fresh], dtype=float)) >= least
     y = np.array([z for *_, z in fresh])
-    assert (s == y).mean() > 0.93 and y[s].mean() > 0.93
+    assert (s == y).mean() > 0.9 and y[s].mean() > 0.9 and set(pii.model().thresholds) == {g[0] for g in pii.GENERATORS}
+
+
+#: Marked by hand in real texts: all that the base patterns lose in documents 40 to 50, 1262, 1377, 7052, and 13 documents of decoys (runs of digits that are no card).
+BY_HAND = {(46, "7536784127813050"), (46, "4845168114407329"), (1262, "4550997810720808"), (1377, "+1 (826) 555-4081"), (7052, "+1 (843) 555-7672")}
+HAND_DOCS = [*range(40, 51), 230, 245, 469, 488, 1262, 1285, 1377, 1551, 1619, 1729, 1813, 2073, 2222, 7052, 9791]
+
+
+def test_pii_by_hand(spark):
+    d = common.table(spark, "/root/testdata/sf0.1", "documents").where(F.col("doc_id").isin(HAND_DOCS))
+    got = pii.find(d).select("doc_id", F.explode(F.array_except("pii", "pii_base")).alias("s")).select("doc_id", "s.hit").collect()
+    assert {tuple(r) for r in got} == BY_HAND
+
+
+@pytest.mark.parametrize("text, want", [
+    ("at +1 (826) 555-4081 190.137.223.204 x", ["+1 (826) 555-4081"]), ("4111 1111 1111 1111 10.0.0.255", ["4111 1111 1111 1111"]), ("on 12.03.2021 and 2021-03-12", []), ("call (826) 555-4081 now", ["(826) 555-4081"]),
+    ("version 10.20.300 out", []), ("jo.doe [at] mail [dot] org", ["jo.doe [at] mail [dot] org"]), ("from 2001:db8:0:0:0:0:0:1 in", ["2001:db8:0:0:0:0:0:1"]), ("id 1234567890123456 x", []),
+])
+def test_pii_kinds(spark, text, want):
+    got = pii.find(docs(spark, [(1, text)])).select(F.transform(F.array_except("pii", "pii_base"), lambda s: s["hit"])).first()[0]
+    assert got == want
 
 
 def base_secrets(t):
@@ -131,17 +154,35 @@ def test_line_dedup(spark):
 
 def test_elias_fano():
     r = random.Random(3)
-    for n in (1, 2, 65, 1000):
-        v = np.cumsum([r.choice([0, 1, 5, 4000]) for _ in range(n)])
-        ef = idfile.EliasFano.of(v)
-        assert ef.all().tolist() == v.tolist() and [ef.select(i) for i in range(n)] == v.tolist()
+    for n in (0, 1, 2, 63, 64, 65, 1000):
+        for steps in ([0, 1, 5, 4000], [0], [0, 0, 0, 10**9], [1]):
+            v = np.cumsum([r.choice(steps) for _ in range(n)]).astype(np.uint64)
+            ef = idfile.EliasFano.of(v)
+            assert ef.select(0, n).tolist() == v.tolist() and [int(ef.select(i, i + 1)[0]) for i in range(n)] == v.tolist()
+            for _ in range(20):
+                i, j = sorted((r.randrange(n + 1), r.randrange(n + 1)))
+                assert ef.select(i, j).tolist() == v[i:j].tolist()
+    far = np.array([0, 2**63, 2**64 - 1], np.uint64)
+    assert idfile.EliasFano.of(far).select(0, 3).tolist() == far.tolist()
+    with pytest.raises(IndexError):
+        idfile.EliasFano.of(far).select(2, 4)
+
+
+def plain(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+MARKED = [(600, "a <|endoftext|> b"), (601, "<|startoftext|>x<|ENDOFTEXT|>"), (602, "it's <|endoftext|>"), (2**62, "far"), (-(2**62), "off")]
 
 
-def test_token_ids(spark):
+@pytest.mark.parametrize("size", [1 << 26, 200])
+def test_token_ids(spark, size):
     path = vocabulary("word_bpe_49k.json")
-    rows = ODD + all_texts(spark)
-    got = idfile.read_shards(idfile.write_shards(docs(spark, rows), path)).orderBy("start").collect()
-    t = tokens.vocabulary(path)
+    rows = ODD + all_texts(spark) + MARKED
+    got = idfile.read_shards(idfile.write_shards(docs(spark, rows), path, shard_bytes=size)).orderBy("start").collect()
+    t = plain(path)
     ids = {}
     for i, x in rows:
         ids.setdefault(i, []).append(t.encode(x or "", add_special_tokens=False).ids + [1])
@@ -150,9 +191,23 @@ def test_token_ids(spark):
     for r in got:
         assert r["start"] == at and r["ids_crc32"] in [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids[r["doc_id"]]]
         at += r["n_tokens"]
+    assert len({(r["task"], r["shard"]) for r in got}) > 20 or size > 200
     assert idfile.read_shards(idfile.write_shards(docs(spark, []), path)).count() == 0
 
 
+def test_other_vocabulary(tmp_path):
+    """A vocabulary that the cuts are not made for is encoded by the library alone."""
+    import json
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        j = json.load(f)
+    j["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "v.json").write_text(json.dumps(j), encoding="utf-8")
+    path, texts = str(tmp_path / "v.json"), ["Hello there\nyou", "", "<|endoftext|>"]
+    e = tokens.Encoder(path, False)
+    assert not e.cuttable and e.encode(texts) == [np.array(x.ids, e.dtype).tobytes() for x in plain(path).encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("name, words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
 def test_encoder_matches_the_library(name, words, monkeypatch):
     """Pieces encoded once give the ids of the whole text, also with odd white space, marks, letters and a table that starts anew."""
@@ -161,7 +216,9 @@ def test_encoder_matches_the_library(name, words, monkeypatch):
     texts = ["", "  a  b", "a\n\nb", " lead", "trail ", "İstanbul, ÀÉ.", "don't we'll 'S", "<|endoftext|> hi</w>", "日本語 テスト，。", "x" * 3000]
     texts += ["".join(random.choice(signs) for _ in range(random.randint(0, 40))) for _ in range(1500)]
     e = tokens.Encoder(vocabulary(name), words)
-    want = [np.array(x.ids, e.dtype).tobytes() for x in e.t.encode_batch(texts, add_special_tokens=False)]
+    assert e.cuttable
+    texts += [x for _, x in MARKED]
+    want = [np.array(x.ids, e.dtype).tobytes() for x in plain(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want
     monkeypatch.setattr(tokens, "CACHE", 50)
     assert [x for k in range(0, len(texts), 7) for x in e.encode(texts[k : k + 7])] == want
@@ -214,11 +271,33 @@ def test_urls(spark):
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in range(1, 10)] == [("", "", None), ("", "", None), ("www.example.org", "/es/x", "example.org/es/"), ("example.org", "/en/1", "example.org/en/1"), ("notexample.org", "/es/", "org/"), ("a.com", "/fr/1", "com/fr/"), ("a.com", "/de/", "com/de/"), ("a.net", "", None), ("x.com", "", None)]
     assert [got[i]["verdict"] for i in (3, 4, 5, 6, 7)] == ["block", "block", "allow", "allow", "block"]
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
-    f = urls.features(common.table(spark, SF, "pages").unionByName(common.table(spark, "/root/testdata/sf0.1", "pages")).select("page_id", "url"))
-    trees = urls.train(f := f.join(urls.suffix_statistics(f), "suffix"))
-    held = f.where("ruled is not null").select(*urls.FEATURES, "ruled").collect()
-    s = trees.predict(np.array([[float(r[k]) for k in urls.FEATURES] for r in held])) > trees.threshold
-    assert (s == np.array([r["ruled"] == "block" for r in held])).mean() > 0.6
+
+
+def rule_by_hand(url):
+    """(host, path, rule, verdict) of a URL, by the longest rule that fits."""
+    rest = (url or "").partition("://")[2] if "://" in (url or "") else ""
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for h, p, v in [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(fits)[1:]) if fits else (host, path, None, None)
+
+
+def test_urls_of_pages(spark):
+    """Host, path, rule and the rules' verdicts of all pages, and of odd and repeated ones."""
+    rows = [(r["page_id"], r["url"]) for sf in (SF, "/root/testdata/sf0.01") for r in common.table(spark, sf, "pages").collect()]
+    rows += [(1, "http://a.com/de/" + "x" * 50_000), (1, "http://"), (None, "://h?p"), (3, ""), (3, ""), (4, "http://ORG/É"), (5, "a://b.org://c/es/"), (6, "http://x.org#/es/")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("suffix", F.lit("clash"))).collect()
+    want = [(i, u, *rule_by_hand(u)) for i, u in rows]
+    same([(r["page_id"], r["url"], r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in got], want)
+    assert {r["verdict"] for r in got if not r["rule"]} <= {"allow", "block"} and all(r["suffix"] == "clash" for r in got)
+
+
+def test_url_trees_on_held_out_urls(spark):
+    """Over the commoner answer by a fifth, on a fold that neither trees nor statistics have seen."""
+    f = urls.with_statistics(urls.features(common.table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url")))
+    m = urls.held_out(f, urls.train(f))
+    assert m["rows"] > 150 and m["accuracy"] > m["majority"] + 0.2 and m["precision"] > 0.9 and m["recall"] > 0.75
 
 
 def test_contamination(spark):
@@ -330,7 +409,7 @@ def test_pipeline(spark):
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     grams = {tuple(w[k : k + 10]) for r in common.table(spark, SF, "benchmark").collect() if (w := words(r["text"])) for k in range(max(1, len(w) - 9))}
     rows = [(i, t) for i, t in rows if not any(tuple(w[k : k + 10]) in grams for w in [words(t)] for k in range(len(w)))]
-    t = tokens.vocabulary(vocabulary("byte_bpe_50k.json"))
+    t = plain(vocabulary("byte_bpe_50k.json"))
     got = {}
     for p in corpus_pipeline.run(spark, SF).collect():
         got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["length"]

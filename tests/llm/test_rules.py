@@ -19,3 +19,19 @@ def test_changed_rule_finds_in_old_ledger(spark, tmp_path, monkeypatch):
     assert secrets.update(d, ledger)[1].select(F.size("findings")).first()[0] == 0
     monkeypatch.setattr(secrets, "HEX", "[0-9a-f]{8,}")
     assert secrets.update(d, ledger, rule_version=secrets.version_of_rules())[1].select(F.size("findings")).first()[0] == 1
+
+
+def test_two_runs_wrote_the_ledger(spark, tmp_path):
+    """Entries that are there twice give no second row, and nothing is scanned again."""
+    d, ledger = docs(spark, [(1, "token = abcdef1"), (2, "token = abcdef1"), (3, "none")]), str(tmp_path / "ledger")
+    _, entries = secrets.update(d, ledger)
+    entries.write.mode("append").parquet(ledger)
+    assert sorted((r["path"], len(r["findings"])) for r in secrets.findings(d, ledger).collect()) == [(1, 1), (2, 1), (3, 0)]
+    assert spark.read.parquet(ledger).count() == 4
+
+
+def test_paths_with_versions(spark):
+    """Every version of a path is a row; a path may be null."""
+    d = docs(spark, [(1, "token = abcdef1"), (1, "clean"), (1, "token = abcdef1"), (None, "secret: zzzzzz9"), (None, None)])
+    got = sorted((str(r["path"]), len(r["findings"])) for r in secrets.findings(d).collect())
+    assert got == [("1", 0), ("1", 1), ("1", 1), ("None", 0), ("None", 1)]
