@@ -15,6 +15,8 @@ PREFIXES = [
 ]
 #: Templates that mark a disambiguation page.
 TEMPLATES = ["disambiguation", "disambig", "disamb", "hndis", "geodis", "mathdab", r"number\s+disambiguation", r"letter\s+disambiguation"]
+#: Fixed value: the category of disambiguation pages.
+DISAMBIGUATION_CATEGORY = r"(?i)\[\[\s*category\s*:\s*(?:all\s+)?disambiguation\s+pages\b"
 MONTHS = "(January|February|March|April|May|June|July|August|September|October|November|December)"
 DAY = "([1-9]|[12][0-9]|3[01])"
 #: A link: target, then an optional fragment and label. Fixed format.
@@ -82,7 +84,7 @@ def is_disambiguation_title(t: Column) -> Column:
 
 def is_disambiguation_text(wikitext: Column) -> Column:
     t = F.coalesce(wikitext, F.lit(""))
-    return t.rlike(r"(?i)\{\{\s*(?:" + "|".join(TEMPLATES) + r")\s*(?:\||\}\})") | t.rlike(r"(?i)\[\[\s*category\s*:\s*(?:all\s+)?disambiguation\s+pages\b")
+    return t.rlike(r"(?i)\{\{\s*(?:" + "|".join(TEMPLATES) + r")\s*(?:\||\}\})") | t.rlike(DISAMBIGUATION_CATEGORY)
 
 
 def byte_size(n: Column, units=("B", "KiB", "MiB", "GiB", "TiB"), decimals: int = 1) -> Column:
@@ -149,3 +151,13 @@ def iso_time(seconds: Column) -> Column:
 def rate(n: Column, seconds: Column) -> Column:
     """Count per second with thousands separators."""
     return F.concat(F.format_number(n / F.greatest(seconds, F.lit(0.001)), 0), F.lit("/s"))
+
+
+def has_property(json: Column, name: str) -> Column:
+    """The object has a property of that name, whatever its value, null too."""
+    return F.coalesce(F.array_contains(F.json_object_keys(json), name), F.lit(False))
+
+
+def progress_count(n: Column, unit: str) -> Column:
+    """A count with thousands separators and its unit; bytes with a binary unit."""
+    return byte_size(n) if unit == "bytes" else F.concat(F.format_number(n, 0), F.lit(f" {unit}"))

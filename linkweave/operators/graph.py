@@ -53,6 +53,20 @@ def resolve(articles: DataFrame, mode: str = "last_wins", order: str = "seq", li
     return e if limit is None else e.orderBy("seq", "pos").limit(limit)
 
 
+def resolve_own(articles: DataFrame) -> DataFrame:
+    """As resolve() under last_wins, but an article's links are its own, whatever its id's key means (a stored sample does so)."""
+    refs = explode_links(articles).withColumn("k", key(F.col("ref"))).where("k <> ''")
+    found = refs.join(last_aliases(articles), "k").where(F.col("target") != F.col("id"))
+    return found.groupBy(F.col("id").alias("src"), F.col("target").alias("dst")).agg(F.min(F.struct("seq", "pos")).alias("at")).select("src", "dst", "at.seq", "at.pos")
+
+
+def relinked(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct edges (src, dst, seq) of links(source, target, seq) whose ends name nodes by id or title, in one map of both."""
+    a = last_aliases(nodes)
+    e = links.join(a.select(F.col("k").alias("sk"), F.col("target").alias("src")), key(F.col("source")) == F.col("sk")).join(a.select(F.col("k").alias("dk"), F.col("target").alias("dst")), key(F.col("target")) == F.col("dk"))
+    return e.where("src <> dst").groupBy("src", "dst").agg(F.min("seq").alias("seq"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, id_: str = "id") -> DataFrame:
     """nodes with in_degree and out_degree, 0 where there is no edge (F1, E5)."""
     both = edges.select(F.col("src").alias(id_), F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("o")).unionByName(edges.select(F.col("dst").alias(id_), F.lit(1).cast("long").alias("i"), F.lit(0).cast("long").alias("o")))

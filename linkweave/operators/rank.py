@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_year_or_day, key, stable_hash
-from .graph import degrees, hub_count, induced
+from ..functions import layout as L
+from ..functions.text import is_disambiguation_title, is_year_or_day, key, stable_hash
+from ..storage import positions
+from .graph import degrees, induced
 
 
 def clamp(value: int | float | None, low: int, high: int, default: int) -> int:
@@ -19,6 +21,11 @@ def clamp(value: int | float | None, low: int, high: int, default: int) -> int:
     return int(min(high, max(low, n))) if n == n and n else default
 
 
+def clamp_of(value: Column, low: int, high: int, default: int) -> Column:
+    """clamp() of a column of numbers."""
+    return F.when(value.isNull() | (value == 0), default).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), value))).cast("long")
+
+
 def search(articles: DataFrame, q: str, limit: int = 20) -> DataFrame:
     """Titles that contain q, shortest first (G1)."""
     needle = key(F.lit(q))
@@ -74,8 +81,8 @@ def jsonl_sample(articles: DataFrame, count: int) -> tuple[DataFrame, DataFrame]
     """The first count articles in source order, by hash, with their edges up to the cap."""
     from .graph import resolve
 
-    first = articles.orderBy("seq").limit(count)
-    ranked = first.withColumn("h", stable_hash(F.col("id"))).withColumn("hseq", F.row_number().over(W.orderBy("h", "id")).cast("long"))  # count is bounded by the request
+    first = articles.orderBy("seq").limit(count).withColumn("h", stable_hash(F.col("id")))
+    ranked = positions(first, ["h", "id"], "hseq")
     e = resolve(ranked.drop("seq").withColumnRenamed("hseq", "seq"), "last_wins", limit=min(8_000_000, max(100_000, 10 * count)))
     return degrees(ranked, e), e
 
@@ -83,7 +90,7 @@ def jsonl_sample(articles: DataFrame, count: int) -> tuple[DataFrame, DataFrame]
 def decimate(df: DataFrame, order: list[str], cap: int) -> DataFrame:
     """Every ceil(n / cap)-th row in order."""
     step = max(1, -(-df.count() // cap))
-    return df.withColumn("_n", F.row_number().over(W.orderBy(*order)) - 1).where(F.col("_n") % step == 0).drop("_n")
+    return positions(df, order, "_n").where(F.col("_n") % step == 0).drop("_n")
 
 
 def tile(v: Column, low: float, extent: float, grid: int = 256) -> Column:
@@ -98,9 +105,175 @@ def tile_sample(rows: DataFrame, keys: list[str], caps: dict[str, int]) -> DataF
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap[F.col("kind")]).drop("_n")
 
 
-def pick_tier(tiers: DataFrame, count: int) -> DataFrame:
-    """The smallest tier of at least count, else the largest."""
-    return tiers.orderBy(F.col("count") < count, F.when(F.col("count") >= count, F.col("count")).otherwise(-F.col("count"))).limit(1)
+def bottom_k(rows: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """Of each kind the rows of smallest hash, up to its cap, by one top-k for each kind (I4): no kind is sorted in one task."""
+    out = None
+    for kind, cap in caps.items():
+        part = rows.where(F.col("kind") == kind).withColumn("_h", stable_hash(F.col("id"))).orderBy("_h", "id").limit(cap).drop("_h")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def valid_tiers(manifest: DataFrame) -> DataFrame:
+    """The tiers of a manifest (count, ...) whose count is a positive whole number, smallest first."""
+    n = F.col("count").cast("double")
+    return manifest.where((n > 0) & (n == F.floor(n))).orderBy("count")
+
+
+def tier_of(want: Column, counts: list[int]) -> Column:
+    """The smallest of the counts that is at least ``want``, else the largest; null without counts."""
+    out = F.lit(max(counts)) if counts else F.lit(None)
+    for c in sorted(counts, reverse=True):
+        out = F.when(want <= c, c).otherwise(out)
+    return out.cast("long")
+
+
+def pick_tier(tiers: list[dict], count: int, lines: bool) -> dict | None:
+    """The tier that answers a request, or None where article lines, if there are any, do it better.
+
+    tiers: rows of a manifest (count, nodes). Lines take over beyond 100 000
+    wanted articles if the tier holds more than wanted, and where it holds too few.
+    """
+    good = sorted((t for t in tiers if isinstance(t.get("count"), int) and t["count"] > 0), key=lambda t: t["count"])
+    if not good:
+        return None
+    tier = next((t for t in good if t["count"] >= count), good[-1])
+    holds = tier["count"] if tier.get("nodes") is None else tier["nodes"]
+    return None if lines and (count > holds or (count > 100_000 and holds > count)) else tier
+
+
+def capacity(tiers: list[dict], records: float | None, lines: bool, most: int = 1 << 30) -> int | None:
+    """How many articles a graph request can get: the largest tier, or all indexed records if their lines are there (G7); None for nothing."""
+    largest = max((t for t in tiers if isinstance(t.get("count"), int) and t["count"] > 0), key=lambda t: t["count"], default={})
+    n = max(largest.get("nodes") or largest.get("count") or 0, records or 0 if lines else 0)
+    return int(min(n, most)) or None
+
+
+def ticks(values: Column, top: Column) -> Column:
+    """Distinct values up to ``top``, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(values, lambda x: x <= top)))
+
+
+def tier_counts(wanted: list[int], corpus: int | None = None) -> list[int]:
+    """Tier sizes to build: the wanted ones and that of the whole corpus, distinct and sorted; none is an error (H6)."""
+    out = sorted({n for n in [*wanted, corpus or 0] if isinstance(n, int) and n > 0})
+    if not out:
+        raise ValueError("no positive tier size")
+    return out
+
+
+def tier_counts_of(wanted: Column, corpus: Column) -> Column:
+    """tier_counts() of columns (H6)."""
+    return F.array_sort(F.filter(F.array_union(wanted, F.array(corpus)), lambda x: x > 0))
+
+
+def payload_valid(rows: DataFrame, order: list, valid: Column, sample: int = 2000) -> DataFrame:
+    """(valid, tested): whether each ceil(n / sample)-th row in order, and the last, is valid; a payload without rows is."""
+    n = rows.count()
+    step = max(1, -(-n // sample))
+    at = positions(rows, order, "_n")
+    tested = at.where((F.col("_n") % step == 0) | (F.col("_n") == n - 1))
+    return tested.agg(F.coalesce(F.min(F.coalesce(valid, F.lit(False))), F.lit(True)).alias("valid"), F.count("*").alias("tested"))
+
+
+def merge_batches(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links of batches that came one after the other (H3).
+
+    nodes(batch, id, ...), links(batch, src, dst). Of equal ids the first batch
+    counts. A link counts from the first batch that brings it when both ends
+    are known by then; self-links and repetitions don't.
+    """
+    first = nodes.groupBy("id").agg(F.min_by(F.struct(*nodes.columns), "batch").alias("n")).select("n.*")
+    known = first.select("id", F.col("batch").alias("since"))
+    e = links.where("src <> dst").join(known.select(F.col("id").alias("src"), F.col("since").alias("s")), "src").join(known.select(F.col("id").alias("dst"), F.col("since").alias("t")), "dst")
+    return first, e.where("s <= batch and t <= batch").groupBy("src", "dst").agg(F.min("batch").alias("batch"))
+
+
+def top_up(fetch, wanted: int, most: int, calendar: bool = True) -> DataFrame:
+    """Ask for more until enough articles are left after the filters, or the source has no more.
+
+    fetch(n) gives nodes(title, ...) for a request of n. Nothing is cut off
+    the last answer. calendar: years and days don't count either.
+    """
+    ask, before = max(1, int(wanted)), (-1, -1)
+    other = is_disambiguation_title(F.col("title"))
+    if calendar:
+        other |= is_year_or_day(F.col("title"))
+    while True:
+        nodes = fetch(ask)
+        n, good = nodes.agg(F.count("*"), F.count_if(~other)).first()
+        if good >= wanted or ask >= most or (n <= before[0] and good <= before[1]):
+            return nodes
+        before, ask = (n, good), min(most, max(ask + 1, ask + wanted - good))
+
+
+def labelled(candidates: DataFrame, zoom: float, show_all: bool = False) -> DataFrame:
+    """Candidates (id, degree, active, hub) that get a label (G11): all active ones and hubs, then others by degree up to the budget."""
+    n, hubs, must = candidates.agg(F.count("*"), F.count_if("hub"), F.count_if(F.col("hub") | F.col("active"))).first()
+    if show_all:
+        return candidates
+    budget = candidates.sparkSession.range(1).select(F.expr(L.label_budget(f"{n}L", zoom, f"{hubs}L"))).first()[0]
+    rest = candidates.where("not hub and not active").orderBy(F.desc("degree"), "id").limit(max(0, budget - must))
+    return candidates.where("hub or active").unionByName(rest)
+
+
+def depth_order(points: DataFrame, depth: str = "depth") -> DataFrame:
+    """points with their place from far to near."""
+    return positions(points, [F.desc(depth), "idx"], "place").withColumn("place", F.col("place") + 1)
+
+
+def hit(points: DataFrame, x: float, y: float, reach: str, depth: str | None = None) -> DataFrame:
+    """The point under the pointer, or none (G13): of those within ``reach`` the first, or in space (depth) the nearest."""
+    near = points.where(F.expr(f"sqrt((x - {x!r}D) * (x - {x!r}D) + (y - {y!r}D) * (y - {y!r}D)) <= {reach}"))
+    return near.orderBy(*([depth] if depth else []), "idx").limit(1)
+
+
+def place_labels(candidates: list[dict], nodes: list[tuple[float, float, float]], bounds: tuple[float, float, float, float], scale: float, show_all: bool = False) -> list[dict]:
+    """Where labels go: the first of six anchors that meets no label before and no node.
+
+    candidates, in order of priority: id, x, y, radius, width (of the text).
+    nodes are obstacles up to 800 of them. bounds: left, top, right, bottom.
+    """
+    size = min(32.0, max(9.0, 10.5 / max(0.25, scale)))
+    height, gap, pad = size * 1.18, max(5.0, 7 / max(0.25, scale)), max(3.0, 4 / max(0.25, scale))
+    taken, out = [], []
+    for c in candidates:
+        x, y, r, w = c["x"], c["y"], c["radius"], c["width"]
+        side, below = r + gap + w / 2, y + r + gap
+        first = chosen = None
+        for px, py in ((x, below), (x, y - r - gap - height), (x + side, y - height / 2), (x - side, y - height / 2), (x + side, below), (x - side, below)):
+            left, top, right, bottom = px - w / 2, py, px + w / 2, py + height
+            if right < bounds[0] or left > bounds[2] or bottom < bounds[1] or top > bounds[3]:
+                continue
+            first = first or (px, py, left, top, right, bottom)
+            if any(left < b[2] + pad and right > b[0] - pad and top < b[3] + pad and bottom > b[1] - pad for b in taken):
+                continue
+            if len(nodes) <= 800 and any(nx != x and (nx - max(left, min(nx, right))) ** 2 + (ny - max(top, min(ny, bottom))) ** 2 < (nr + pad) ** 2 for nx, ny, nr in nodes):
+                continue
+            chosen = (px, py, left, top, right, bottom)
+            break
+        chosen = chosen or (first if show_all else None)
+        if chosen:
+            taken.append(chosen[2:])
+            out.append({"id": c["id"], "x": chosen[0], "y": chosen[1]})
+    return out
+
+
+def placed_labels(candidates: DataFrame, nodes: DataFrame, bounds: tuple[float, float, float, float], scale: float, most: int = 2000) -> DataFrame:
+    """(id, x, y) of place_labels() over candidates(id, x, y, radius, width, priority), at most ``most`` of highest priority, in one task: the view's budget bounds them."""
+    near = nodes.select("x", "y", "radius").where(F.expr(L.in_view("x", "y", "radius", bounds))).limit(801)
+    rows = candidates.orderBy(F.desc("priority"), "id").limit(most).select(F.lit(0).alias("g"), "id", "x", "y", "radius", "width", "priority")
+    rows = rows.unionByName(near.withColumns({"g": F.lit(0), "id": F.lit(None).cast("string"), "width": F.lit(None).cast("double"), "priority": F.lit(None).cast(rows.schema["priority"].dataType)}))
+
+    def run(f):
+        import pandas as pd
+
+        named = f["id"].notna()
+        c = f[named].sort_values(["priority", "id"], ascending=[False, True]).to_dict("records")
+        obstacles = list(f.loc[~named, ["x", "y", "radius"]].itertuples(index=False, name=None))
+        return pd.DataFrame(place_labels(c, obstacles, bounds, scale), columns=["id", "x", "y"])
+
+    return rows.groupBy("g").applyInPandas(run, "id string, x double, y double")
 
 
 def seeds(clusters: DataFrame, tail: DataFrame, cap: int) -> DataFrame:
@@ -118,13 +291,67 @@ def fallback_graph(count: int, spark) -> DataFrame:
 
 
 def csr(edges: DataFrame) -> DataFrame:
-    """(node, first, targets): offsets and sorted neighbours, both ways (D7). Offsets are added up over per-block totals, so no task sees all nodes."""
+    """(pos, node, t): both directions of every edge, sorted, each at its place in the targets' array (D7). A node's neighbours may lie in several tasks."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("t")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("t"))).distinct()
-    g = both.groupBy("node").agg(F.array_sort(F.collect_list("t")).alias("targets")).withColumn("block", F.substring("node", 1, 2))
-    block = g.groupBy("block").agg(F.sum(F.size("targets")).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.coalesce(F.sum(F.size("targets")).over(W.partitionBy("block").orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("w", within).join(block, "block").select("node", (F.col("base") + F.col("w")).alias("first"), "targets")
-
-
-def hub_limit(n: int) -> int:
-    return hub_count(n)
+    return positions(both, ["node", "t"]).select("pos", "node", "t")
+
+
+def csr_offsets(entries: DataFrame) -> DataFrame:
+    """(node, first, n): where a node's neighbours begin in csr(), and how many they are."""
+    return entries.groupBy("node").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+
+
+def dense_index(articles: DataFrame, order: str = "seq") -> DataFrame:
+    """articles with a 0-based index in load order."""
+    return positions(articles, [order], "idx")
+
+
+def colour(hub: Column, degree: Column, colours: tuple[str, str, str] = ("#254fef", "#6e86f2", "#b6c4ff")) -> Column:
+    """A node's colour by kind: hub, linked four times or more, other (D8); any Column may stand in its place (N3). The colours."""
+    return F.when(hub, colours[0]).when(degree >= 4, colours[1]).otherwise(colours[2])
+
+
+def with_defaults(nodes: DataFrame) -> DataFrame:
+    """nodes with id, where empty, from the title, and url, where missing, made of it (D3)."""
+    from ..functions.text import url_component
+
+    n = nodes.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), "title"))
+    return n.withColumn("url", F.coalesce("url", url_component(F.col("title"))) if "url" in nodes.columns else url_component(F.col("title")))
+
+
+def crawl(fetch, seeds: list[str], target: int, batch: int = 50, queue_most: int | None = None) -> tuple[list[dict], list[tuple[str, str]], dict[str, str]]:
+    """Pages, raw links and aliases of a bounded crawl of a paged source.
+
+    fetch(titles) gives (pages, aliases): pages with title and links, and a
+    map from alias to title. The queue goes by how many links a title has got
+    so far, then by title; it stops at ``target`` pages. The source sets the
+    pace and the target bounds what the driver holds (1500 pages as a rule).
+    """
+    key_ = lambda t: " ".join(t.split()).lower()
+    most = queue_most or 2 * target
+    queue = list({key_(t): t for t in seeds}.values())
+    score: dict[str, int] = {}
+    seen: dict[str, dict] = {}
+    links: list[tuple[str, str]] = []
+    aliases: dict[str, str] = {}
+    while queue and len(seen) < target:
+        queue.sort(key=lambda t: (-score.get(key_(t), 0), key_(t)))
+        now, queue = [t for t in queue[:batch] if key_(t) not in seen], queue[batch:]
+        if not now:
+            continue
+        pages, more = fetch(now)
+        aliases |= {key_(a): t for a, t in more.items()}
+        queued = {key_(t) for t in queue}
+        for p in pages:
+            if key_(p["title"]) in seen:
+                continue
+            seen[key_(p["title"])] = p
+            for t in p["links"]:
+                t = aliases.get(key_(t), t)
+                k = key_(t)
+                links.append((p["title"], t))
+                score[k] = score.get(k, 0) + 1
+                if k not in seen and k not in queued and len(queue) + len(seen) < most:
+                    queue.append(t)
+                    queued.add(k)
+    return list(seen.values()), links, aliases

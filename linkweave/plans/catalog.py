@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import api
+from .. import api, storage
 from ..functions import layout as L
 from ..functions import text as T
 from ..functions.layout import Settings
 from ..operators import graph, layout, rank
 from ..sources import articles as S
+from ..sources import corpus, drawing, dumps, files
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,22 +32,24 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def both(name: str, sql: str, *names: str, duck: str | None = None) -> None:
-    """A query whose Spark form is SQL as well; duck: DuckDB's form where it differs."""
-    query(name, duck or sql)(lambda spark, d: X.run_sql(spark, d, sql, *names))
+def arts(s, d, unique=True):
+    return X.articles(s, d, unique=unique)
 
 
-def arts(s, d, sparse=False, unique=True):
-    return X.articles(s, d, sparse, unique)
-
-
-def nodes_edges(s, d, sparse=False):
-    a = arts(s, d, sparse)
+def nodes_edges(s, d):
+    a = arts(s, d)
     e = graph.resolve(a)
     return graph.degrees(a.select("seq", "id", "title", "byte_length"), e), e
 
 
-E_, ES_ = X.with_edges(False), X.with_edges(True)
+def folder(s, what):
+    return storage.fresh(s, what)
+
+
+E_ = X.with_edges(False)
+UNDIRECTED = "u AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
+#: Smallest label by propagation; a keyed recursion holds one row a node.
+COMPONENTS = f"WITH RECURSIVE {E_[5:]}, {UNDIRECTED}, cc(a, c) USING KEY (a) AS (SELECT a, min(least(a, b)) FROM u GROUP BY a UNION SELECT u.b, min(r.c) FROM cc r JOIN u ON u.a = r.a JOIN recurring.cc x ON x.a = u.b WHERE r.c < x.c GROUP BY u.b)"
 DEG = """deg AS (SELECT id, title, art.seq, byte_length, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM art
 LEFT JOIN (SELECT dst AS id, count(*) AS i FROM edges GROUP BY dst) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM edges GROUP BY src) USING (id))"""
 KEY = "lower(trim(regexp_replace(ref, '\\s+', ' ', 'g')))"
@@ -69,12 +73,7 @@ def _(s, d):
     return X.run_sql(s, d, f"SELECT p_partkey, {_WIKI} AS w FROM part", "part").select("p_partkey", F.array_join(T.links(F.col("w")), "|").alias("links"))
 
 
-@query("b5_stable_hash", f"SELECT doc_id, {HASH.format('left(text, 60)')} AS h FROM documents")
-def _(s, d):
-    return X.tables(s, d, "documents")["documents"].select("doc_id", T.stable_hash(F.substring("text", 1, 60)).alias("h"))
-
-
-@query("b5_stable_hash_whole", f"SELECT doc_id, {HASH.format('text')} AS h FROM documents")
+@query("b5_stable_hash", f"SELECT doc_id, {HASH.format('text')} AS h FROM documents")
 def _(s, d):
     return X.tables(s, d, "documents")["documents"].select("doc_id", T.stable_hash(F.col("text")).alias("h"))
 
@@ -110,7 +109,11 @@ def _(s, d):
     return X.tables(s, d, "orders")["orders"].select("o_orderkey", T.duration(F.col("o_orderkey") * 7 % 9000).alias("t"))
 
 
-@query("b14_b15_b32_formats")
+@query("b14_b15_b32_formats", """WITH o AS (SELECT o_orderkey, o_totalprice AS v, CASE WHEN o_totalprice >= 1000000 THEN 2 WHEN o_totalprice >= 1000 THEN 1 ELSE 0 END AS k FROM orders),
+m AS (SELECT *, v / pow(1000.0, k) AS m FROM o), g AS (SELECT *, CASE WHEN m >= 100 THEN round(m, 0) WHEN m >= 10 THEN round(m, 1) ELSE round(m, 2) END AS g FROM m)
+SELECT o_orderkey, format('{:,}', CAST(round_even(o_orderkey / 2.0, 0) AS BIGINT)) || '/s' AS rate,
+CASE WHEN g >= 100 THEN printf('%.0f', g) ELSE regexp_replace(printf('%.2f', g), '\\.?0+$', '') END || ' ' || ['', 'k', 'M'][k + 1] || 'J' AS energy,
+strftime(to_timestamp(o_orderkey * 86399) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS iso FROM g""")
 def _(s, d):
     o = X.tables(s, d, "orders")["orders"]
     return o.select("o_orderkey", T.rate(F.col("o_orderkey"), F.lit(2.0)).alias("rate"), T.energy(F.col("o_totalprice")).alias("energy"), T.iso_time(F.col("o_orderkey") * 86399).alias("iso"))
@@ -128,41 +131,39 @@ def _(s, d):
     return X.run_sql(s, d, "SELECT l_orderkey, l_linenumber, l_extendedprice / 7 AS x FROM lineitem", "lineitem").select("l_orderkey", "l_linenumber", T.svg_number(F.col("x")).alias("n"))
 
 
-@query("b18_labels", "SELECT doc_id, CASE WHEN length(t) > 28 THEN left(t, 27) || '…' ELSE t END AS label FROM (SELECT doc_id, regexp_replace(left(text, 30), '[\\r\\n]', ' ', 'g') AS t FROM documents)")
+@query("b18_labels", "SELECT doc_id, CASE WHEN length(t) > 28 THEN left(t, 27) || '…' ELSE t END AS label FROM (SELECT doc_id, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS t FROM documents)")
 def _(s, d):
-    return X.tables(s, d, "documents")["documents"].select("doc_id", T.label(F.substring("text", 1, 30)).alias("label"))
+    return X.tables(s, d, "documents")["documents"].select("doc_id", T.label(F.col("text")).alias("label"))
 
 
+_ODD = "(CASE l_linenumber WHEN 3 THEN CAST('NaN' AS DOUBLE) WHEN 4 THEN CAST('-Infinity' AS DOUBLE) WHEN 5 THEN NULL ELSE l_extendedprice / 7 END)"
+_DX, _DY = L.safe_direction("(l_discount * (l_linenumber - 3))", "(l_tax - 0.04)", "l_orderkey", "l_partkey")
 _NUM = "SELECT l_orderkey, l_linenumber, {} FROM lineitem"
 for _name, _exprs in {
-    "b19_b37_finite_floats": {"f": "round(CAST(CAST(CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice / 7 END AS FLOAT) AS DOUBLE), 3)"},
+    "b19_b37_finite_floats": {"f": f"round({L.f32(_ODD)}, 3)", "g": f"round({L.finite(_ODD, '7.0')}, 3)"},
     "b20_link_distance": {"d": L.link_distance("(l_extendedprice / 3)")},
     "b21_spacing": {"s": f"round({L.spacing('l_extendedprice')}, 6)"},
     "b22_boundary_radius": {"r2": f"round({L.boundary_radius('l_extendedprice')}, 6)", "r3": f"round({L.boundary_radius('l_extendedprice', True)}, 6)"},
     "b23_b24_importance_radius": {"i": f"round({L.importance('l_extendedprice', 'l_quantity')}, 6)", "r": f"round({L.node_radius('l_returnflag', L.importance('l_extendedprice', 'l_quantity'))}, 6)"},
     "b25_hub_score": {"h": f"round({L.hub_score('l_linenumber = 1', 'l_quantity', '50')}, 6)"},
     "b26_collision_strength": {"c": f"round({L.collision_strength('l_discount * 10')}, 6)"},
-    "b27_export_radius": {"r": "round(least(l_quantity, l_quantity / 2 + 0.35 * 4), 6)"},
-    "b28_visual_scale": {"v": "round(1.0 + 1.6 * exp(-l_quantity / 12.0) / (1.0 + ln(1.0 + l_linenumber)), 6)"},
-    "b29_log_slider": {"p": f"round({L.slider_position('l_extendedprice', 1000.0, 200000.0)}, 6)", "v": f"round({L.slider_value('l_discount * 10', 1000.0, 200000.0)}, 4)"},
-    "b30_jiggle": {"j": f"round({L.jiggle('l_orderkey', 'l_partkey')}, 12)"},
-    "b33_tick_delay": {"t": "round(greatest(0.0, 1000.0 / 60.0 - l_quantity), 6)"},
-    "b36_degree_bytes": {"g": "greatest(0, CAST(l_quantity AS BIGINT) + coalesce(CASE WHEN l_linenumber = 2 THEN CAST(NULL AS BIGINT) ELSE l_partkey END, 0))"},
-    "b38_safe_direction": {"x": f"round(CASE WHEN l_discount = 0 THEN {L.jiggle('l_orderkey', 'l_partkey')} ELSE l_discount / sqrt(l_discount * l_discount + l_tax * l_tax) END, 6)"},
-    "d9_projection": {"px": "round((l_discount * cos(0.5) - l_tax * sin(0.5)) / (1.0 + l_quantity / 100.0), 6)"},
+    "b27_export_radius": {"r": f"round({L.export_radius('l_quantity', '(1.0 + l_discount * 5)')}, 6)"},
+    "b28_visual_scale": {"v": f"round({L.visual_scale('CAST(l_quantity AS BIGINT) * 40', 'CAST(l_linenumber AS BIGINT) * 800', '(l_discount * 12)', 'CAST(l_linenumber AS BIGINT) * 10')}, 6)"},
+    "b29_log_slider": {"p": f"round({L.slider_position('l_extendedprice', 10.0, 1000.0, 200000.0)}, 6)", "v": f"round({L.slider_value('(l_discount * 10)', 10.0, 1000.0, 200000.0)}, 4)"},
+    "b30_jiggle": {"j": f"round({L.jiggle('l_orderkey', 'l_partkey')} * 1000000, 6)", "k": f"round({L.jiggle('l_partkey', 'l_orderkey', 1)} * 1000000, 6)"},
+    "b33_tick_delay": {"t": f"round({L.tick_delay('l_quantity')}, 6)"},
+    "b36_degree_bytes": {"g": L.article_degree("CAST(l_quantity AS BIGINT)", "CASE WHEN l_linenumber = 2 THEN NULL ELSE -20 END"), "b": f"round({L.article_bytes(_ODD, 'l_quantity')}, 6)"},
+    "b38_safe_direction": {"x": f"round({_DX}, 6) + 0.0", "y": f"round({_DY}, 6) + 0.0"},
+    "d9_projection": {k: f"round({v}, 6)" for k, v in L.project("(l_discount * 1000)", "(l_tax * 1000)", "l_quantity", 0.5, 0.3, L.camera_distance("500")).items()},
     "k9_boundary_force": {"f": f"round({L.boundary_pull('(l_extendedprice / 10)', '4000.0')}, 4)"},
     "k3_spring_law": {"f": f"round({L.spring('(l_extendedprice / 30)')}, 4)"},
     "k10_k11_speed_cap": {"k": "round(least(1.0, greatest(1.0, l_quantity + 18) / greatest(sqrt(l_extendedprice), 0.000001)), 6)"},
     "k12_cooling": {"a": f"round(0.8 * pow(1.0 - {Settings().alpha_decay!r}, l_quantity), 8)"},
 }.items():
     _sql = _NUM.format(", ".join(f"{v} AS {k}" for k, v in _exprs.items()))
-    if _name.startswith("b19"):
-        query(_name, _sql.replace("CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice / 7 END", "CASE WHEN l_linenumber = 3 THEN 0 ELSE l_extendedprice / 7 END"))(
-            lambda s, d: X.tables(s, d, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber", F.round(F.nanvl(F.when(F.col("l_linenumber") == 3, float("nan")).otherwise(F.col("l_extendedprice") / 7), F.lit(0.0)).cast("float").cast("double"), 3).alias("f"))
-        )
-    else:
-        _spark = _sql.replace("exp(", "exp(").replace("0.000001", "0.000001D").replace(".0 ", ".0D ").replace(".0)", ".0D)").replace(".0,", ".0D,")
-        query(_name, _sql)(lambda s, d, q=_spark: X.run_sql(s, d, q, "lineitem"))
+    # decimals of the text become doubles in Spark, as they do in arithmetic with doubles anyway
+    _spark = re.sub(r"(?<![\w.])(\d+\.\d+|\d+\.\d*e-?\d+)(?![\w.])", r"\1D", _sql)
+    query(_name, _sql)(lambda s, d, q=_spark: X.run_sql(s, d, q, "lineitem"))
 
 # --- A: sources ----------------------------------------------------------------------------------------------------
 
@@ -199,14 +200,108 @@ def _(s, d):
     return S.svg_elements(lines).select(F.col("attributes")["cx"].cast("long").alias("p_partkey"), "kind", F.col("attributes")["r"].alias("r"))
 
 
-both("a20_fallback_graph", "WITH n AS (SELECT DISTINCT n_nationkey AS i FROM nation), o AS (SELECT 1 AS o UNION ALL SELECT 2 UNION ALL SELECT 4) SELECT DISTINCT CAST(i AS BIGINT) AS src, CAST((i + o) % 25 AS BIGINT) AS dst FROM n CROSS JOIN o", "nation")
-QUERIES["a20_fallback_graph"] = lambda s, d: rank.fallback_graph(25, s)
+query("a20_fallback_graph", "WITH n AS (SELECT DISTINCT n_nationkey AS i FROM nation), o AS (SELECT 1 AS o UNION ALL SELECT 2 UNION ALL SELECT 4) SELECT DISTINCT CAST(i AS BIGINT) AS src, CAST((i + o) % 25 AS BIGINT) AS dst FROM n CROSS JOIN o")(lambda s, d: rank.fallback_graph(25, s))
+
+
+_SVG = """WITH pos AS (SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) * 3000 AS x, CAST(embedding[2] AS DOUBLE) * 3000 AS y, label FROM embeddings), n AS (SELECT idx, x, y, 5.0 AS r, 'n' || idx || ' <' || label || '>' AS t, idx < 10 AS hub FROM pos),
+f AS (SELECT *, x + r + 10 + greatest(12.0, length(t) * 7.2) / 2 AS lx FROM n), esc AS (SELECT *, replace(replace(t, '<', '&lt;'), '>', '&gt;') AS et FROM f),
+num AS (SELECT *, regexp_replace(printf('%.3f', x), '\\.?0+$', '') AS sx, regexp_replace(printf('%.3f', y), '\\.?0+$', '') AS sy, regexp_replace(printf('%.3f', lx), '\\.?0+$', '') AS sl FROM esc)
+SELECT idx AS seq, '<circle data-node-id="' || idx || '" cx="' || CASE sx WHEN '-0' THEN '0' ELSE sx END || '" cy="' || CASE sy WHEN '-0' THEN '0' ELSE sy END || '" r="5" fill="#9aabf8" stroke="' || CASE WHEN hub THEN '#2f9e44' ELSE 'rgba(28, 32, 39, .28)' END || '" stroke-width="' || CASE WHEN hub THEN '1.6' ELSE '1' END || '" />' AS value FROM num
+UNION ALL SELECT idx, '<text data-node-label="' || idx || '" x="' || sl || '" y="' || CASE sy WHEN '-0' THEN '0' ELSE sy END || '" fill="#555c68" font-weight="' || CASE WHEN hub THEN '600' ELSE '500' END || '">' || et || '</text>' FROM num"""
+
+
+def drawn(s, d):
+    n = X.run_sql(s, d, f"WITH {X.POS_SPARK} SELECT idx, idx AS seq, cast(idx AS string) AS id, x, y, 5.0D AS radius, concat('n', idx, ' <', label, '>') AS title, idx < 10 AS hub, 0L AS in_degree, 0L AS out_degree FROM pos", "embeddings")
+    return n, n.select(F.col("id").alias("src"), F.expr("cast(idx + 1 AS string)").alias("dst"))
+
+
+@query("a13_svg_fragments", _SVG)
+def _(s, d):
+    """Circles and label texts of a drawing that was written and read back."""
+    out = folder(s, "svg")
+    drawing.write_svg(*drawn(s, d), out)
+    lines = s.read.text(out)
+    seq = F.regexp_extract("value", 'data-node-(?:id|label)="([0-9]+)"', 1)
+    return lines.where(seq != "").select(seq.cast("long").alias("seq"), "value")
+
+
+@query("a12_positions", "SELECT CAST(vec_id AS VARCHAR) AS id, round(CAST(embedding[1] AS DOUBLE) * 3000, 6) AS x, round(CAST(embedding[2] AS DOUBLE) * 3000, 6) AS y, 0 AS inDegree FROM embeddings")
+def _(s, d):
+    out = folder(s, "positions")
+    drawing.write_positions(drawn(s, d)[0], out)
+    return s.read.schema("id string, title string, x double, y double, inDegree long, outDegree long").json(out).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "inDegree")
+
+
+_BOX = "b AS (SELECT min(x - 5) - 42 AS x0, max(greatest(x + 5, x + 15 + greatest(12.0, length('n' || idx || ' <' || label || '>') * 7.2))) + 42 - min(x - 5) + 42 AS w, min(y - 8.4) - 42 AS y0, max(y + 8.4) + 42 - min(y - 8.4) + 42 AS h FROM pos), v AS (SELECT round(x0, 3) AS x0, round(w, 3) AS w, round(y0, 3) AS y0, round(h, 3) AS h FROM b)"
+
+
+@query("a15_a16_a26_tile_cache", f"WITH {X.POS_DUCK}, {_BOX}, e AS (SELECT 'circle' AS kind, round(x, 3) AS mx, round(y, 3) AS my FROM pos UNION ALL SELECT 'text', round(x + 15 + greatest(12.0, length('n' || idx || ' <' || label || '>') * 7.2) / 2, 3), round(y, 3) FROM pos) SELECT CAST(least(7, greatest(0, floor((mx - x0) / w * 8))) AS INT) AS tx, CAST(least(7, greatest(0, floor((my - y0) / h * 8))) AS INT) AS ty, kind, count(*) AS n FROM e, v GROUP BY ALL")
+def _(s, d):
+    """Counts by tile of a cache that was built from a written drawing."""
+    svg, cache = folder(s, "svg"), folder(s, "tiles")
+    drawing.write_svg(*drawn(s, d), svg, no_links=True)
+    drawing.build_tiles(s, svg, cache, grid=8)
+    return s.read.parquet(f"{cache}/counts").where("kind <> 'line'").select("tx", "ty", "kind", "n")
+
+
+def index_of(s, d):
+    """A data root with article lines of part, index and tiers."""
+    root = folder(s, "root")
+    a = arts(s, d).select("seq", "id", "title", F.col("byte_length").alias("byteLength"), "links")
+    a.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq").write.json(f"{root}/articles.jsonl")
+    return root
+
 
+def local(path):
+    return path.removeprefix("file://").removeprefix("file:")
 
-@query("a13_svg_fragments")
+
+@query("a9_a24_index", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title, (SELECT count(*) FROM part) AS records FROM part")
+def _(s, d):
+    root = index_of(s, d)
+    corpus.build_index(s, f"{root}/articles.jsonl", root)
+    return corpus.read_articles(s, f"{root}/index/articles.jsonl").select("id", "title", F.lit(int(corpus.known_records(f"{root}/articles.jsonl"))).cast("long").alias("records"))
+
+
+_TIERS = "WITH RECURSIVE {e}, h AS MATERIALIZED (SELECT CAST(src AS BIGINT) AS u, CAST(dst AS BIGINT) AS v, CASE WHEN CAST(dst AS BIGINT) < CAST(src AS BIGINT) THEN 1 ELSE 0 END AS w FROM edges), r(v, p) USING KEY (v) AS (SELECT min(seq), 0 FROM raw UNION SELECT h.v, min(r.p + h.w) FROM r JOIN h ON h.u = r.v LEFT JOIN recurring.r x ON x.v = h.v WHERE x.p IS NULL OR r.p + h.w < x.p GROUP BY h.v)"
+_TIERS = _TIERS.format(e=E_[5:])
+
+
+@query("a10_a11_h6_tiers", _TIERS + ", o AS (SELECT CAST(v AS VARCHAR) AS id, row_number() OVER (ORDER BY p, v) AS k FROM r), t AS (SELECT unnest([50, 100]) AS tier) SELECT tier, src, dst FROM t JOIN edges ON src IN (SELECT id FROM o WHERE k <= tier) AND dst IN (SELECT id FROM o WHERE k <= tier)")
+def _(s, d):
+    """Edges of two nested tiers, written and read back."""
+    root = index_of(s, d)
+    m = corpus.build_tiers(s, local(root) + "/articles.jsonl", local(root) + "/tiers", [100, 50, 100])
+    out = [corpus.read_graph(s, f"{root}/tiers/{t['file']}")[1].withColumn("tier", F.lit(t["count"])) for t in m["tiers"]]
+    return out[0].unionByName(out[1]).select("tier", "src", "dst")
+
+
+@query("a7_graph_document", f"{E_} SELECT src, dst FROM edges")
+def _(s, d):
+    """A single {nodes, links} document whose links name ends by title or id, resolved anew."""
+    n, e = nodes_edges(s, d)
+    named = n.select(F.col("id").alias("dst"), "title")
+    nodes = n.agg(F.array_sort(F.collect_list(F.struct(F.lpad("id", 9, "0").alias("k"), "id", "title"))).alias("nodes"))
+    links = e.join(named, "dst").agg(F.collect_list(F.struct(F.col("src").alias("source"), F.when(F.crc32("src") % 2 == 0, F.upper("title")).otherwise(F.col("dst")).alias("target"))).alias("links"))
+    out = folder(s, "document") + ".json"
+    nodes.join(F.broadcast(links)).select(F.transform("nodes", lambda x: F.struct(x["id"], x["title"])).alias("nodes"), "links").coalesce(1).write.json(out)  # a document of the test's size is one row
+    return corpus.load_graph(s, out)[1].select("src", "dst")
+
+
+@query("a1_a3_dump", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title, p_type AS links FROM part WHERE p_partkey % 5 = 0")
 def _(s, d):
-    n = X.run_sql(s, d, f"WITH {X.POS_SPARK} SELECT idx, x, y, 5.0D AS radius, concat('n', idx, ' <', label, '>') AS title FROM pos", "embeddings")
-    return S.svg_fragments(n, s.createDataFrame([], "seq long, x1 double, y1 double, x2 double, y2 double"))
+    """A dump of many bz2 streams, written by tasks, found and parsed stream by stream."""
+    import bz2
+
+    rows = X.run_sql(s, d, "SELECT p_partkey, concat('<page><title>', p_name, ' ', p_partkey, '</title><ns>', p_partkey % 5, '</ns><id>', p_partkey, '</id><revision><text>[[', p_type, ']]</text></revision></page>') AS x FROM part", "part")
+    chunks = [r["x"] for r in rows.groupBy(F.floor(F.col("p_partkey") / 50).alias("g")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "x"))), lambda v: v["x"])).alias("x")).orderBy("g").collect()]  # the fixture is a file of some streams
+    path = local(folder(s, "dump"))
+    with files.opened(path)[0].open_output_stream(path) as f:
+        for c in ["<mediawiki>", *chunks, "</mediawiki>"]:
+            f.write(bz2.compress(c.encode()))
+    out = local(folder(s, "parsed"))
+    dumps.parse(s, path, out, parallel=True)
+    return s.read.schema("id string, title string, links array<string>").json(out).select("id", "title", F.array_join("links", "|").alias("links"))
 
 
 # --- D, E, H: edges ------------------------------------------------------------------------------------------------
@@ -250,25 +345,27 @@ def _(s, d):
     return nodes_edges(s, d)[0].select("id", "in_degree", "out_degree")
 
 
-@query("d7_csr", f"{E_}, b AS (SELECT DISTINCT src AS node, dst AS t FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)), g AS (SELECT node, count(*) AS n, string_agg(t, ',' ORDER BY t) AS targets FROM b GROUP BY node) SELECT node, CAST(coalesce(sum(n) OVER (ORDER BY substr(node, 1, 2), node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, targets FROM g")
+@query("d7_csr", f"{E_}, b AS (SELECT DISTINCT src AS node, dst AS t FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)) SELECT node, t, row_number() OVER (ORDER BY node, t) - 1 AS pos, min(pos_) OVER (PARTITION BY node) AS first, count(*) OVER (PARTITION BY node) AS n FROM (SELECT node, t, row_number() OVER (ORDER BY node, t) - 1 AS pos_ FROM b)")
 def _(s, d):
-    return rank.csr(graph.resolve(arts(s, d))).select("node", "first", F.array_join("targets", ",").alias("targets"))
+    e = storage.stored(rank.csr(graph.resolve(arts(s, d))), "csr")
+    return e.join(rank.csr_offsets(e), "node").select("node", "t", "pos", "first", "n")
 
 
 @query("d5_dense_index", "SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part")
 def _(s, d):
-    return arts(s, d).select("id", (F.row_number().over(W.orderBy("seq")) - 1).cast("long").alias("idx"))
+    return rank.dense_index(arts(s, d)).select("id", "idx")
 
 
-@query("d3_defaults", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 2 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END, ''), p_name) AS id FROM part")
+@query("d3_defaults", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS id, CASE WHEN p_partkey % 3 = 0 THEN 'u' ELSE 'https://en.wikipedia.org/wiki/' || replace(p_name, ' ', '_') END AS url FROM part")
 def _(s, d):
-    return X.tables(s, d, "part")["part"].select("p_partkey", F.coalesce(F.nullif(F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_partkey").cast("string")), F.lit("")), "p_name").alias("id"))
+    n = X.tables(s, d, "part")["part"].select("p_partkey", F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_partkey") % 3 == 0, "u").alias("url"))
+    return rank.with_defaults(n).select("p_partkey", "id", "url")
 
 
-@query("d8_node_colour", f"{E_}, {DEG} SELECT id, CASE WHEN in_degree + out_degree >= 60 THEN 'hub' WHEN in_degree + out_degree >= 4 THEN 'linked' ELSE 'other' END AS colour FROM deg")
+@query("d8_node_colour", f"{E_}, {DEG} SELECT id, CASE WHEN in_degree + out_degree >= 60 THEN '#254fef' WHEN in_degree + out_degree >= 4 THEN '#6e86f2' ELSE '#b6c4ff' END AS colour FROM deg")
 def _(s, d):
     n = F.col("in_degree") + F.col("out_degree")
-    return nodes_edges(s, d)[0].select("id", F.when(n >= 60, "hub").when(n >= 4, "linked").otherwise("other").alias("colour"))
+    return nodes_edges(s, d)[0].select("id", rank.colour(n >= 60, n).alias("colour"))
 
 
 @query("c3_calendar_removal", f"{E_}, k AS (SELECT id FROM art WHERE seq % 4 <> 0), e AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)) SELECT id, (SELECT count(*) FROM e WHERE dst = k.id) AS in_degree, (SELECT count(*) FROM e WHERE src = k.id) AS out_degree FROM k")
@@ -284,10 +381,35 @@ def _(s, d):
     return graph.induced(graph.resolve(a), a.where("seq <= 300")).select("src", "dst")
 
 
-both("c5_g6_g7_tier_pick", "WITH t AS (SELECT 1000 AS n UNION ALL SELECT 5000 UNION ALL SELECT 25000), w AS (SELECT DISTINCT o_orderkey AS want FROM orders) SELECT want, coalesce(min(CASE WHEN n >= want THEN n END), max(n)) AS tier FROM w CROSS JOIN t GROUP BY want", "orders")
-both("c6_payload_sample", "SELECT min(CASE WHEN p_name IS NOT NULL THEN 1 ELSE 0 END) AS valid, count(*) AS n FROM part WHERE p_partkey % 3 = 0", "part")
-both("c7_viewport", f"WITH {X.POS_SPARK} SELECT idx FROM pos WHERE x + 5 >= -400 AND x - 5 <= 400 AND y + 5 >= -300 AND y - 5 <= 300", "embeddings", duck=f"WITH {X.POS_DUCK} SELECT idx FROM pos WHERE x + 5 >= -400 AND x - 5 <= 400 AND y + 5 >= -300 AND y - 5 <= 300")
-both("c9_remote_flag", "SELECT page_id, CASE WHEN url LIKE '%?%' THEN true ELSE false END AS dis FROM pages", "pages")
+@query("c5_g6_g7_tier_pick", "SELECT DISTINCT o_orderkey AS want, CASE WHEN o_orderkey <= 10 THEN 10 WHEN o_orderkey <= 500 THEN 500 ELSE 9000 END AS tier FROM orders")
+def _(s, d):
+    """Tiers of a manifest with bad counts, and the one that each wish gets."""
+    m = s.createDataFrame([(500.0,), (10.0,), (0.0,), (9000.0,), (2.5,), (None,), (-3.0,)], "count double")
+    counts = [int(r["count"]) for r in rank.valid_tiers(m).collect()]
+    return X.tables(s, d, "orders")["orders"].select(F.col("o_orderkey").alias("want")).distinct().withColumn("tier", rank.tier_of(F.col("want"), counts))
+
+
+@query("c6_payload_sample", "WITH a AS (SELECT l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS n, count(*) OVER () AS c FROM lineitem) SELECT min(l_partkey IS NOT NULL AND l_partkey >= 0) AS valid, count(*) AS tested FROM a WHERE n % CAST(ceil(c / 2000.0) AS BIGINT) = 0 OR n = c - 1")
+def _(s, d):
+    return rank.payload_valid(X.tables(s, d, "lineitem")["lineitem"], ["l_orderkey", "l_linenumber"], F.col("l_partkey") >= 0)
+
+
+_VIEW = (-400.0, -300.0, 400.0, 300.0)
+
+
+@query("c7_viewport", f"WITH {X.POS_DUCK} SELECT idx, greatest(-100, least(x, 100)) AS nx, sqrt(pow(x - greatest(-100, least(x, 100)), 2) + pow(y - greatest(-50, least(y, 50)), 2)) < 25 AS touches, x - 30 < 103 AND x + 30 > -103 AND y < 53 AND y + 12 > -53 AS meets FROM pos WHERE x + 5 >= -400 AND x - 5 <= 400 AND y + 5 >= -300 AND y - 5 <= 300")
+def _(s, d):
+    box = {"left": "-100D", "top": "-50D", "right": "100D", "bottom": "50D"}
+    own = {"left": "(x - 30D)", "top": "y", "right": "(x + 30D)", "bottom": "(y + 12D)"}
+    p = positions(s, d).where(F.expr(L.in_view("x", "y", "5D", _VIEW)))
+    return p.select("idx", F.expr("greatest(-100D, least(x, 100D))").alias("nx"), F.expr(L.circle_touches("x", "y", "20D", box, 5.0)).alias("touches"), F.expr(L.boxes_overlap(own, box, 3.0)).alias("meets"))
+
+
+@query("c9_remote_flag", "SELECT event_id, event_id % 3 <> 0 AS dis FROM events")
+def _(s, d):
+    e = X.tables(s, d, "events")["events"]
+    props = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, '{"disambiguation": null}').otherwise('{"a": {"disambiguation": 1}, "disambiguation": ""}')
+    return e.select("event_id", T.has_property(props, "disambiguation").alias("dis"))
 
 
 @query("c10_relations", f"{E_}, h AS (SELECT id FROM art WHERE seq <= 10) SELECT id, EXISTS (SELECT 1 FROM edges e, h WHERE (e.src = art.id AND e.dst = h.id) OR (e.dst = art.id AND e.src = h.id)) AS linked FROM art")
@@ -299,7 +421,7 @@ def _(s, d):
     return a.select("id").join(m, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
-@query("e6_alias_closure", "WITH RECURSIVE r AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey % 3 = 0), c(src, z) AS (SELECT src, dst FROM r UNION ALL SELECT c.src, r.dst FROM c JOIN r ON r.src = c.z) SELECT src, min(z) AS final FROM c GROUP BY src")
+@query("e6_alias_closure", "WITH RECURSIVE r AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey % 3 = 0), c(src, z) AS (SELECT src, dst FROM r UNION ALL SELECT c.src, r.dst FROM c JOIN r ON r.src = c.z AND r.dst <> c.z) SELECT src, min(z) AS final FROM c GROUP BY src")
 def _(s, d):
     return graph.alias_closure(X.run_sql(s, d, "SELECT p_partkey AS src, p_partkey div 3 AS dst FROM part WHERE p_partkey % 3 = 0", "part"))
 
@@ -339,7 +461,11 @@ def _(s, d):
     return layout.near_pairs(positions(s, d), 150.0).select("i", "j", k.alias("k")).where("k <= 4")
 
 
-both("e11_hub_article_join", f"WITH {X.POS_SPARK} SELECT a.idx, h.idx AS hub FROM pos a JOIN pos h ON h.idx < 20 AND a.idx <> h.idx WHERE (a.x - h.x) * (a.x - h.x) + (a.y - h.y) * (a.y - h.y) < 230400", "embeddings", duck=f"WITH {X.POS_DUCK} SELECT a.idx, h.idx AS hub FROM pos a JOIN pos h ON h.idx < 20 AND a.idx <> h.idx WHERE (a.x - h.x) * (a.x - h.x) + (a.y - h.y) * (a.y - h.y) < 230400")
+@query("e11_hub_article_join", f"WITH {X.POS_DUCK} SELECT a.idx, h.idx AS hub FROM pos a JOIN pos h ON h.idx < 20 AND a.idx <> h.idx WHERE (a.x - h.x) * (a.x - h.x) + (a.y - h.y) * (a.y - h.y) < 230400")
+def _(s, d):
+    n = positions(s, d).withColumns({"hub": F.col("idx") < 20, "hub_score": F.lit(0.9)})
+    return layout.hub_pairs(n, 480.0).select("idx", F.col("h").alias("hub"))
+
 
 # --- F: aggregates -------------------------------------------------------------------------------------------------
 
@@ -353,30 +479,74 @@ def repulsion(n, e):
     return graph.pairs(e).agg(F.count("*").alias("p")).crossJoin(n.agg(F.count("*").alias("n"))).select(F.expr(f"round(CAST({L.repulsion('p', 'n')} AS DOUBLE), 6)").alias("scale"))
 
 
-@query("f3_repulsion_scale", f"{ES_}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges) SELECT round(least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM p) / (SELECT count(*) FROM art) / 6))), 6) AS scale")
+@query("f3_repulsion_scale", f"{E_}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges) SELECT round(least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM p) / (SELECT count(*) FROM art) / 6))), 6) AS scale")
 def _(s, d):
-    n, e = nodes_edges(s, d, True)
-    return repulsion(n, e)
+    return repulsion(*nodes_edges(s, d))
 
 
-@query("f3_repulsion_scale_whole", f"{E_}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges) SELECT round(least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM p) / (SELECT count(*) FROM art) / 6))), 6) AS scale")
+@query("f4_kinetic_energy", "SELECT round(sum(0.5 * (pow(CASE WHEN l_linenumber = 3 THEN 0 ELSE l_discount END, 2) + pow(l_tax, 2))), 3) AS energy FROM lineitem")
 def _(s, d):
-    return repulsion(*nodes_edges(s, d))
+    n = X.run_sql(s, d, "SELECT CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) ELSE l_discount END AS vx, l_tax AS vy FROM lineitem", "lineitem")
+    return layout.kinetic_energy(n).select(F.round("energy", 3).alias("energy"))
+
+
+@query("f5_k6_centroid", f"WITH {X.POS_DUCK}, c AS (SELECT avg(x) AS cx, avg(y) AS cy FROM pos) SELECT idx, round(cx, 3) AS cx, round(cy, 3) AS cy, round(x - 0.035 * cx, 3) AS x FROM pos, c")
+def _(s, d):
+    n = positions(s, d)
+    c = layout.centroid(n).first()
+    return layout.centred(n, 0.035).select("idx", F.lit(round(c["cx"], 3)).alias("cx"), F.lit(round(c["cy"], 3)).alias("cy"), F.round("x", 3).alias("x"))
+
+
+@query("f6_bounds", f"WITH {X.POS_DUCK} SELECT round(min(x) - 5 - 2, 4) AS x0, round(min(y) - 5 - 2, 4) AS y0, round(max(x) + 5 + 2, 4) AS x1, round(max(y) + 5 + 2, 4) AS y1 FROM pos")
+def _(s, d):
+    return layout.bounds(positions(s, d), "5D", 2.0).select(*[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _tiles(s, d):
+    return positions(s, d).withColumns({"tx": rank.tile(F.col("x"), -600.0, 1200.0, 16), "ty": rank.tile(F.col("y"), -600.0, 1200.0, 16)})
+
+
+@query("f11_a16_tile_counts", f"WITH {X.POS_DUCK} SELECT CAST(least(15, greatest(0, floor((x + 600) / 1200 * 16))) AS INT) AS tx, CAST(least(15, greatest(0, floor((y + 600) / 1200 * 16))) AS INT) AS ty, count(*) AS n FROM pos GROUP BY 1, 2")
+def _(s, d):
+    return _tiles(s, d).groupBy("tx", "ty").agg(F.count("*").alias("n"))
+
+
+@query("l4_tile_query", f"WITH {X.POS_DUCK} SELECT idx FROM pos WHERE least(15, greatest(0, floor((x + 600) / 1200 * 16))) BETWEEN 4 AND 10 AND least(15, greatest(0, floor((y + 600) / 1200 * 16))) BETWEEN 2 AND 12")
+def _(s, d):
+    return drawing.in_tiles(_tiles(s, d), drawing.tile_range((-300.0, -400.0, 110.0, 300.0), (-600.0, -600.0, 1200.0, 1200.0), 16)).select("idx")
+
+
+@query("l6_initial_view", f"WITH {X.POS_DUCK} SELECT round(greatest(0.02, least(2.2, 0.86 * 600 / (2 * 160 * sqrt(count(*) / pi()) + 80))), 6) AS scale FROM pos")
+def _(s, d):
+    return positions(s, d).agg(F.count("*").alias("n")).select(F.round(F.expr(L.initial_scale("n", 800.0, 600.0)), 6).alias("scale"))
+
+
+def _space(s, d):
+    p = L.project("x", "y", "(label * 50D)", 0.5, 0.3, "1500D")
+    return positions(s, d).select("idx", *[F.expr(re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", v)).alias(k) for k, v in p.items()])
+
+
+_SPACE = f"WITH {X.POS_DUCK}, w AS (SELECT idx, x * cos(0.5) - label * 50 * sin(0.5) AS yx, x * sin(0.5) + label * 50 * cos(0.5) AS yz, y FROM pos), v AS (SELECT idx, yx, y * cos(0.3) - yz * sin(0.3) AS sy, y * sin(0.3) + yz * cos(0.3) AS depth FROM w), s AS (SELECT *, greatest(0.42, least(1.8, 1500 / greatest(1, 1500 + depth))) AS p FROM v)"
 
 
-both("f4_kinetic_energy", "SELECT round(sum(0.5 * (l_discount * l_discount + l_tax * l_tax)), 3) AS e FROM lineitem", "lineitem")
-_POSQ = {
-    "f5_k6_centroid": "SELECT round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM pos",
-    "f6_bounds": "SELECT round(min(x) - 5, 4) AS x0, round(min(y) - 5, 4) AS y0, round(max(x) + 5, 4) AS x1, round(max(y) + 5, 4) AS y1 FROM pos",
-    "f11_a16_tile_counts": "SELECT CAST(least(15, greatest(0, floor((x + 600) / 1200 * 16))) AS INT) AS tx, CAST(least(15, greatest(0, floor((y + 600) / 1200 * 16))) AS INT) AS ty, count(*) AS n FROM pos GROUP BY 1, 2",
-    "l4_tile_query": "SELECT idx FROM pos WHERE least(15, greatest(0, floor((x + 600) / 1200 * 16))) BETWEEN 4 AND 9 AND least(15, greatest(0, floor((y + 600) / 1200 * 16))) BETWEEN 4 AND 9",
-    "l6_initial_view": "SELECT round(least(1.0, greatest(0.02, 400 / (160 * sqrt(count(*) / pi())))), 6) AS scale FROM pos",
-    "g12_depth_order": "SELECT idx, row_number() OVER (ORDER BY x * sin(0.5) + y * cos(0.5) DESC, idx) AS place FROM pos",
-    "g13_hit_test": "SELECT min(idx) AS idx FROM pos WHERE (x - 10) * (x - 10) + (y - 10) * (y - 10) <= 40000",
-    "k1_spiral_seed": "SELECT idx, round(32 * sqrt(idx + 0.5) * cos(idx * pi() * (3 - sqrt(5))), 4) AS sx, round(32 * sqrt(idx + 0.5) * sin(idx * pi() * (3 - sqrt(5))), 4) AS sy FROM pos",
-}
-for _name, _q in _POSQ.items():
-    both(_name, f"WITH {X.POS_SPARK} {_q}", "embeddings", duck=f"WITH {X.POS_DUCK} {_q}")
+@query("g12_depth_order", f"{_SPACE} SELECT idx, row_number() OVER (ORDER BY depth DESC, idx) AS place FROM s")
+def _(s, d):
+    return rank.depth_order(_space(s, d)).select("idx", "place")
+
+
+@query("g13_hit_test", f"{_SPACE} SELECT (SELECT min(idx) FROM pos WHERE sqrt(pow(x - 10, 2) + pow(y - 10, 2)) <= 90) AS plane, (SELECT idx FROM s WHERE sqrt(pow(yx * p - 10, 2) + pow(sy * p - 10, 2)) <= 90 ORDER BY depth, idx LIMIT 1) AS space")
+def _(s, d):
+    flat = rank.hit(positions(s, d), 10.0, 10.0, "90D").select(F.col("idx").alias("plane"))
+    deep = rank.hit(_space(s, d).select("idx", F.col("px").alias("x"), F.col("py").alias("y"), "depth"), 10.0, 10.0, "90D", "depth").select(F.col("idx").alias("space"))
+    return flat.join(F.broadcast(deep), F.lit(True), "full")  # a row each
+
+
+@query("k1_spiral_seed", f"WITH {X.POS_DUCK}, c AS (SELECT count(*) AS n FROM pos), a AS (SELECT idx, x, y, n, idx * pi() * (3 - sqrt(5)) AS t, 1 - 2 * ((idx * 0.7548776662466927) % 1) AS up, 32 * least(2.5, greatest(1.0, pow(n / 250.0, 0.25))) AS s FROM pos, c) SELECT idx, round(CASE WHEN idx % 5 = 0 THEN x ELSE s * sqrt(idx + 0.5) * cos(t) END, 4) AS x2, round(CASE WHEN idx % 5 = 0 THEN y ELSE s * sqrt(idx + 0.5) * sin(t) END, 4) AS y2, round(s * cbrt(idx + 0.5) * sqrt(1 - up * up) * cos(t), 4) AS x3, round(s * cbrt(idx + 0.5) * up, 4) AS z3 FROM a")
+def _(s, d):
+    p = positions(s, d)
+    n = p.count()
+    some = p.select("idx", *[F.when(F.col("idx") % 5 == 0, F.col(c)).alias(c) for c in "xy"])
+    return layout.seeded(some, n).select("idx", F.round("x", 4).alias("x2"), F.round("y", 4).alias("y2")).join(layout.seeded(p.select("idx"), n, True).select("idx", F.round("x", 4).alias("x3"), F.round("z", 4).alias("z3")), "idx")
 
 
 @query("f7_frontier", f"WITH {X.refs_sql(False)} SELECT {KEY} AS k, count(DISTINCT seq) AS n FROM raw WHERE ref LIKE 'dangling%' GROUP BY 1")
@@ -401,7 +571,10 @@ def _(s, d):
     return e.where("cast(h as bigint) <= 10 and cast(id as bigint) > 10").groupBy("id").agg(F.count("*").alias("hubs"))
 
 
-both("f10_impulse_cap", "SELECT l_partkey AS id, round(sum(l_discount) * least(1.0, 0.5 / greatest(sqrt(sum(l_discount) * sum(l_discount) + sum(l_tax) * sum(l_tax)), 0.000001)), 4) AS ix FROM lineitem GROUP BY l_partkey", "lineitem")
+@query("f10_impulse_cap", "SELECT l_partkey AS idx, round(sum(l_discount) * least(1.0, 0.5 / greatest(sqrt(sum(l_discount) * sum(l_discount) + sum(l_tax) * sum(l_tax)), 0.000001)), 4) AS dvx FROM lineitem GROUP BY l_partkey")
+def _(s, d):
+    parts = X.tables(s, d, "lineitem")["lineitem"].select(F.col("l_partkey").alias("idx"), F.col("l_discount").alias("ix"), F.col("l_tax").alias("iy"))
+    return layout.accumulate(parts, 0.5).select("idx", F.round("dvx", 4).alias("dvx"))
 
 
 @query("f13_f14_averages", f"{E_} SELECT round((SELECT count(*) FROM edges) / (SELECT count(*) FROM art), 6) AS links_per_node, (SELECT count(*) FROM art WHERE seq % 4 <> 0) AS eligible")
@@ -424,7 +597,7 @@ def _(s, d):
     return rank.finder(arts(s, d), "1 ")
 
 
-@query("g3_visible", f"{E_}, {DEG}, h AS (SELECT id FROM art WHERE seq <= 10) SELECT id FROM h UNION SELECT id FROM (SELECT id FROM deg WHERE id NOT IN (SELECT id FROM h) ORDER BY in_degree + out_degree DESC, id LIMIT 40) UNION SELECT '7' UNION SELECT CASE WHEN src = '7' THEN dst ELSE src END FROM edges WHERE src = '7' OR dst = '7'")
+@query("g3_visible", f"{E_}, {DEG}, h AS (SELECT id FROM art WHERE seq <= 10) SELECT id FROM h UNION SELECT id FROM (SELECT id FROM deg WHERE id NOT IN (SELECT id FROM h) ORDER BY in_degree + out_degree DESC, id LIMIT 50 - (SELECT count(*) FROM h)) UNION SELECT '7' UNION SELECT CASE WHEN src = '7' THEN dst ELSE src END FROM edges WHERE src = '7' OR dst = '7'")
 def _(s, d):
     n, e = nodes_edges(s, d)
     return rank.visible(n, n.where("seq <= 10").select("id"), 50, e, "7")
@@ -440,7 +613,10 @@ def _(s, d):
     return graph.resolve(arts(s, d), limit=500).select("src", "dst")
 
 
-both("g8_clamping", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 20 ELSE least(100, greatest(1, o_orderkey - 50)) END AS lim FROM orders", "orders")
+@query("g8_clamping", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey = 50 THEN 20 ELSE least(100, greatest(1, o_orderkey - 50)) END AS lim FROM orders")
+def _(s, d):
+    k = F.col("o_orderkey")
+    return X.tables(s, d, "orders")["orders"].select("o_orderkey", rank.clamp_of(F.when(k % 10 == 0, 0).when(k % 5 == 0, None).otherwise(k - 50), 1, 100, 20).alias("lim"))
 
 
 @query("g9_decimation", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS n, count(*) OVER () AS c FROM lineitem) WHERE n % CAST(ceil(c / 5000.0) AS BIGINT) = 0")
@@ -448,15 +624,33 @@ def _(s, d):
     return rank.decimate(X.tables(s, d, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 5000)
 
 
-@query("g11_label_budget", f"{E_}, {DEG} SELECT id FROM deg ORDER BY CASE WHEN id = '7' THEN 0 WHEN seq <= 10 THEN 1 ELSE 2 END, in_degree + out_degree DESC, id LIMIT 60")
+@query("g11_label_budget", f"{E_}, {DEG}, c AS (SELECT count(*) AS n FROM deg), b AS (SELECT least(n, greatest(15, ceil(0.7 * CASE WHEN n <= 40 THEN 8 WHEN n <= 100 THEN 12 WHEN n <= 250 THEN 18 WHEN n <= 800 THEN 28 ELSE 420 END))) AS budget FROM c) SELECT id FROM (SELECT id, row_number() OVER (ORDER BY CASE WHEN id = '500' OR seq <= 10 THEN 0 ELSE 1 END, in_degree + out_degree DESC, id) AS k FROM deg) WHERE k <= (SELECT budget FROM b)")
 def _(s, d):
     n, _e = nodes_edges(s, d)
-    return n.orderBy(F.when(F.col("id") == "7", 0).when(F.col("seq") <= 10, 1).otherwise(2), F.desc(F.col("in_degree") + F.col("out_degree")), "id").limit(60).select("id")
+    c = n.select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"), (F.col("id") == "500").alias("active"), (F.col("seq") <= 10).alias("hub"))
+    return rank.labelled(c, 0.4).select("id")
+
+
+@query("g14_h6_ticks", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter([10, 1000, p_size * 100, p_partkey], lambda x: x <= p_size * 100))), ',') AS ticks, array_to_string(list_sort(list_distinct(list_filter([p_size, 25, p_size % 7, p_partkey], lambda x: x > 0))), ',') AS tiers FROM part")
+def _(s, d):
+    p = X.tables(s, d, "part")["part"].withColumn("size", F.col("p_size").cast("long"))
+    t = rank.ticks(F.array(F.lit(10).cast("long"), F.lit(1000).cast("long"), F.col("size") * 100, "p_partkey"), F.col("size") * 100)
+    u = rank.tier_counts_of(F.array("size", F.lit(25).cast("long"), F.col("size") % 7), F.col("p_partkey"))
+    return p.select("p_partkey", F.array_join(t.cast("array<string>"), ",").alias("ticks"), F.array_join(u.cast("array<string>"), ",").alias("tiers"))
+
+
+@query("h3_progressive_merge", "WITH n AS (SELECT l_partkey AS id, min(l_linenumber) AS since FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_partkey), e AS (SELECT l_partkey AS src, l_suppkey AS dst, l_linenumber AS batch FROM lineitem WHERE l_partkey <> l_suppkey) SELECT src, dst, min(batch) AS batch FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.since <= batch AND b.since <= batch GROUP BY src, dst")
+def _(s, d):
+    l = X.tables(s, d, "lineitem")["lineitem"]
+    nodes = l.where("l_linenumber <= 4").select(F.col("l_linenumber").alias("batch"), F.col("l_partkey").alias("id"))
+    return rank.merge_batches(nodes, l.select(F.col("l_linenumber").alias("batch"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))[1]
 
 
-both("g14_h6_ticks", "SELECT DISTINCT least(p_size * 100, 4000) AS tick FROM part", "part")
-both("h3_progressive_merge", "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 2", "lineitem")
-both("h4_h5_tail_append", "WITH c AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size, p_partkey) AS pos FROM part WHERE p_partkey % 3 = 0), m AS (SELECT max(pos) AS m FROM c) SELECT id, pos FROM c UNION ALL SELECT p_partkey, m + row_number() OVER (ORDER BY p_partkey) FROM part CROSS JOIN m WHERE p_partkey % 3 <> 0", "part")
+@query("h4_h5_tail_append", "WITH c AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size, p_partkey) AS pos FROM part WHERE p_partkey % 3 = 0), m AS (SELECT max(pos) AS m FROM c) SELECT id, pos FROM c UNION ALL SELECT p_partkey, m + row_number() OVER (ORDER BY p_partkey) FROM part CROSS JOIN m WHERE p_partkey % 3 <> 0")
+def _(s, d):
+    p = X.tables(s, d, "part")["part"].select(F.col("p_partkey").alias("id"), "p_size")
+    first = storage.positions(p.where("id % 3 = 0"), ["p_size", "id"]).select("id", "pos")
+    return graph.completed_order(p.select("id"), first, ["id"])
 
 
 @query("h7_seed_list", "SELECT title FROM (SELECT title, min(z) AS z FROM (SELECT p_name AS title, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) * 1000000 + dense_rank() OVER (ORDER BY p_brand) AS z FROM part) GROUP BY title) ORDER BY z LIMIT 40")
@@ -479,14 +673,16 @@ def _(s, d):
     return rank.tile_sample(r, ["tx"], {"node": 15, "line": 25})
 
 
-@query("i6_o1_jsonl_answer", f"{E_} SELECT src, dst FROM edges WHERE CAST(src AS BIGINT) <= 200 AND CAST(dst AS BIGINT) <= 200")
+@query("i6_o1_jsonl_answer", f"{E_} SELECT src, dst FROM edges WHERE CAST(src AS BIGINT) < 200 AND CAST(dst AS BIGINT) < 200")
 def _(s, d):
     return api.Engine(arts(s, d)).graph(200)[1].select("src", "dst")
 
 
 # --- J: graph algorithms -------------------------------------------------------------------------------------------
 
-both("j1_hub_count", "SELECT o_orderkey, least(100, greatest(1, CAST(ceil(5 * o_orderkey / 100.0) AS BIGINT))) AS hubs FROM orders", "orders")
+@query("j1_hub_count", "SELECT o_orderkey, CASE WHEN o_orderkey - 3 <= 0 THEN 0 ELSE least(100, greatest(1, CAST(ceil(5 * (o_orderkey - 3) / 100.0) AS BIGINT))) END AS hubs FROM orders")
+def _(s, d):
+    return X.tables(s, d, "orders")["orders"].select("o_orderkey", graph.hub_count_of(F.col("o_orderkey") - 3).alias("hubs"))
 
 
 @query("j2_hubs", f"WITH RECURSIVE {E_[5:]}, {DEG}, q AS (SELECT id, in_degree + out_degree AS degree, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) AS r FROM deg), nb AS (SELECT a, list(b) AS ns FROM (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) GROUP BY a), g(r, picked) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL SELECT q.r, CASE WHEN list_has_any(picked, coalesce(ns, [])) OR len(picked) >= 100 THEN picked ELSE list_append(picked, q.id) END FROM g JOIN q ON q.r = g.r + 1 LEFT JOIN nb ON nb.a = q.id) SELECT unnest(picked) AS id FROM (SELECT list_slice(picked, 1, CAST(least(100, greatest(1, ceil(0.05 * (SELECT count(*) FROM art)))) AS BIGINT)) AS picked FROM g ORDER BY r DESC LIMIT 1)")
@@ -494,21 +690,17 @@ def _(s, d):
     return graph.hubs(*nodes_edges(s, d)).select("id")
 
 
-@query("components_min_label", f"WITH RECURSIVE {ES_[5:]}, u AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r(a, c) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.a AND r.c < u.b) SELECT a AS id, min(c) AS component FROM r GROUP BY a")
-def _(s, d):
-    from ..operators.components import components
-
-    return components(graph.resolve(arts(s, d, True))).select(F.col("node").alias("id"), "component")
-
-
-@query("components_min_label_whole")  # a recursion that carries every label to every node is too slow on the dense graph
+@query("components_min_label", f"{COMPONENTS} SELECT a AS id, c AS component FROM cc")
 def _(s, d):
     from ..operators.components import components
 
     return components(graph.resolve(arts(s, d))).select(F.col("node").alias("id"), "component")
 
 
-@query("j3_j9_connected_order")
+@query("j3_j9_connected_order", f"""{COMPONENTS}, n AS MATERIALIZED (SELECT a AS id, c AS component, {HASH.format('a')} AS h FROM cc),
+s AS MATERIALIZED (SELECT id, component, row_number() OVER (ORDER BY h, id) AS cr FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY h, id) AS k FROM n) WHERE k = 1),
+b(id, component, level, z) USING KEY (id) AS (SELECT id, component, 0, CAST(0 AS BIGINT) FROM s UNION SELECT id, component, level, row_number() OVER (ORDER BY component, parent, h, id) FROM (SELECT n.id, n.component, min(b.level) + 1 AS level, min(b.z) AS parent, min(n.h) AS h FROM b JOIN u ON u.a = b.id JOIN n ON n.id = u.b WHERE NOT EXISTS (SELECT 1 FROM recurring.b x WHERE x.id = n.id) GROUP BY n.id, n.component))
+SELECT b.id, b.component, b.level, row_number() OVER (ORDER BY s.cr, b.level, b.z) AS pos FROM b JOIN s USING (component)""")
 def _(s, d):
     return graph.connected_order(graph.resolve(arts(s, d)))
 
@@ -519,17 +711,23 @@ def _(s, d):
     return graph.dense_order(n, e, 50)
 
 
-@query("j6_tier_passes", f"WITH RECURSIVE {ES_[5:]}, h AS (SELECT CAST(src AS BIGINT) AS u, CAST(dst AS BIGINT) AS v, CASE WHEN CAST(dst AS BIGINT) < CAST(src AS BIGINT) THEN 1 ELSE 0 END AS w FROM edges), r(v, p) AS (SELECT min(seq), 0 FROM raw UNION SELECT h.v, r.p + h.w FROM r JOIN h ON h.u = r.v WHERE r.p + h.w <= 40) SELECT v AS seq, CAST(v AS VARCHAR) AS id, CAST(min(p) AS BIGINT) AS pass FROM r GROUP BY v")
+@query("j6_tier_passes", _TIERS + " SELECT v AS seq, CAST(v AS VARCHAR) AS id, CAST(p AS BIGINT) AS pass FROM r")
 def _(s, d):
-    return graph.tier_passes(arts(s, d, True))
+    return graph.tier_passes(arts(s, d))
 
 
-@query("j6_tier_passes_whole")  # as for components
+@query("j8_top_up", "SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey <= (SELECT max(p_partkey) FROM (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0 ORDER BY p_partkey LIMIT 120))")
 def _(s, d):
-    return graph.tier_passes(arts(s, d))
+    """Answers are prefixes in source order; every fourth title is a day."""
+    a = arts(s, d).withColumn("title", F.when(F.col("seq") % 4 == 0, "May 4").otherwise(F.col("title")))
+    return rank.top_up(lambda n: a.orderBy("seq").limit(n), 120, 100_000).select("id")
 
 
-both("j8_top_up", "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 <> 0 ORDER BY p_partkey LIMIT 120", "part")
+@query("j5_page_order")
+def _(s, d):
+    """The best linked 40 of the 150 first parts."""
+    n, e = nodes_edges(s, d)
+    return graph.page_order(n.where("seq < 150").select(F.col("id").alias("title")), e, 40)
 
 
 # --- K: layout -----------------------------------------------------------------------------------------------------
@@ -554,9 +752,40 @@ def _(s, d):
     return layout.charge(*layout_graph(s, d), Settings(), 0.8).select("idx", F.round("dvx", 3).alias("dvx"), F.round("dvy", 3).alias("dvy"))
 
 
-for _name, _force in {"k3_springs": layout.springs, "k4_hub_interactions": layout.hub_forces, "k5_unrelated": layout.unrelated, "k7_collision": layout.collide, "k9_boundary": layout.boundary}.items():
-    QUERIES[_name] = lambda s, d, f=_force: f(*layout_graph(s, d), Settings(), 0.8)
+_LAY = f"""WITH {X.POS_DUCK}, n AS (SELECT idx, x, y, (idx % 10) / 10.0 AS imp, 6 + 6 * (idx % 10) / 10.0 AS radius, idx < 10 AS hub, CASE WHEN idx < 10 THEN 0.9 ELSE 0.0 END AS hs FROM pos), c AS (SELECT count(*) AS n FROM pos),
+e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT idx AS a, (idx + unnest([1, 7, 31])) % (SELECT n FROM c) AS b FROM pos) WHERE a <> b), both_ AS (SELECT a AS i, b AS j FROM e UNION ALL SELECT b, a FROM e),
+rho AS (SELECT least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM e) / n / 6))) AS rho, n FROM c),
+pair AS (SELECT p.idx AS i, q.idx AS j, q.x - p.x AS dx, q.y - p.y AS dy, sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) AS d, p.hub AS hi, q.hub AS hj, p.radius AS ri, q.radius AS rj, p.hs AS si, q.hs AS sj FROM n p JOIN n q ON p.idx <> q.idx)"""
+_SPRING = "least(192.0, pow(least(1024.0, greatest(0.0, d - 48)), 3) / 150000.0 + 0.16 * least(1024.0, greatest(0.0, d - 48)))"
+_OUT = "SELECT i AS idx, round(sum(ix), 3) + 0.0 AS dvx, round(sum(iy), 3) + 0.0 AS dvy"
+_FORCES = {
+    "k3_springs": (layout.springs, f"""{_LAY}, f AS (SELECT i, j, dx, dy, d FROM pair WHERE NOT hi AND NOT hj AND (least(i, j), greatest(i, j)) IN (SELECT (a, b) FROM e)), g AS (SELECT i, count(*) AS k FROM f GROUP BY i),
+w AS (SELECT f.*, greatest(0.02, 1 / sqrt(gi.k * gj.k)) AS w FROM f JOIN g gi ON gi.i = f.i JOIN g gj ON gj.i = f.j), t AS (SELECT i, sum(w) AS t FROM w GROUP BY i),
+v AS (SELECT w.i, sum(0.8 * w / greatest(1, ti.t, tj.t) * {_SPRING} * dx / d) AS vx, sum(0.8 * w / greatest(1, ti.t, tj.t) * {_SPRING} * dy / d) AS vy FROM w JOIN t ti ON ti.i = w.i JOIN t tj ON tj.i = w.j WHERE d > 0 GROUP BY w.i)
+SELECT i AS idx, round(vx * least(1, 1024 * 0.8 / greatest(sqrt(vx * vx + vy * vy), 1e-12)), 3) + 0.0 AS dvx, round(vy * least(1, 1024 * 0.8 / greatest(sqrt(vx * vx + vy * vy), 1e-12)), 3) + 0.0 AS dvy FROM v"""),
+    "k4_hub_interactions": (layout.hub_forces, f"""{_LAY}, l AS (SELECT * FROM pair WHERE NOT hi AND hj AND (i, j) IN (SELECT (i, j) FROM both_)), m AS (SELECT i, count(*) AS m FROM l GROUP BY i), z AS (SELECT j, count(*) AS z FROM l GROUP BY j),
+p AS (SELECT l.i, l.j, dx, dy, d, z, 3.0 * {_SPRING} * 0.8 / m / d AS f FROM l JOIN m USING (i) JOIN z USING (j)),
+u AS (SELECT *, CASE WHEN hi THEN 420 + 180 * (si + sj) ELSE 480.0 END AS r, CASE WHEN hi THEN 24 + 700 * pow(si * sj, 1.2) + 1500 / greatest(28.0, d) ELSE 4 * (40 + 600 * sj) / greatest(28.0, d) END AS k FROM pair WHERE hj AND (hi OR (i, j) NOT IN (SELECT (i, j) FROM both_))),
+o AS (SELECT i, f * dx AS ix, f * dy AS iy FROM p UNION ALL SELECT j, -0.02 * f * dx / z, -0.02 * f * dy / z FROM p UNION ALL SELECT i, -least(140.0, k * (1 - d / r)) * 0.8 / d * dx, -least(140.0, k * (1 - d / r)) * 0.8 / d * dy FROM u WHERE d < r AND d > 0) {_OUT} FROM o GROUP BY i"""),
+    "k5_unrelated": (layout.unrelated, f"{_LAY}, r AS (SELECT pair.*, least(14.0, 40 * rho / greatest(28.0, d) * (1 - d / 420)) * 0.8 / d AS f FROM pair, rho WHERE NOT hi AND NOT hj AND d <= 420 AND d > 0 AND (i, j) NOT IN (SELECT (i, j) FROM both_)), o AS (SELECT i, -f * dx AS ix, -f * dy AS iy FROM r) {_OUT} FROM o GROUP BY i"),
+    "k7_collision": (layout.collide, f"{_LAY}, o AS (SELECT i, -(ri + rj + 36 - d) / d / 0.6 * pow(rj + 18, 2) / (pow(ri + 18, 2) + pow(rj + 18, 2)) * dx AS ix, -(ri + rj + 36 - d) / d / 0.6 * pow(rj + 18, 2) / (pow(ri + 18, 2) + pow(rj + 18, 2)) * dy AS iy FROM pair WHERE d < ri + rj + 36 AND d > 0) {_OUT} FROM o GROUP BY i"),
+    "k9_boundary": (layout.boundary, f"{_LAY}, b AS (SELECT idx, x * 12 AS x, y * 12 AS y, sqrt(x * x + y * y) * 12 AS d, 160 * sqrt(n / pi()) AS r FROM pos, c), f AS (SELECT *, least(120.0, greatest(1.0, 0.08 * r)) AS w FROM b WHERE d > r) SELECT idx, round(-least(0.12 * w * (exp(least(50.0, (d - r) / w)) - 1), 0.6 * (d - r)) / d * x, 3) + 0.0 AS dvx, round(-least(0.12 * w * (exp(least(50.0, (d - r) / w)) - 1), 0.6 * (d - r)) / d * y, 3) + 0.0 AS dvy FROM f"),
+}
+_ONCE = Settings(collide_iterations=1)
+
+
+def forced(s, d, f, far=1.0):
+    n, e = layout_graph(s, d)
+    n = n.withColumns({"x": F.col("x") * far, "y": F.col("y") * far})
+    return f(n, e, _ONCE, 0.8).select("idx", (F.round("dvx", 3) + 0.0).alias("dvx"), (F.round("dvy", 3) + 0.0).alias("dvy"))
+
+
+for _name, (_force, _sql) in _FORCES.items():
+    query(_name, _sql)(lambda s, d, f=_force, far=12.0 if _name == "k9_boundary" else 1.0: forced(s, d, f, far))
 QUERIES["k13_k15_tick"] = lambda s, d: layout.tick(*layout_graph(s, d), Settings(), 0.8)
+QUERIES["k8_overlap_repair"] = lambda s, d: layout.repair_overlaps(layout_graph(s, d)[0])
+QUERIES["i7_k16_sampled_charge"] = lambda s, d: layout.sampled_charge(*layout_graph(s, d), Settings(), 0.8, samples=64)
+QUERIES["l5_label_placement"] = lambda s, d: rank.placed_labels(layout_graph(s, d)[0].withColumns({"width": F.lit(60.0), "priority": F.col("importance")}), layout_graph(s, d)[0], (-1000.0, -1000.0, 1000.0, 1000.0), 1.0)
 
 # --- flagship ------------------------------------------------------------------------------------------------------
 

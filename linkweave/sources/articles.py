@@ -1,4 +1,4 @@
-"""Dumps, JSON-lines article records, graph documents, SVG; readers and sinks."""
+"""Dumps, JSON-lines article records, graph documents, SVG: readers."""
 
 from __future__ import annotations
 
@@ -15,11 +15,11 @@ def dump(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
 
 
-def articles_of(pages: DataFrame) -> DataFrame:
+def articles_of(pages: DataFrame, *carry: str) -> DataFrame:
     """Kept pages as article records (A5, C1): articles with id and title, no redirects, no disambiguation pages."""
     t = F.coalesce(F.col("revision.text._VALUE"), F.lit(""))
     keep = (F.col("ns") == 0) & (F.trim("title") != "") & F.col("redirect").isNull() & F.col("id").isNotNull() & ~T.is_disambiguation_title(F.col("title")) & ~T.is_disambiguation_text(t)
-    return pages.where(keep).select("id", "title", T.url_path_safe(F.col("title")).alias("url"), F.octet_length(t).cast("double").alias("byte_length"), T.links(t).alias("links"))
+    return pages.where(keep).select(*carry, "id", "title", T.url_path_safe(F.col("title")).alias("url"), F.octet_length(t).cast("double").alias("byte_length"), T.links(t).alias("links"))
 
 
 def reference(v: Column) -> Column:
@@ -62,17 +62,6 @@ def svg_elements(lines: DataFrame) -> DataFrame:
     return lines.where(kind != "").select(kind.alias("kind"), F.map_from_arrays(names, values).alias("attributes"), F.regexp_extract("value", ">([^<]*)</text>", 1).alias("text"))
 
 
-def svg_fragments(nodes: DataFrame, lines: DataFrame, labels: bool = True) -> DataFrame:
-    """(section, seq, value): the drawing as ordered lines of text."""
-    n = T.svg_number
-    a = lines.select(F.lit(1).alias("section"), "seq", F.concat(F.lit('<line x1="'), n(F.col("x1")), F.lit('" y1="'), n(F.col("y1")), F.lit('" x2="'), n(F.col("x2")), F.lit('" y2="'), n(F.col("y2")), F.lit('"/>')).alias("value"))
-    b = nodes.select(F.lit(2).alias("section"), F.col("idx").alias("seq"), F.concat(F.lit('<circle cx="'), n(F.col("x")), F.lit('" cy="'), n(F.col("y")), F.lit('" r="'), n(F.col("radius")), F.lit('"/>')).alias("value"))
-    out = a.unionByName(b)
-    if labels:
-        out = out.unionByName(nodes.select(F.lit(3).alias("section"), F.col("idx").alias("seq"), F.concat(F.lit('<text x="'), n(F.col("x")), F.lit('" y="'), n(F.col("y")), F.lit('">'), T.xml_escape(T.label(F.col("title"))), F.lit("</text>")).alias("value")))
-    return out
-
-
 def known_input(names: list[str]) -> str | None:
     """The first of the usual inputs that is there."""
     return next((n for n in ("index/articles.jsonl", "articles.jsonl", "index/index.json", "index.json") if n in names), None)

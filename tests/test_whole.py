@@ -30,7 +30,7 @@ def test_components_of_all_links(spark, links):
         for a in todo:
             if want.setdefault(a, s) == s:
                 todo += [b for b in near[a] if b not in want and b not in todo]
-    assert dict(map(tuple, QUERIES["components_min_label_whole"](spark, SF).collect())) == want
+    assert dict(map(tuple, QUERIES["components_min_label"](spark, SF).collect())) == want
 
 
 def test_connected_order_of_all_links(spark, links):
@@ -77,10 +77,10 @@ def test_tier_passes_of_all_links(spark, duck, links):
                 want[s] = pass_
                 frontier |= to.get(s, set())
         pass_, scan = pass_ + 1, seqs
-    assert {r["seq"]: r["pass"] for r in QUERIES["j6_tier_passes_whole"](spark, SF).collect()} == want
+    assert {r["seq"]: r["pass"] for r in QUERIES["j6_tier_passes"](spark, SF).collect()} == want
 
 
 def test_repulsion_of_all_links(spark, duck, links):
     n = duck.execute("SELECT count(*) FROM part").fetchone()[0]
     want = min(3.0, max(1.0, 2 * len({(min(p), max(p)) for p in links}) / n / 6) ** 0.5)
-    assert abs(QUERIES["f3_repulsion_scale_whole"](spark, SF).first()[0] - want) < 1e-6
+    assert abs(QUERIES["f3_repulsion_scale"](spark, SF).first()[0] - want) < 1e-6
