@@ -103,10 +103,10 @@ def hubs(nodes: DataFrame, edges: DataFrame, window: int = 512) -> DataFrame:
     chosen. The first open node is always chosen, so there are at most as many
     rounds as hubs, one or two as a rule; no round looks at other nodes twice.
     """
-    want = hub_count(nodes.count())
+    left, facts = measured(nodes.select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree")), "open", n=F.count("*"))
+    want = hub_count(facts["n"])
     p = pairs(edges)
     both = stored(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
-    left = nodes.select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
     best = lambda df, n: [tuple(r) for r in df.orderBy(F.desc("degree"), "id").limit(n).collect()]
     chosen: list[tuple[str, int]] = []
     while len(chosen) < want and (head := best(left, window)):
