@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import MAX_ROWS, Boosted, fit
-from .common import lower_ascii
+from .common import lower_ascii, stored
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -84,7 +84,7 @@ def suffix_statistics(f: DataFrame) -> DataFrame:
     counts by both are combined before the shuffle, and the coarser ones are
     sums of those.
     """
-    pair = f.groupBy("suffix", "lead", "fold").agg(F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("b")).withColumn("one", F.lit(1))
+    pair = stored(f.groupBy("suffix", "lead", "fold").agg(F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("b")).withColumn("one", F.lit(1)), "suffix-counts")
     cells = pair.select("one", "suffix", "lead").distinct().withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(-1, FOLDS)])))
     for name, (by, coarser) in SHARES.items():
         own = pair.groupBy(*by, "fold").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
