@@ -145,5 +145,5 @@ def build_tiers(spark: SparkSession, source: str, out: str, counts: list[int], c
 def status(root: str) -> dict:
     """Which parts of a data root are there, and how large."""
     parts = {"articles": "articles.jsonl", "index": "index/articles.jsonl", "sample": "index/sample", "tiers": "tiers", "positions": "positions"}
-    out = {k: {"bytes": max(files.size(f"{root}/{p}"), files.tree_bytes(f"{root}/{p}"))} if files.exists(f"{root}/{p}") else None for k, p in parts.items()}
+    out = {k: {"bytes": files.tree_bytes(f"{root}/{p}")} if files.exists(f"{root}/{p}") else None for k, p in parts.items()}
     return out | {"manifest": files.read_json(f"{root}/index/manifest.json")}

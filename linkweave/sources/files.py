@@ -31,8 +31,10 @@ def part(uri: str, start: int, length: int) -> bytes:
 
 
 def tree_bytes(uri: str) -> int:
-    """Bytes of all files below a folder."""
+    """Bytes of a file, or of all files below a folder."""
     fs, path = opened(uri)
+    if fs.get_file_info(path).type == pafs.FileType.File:
+        return size(uri)
     return sum(i.size or 0 for i in fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True)) if i.type == pafs.FileType.File and not i.base_name.endswith(".crc"))
 
 
