@@ -33,7 +33,7 @@ from .common import bounded_batches, discard, partitions, release, stored
 from .lines import mix
 
 SHINGLE = 5
-#: Rows of a block, of which two are compared in one task; a bucket below 16 such blocks is dealt to up to 16 smaller ones, so that it is no heavy task among light ones.
+#: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
 STAR_ROUNDS = 1
 #: Cells of the sketch that pairs of an open bucket must pass.
@@ -267,7 +267,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _in_blocks(rows: DataFrame, parts: int, compare, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
     """compare() over the rows of each bucket together; large buckets are dealt out in pairs of blocks, none over 2 * BLOCK rows. more: columns besides."""
     size = rows.groupBy("sig").agg(F.count("*").alias("c"))
-    k = F.least(F.ceil(F.col("c") * 16 / BLOCK), F.greatest(F.lit(16), F.ceil(F.col("c") / BLOCK))).cast("int")
+    k = F.ceil(F.col("c") / BLOCK).cast("int")
     r = rows.join(size, "sig").withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls", "comp", "n", "s0", "s1", "s2", "s3", *more)
 
@@ -335,7 +335,13 @@ def _block_pairs(rows: DataFrame, parts: int, mids: DataFrame | None = None) ->
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         _, group, cross, i, cls, comp, n, s = _arrays(f)
         met = f[list(marks)].to_numpy()
-        before = [frozenset(x.tolist()) for x in f["met"]]
+        mets, sets = f["met"].to_numpy(), {}
+
+        def before(k: int) -> frozenset:
+            if k not in sets:
+                sets[k] = frozenset(mets[k].tolist())
+            return sets[k]
+
         mid = np.frombuffer(b"".join(f["mid"]), np.uint8).reshape(-1, MID) if fine else None
         got, x, d = [np.empty((0, 2), np.int64)], np.arange(len(f)), 1
         while len(x := x[x + d < len(f)]) and len(x := x[group[x] == group[x + d]]):
@@ -345,7 +351,7 @@ def _block_pairs(rows: DataFrame, parts: int, mids: DataFrame | None = None) ->
             if fine:
                 gap = np.abs(mid[a].astype(np.int16) - mid[a + d]).sum(axis=1)
                 a = a[9 * gap <= n[a] + n[a + d]]
-            a = a[np.array([before[k].isdisjoint(before[k + d]) for k in a.tolist()], bool)]
+            a = a[np.array([before(k).isdisjoint(before(k + d)) for k in a.tolist()], bool)]
             got.append(np.stack([np.minimum(cls[a], cls[a + d]), np.maximum(cls[a], cls[a + d])], axis=1))
             d += 1
         p = np.unique(np.concatenate(got), axis=0)
