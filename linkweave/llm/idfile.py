@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import bounded_batches, fresh, partitions, stored
-from .tokens import encoder
+from .tokens import encoder, release
 
 MAGIC = b"LWEFIDS2"
 _HEAD = struct.Struct("<8sBBBqqqqqqqq")  # magic, bytes an id, low bits of bounds and of names, null names, documents, least name, bytes of low and high twice, samples being 4 bytes each
@@ -150,6 +150,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 1, words: bool
                 held += len(e)
                 if held >= shard_bytes:
                     close()
+        release()
         if doc_ids:
             close()
         yield pd.DataFrame(rows, columns=["task", "shard", "path", "documents", "ids", "before"])

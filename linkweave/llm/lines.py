@@ -127,12 +127,12 @@ class LineShard:
         return cls(h, z["prints"], z["counts"], z["first"], z["twins"])
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _shards(paths: tuple[str, ...]) -> list[LineShard]:
     return [LineShard.load(files.read(p)) for p in paths]
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=2)
 def _shard(path: str) -> LineShard:
     return LineShard.load(files.read(path))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .tokens import encoder
+from .tokens import encoder, release
 
 WINDOW = 2048
 #: Gaps up to this stay as padding; larger ones are filled from the emptiest windows.
@@ -142,6 +142,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, words: bool = False,
         for b in batches:
             names += [None if pd.isna(d) else int(d) for d in b["d"]]
             ids += [np.frombuffer(e + end, dtype=enc.dtype) for e in enc.encode(b["t"].tolist())]
+        release()
         base = TaskContext.get().partitionId() << 36
         rows, held = [], 0
         for s, seq in enumerate(layout([len(x) for x in ids], window)):

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps; beyond, it starts anew.
-CACHE = 1_000_000
+CACHE = 400_000
 #: New pieces that are encoded in one go.
 JOINED = 4000
 #: Between pieces; a text that holds it is encoded as it is.
@@ -183,6 +183,11 @@ class Encoder:
 _encoders: dict = {}
 
 
+def release() -> None:
+    """Give Arrow's free memory back at the end of a task; the worker may idle while others need it."""
+    pa.default_memory_pool().release_unused()
+
+
 def encoder(path: str, words: bool) -> Encoder:
     if (path, words) not in _encoders:
         _encoders[path, words] = Encoder(path, words)
