@@ -6,7 +6,7 @@ from linkweave.plans import fixtures as X
 from linkweave.plans.catalog import QUERIES
 
 from .conftest import SF
-from .test_operators import fnv
+from .test_operators import fnv, slow_dense
 
 
 @pytest.fixture(scope="module")
@@ -51,15 +51,9 @@ def test_connected_order_of_all_links(spark, links):
 def test_dense_core_of_all_links(spark, duck, links):
     ids = [r[0] for r in duck.execute("SELECT p_partkey FROM part").fetchall()]
     deg = {i: 2 * sum(a == i for a, _ in links) + sum(b == i for _, b in links) for i in ids}
-    live = set(sorted(ids, key=lambda i: (-deg[i], fnv(str(i)), str(i)))[:400])
-    while len(live) > 50:
-        inner = dict.fromkeys(live, 0)
-        for a, b in links:
-            if a in live and b in live:
-                inner[a] += 1
-        least = min((inner[i], deg[i]) for i in live)
-        live.remove(max((i for i in live if (inner[i], deg[i]) == least), key=str))
-    assert {int(r["id"]) for r in QUERIES["j4_dense_core"](spark, SF).collect()} == live
+    pool = [str(i) for i in sorted(ids, key=lambda i: (-deg[i], fnv(str(i)), str(i)))[:400]]
+    want = slow_dense(set(pool), [(str(a), str(b)) for a, b in links], 50)
+    assert [r["id"] for r in QUERIES["j4_dense_core"](spark, SF).orderBy("pos").collect()] == want
 
 
 def test_tier_passes_of_all_links(spark, duck, links):
