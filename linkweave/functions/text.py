@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of reference keys, spelled out because Java's \s is ASCII only.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+#: White space of reference keys, spelled out because Java's \s is ASCII only. Fixed values.
+SPACE = r"[\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 #: Namespaces that are not articles.
 PREFIXES = [
     "category", "file", "image", "media", "mediawiki", "module", "portal",
