@@ -46,6 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage over what the others keep of ``documents``, each written as a table and read again.
+
+    Null and empty texts go with the first stage. Rows with null or tied ids
+    pass as rows of their own; of near copies the row without an id comes
+    last. An empty table gives no pieces.
+    """
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), name)

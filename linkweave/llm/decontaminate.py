@@ -113,6 +113,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs in which no window of an item occurs, with their columns as they were."""
+    """The rows of docs in which no window of an item occurs, with their columns as they were.
+
+    Null and empty texts stay, as they have no words. Rows are judged one by
+    one: repeated rows, and rows with tied or null ids, all stay or all go.
+    """
     own = docs.select(F.struct(*docs.columns).alias("own"), F.col("text").alias("text"))
     return contamination(own, items, carry=["own"]).where(~F.col("contaminated")).select("own.*")

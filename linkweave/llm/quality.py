@@ -105,9 +105,12 @@ def quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     Null or empty text: all counts 0, base_failed true. Other columns pass
     unless they carry a name that this operator adds, which it replaces.
     """
-    q = F.col("_q")
-    out = docs.withColumn("_q", measures(F.col(text))).withColumns({k: q[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
-    return out.withColumns({"base_failed": base_failed(q), "kept": ~base_failed(q) & verdict(q, rules)}).drop("_q")
+    name = "_q"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    q = F.col(name)
+    out = docs.withColumn(name, measures(F.col(text))).withColumns({k: q[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
+    return out.withColumns({"base_failed": base_failed(q), "kept": ~base_failed(q) & verdict(q, rules)}).drop(name)
 
 
 def base_failed(q: Column) -> Column:
@@ -115,5 +118,9 @@ def base_failed(q: Column) -> Column:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns as they were."""
+    """The rows of docs that the rules keep, with their columns as they were.
+
+    Null and empty texts go, as they have too few words. Rows are judged one
+    by one: repeated rows, and rows with tied or null ids, all stay or all go.
+    """
     return docs.where(let(measures(F.col("text")), lambda q: ~base_failed(q) & verdict(q)))

@@ -16,42 +16,52 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, count and CRC of every document's ids, read back from id files. Null text is empty; rows with tied or null ids get a row each, null ids first."""
     return idfile.read_shards(idfile.write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and all spans of personal data of every document. Null text is empty; one row out for each row in."""
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the verdict of the quality rules for every document. Null text has no words and is not kept."""
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped, and the digest of what stays. Null text is one empty line; rows with a null id pass unchanged."""
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and all spans of secrets of every document. Null text is empty; a text that many rows hold is scanned once and answered for each."""
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page. A null URL, or one without a scheme, has neither host nor path; the trees judge it."""
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back. Null html is an empty payload; repeated rows get a record each."""
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 2048 tokens. Null text is the end id alone."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark passages, and the items they come from. Null text has no words."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document. Texts that are null or have no words are their own component."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
 
 

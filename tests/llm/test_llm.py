@@ -138,6 +138,7 @@ def test_quality_odd(spark):
     assert got[5]["n_repeat_words"] == 3000 and got[6]["word_chars"] == 200_000
     assert quality.quality(docs(spark, [])).count() == 0
     assert quality.keep_good(docs(spark)).columns == docs(spark).columns
+    assert quality.quality(docs(spark).withColumn("_Q", F.lit("mine"))).first()["_Q"] == "mine"
 
 
 def test_line_dedup(spark):
