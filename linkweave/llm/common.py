@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, exists, fresh, stored  # noqa: F401  used by the operators
+from ..storage import discard, exists, fresh, measured, stored  # noqa: F401  used by the operators
 
 #: Rows and bytes an Arrow batch may hold, so that a batch of long texts fits a worker.
 BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20

@@ -1,11 +1,11 @@
-"""The ten operators and the pipeline as queries over whole tables, and their SQL where SQL can express them."""
+"""The thirteen operators and the pipeline as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, idfile, jaccard, lines, packing, pii, quality, secrets, urls, warc
+from . import centroids, decontaminate, idfile, jaccard, lines, mixing, packing, pii, quality, secrets, spelling, urls, warc
 from .common import table
 
 
@@ -65,10 +65,63 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_pii, op3_quality, op4_line_dedup, op5_secrets, op6_url_filter, op7_warc, op8_packing, op9_decontamination, op10_ngram_jaccard)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every whole vector, and the facts of its cluster. Vectors with a null or infinite component are left out."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that occurs twice or more, its near words and its commoner form. Null text has no words."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and where it is met first. Null text has no words and is not taken."""
+    return mixing.digest(*mixing.mix(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_pii, op3_quality, op4_line_dedup, op5_secrets, op6_url_filter, op7_warc, op8_packing, op9_decontamination, op10_ngram_jaccard, op11_centroids, op12_spelling, op13_mixing)}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in quality.STOP_WORDS) + "]"
 
+_D2 = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))"
+
+
+def _kmeans() -> str:
+    out = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS c FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16)"]
+    for r in range(4):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, k, d FROM (SELECT vec_id, v, k, {_D2} AS d, row_number() OVER (PARTITION BY vec_id ORDER BY {_D2}, k) AS nth FROM v, c{r} c) WHERE nth = 1)")
+        out.append(f"m{r} AS (SELECT k, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS x FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i)")
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM m{r} GROUP BY k) n USING (k))")
+    return "WITH " + ", ".join(out[:-2]) + """ SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a3 JOIN c3 c USING (k)"""
+
+
+_KMEANS = _kmeans()
+#: crc32 by a table of 256, over the bytes of the text in hexadecimal.
+_SPELLING = """WITH RECURSIVE b AS (SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS step FROM range(256) t(i) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM b WHERE step < 8),
+t AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM b WHERE step = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{7,}')) AS run FROM documents),
+x AS (SELECT run, hex(encode(doc_id || ':' || run)) AS x FROM r),
+h AS (SELECT run, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: CAST(('0x' || substr(x, i, 2)) AS BIGINT)), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM x, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.less UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.less),
+f AS MATERIALIZED (SELECT v.word, v.n, m.n_near, CASE WHEN m.best.n >= 10 * v.n THEN m.best.other END AS form, CASE WHEN m.best.n >= 10 * v.n THEN m.best.n END AS form_n FROM v LEFT JOIN (SELECT word, count(*) AS n_near, max_by({'n': other_n, 'other': other}, other_n ORDER BY other) AS best FROM p GROUP BY word) m USING (word)),
+g(word, root) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.root, f.n, CAST(coalesce(f.n_near, 0) AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN g USING (word) JOIN f z ON z.word = g.root WHERE z.form IS NULL"""
+_MIXING = """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS MATERIALIZED (SELECT source, size, nth, [5, 2, 1][nth + 1] AS w FROM (SELECT source, sum(size) AS size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) AS nth FROM d GROUP BY source)),
+r(k, rest, w) AS (SELECT 0, (SELECT sum(size) FROM s), (SELECT sum(w) FROM s) UNION ALL SELECT k + 1, (SELECT sum(size) FROM s) - coalesce((SELECT sum(3 * size) FROM s WHERE s.w * r.rest > 3 * s.size * r.w), 0), (SELECT sum(s.w) FROM s WHERE s.w * r.rest <= 3 * s.size * r.w) FROM r WHERE k < 40),
+l AS (SELECT rest, w AS all_w FROM r ORDER BY k DESC LIMIT 1),
+t AS (SELECT source, size AS source_size, nth, CASE WHEN w * rest > 3 * size * all_w THEN CAST(3 * size AS DOUBLE) ELSE CAST(w * rest AS DOUBLE) / all_w END AS target FROM s, l),
+c AS (SELECT doc_id, d.size, CAST(source_size AS BIGINT) AS source_size, nth, target, CAST(round(target) AS BIGINT) AS q, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('1:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT *, before / q AS u, (q // source_size) * d.size + greatest(0, least(d.size, q % source_size - before)) AS taken FROM c d WHERE q > 0),
+z AS (SELECT *, CASE nth WHEN 0 THEN 2.0 * u / (1.5 + sqrt(2.25 - 2.0 * u)) WHEN 2 THEN 2.0 * u / (0.5 + sqrt(0.25 + 2.0 * u)) WHEN 1 THEN CASE WHEN u < 0.5 THEN 2.0 * u / (0.5 + sqrt(0.25 + 4.0 * u)) ELSE 0.5 + 2.0 * (u - 0.5) / (1.5 + sqrt(2.25 - 4.0 * (u - 0.5))) END END AS place FROM u)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(place, 9) END AS position FROM z"""
+
 ORACLE_SQL = {
     "op3_quality": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -118,4 +171,7 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(doc_id, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id AND r.c < u.b),
 m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op11_centroids": _KMEANS,
+    "op12_spelling": _SPELLING,
+    "op13_mixing": _MIXING,
 }
