@@ -26,8 +26,8 @@ FEATURES = ["length", "depth", "digit_share", "digits", "first_digit", "entropy"
 CUTS = {k: [0.5] for k in SHARES}
 #: Folds of the labelled URLs; the last is never fitted on.
 FOLDS = 5
-#: Rows of one (suffix, lead) that go to a task together, about: a table row is repeated for so many salts.
-SALTS = 16
+#: Rows of one (suffix, lead) that go to a task together, about; a row of the statistics is repeated for each salt, of which there are SALTS at least.
+ROWS_A_TASK, SALTS = 200_000, 16
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -49,11 +49,16 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def row_hash(pages: DataFrame) -> Column:
+    """A hash of all columns of a row that Spark can hash: maps and variants have none."""
+    return F.xxhash64(*[c for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def features(pages: DataFrame, url: str = "url") -> DataFrame:
-    """pages with host, path, rule, ruled and the lexical features (all but the suffix statistic)."""
+    """pages with host, path, rule, ruled, the row's hash (mark) and the lexical features (all but the suffix statistic)."""
     u = F.coalesce(F.col(url), F.lit(""))
     host, path = split_url(F.col(url))
-    a = pages.withColumns({"host": host, "path": path})
+    a = pages.withColumns({"host": host, "path": path} | ({} if "mark" in pages.columns else {"mark": row_hash(pages)}))
     rule, verdict = rule_for(F.col("host"), F.col("path"))
     n = F.greatest(F.length(u), F.lit(1))
     sorted_chars = F.array_sort(F.split(u, ""))
@@ -77,14 +82,14 @@ def features(pages: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def suffix_statistics(f: DataFrame) -> DataFrame:
-    """(suffix, lead, fold, the shares): blocked among the ruled URLs outside the fold; fold -1 counts all.
+def suffix_statistics(f: DataFrame) -> tuple[DataFrame, int]:
+    """(suffix, lead, fold, the shares): blocked among the ruled URLs outside the fold; fold -1 counts all. Beside it the most rows of one of them.
 
     A row for each suffix and lead that occurs, ruled or not, and each fold:
     counts by both are combined before the shuffle, and the coarser ones are
     sums of those.
     """
-    pair = stored(f.groupBy("suffix", "lead", "fold").agg(F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("b")).withColumn("one", F.lit(1)), "suffix-counts")
+    pair = stored(f.groupBy("suffix", "lead", "fold").agg(F.count("*").alias("rows"), F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("b")).withColumn("one", F.lit(1)), "suffix-counts")
     cells = pair.select("one", "suffix", "lead").distinct().withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(-1, FOLDS)])))
     for name, (by, coarser) in SHARES.items():
         own = pair.groupBy(*by, "fold").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
@@ -93,26 +98,32 @@ def suffix_statistics(f: DataFrame) -> DataFrame:
         rest = lambda c: F.col(f"all_{c}") - F.when(F.col("fold") >= 0, F.coalesce(c, F.lit(0))).otherwise(0)
         prior = sum(F.col(c) for c in coarser) / len(coarser) if coarser else F.lit(0.25)
         cells = cells.withColumn(name, F.round((rest("b") + PRIOR * prior) / (rest("n") + PRIOR), 6)).drop("n", "b", "all_n", "all_b")
-    return cells.select("suffix", "lead", "fold", *SHARES)
+    return cells.select("suffix", "lead", "fold", *SHARES), pair.agg(F.max("rows")).first()[0] or 0
 
 
-def with_statistics(f: DataFrame) -> DataFrame:
-    """f with its suffix statistics. Both sides are salted, so that one suffix, be it a third of all rows, is spread over tasks."""
-    table = suffix_statistics(f).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return f.withColumn("salt", F.pmod(F.xxhash64("url", F.lit("salt")), F.lit(SALTS)).cast("int")).join(table, ["suffix", "lead", "fold", "salt"])
+def with_statistics(f: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """f with its suffix statistics. Both sides are salted by the rows of the commonest suffix and lead, so that one of them, be it a third of all rows, is spread over tasks."""
+    table, most = suffix_statistics(f)
+    salts = max(SALTS, -(-most // rows_a_task))
+    table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return f.withColumn("salt", F.pmod(F.xxhash64("mark", F.lit("salt")), F.lit(salts)).cast("int")).join(table, ["suffix", "lead", "fold", "salt"])
 
 
 def _sample(f: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1: block) of at most ``bound`` rows of f: those of smallest hash, so always the same.
+    """Features and labels (1: block) of min(``bound``, rows of f) rows: those of smallest hash of the whole row, so always the same.
 
     A cut of the hash leaves about three times as many rows before they are
-    sorted, so that no task sends ``bound`` rows of its own to the driver.
+    sorted, so that few rows travel. Rows that repeat share a hash, so a cut
+    may leave too few: it is widened until there are enough.
     """
-    n, h = f.count(), F.xxhash64("host", "path")
-    if n > 3 * bound:
-        f = f.where(h < F.lit(-(2**63) + 3 * bound * 2**64 // n))
-    rows = f.select(h.alias("h"), "host", "path", *FEATURES, (F.col("ruled") == "block").cast("int").alias("y")).orderBy("h", "host", "path", *FEATURES).limit(bound).collect()
-    return np.array([[float(r[k]) for k in FEATURES] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows])
+    n, h = f.count(), F.col("mark")
+    width = min(1.0, 3 * bound / max(n, 1))
+    while True:
+        cut = f if width >= 1 else f.where(h < F.lit(int(-(2**63) + width * 2**64)))
+        rows = cut.select(h.alias("h"), *FEATURES, (F.col("ruled") == "block").cast("int").alias("y")).orderBy("h", *FEATURES, "y").limit(bound).collect()
+        if width >= 1 or len(rows) == bound:
+            return np.array([[float(r[k]) for k in FEATURES] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows])
+        width = min(1.0, 8 * width)
 
 
 def train(f: DataFrame, bound: int = MAX_ROWS) -> Boosted:
@@ -139,7 +150,7 @@ def judge(pages: DataFrame, url: str = "url") -> DataFrame:
     itself; an empty table gives none.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    own = pages.select(F.struct(*keep).alias("own"), F.col(url).alias("url"))
+    own = pages.select(F.struct(*keep).alias("own"), F.col(url).alias("url"), row_hash(pages).alias("mark"))
     f = with_statistics(features(own))
     trees = train(f)
     blocked = trees.column(F.col) > F.lit(trees.threshold)
