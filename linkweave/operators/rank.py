@@ -228,54 +228,6 @@ def hit(points: DataFrame, x: float, y: float, reach: str, depth: str | None = N
     return near.orderBy(*([depth] if depth else []), "idx").limit(1)
 
 
-def place_labels(candidates: list[dict], nodes: list[tuple[float, float, float]], bounds: tuple[float, float, float, float], scale: float, show_all: bool = False) -> list[dict]:
-    """Where labels go: the first of six anchors that meets no label before and no node.
-
-    candidates, in order of priority: id, x, y, radius, width (of the text).
-    nodes are obstacles up to 800 of them. bounds: left, top, right, bottom.
-    """
-    size = min(32.0, max(9.0, 10.5 / max(0.25, scale)))
-    height, gap, pad = size * 1.18, max(5.0, 7 / max(0.25, scale)), max(3.0, 4 / max(0.25, scale))
-    taken, out = [], []
-    for c in candidates:
-        x, y, r, w = c["x"], c["y"], c["radius"], c["width"]
-        side, below = r + gap + w / 2, y + r + gap
-        first = chosen = None
-        for px, py in ((x, below), (x, y - r - gap - height), (x + side, y - height / 2), (x - side, y - height / 2), (x + side, below), (x - side, below)):
-            left, top, right, bottom = px - w / 2, py, px + w / 2, py + height
-            if right < bounds[0] or left > bounds[2] or bottom < bounds[1] or top > bounds[3]:
-                continue
-            first = first or (px, py, left, top, right, bottom)
-            if any(left < b[2] + pad and right > b[0] - pad and top < b[3] + pad and bottom > b[1] - pad for b in taken):
-                continue
-            if len(nodes) <= 800 and any(nx != x and (nx - max(left, min(nx, right))) ** 2 + (ny - max(top, min(ny, bottom))) ** 2 < (nr + pad) ** 2 for nx, ny, nr in nodes):
-                continue
-            chosen = (px, py, left, top, right, bottom)
-            break
-        chosen = chosen or (first if show_all else None)
-        if chosen:
-            taken.append(chosen[2:])
-            out.append({"id": c["id"], "x": chosen[0], "y": chosen[1]})
-    return out
-
-
-def placed_labels(candidates: DataFrame, nodes: DataFrame, bounds: tuple[float, float, float, float], scale: float, most: int = 2000) -> DataFrame:
-    """(id, x, y) of place_labels() over candidates(id, x, y, radius, width, priority), at most ``most`` of highest priority, in one task: the view's budget bounds them."""
-    near = nodes.select("x", "y", "radius").where(F.expr(L.in_view("x", "y", "radius", bounds))).limit(801)
-    rows = candidates.orderBy(F.desc("priority"), "id").limit(most).select(F.lit(0).alias("g"), "id", "x", "y", "radius", "width", "priority")
-    rows = rows.unionByName(near.withColumns({"g": F.lit(0), "id": F.lit(None).cast("string"), "width": F.lit(None).cast("double"), "priority": F.lit(None).cast(rows.schema["priority"].dataType)}))
-
-    def run(f):
-        import pandas as pd
-
-        named = f["id"].notna()
-        c = f[named].sort_values(["priority", "id"], ascending=[False, True]).to_dict("records")
-        obstacles = list(f.loc[~named, ["x", "y", "radius"]].itertuples(index=False, name=None))
-        return pd.DataFrame(place_labels(c, obstacles, bounds, scale), columns=["id", "x", "y"])
-
-    return rows.groupBy("g").applyInPandas(run, "id string, x double, y double")
-
-
 def seeds(clusters: DataFrame, tail: DataFrame, cap: int) -> DataFrame:
     """Clusters' titles in turn, then the tail; first occurrence kept, up to cap (H7). clusters(cluster, titles), tail(pos, title)."""
     a = clusters.select("cluster", F.posexplode("titles").alias("r", "title")).select(F.struct(F.lit(0).alias("part"), F.col("r").cast("long").alias("r"), F.col("cluster").cast("long").alias("c")).alias("at"), "title")
@@ -317,41 +269,3 @@ def with_defaults(nodes: DataFrame) -> DataFrame:
 
     n = nodes.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), "title"))
     return n.withColumn("url", F.coalesce("url", url_component(F.col("title"))) if "url" in nodes.columns else url_component(F.col("title")))
-
-
-def crawl(fetch, seeds: list[str], target: int, batch: int = 50, queue_most: int | None = None) -> tuple[list[dict], list[tuple[str, str]], dict[str, str]]:
-    """Pages, raw links and aliases of a bounded crawl of a paged source.
-
-    fetch(titles) gives (pages, aliases): pages with title and links, and a
-    map from alias to title. The queue goes by how many links a title has got
-    so far, then by title; it stops at ``target`` pages. The source sets the
-    pace and the target bounds what the driver holds (1500 pages as a rule).
-    """
-    key_ = lambda t: " ".join(t.split()).lower()
-    most = queue_most or 2 * target
-    queue = list({key_(t): t for t in seeds}.values())
-    score: dict[str, int] = {}
-    seen: dict[str, dict] = {}
-    links: list[tuple[str, str]] = []
-    aliases: dict[str, str] = {}
-    while queue and len(seen) < target:
-        queue.sort(key=lambda t: (-score.get(key_(t), 0), key_(t)))
-        now, queue = [t for t in queue[:batch] if key_(t) not in seen], queue[batch:]
-        if not now:
-            continue
-        pages, more = fetch(now)
-        aliases |= {key_(a): t for a, t in more.items()}
-        queued = {key_(t) for t in queue}
-        for p in pages:
-            if key_(p["title"]) in seen:
-                continue
-            seen[key_(p["title"])] = p
-            for t in p["links"]:
-                t = aliases.get(key_(t), t)
-                k = key_(t)
-                links.append((p["title"], t))
-                score[k] = score.get(k, 0) + 1
-                if k not in seen and k not in queued and len(queue) + len(seen) < most:
-                    queue.append(t)
-                    queued.add(k)
-    return list(seen.values()), links, aliases

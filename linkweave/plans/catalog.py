@@ -13,9 +13,9 @@ from .. import api, storage
 from ..functions import layout as L
 from ..functions import text as T
 from ..functions.layout import Settings
-from ..operators import graph, layout, rank
+from ..operators import graph, labels, layout, rank
 from ..sources import articles as S
-from ..sources import corpus, drawing, dumps, files
+from ..sources import corpus, drawing, dumps, files, paged
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,7 +200,12 @@ def _(s, d):
     return S.svg_elements(lines).select(F.col("attributes")["cx"].cast("long").alias("p_partkey"), "kind", F.col("attributes")["r"].alias("r"))
 
 
-query("a20_fallback_graph", "WITH n AS (SELECT DISTINCT n_nationkey AS i FROM nation), o AS (SELECT 1 AS o UNION ALL SELECT 2 UNION ALL SELECT 4) SELECT DISTINCT CAST(i AS BIGINT) AS src, CAST((i + o) % 25 AS BIGINT) AS dst FROM n CROSS JOIN o")(lambda s, d: rank.fallback_graph(25, s))
+@query("a20_fallback_graph", "WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS c FROM nation), o AS (SELECT unnest([1, 2, 4]) AS o) SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM n a, o, n b WHERE b.i = (a.i + o) % a.c AND a.i <> b.i")
+def _(s, d):
+    """The circulant graph of as many nodes as there are nations, under their names."""
+    n = storage.stored(storage.positions(X.tables(s, d, "nation")["nation"].select("n_nationkey", "n_name"), ["n_nationkey"], "i"), "nations")
+    e, name = rank.fallback_graph(n.count(), s), lambda k: n.select(F.col("i").alias(k), F.col("n_name").alias(f"{k}_name"))
+    return e.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
 
 
 _SVG = """WITH pos AS (SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) * 3000 AS x, CAST(embedding[2] AS DOUBLE) * 3000 AS y, label FROM embeddings), n AS (SELECT idx, x, y, 5.0 AS r, 'n' || idx || ' <' || label || '>' AS t, idx < 10 AS hub FROM pos),
@@ -730,6 +735,15 @@ def _(s, d):
     return graph.page_order(n.where("seq < 150").select(F.col("id").alias("title")), e, 40)
 
 
+@query("j7_crawl")
+def _(s, d):
+    """Pages of a crawl from two titles, their links and the round in which they came, up to a fifth of all parts."""
+    a = arts(s, d)
+    source = paged.stored_pages(a.select("title", "links"), a.select(F.col("id").alias("alias"), "title"))
+    pages, _links, _aliases = paged.crawl(source, a.where("seq in (1, 7)").select("title"), max(1, a.count() // 5), batch=100)
+    return pages.select("title", F.size("links").alias("links"), "round")
+
+
 # --- K: layout -----------------------------------------------------------------------------------------------------
 
 
@@ -783,9 +797,9 @@ def forced(s, d, f, far=1.0):
 for _name, (_force, _sql) in _FORCES.items():
     query(_name, _sql)(lambda s, d, f=_force, far=12.0 if _name == "k9_boundary" else 1.0: forced(s, d, f, far))
 QUERIES["k13_k15_tick"] = lambda s, d: layout.tick(*layout_graph(s, d), Settings(), 0.8)
-QUERIES["k8_overlap_repair"] = lambda s, d: layout.repair_overlaps(layout_graph(s, d)[0])
+QUERIES["k8_overlap_repair"] = lambda s, d: layout.separated(layout_graph(s, d)[0])
 QUERIES["i7_k16_sampled_charge"] = lambda s, d: layout.sampled_charge(*layout_graph(s, d), Settings(), 0.8, samples=64)
-QUERIES["l5_label_placement"] = lambda s, d: rank.placed_labels(layout_graph(s, d)[0].withColumns({"width": F.lit(60.0), "priority": F.col("importance")}), layout_graph(s, d)[0], (-1000.0, -1000.0, 1000.0, 1000.0), 1.0)
+QUERIES["l5_label_placement"] = lambda s, d: labels.placed_labels(layout_graph(s, d)[0].withColumns({"width": F.lit(60.0), "priority": F.col("importance")}), layout_graph(s, d)[0], (-1000.0, -1000.0, 1000.0, 1000.0), 1.0)
 
 # --- flagship ------------------------------------------------------------------------------------------------------
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def reference(v: Column) -> Column:
 
 
 def read_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Article lines with their state (A6, C2): accepted, malformed, disambiguation or blank; ids must be strings."""
+    """Article lines with their state (A6, C2): accepted, malformed, disambiguation or blank; ids must be strings. A url that is no string is made of the title, an extract that is none or empty is null."""
     v = F.try_parse_json(F.col(line))
     has = lambda path: F.try_variant_get(F.col("v"), path, "string")
     text = lambda path: F.schema_of_variant(F.try_variant_get(F.col("v"), path, "variant")) == "STRING"
@@ -39,8 +41,9 @@ def read_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     a = a.withColumn("title", F.coalesce("title", "id"))
     dis = flag("$.isDisambiguation") | flag("$.disambiguation") | F.coalesce(T.is_disambiguation_title(F.col("title")), F.lit(False))
     state = F.when(F.trim(line) == "", "blank").when(F.col("v").isNull() | F.col("id").isNull() | (F.col("title") == ""), "malformed").when(dis, "disambiguation").otherwise("accepted")
+    url = F.when(text("$.url"), has("$.url")).otherwise(T.url_component(F.col("title")))
     links = F.transform(F.coalesce(F.try_variant_get(F.col("v"), "$.links", "array<variant>"), F.array().cast("array<variant>")), reference)
-    return a.select(*[c for c in lines.columns if c not in ("id", "title")], "id", "title", F.try_variant_get(F.col("v"), "$.byteLength", "double").alias("byte_length"), F.array_distinct(F.filter(F.transform(links, lambda x: F.trim(x)), lambda x: x != "")).alias("links"), state.alias("state"))
+    return a.select(*[c for c in lines.columns if c not in ("id", "title", "url", "extract")], "id", "title", url.alias("url"), F.when(text("$.extract"), F.nullif(has("$.extract"), F.lit(""))).alias("extract"), F.try_variant_get(F.col("v"), "$.byteLength", "double").alias("byte_length"), F.array_distinct(F.filter(F.transform(links, lambda x: F.trim(x)), lambda x: x != "")).alias("links"), state.alias("state"))
 
 
 def index_manifest(states: DataFrame) -> DataFrame:
@@ -68,9 +71,12 @@ def known_input(names: list[str]) -> str | None:
 
 
 def data_root(path: str, system: str = "/") -> str:
-    """path if it is absolute and not the system root."""
+    """path if it is absolute and not the system root (A25); of a URI the path within its store counts."""
     import os
+    from urllib.parse import urlsplit
 
-    if not os.path.isabs(path) or os.path.normpath(path) == system:
+    uri = urlsplit(path) if re.match("[A-Za-z][A-Za-z0-9+.-]*:/", path) else None
+    own = uri.path if uri else path
+    if not os.path.isabs(own) or os.path.normpath(own) in (os.path.normpath(system), "/", "//"):
         raise ValueError(f"{path!r} is no data root")
     return path

@@ -39,6 +39,11 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return read_states(spark, path).where("state = 'accepted'").select("seq", "id", "title", "byte_length", "links")
 
 
+def once(articles: DataFrame) -> DataFrame:
+    """articles with one row an id, the first of the source. Structs are compared before the shuffle, so that an id with many lines is no hot key."""
+    return articles.groupBy("id").agg(F.min_by(F.struct(*articles.columns), "seq").alias("first")).select("first.*")
+
+
 def build_index(spark: SparkSession, source: str, root: str, limit: int | None = None) -> dict:
     """Normalise article lines into root/index, with a sample graph and a manifest.
 
@@ -55,7 +60,7 @@ def build_index(spark: SparkSession, source: str, root: str, limit: int | None =
         good = stored(good.orderBy("seq").limit(limit), "accepted")
         last = good.agg(F.max("seq")).first()[0]
         bad = bad.where(F.col("seq") < (last if last is not None and good.count() >= limit else 1 << 62))
-    rows = stored(good.select("seq", "id", "title", F.coalesce(F.col("byte_length"), F.lit(None)).alias("byteLength"), "links").repartitionByRange("seq").sortWithinPartitions("seq"), "index")
+    rows = stored(good.select("seq", "id", "title", "url", "extract", F.col("byte_length").alias("byteLength"), "links").repartitionByRange("seq").sortWithinPartitions("seq"), "index")
     rows.drop("seq").write.json(out)
     picked = positions(rank.hash_sample(good, SAMPLE), ["h", "seq"], "place")  # at most SAMPLE rows
     edges = graph.resolve_own(picked.drop("seq").withColumnRenamed("place", "seq"))
@@ -113,20 +118,20 @@ def known_records(path: str) -> float | None:
 def build_tiers(spark: SparkSession, source: str, out: str, counts: list[int], corpus: bool = False, dry_run: bool = False) -> dict:
     """Nested graphs of the first articles of connected expansion, and their manifest (A10).
 
-    corpus adds a tier of all records, of at most CORPUS_EDGES edges, in
+    Of lines that share an id the first counts. corpus adds a tier of all records, of at most CORPUS_EDGES edges, in
     source order; the order of all tiers is then the source's.
     """
     for p in (source, out):
-        S.data_root(p.removeprefix("file://"))
+        S.data_root(p)
     sizes = rank.tier_counts(counts, int(known_records(source) or 0) if corpus else None)
     if dry_run:
         return {"source": source, "tiers": [{"count": n} for n in sizes]}
-    a = stored(read_articles(spark, source), "articles")
+    a = stored(once(read_articles(spark, source)), "articles")
     placed = graph.tier_order(a, whole=True) if corpus else graph.tier_passes(a)
     passes = 1 if corpus else 1 + (placed.agg(F.max("pass")).first()[0] or 0)
     if not corpus:
         placed = positions(placed, ["pass", "seq"], "tier_pos").withColumn("tier_pos", F.col("tier_pos") + 1)
-    ordered = stored(a.drop("seq").join(placed.select("id", F.col("tier_pos").alias("seq")), "id"), "ordered")
+    ordered = stored(a.join(placed.select("seq", "tier_pos"), "seq").drop("seq").withColumnRenamed("tier_pos", "seq"), "ordered")
     tiers = []
     for n in sizes:
         part = ordered.where(F.col("seq") <= n)

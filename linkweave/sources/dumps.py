@@ -67,7 +67,7 @@ def parse(spark: SparkSession, source: str, output: str | None, limit: int | Non
     own splits. output None is a dry run; an output that is there is an error.
     """
     if output is not None:
-        S.data_root(output.removeprefix("file://"), system)
+        S.data_root(output, system)
     if parallel:
         pages = stream_pages(spark, source, stream_offsets(spark, source))
     else:

@@ -9,6 +9,7 @@ import pyarrow.fs as pafs
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" in uri:
+        uri = uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri  # one store under the names that Spark and Arrow have for it
         return pafs.FileSystem.from_uri(uri)
     return pafs.LocalFileSystem(), uri.removeprefix("file:")
 
