@@ -16,6 +16,7 @@ from ..functions.layout import Settings
 from ..operators import graph, labels, layout, rank
 from ..sources import articles as S
 from ..sources import corpus, drawing, dumps, files, paged
+from ..streaming import dump as stream_dump
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,17 +294,57 @@ def _(s, d):
     return corpus.load_graph(s, out)[1].select("src", "dst")
 
 
-@query("a1_a3_dump", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title, p_type AS links FROM part WHERE p_partkey % 5 = 0")
-def _(s, d):
-    """A dump of many bz2 streams, written by tasks, found and parsed stream by stream."""
+def dump_of(s, d, path, streams=7):
+    """A dump of parts as a folder of files of several bz2 streams each, every file written by the task that has its pages."""
     import bz2
 
     rows = X.run_sql(s, d, "SELECT p_partkey, concat('<page><title>', p_name, ' ', p_partkey, '</title><ns>', p_partkey % 5, '</ns><id>', p_partkey, '</id><revision><text>[[', p_type, ']]</text></revision></page>') AS x FROM part", "part")
-    chunks = [r["x"] for r in rows.groupBy(F.floor(F.col("p_partkey") / 50).alias("g")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "x"))), lambda v: v["x"])).alias("x")).orderBy("g").collect()]  # the fixture is a file of some streams
-    path = local(folder(s, "dump"))
-    with files.opened(path)[0].open_output_stream(path) as f:
-        for c in ["<mediawiki>", *chunks, "</mediawiki>"]:
-            f.write(bz2.compress(c.encode()))
+
+    def write(f):
+        import pandas as pd
+
+        f = f.sort_values("p_partkey")
+        name = f"{path}/pages-{int(f['g'].iloc[0]):05d}.xml.bz2"
+        fs, p = files.opened(name)
+        fs.create_dir(p.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(p, compression=None) as out:  # the streams are made here
+            for c in ["<mediawiki>", *("".join(f["x"].iloc[i : i + streams]) for i in range(0, len(f), streams)), "</mediawiki>"]:
+                out.write(bz2.compress(c.encode()))
+        return pd.DataFrame({"g": [f["g"].iloc[0]]})
+
+    rows.withColumn("g", F.floor(F.col("p_partkey") / 50)).groupBy("g").applyInPandas(write, "g long").count()
+    return path
+
+
+_KEPT = "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title, p_type AS links FROM part WHERE p_partkey % 5 = 0"
+
+
+@query("a1_m1_m2_resumed_dump", f"{_KEPT.replace(' FROM', ', CAST((SELECT count(*) FROM part) AS BIGINT) AS pages FROM')}")
+def _(s, d):
+    """Lines and count of pages of a parse that an error ended in its second batch, after the batch was written and before it was committed, and that then went on."""
+    source, out = dump_of(s, d, local(folder(s, "dump"))), local(folder(s, "parsed"))
+
+    class Stopped(Exception):
+        pass
+
+    def stop(batch_id, facts):
+        if batch_id == 1:
+            raise Stopped
+
+    try:
+        stream_dump.parse(s, source, out, streams_a_batch=10, streams_a_task=3, on_batch=stop)
+    except Exception as e:
+        if "Stopped" not in str(e):
+            raise
+    m = stream_dump.parse(s, source, out, streams_a_batch=99)
+    lines = stream_dump.read_lines(s, out).select(F.from_json("value", "id string, title string, links array<string>").alias("a"))
+    return lines.select("a.id", "a.title", F.array_join("a.links", "|").alias("links"), F.lit(m["pagesRead"]).cast("long").alias("pages"))
+
+
+@query("a1_a3_dump", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title, p_type AS links FROM part WHERE p_partkey % 5 = 0")
+def _(s, d):
+    """A dump of many bz2 streams in several files, written by tasks, found and parsed stream by stream."""
+    path = dump_of(s, d, local(folder(s, "dump")))
     out = local(folder(s, "parsed"))
     dumps.parse(s, path, out, parallel=True)
     return s.read.schema("id string, title string, links array<string>").json(out).select("id", "title", F.array_join("links", "|").alias("links"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import bz2
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -18,9 +18,19 @@ MAGIC = b"1AY&SY"
 CHUNK = 64 << 20
 
 
+def dump_files(path: str) -> list[str]:
+    """The file, or the files of a folder in order of their names; hidden ones and those of Spark's own marks are passed over."""
+    return files.listed(path)
+
+
 def stream_offsets(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """(offset, length) of each bz2 stream of a file (A3). The file is searched in parts that overlap by the length of a mark; one that does not begin with a stream is an error."""
-    size = files.size(path)
+    """(file, offset, length) of each bz2 stream of a file or of a folder's files (A3).
+
+    Files are searched in parts that overlap by the length of a mark; one that
+    does not begin with a stream is an error.
+    """
+    sizes = {f: files.size(f) for f in dump_files(path)}
+    parts = [(f, k * chunk, n) for f, n in sizes.items() for k in range(max(1, -(-n // chunk)))]
 
     def search(batches: Iterator) -> Iterator:
         import re
@@ -28,35 +38,63 @@ def stream_offsets(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFr
         import pandas as pd
 
         for b in batches:
-            for k in b["id"]:
-                start = int(k) * chunk
-                data = files.part(path, start, min(size, start + chunk + 9) - start)
-                yield pd.DataFrame({"offset": [start + m.start() for m in re.finditer(rb"BZh[1-9]" + re.escape(MAGIC), data)]}, dtype="int64")
+            for file, start, size in zip(b["file"], b["start"], b["size"]):
+                data = files.part(file, int(start), min(int(size), int(start) + chunk + 9) - int(start))
+                at = [int(start) + m.start() for m in re.finditer(rb"BZh[1-9]" + re.escape(MAGIC), data)]
+                yield pd.DataFrame({"file": pd.Series([file] * len(at), dtype=object), "offset": pd.Series(at, dtype="int64"), "size": pd.Series([size] * len(at), dtype="int64")})
 
-    found = stored(spark.range(max(1, -(-size // chunk))).mapInPandas(search, "offset long").distinct(), "offsets")
-    if found.where("offset = 0").limit(1).count() == 0:
-        raise ValueError(f"{path} does not begin with a bz2 stream")
-    offsets = sorted(r[0] for r in found.collect())  # a number a stream, as a split plan has
-    return spark.createDataFrame([(a, b - a) for a, b in zip(offsets, [*offsets[1:], size])], "offset long, length long")
+    todo = spark.createDataFrame(parts, "file string, start long, size long").repartition(max(1, min(len(parts), 10_000)))
+    found = stored(todo.mapInPandas(search, "file string, offset long, size long").distinct(), "offsets")
+    begun = {r[0] for r in found.where("offset = 0").select("file").collect()}
+    for f in sizes:
+        if f not in begun:
+            raise ValueError(f"{f} does not begin with a bz2 stream")
+    following = F.lead("offset").over(Window.partitionBy("file").orderBy("offset"))  # a number a stream of one file, as a split plan has
+    return found.select("file", "offset", (F.coalesce(following, "size") - F.col("offset")).alias("length"))
 
 
-def stream_pages(spark: SparkSession, path: str, offsets: DataFrame, streams_a_task: int = 64) -> DataFrame:
-    """(seq, page struct) of all pages, in order of the file (A2, A4). Each stream is unpacked where it is needed; a page lies within one stream."""
+def write_plan(spark: SparkSession, path: str, plan: str) -> int:
+    """Number the streams of a dump in order of file and offset, and write (n, file, offset, length) to one small file; gives how many they are."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
 
-    def unpack(batches: Iterator) -> Iterator:
-        import re
+    rows = sorted(tuple(r) for r in stream_offsets(spark, path).collect())  # some 30 bytes a stream of a megabyte
+    fs, p = files.opened(plan)
+    fs.create_dir(p.rpartition("/")[0], recursive=True)
+    names = ["n", "file", "offset", "length"]
+    pq.write_table(pa.table([list(range(len(rows))), *map(list, zip(*rows))] if rows else [[], [], [], []], names=names), p, filesystem=fs)
+    return len(rows)
+
+
+def read_plan(plan: str) -> list[tuple[int, str, int, int]]:
+    import pyarrow.parquet as pq
 
+    fs, p = files.opened(plan)
+    t = pq.read_table(p, filesystem=fs)
+    return list(zip(*[t.column(c).to_pylist() for c in ("n", "file", "offset", "length")]))
+
+
+def pages_of(file: str, offset: int, length: int) -> list[str]:
+    """The page elements of one stream; a page lies within one stream."""
+    import re
+
+    return re.findall(r"<page>.*?</page>", bz2.decompress(files.part(file, offset, length)).decode("utf-8"), re.S)
+
+
+def stream_pages(spark: SparkSession, offsets: DataFrame, streams_a_task: int = 64) -> DataFrame:
+    """(at, page struct) of all pages, in order of file and offset (A2, A4). Each stream is unpacked where it is needed."""
+
+    def unpack(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for b in batches:
-            for offset, length in zip(b["offset"], b["length"]):
-                text = bz2.decompress(files.part(path, int(offset), int(length))).decode("utf-8")
-                pages = re.findall(r"<page>.*?</page>", text, re.S)
-                yield pd.DataFrame({"offset": [offset] * len(pages), "k": range(len(pages)), "xml": pd.Series(pages, dtype=object)})
+            for file, offset, length in zip(b["file"], b["offset"], b["length"]):
+                pages = pages_of(file, int(offset), int(length))
+                yield pd.DataFrame({"file": pd.Series([file] * len(pages), dtype=object), "offset": pd.Series([offset] * len(pages), dtype="int64"), "k": range(len(pages)), "xml": pd.Series(pages, dtype=object)})
 
     n = offsets.count()
-    raw = offsets.repartitionByRange(max(1, -(-n // streams_a_task)), "offset").mapInPandas(unpack, "offset long, k long, xml string")
-    return raw.select(F.struct("offset", "k").alias("at"), F.from_xml("xml", S.PAGE).alias("p")).select("at", "p.*")
+    raw = offsets.repartitionByRange(max(1, -(-n // streams_a_task)), "file", "offset").mapInPandas(unpack, "file string, offset long, k long, xml string")
+    return raw.select(F.struct("file", "offset", "k").alias("at"), F.from_xml("xml", S.PAGE).alias("p")).select("at", "p.*")
 
 
 def parse(spark: SparkSession, source: str, output: str | None, limit: int | None = None, parallel: bool = False, system: str = "/") -> dict:
@@ -64,12 +102,12 @@ def parse(spark: SparkSession, source: str, output: str | None, limit: int | Non
 
     Returns pagesRead, recordsWritten, pagesSkipped. limit: pages from the
     front of the file. parallel: by bz2 streams instead of the XML reader's
-    own splits. output None is a dry run; an output that is there is an error.
+    own splits. A parse that may be stopped is streaming.dump.parse. output None is a dry run; an output that is there is an error.
     """
     if output is not None:
         S.data_root(output, system)
     if parallel:
-        pages = stream_pages(spark, source, stream_offsets(spark, source))
+        pages = stream_pages(spark, stream_offsets(spark, source))
     else:
         pages = S.dump(spark, source).withColumn("at", F.struct(F.monotonically_increasing_id().alias("offset"), F.lit(0).cast("long").alias("k")))
     if limit is not None:

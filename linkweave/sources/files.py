@@ -24,6 +24,15 @@ def exists(uri: str) -> bool:
     return fs.get_file_info(path).type != pafs.FileType.NotFound
 
 
+def listed(uri: str) -> list[str]:
+    """The file itself, or the files of a folder by name, without hidden ones and marks."""
+    fs, path = opened(uri)
+    if fs.get_file_info(path).type != pafs.FileType.Directory:
+        return [uri]
+    names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(path)) if i.type == pafs.FileType.File and i.base_name[0] not in "._"]
+    return [f"{uri.rstrip('/')}/{n}" for n in sorted(names)]
+
+
 def part(uri: str, start: int, length: int) -> bytes:
     fs, path = opened(uri)
     with fs.open_input_file(path) as f:

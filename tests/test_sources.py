@@ -262,3 +262,41 @@ def test_more_hubs_than_act(spark):
         with pytest.raises(ValueError):
             f(n)
         assert f(n.withColumn("hub", F.col("idx") < 100)).count() > 0
+
+
+def test_dump_stopped_and_resumed(spark, tmp_path):
+    """Whatever ends a parse, and wherever, lines and counters come out as those of one that ran through."""
+    from linkweave.streaming import dump as stream
+
+    (tmp_path / "dump").mkdir()
+    k = 0
+    for f in range(3):
+        parts = ["<mediawiki>"]
+        for _ in range(5):
+            parts.append("".join(page(f"T{k + j}" + (" (disambiguation)" if (k + j) % 4 == 3 else ""), k + j, f"[[T{k + j + 1}]]") for j in range(3)))
+            k += 3
+        (tmp_path / "dump" / f"p{f}.bz2").write_bytes(b"".join(bz2.compress(x.encode()) for x in [*parts, "</mediawiki>"]))
+    source, whole = str(tmp_path / "dump"), str(tmp_path / "whole")
+    want = stream.parse(spark, source, whole, streams_a_batch=4)
+    assert (want["pagesRead"], want["recordsWritten"], want["pagesSkipped"], want["streams"], want["batches"]) == (45, 34, 11, 21, 6)
+    lines = [r[0] for r in stream.read_lines(spark, whole).collect()]
+    assert sorted(int(json.loads(x)["id"]) for x in lines) == [i for i in range(45) if i % 4 != 3]
+    at = str(tmp_path / "stopped")
+    for fails in (0, 2, 2, 5):  # once before the first commit, twice at the same batch, and at the last
+
+        def stop(batch_id, facts, fails=fails):
+            if batch_id == fails:
+                raise RuntimeError("killed")
+
+        with pytest.raises(Exception, match="killed"):
+            stream.parse(spark, source, at, streams_a_batch=4, streams_a_task=2, on_batch=stop)
+        assert stream.progress(at)["batches"] == fails and stream.read_lines(spark, at).count() <= 34
+    got = stream.parse(spark, source, at, streams_a_batch=1)  # the first call's size of a batch holds
+    assert {k: v for k, v in got.items() if k != "output"} == {k: v for k, v in want.items() if k != "output"}
+    assert sorted(r[0] for r in stream.read_lines(spark, at).collect()) == sorted(lines)
+    assert stream.parse(spark, source, at) == got  # nothing is left to do
+    (tmp_path / "dump" / "p9.bz2").write_bytes(bz2.compress(b"<mediawiki>"))
+    with pytest.raises(ValueError):
+        stream.parse(spark, source, at)
+    with pytest.raises(ValueError):
+        stream.parse(spark, source, "relative")
