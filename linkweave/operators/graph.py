@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key, stable_hash
 from ..storage import discard, fresh, measured, positions, stored, written
+from .blocks import EDGES_A_BLOCK, least_costs
 from .components import components
 
 
@@ -170,35 +171,22 @@ def completed_order(nodes: DataFrame, ordered: DataFrame, order: list) -> DataFr
     return positions(at, [F.asc_nulls_last("_first"), *order]).select("id", (F.col("pos") + 1).alias("pos"))
 
 
-def tier_passes(articles: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def tier_passes(articles: DataFrame, max_rounds: int | None = None, edges_a_block: int = EDGES_A_BLOCK) -> DataFrame:
     """(seq, id, pass): when connected expansion takes an article up (J6); unreached ones are not listed.
 
     The first article with links is the seed. A scan in source order takes up
     what an article taken before refers to; what lies behind waits for the
-    next scan. So pass(v) = min over u of pass(u) + (seq(v) < seq(u)). Each
-    round goes one link further and writes the state once, which also counts
-    what changed; rounds end when nothing does. A bound that is reached before
-    is an error.
+    next scan. So pass(v) = min over u of pass(u) + (seq(v) < seq(u)): a least
+    cost, settled by blocks of articles that stand together in the source, so
+    that rounds count crossings between blocks, not links. A bound of rounds
+    that is reached before is an error.
     """
     refs = explode_links(articles).select("seq", key(F.col("ref")).alias("k")).where("k <> ''")
     keys = articles.select("seq", key(F.col("id")).alias("k")).unionByName(articles.select("seq", key(F.col("title")).alias("k"))).distinct()
-    steps = refs.join(keys.withColumnRenamed("seq", "to"), "k").select(F.col("seq").alias("u"), F.col("to").alias("v"), (F.col("to") < F.col("seq")).cast("int").alias("w")).where("u <> v").distinct()
-    steps = stored(steps, "steps")
-    seed = articles.where(F.size("links") > 0).agg(F.min("seq").alias("seq")).where("seq is not null")
-    state = stored(seed.select("seq", F.lit(0).alias("pass"), F.lit(True).alias("fresh")), "passes")
-    k, fresh_rows = 0, 1
-    while fresh_rows:
-        front = state.where("fresh").select(F.col("seq").alias("u"), "pass")
-        new = steps.join(front, "u").groupBy(F.col("v").alias("seq")).agg(F.min(F.col("pass") + F.col("w")).alias("p"))
-        better = F.col("p").isNotNull() & (F.col("pass").isNull() | (F.col("p") < F.col("pass")))
-        both = state.select("seq", "pass").join(new, "seq", "full").select("seq", F.when(better, F.col("p")).otherwise(F.col("pass")).alias("pass"), better.alias("fresh"))
-        after, facts = measured(both, "passes", n=F.count_if("fresh"))
-        discard(state)
-        state, fresh_rows = after, facts["n"]
-        if fresh_rows and max_rounds is not None and k >= max_rounds:
-            raise RuntimeError(f"articles are left after {max_rounds} rounds")
-        k += 1
-    return state.join(articles.select("seq", "id"), "seq").select("seq", "id", F.col("pass").cast("long").alias("pass"))
+    steps = refs.join(keys.withColumnRenamed("seq", "to"), "k").select(F.col("seq").cast("long").alias("u"), F.col("to").cast("long").alias("v"), (F.col("to") < F.col("seq")).cast("long").alias("w")).where("u <> v").distinct()
+    seed = articles.where(F.size("links") > 0).agg(F.min("seq").alias("node")).where("node is not null").withColumn("cost", F.lit(0))
+    costs, _ = least_costs(stored(steps, "steps"), seed, edges_a_block, max_rounds)
+    return costs.join(articles.select("seq", "id"), costs["node"] == F.col("seq")).select("seq", "id", F.col("cost").alias("pass"))
 
 
 def tier_order(articles: DataFrame, whole: bool = False) -> DataFrame:

@@ -99,10 +99,12 @@ def tile(v: Column, low: float, extent: float, grid: int = 256) -> Column:
 
 
 def tile_sample(rows: DataFrame, keys: list[str], caps: dict[str, int]) -> DataFrame:
-    """Per tile and kind the rows of smallest hash, up to the kind's cap (I2; I4 with no keys)."""
-    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
-    w = W.partitionBy(*keys, "kind").orderBy(stable_hash(F.col("id")), "id")
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap[F.col("kind")]).drop("_n")
+    """Per tile and kind the rows of smallest hash, up to the kind's cap (I2 by hash; I4 with no keys). Each kind has a limit of its own, a number that Spark applies before it shuffles, so that no tile is sorted whole in one task."""
+    w, out = W.partitionBy(*keys).orderBy(stable_hash(F.col("id")), "id"), None
+    for kind, cap in caps.items():
+        part = rows.where(F.col("kind") == kind).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def bottom_k(rows: DataFrame, caps: dict[str, int]) -> DataFrame:

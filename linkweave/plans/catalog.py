@@ -13,9 +13,9 @@ from .. import api, storage
 from ..functions import layout as L
 from ..functions import text as T
 from ..functions.layout import Settings
-from ..operators import graph, labels, layout, rank
+from ..operators import graph, labels, layout, rank, reservoir
 from ..sources import articles as S
-from ..sources import corpus, drawing, dumps, files, paged
+from ..sources import corpus, drawing, dumps, files, paged, tiles
 from ..streaming import dump as stream_dump
 from . import fixtures as X
 
@@ -250,6 +250,19 @@ def _(s, d):
     return s.read.parquet(f"{cache}/counts").where("kind <> 'line'").select("tx", "ty", "kind", "n")
 
 
+_TILED = f"WITH {X.POS_DUCK}, {_BOX}, e AS (SELECT 'circle' AS kind, round(x, 3) AS mx, round(y, 3) AS my, '' AS label FROM pos UNION ALL SELECT 'text', round(x + 15 + greatest(12.0, length('n' || idx || ' <' || label || '>') * 7.2) / 2, 3), round(y, 3), 'n' || idx || ' &lt;' || label || '&gt;' FROM pos), z AS (SELECT CAST(least(31, greatest(0, floor((mx - x0) / w * 32))) AS INT) AS tx, CAST(least(31, greatest(0, floor((my - y0) / h * 32))) AS INT) AS ty, kind, mx AS x, my AS y, label FROM e, v)"
+
+
+@query("a16_o7_tile_elements", f"{_TILED} SELECT * FROM z WHERE tx BETWEEN 9 AND 20 AND ty BETWEEN 5 AND 22")
+def _(s, d):
+    """The circles and labels of a view, read by byte range from a packed store of 32 x 32 tiles; no tile is over its cap, so all are there."""
+    svg, cache = folder(s, "svg"), local(folder(s, "tiles"))
+    drawing.write_svg(*drawn(s, d), svg, no_links=True)
+    drawing.build_tiles(s, svg, cache, grid=32, caps={"line": 2500, "circle": 5000, "text": 5000})
+    e = tiles.read_tiles(s, cache, (9, 20, 5, 22)).where("kind <> 'line'")
+    return e.select("tx", "ty", "kind", F.col("values")[0].alias("x"), F.col("values")[1].alias("y"), F.col("text").alias("label"))
+
+
 def index_of(s, d):
     """A data root with article lines of part, index and tiers."""
     root = folder(s, "root")
@@ -724,6 +737,21 @@ def _(s, d):
     return api.Engine(arts(s, d)).graph(200)[1].select("src", "dst")
 
 
+_RES = f"""WITH RECURSIVE {X.POS_DUCK}, r AS (SELECT idx, CASE WHEN idx % 3 = 0 THEN 'line' ELSE 'node' END AS kind, CAST(least(3, greatest(0, floor((x + 600) / 1200 * 4))) AS INT) AS tx, CAST(least(1, greatest(0, floor((y + 600) / 1200 * 2))) AS INT) AS ty FROM pos),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tx, ty, kind ORDER BY idx) AS n, CASE kind WHEN 'node' THEN 15 ELSE 9 END AS cap FROM r),
+o AS MATERIALIZED (SELECT *, sum(CASE WHEN n > cap THEN 1 ELSE 0 END) OVER (PARTITION BY tx, ty ORDER BY idx) AS j FROM n), m AS (SELECT tx, ty, max(j) AS m FROM o GROUP BY tx, ty),
+g(tx, ty, j, x) AS (SELECT tx, ty, CAST(0 AS HUGEINT), CAST(xor((tx * 73856093::BIGINT) % 4294967296, (ty * 19349663::BIGINT) % 4294967296) AS HUGEINT) FROM m UNION ALL SELECT g.tx, g.ty, j + 1, (x * 1664525 + 1013904223) % 4294967296 FROM g JOIN m USING (tx, ty) WHERE j < m.m),
+s AS (SELECT o.tx, o.ty, kind, idx, CASE WHEN n <= cap THEN n - 1 ELSE g.x % n END AS slot, cap FROM o JOIN g ON g.tx = o.tx AND g.ty = o.ty AND g.j = o.j)
+SELECT tx, ty, kind, CAST(slot AS BIGINT) AS slot, max(idx) AS idx FROM s WHERE slot < cap GROUP BY ALL"""
+
+
+@query("i2_reservoir", _RES)
+def _(s, d):
+    """What a scan in order of idx leaves in the reservoirs of 4 x 2 tiles and two kinds."""
+    r = positions(s, d).select("idx", F.when(F.col("idx") % 3 == 0, "line").otherwise("node").alias("kind"), rank.tile(F.col("x"), -600.0, 1200.0, 4).alias("tx"), rank.tile(F.col("y"), -600.0, 1200.0, 2).alias("ty"))
+    return reservoir.reservoirs(r, ["tx", "ty"], ["idx"], {"node": 15, "line": 9}, reservoir.tile_start(F.col("tx"), F.col("ty"))).select("tx", "ty", "kind", "slot", "idx")
+
+
 # --- J: graph algorithms -------------------------------------------------------------------------------------------
 
 @query("j1_hub_count", "SELECT o_orderkey, CASE WHEN o_orderkey - 3 <= 0 THEN 0 ELSE least(100, greatest(1, CAST(ceil(5 * (o_orderkey - 3) / 100.0) AS BIGINT))) END AS hubs FROM orders")

@@ -58,11 +58,11 @@ def graph_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return d.select(F.posexplode("nodes").alias("pos", "n")).select("pos", "n.*"), d.select(F.posexplode("links").alias("pos", "l")).select("pos", "l.*")
 
 
-def svg_elements(lines: DataFrame) -> DataFrame:
+def svg_elements(lines: DataFrame, *carry: str) -> DataFrame:
     """(kind, attributes, text) of line, circle and text elements, a line of the file each."""
     kind = F.regexp_extract("value", r"^\s*<(line|circle|text) ", 1)
     names, values = F.regexp_extract_all("value", F.lit(r'([A-Za-z0-9-]+)="[^"]*"'), F.lit(1)), F.regexp_extract_all("value", F.lit(r'[A-Za-z0-9-]+="([^"]*)"'), F.lit(1))
-    return lines.where(kind != "").select(kind.alias("kind"), F.map_from_arrays(names, values).alias("attributes"), F.regexp_extract("value", ">([^<]*)</text>", 1).alias("text"))
+    return lines.where(kind != "").select(kind.alias("kind"), F.map_from_arrays(names, values).alias("attributes"), F.regexp_extract("value", ">([^<]*)</text>", 1).alias("text"), *carry)
 
 
 def known_input(names: list[str]) -> str | None:

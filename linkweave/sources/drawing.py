@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import layout as L
 from ..functions import text as T
 from ..functions.layout import Settings
-from ..operators import rank
+from ..operators import rank, reservoir
 from ..storage import stored
 from . import articles as S
-from . import files
+from . import files, tiles
 
 #: Rows of a tile and of the overview that are kept, by kind.
 TILE_CAPS = {"line": 2500, "circle": 1500, "text": 250}
@@ -120,26 +120,36 @@ def view_box(spark: SparkSession, path: str) -> tuple[float, float, float, float
     return box
 
 
-def tiled(elements: DataFrame, box: tuple[float, float, float, float], grid: int = GRID) -> DataFrame:
-    """(kind, values, text, tx, ty, id) of svg_elements(): numbers of each and the tile of its middle."""
+def tiled(elements: DataFrame, box: tuple[float, float, float, float], grid: int = GRID, *carry: str) -> DataFrame:
+    """(kind, values, text, tx, ty) of svg_elements(): numbers of each and the tile of its middle."""
     a = lambda k, d=0.0: F.coalesce(F.expr(f"try_cast(attributes['{k}'] AS DOUBLE)"), F.lit(d))
     kind = F.col("kind")
     values = F.when(kind == "line", F.array(a("x1"), a("y1"), a("x2"), a("y2"))).when(kind == "circle", F.array(a("cx"), a("cy"), a("r", 2.0))).otherwise(F.array(a("x"), a("y")))
     e = elements.withColumn("values", values)
     mid = lambda k: F.when(kind == "line", (F.col("values")[k] + F.get("values", F.lit(k + 2))) * 0.5).otherwise(F.col("values")[k])
     e = e.withColumns({"tx": rank.tile(mid(0), box[0], box[2], grid), "ty": rank.tile(mid(1), box[1], box[3], grid)})
-    return e.withColumn("id", F.concat_ws(",", F.transform("values", lambda v: v.cast("string")), "text"))
+    return e.select("kind", "values", "text", "tx", "ty", *carry)
+
+
+def svg_text(spark: SparkSession, svg: str) -> DataFrame:
+    """(value, at): the lines of a drawing with their place in it, by file, part of the file and line."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(svg).select("value", at.alias("at"))
 
 
 def build_tiles(spark: SparkSession, svg: str, cache: str, grid: int = GRID, caps: dict[str, int] | None = None) -> dict:
-    """Bucket a drawing's elements into tiles, keep a sample of each and of all, and write them with their counts."""
+    """Bucket a drawing's elements into tiles, keep a reservoir of each and of all, and write them to a tile store with their counts."""
     box, caps = view_box(spark, svg), caps or TILE_CAPS
-    e = stored(tiled(S.svg_elements(spark.read.text(svg)), box, grid), "elements")
-    counts = {r["kind"]: r["n"] for r in e.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    rank.tile_sample(e, ["tx", "ty"], caps).drop("attributes", "id").write.partitionBy("tx", "ty").parquet(f"{cache}/tiles")
-    e.groupBy("tx", "ty", "kind").agg(F.count("*").alias("n")).write.parquet(f"{cache}/counts")
-    rank.bottom_k(e, OVERVIEW_CAPS).drop("attributes", "id").write.parquet(f"{cache}/overview")
-    meta = {"version": 1, "input": svg, "viewBox": list(box), "grid": grid, "caps": caps, "counts": counts, "tiles": e.select("tx", "ty").distinct().count()}
+    e = stored(tiled(S.svg_elements(svg_text(spark, svg), "at"), box, grid, "at"), "elements")
+    n = stored(e.groupBy("tx", "ty", "kind").agg(F.count("*").alias("n")), "counts")
+    counts = {r["kind"]: r["n"] for r in n.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    kept = reservoir.reservoirs(e, ["tx", "ty"], ["at"], caps, reservoir.tile_start(F.col("tx"), F.col("ty")))
+    index = stored(tiles.packed(kept, n, f"{cache}/packs"), "index")
+    index.repartitionByRange("z").sortWithinPartitions("z").write.parquet(f"{cache}/index")
+    n.write.parquet(f"{cache}/counts")
+    whole = reservoir.reservoirs(e, [], ["at"], OVERVIEW_CAPS, F.lit(reservoir.WHOLE))
+    whole.select("tx", "ty", "kind", "values", "text").write.parquet(f"{cache}/overview")
+    meta = {"version": 2, "input": svg, "viewBox": list(box), "grid": grid, "caps": caps, "counts": counts, "tiles": index.count()}
     files.write_json(f"{cache}/meta.json", meta)
     return meta
 
@@ -158,10 +168,10 @@ def in_tiles(elements: DataFrame, span: tuple[int, int, int, int]) -> DataFrame:
 
 
 def view_tiles(spark: SparkSession, cache: str, view: tuple[float, float, float, float], scale: float) -> DataFrame:
-    """The elements to draw: the overview below a scale of 1.5, else the tiles in view, of which only those folders are read."""
+    """(tx, ty, kind, values, text) to draw: the overview below a scale of 1.5, else the tiles in view, of which only their own bytes are read."""
     meta = files.read_json(f"{cache}/meta.json")
     if meta is None:
         raise FileNotFoundError(f"no cache at {cache}")
     if scale < 1.5:
-        return spark.read.parquet(f"{cache}/overview")
-    return in_tiles(spark.read.parquet(f"{cache}/tiles"), tile_range(view, tuple(meta["viewBox"]), meta["grid"]))
+        return spark.read.schema("tx int, ty int, kind string, values array<double>, text string").parquet(f"{cache}/overview")
+    return tiles.read_tiles(spark, cache, tile_range(view, tuple(meta["viewBox"]), meta["grid"]))

@@ -14,9 +14,11 @@ def chain(spark):
 
 
 def test_tier_passes_bound(chain):
-    assert graph.tier_passes(chain, max_rounds=N - 1).count() == N
+    """One round settles a block, however long its chain; blocks of a link each need a round each."""
+    assert graph.tier_passes(chain, max_rounds=1).count() == N
+    assert graph.tier_passes(chain, max_rounds=N, edges_a_block=1).count() == N
     with pytest.raises(RuntimeError):
-        graph.tier_passes(chain, max_rounds=4)
+        graph.tier_passes(chain, max_rounds=4, edges_a_block=1)
 
 
 def test_connected_order_bound(chain):

@@ -125,11 +125,22 @@ def test_bake_and_tiles(spark, root, tmp_path):
     assert [float(x) for x in tree.get("viewBox").split()] == list(box) and box == pytest.approx(drawing.svg_box(n), abs=1e-3)
     meta = drawing.build_tiles(spark, svg, cache, grid=4, caps={"line": 3, "circle": 2, "text": 1})
     assert meta["counts"] == {"line": 57, "circle": 20, "text": 20}
-    kept = spark.read.parquet(f"{cache}/tiles").groupBy("tx", "ty", "kind").count().groupBy("kind").agg(F.max("count")).collect()
-    assert all(r[1] <= {"line": 3, "circle": 2, "text": 1}[r[0]] for r in kept)
+    every = drawing.tiles.read_tiles(spark, cache, (0, 3, 0, 3))
+    kept = every.groupBy("tx", "ty", "kind").count().groupBy("kind").agg(F.max("count")).collect()
+    assert len(kept) == 3 and all(r[1] <= {"line": 3, "circle": 2, "text": 1}[r[0]] for r in kept)
     assert drawing.view_tiles(spark, cache, (-1e9, -1e9, 1e9, 1e9), 1.0).count() == 97
     near = drawing.view_tiles(spark, cache, (0.0, 0.0, 1.0, 1.0), 2.0)
-    assert 0 < near.count() < spark.read.parquet(f"{cache}/tiles").count()
+    assert 0 < near.count() < every.count()
+    server = drawing.tiles.TileServer(spark, cache)
+    span = drawing.tile_range((0.0, 0.0, 1.0, 1.0), box, 4)
+    got = sorted((tx, ty, k, str(v)) for tx, ty, d in server.tiles(span) for k in ("line", "circle", "text") for v in d[k])
+    assert got == sorted((r["tx"], r["ty"], r["kind"], str([*r["values"], *([r["text"]] if r["kind"] == "text" else [])])) for r in near.collect())
+    size = files.tree_bytes(f"{cache}/packs")
+    assert 0 < server.bytes_read < size and server.tile(99, 0)["counts"] == {} and sum(d["counts"].get("circle", 0) for _, _, d in server.tiles((0, 3, 0, 3))) == 20
+    own = sum(r["length"] for r in drawing.tiles.located(spark, cache, span).collect())
+    read = server.bytes_read
+    server.tiles(span)
+    assert own <= server.bytes_read - read <= own + drawing.tiles.GAP * 4
     with pytest.raises(ValueError):
         drawing.svg_lines(n.limit(0), edges)
     (tmp_path / "bad.svg").write_text('<svg viewBox="1 2 x 4">\n')
