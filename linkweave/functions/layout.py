@@ -52,6 +52,11 @@ class Settings:
         return replace(self, **{f.name: type(getattr(self, f.name))(over[f.name]) for f in fields(self) if f.name in over})
 
 
+def cooled(n: str, s: Settings = Settings()) -> str:
+    """Alpha after n ticks (K12): each goes the same share of the way to its target."""
+    return f"{s.alpha_target!r} + {s.alpha - s.alpha_target!r} * pow({1 - s.alpha_decay!r}, {n})"
+
+
 def spacing(n: str) -> str:
     return f"least(2.5, greatest(1.0, pow({n} / 250.0, 0.25)))"
 

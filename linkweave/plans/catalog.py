@@ -140,32 +140,105 @@ def _(s, d):
 _ODD = "(CASE l_linenumber WHEN 3 THEN CAST('NaN' AS DOUBLE) WHEN 4 THEN CAST('-Infinity' AS DOUBLE) WHEN 5 THEN NULL ELSE l_extendedprice / 7 END)"
 _DX, _DY = L.safe_direction("(l_discount * (l_linenumber - 3))", "(l_tax - 0.04)", "l_orderkey", "l_partkey")
 _NUM = "SELECT l_orderkey, l_linenumber, {} FROM lineitem"
-for _name, _exprs in {
-    "b19_b37_finite_floats": {"f": f"round({L.f32(_ODD)}, 3)", "g": f"round({L.finite(_ODD, '7.0')}, 3)"},
-    "b20_link_distance": {"d": L.link_distance("(l_extendedprice / 3)")},
-    "b21_spacing": {"s": f"round({L.spacing('l_extendedprice')}, 6)"},
-    "b22_boundary_radius": {"r2": f"round({L.boundary_radius('l_extendedprice')}, 6)", "r3": f"round({L.boundary_radius('l_extendedprice', True)}, 6)"},
-    "b23_b24_importance_radius": {"i": f"round({L.importance('l_extendedprice', 'l_quantity')}, 6)", "r": f"round({L.node_radius('l_returnflag', L.importance('l_extendedprice', 'l_quantity'))}, 6)"},
-    "b25_hub_score": {"h": f"round({L.hub_score('l_linenumber = 1', 'l_quantity', '50')}, 6)"},
-    "b26_collision_strength": {"c": f"round({L.collision_strength('l_discount * 10')}, 6)"},
-    "b27_export_radius": {"r": f"round({L.export_radius('l_quantity', '(1.0 + l_discount * 5)')}, 6)"},
-    "b28_visual_scale": {"v": f"round({L.visual_scale('CAST(l_quantity AS BIGINT) * 40', 'CAST(l_linenumber AS BIGINT) * 800', '(l_discount * 12)', 'CAST(l_linenumber AS BIGINT) * 10')}, 6)"},
-    "b29_log_slider": {"p": f"round({L.slider_position('l_extendedprice', 10.0, 1000.0, 200000.0)}, 6)", "v": f"round({L.slider_value('(l_discount * 10)', 10.0, 1000.0, 200000.0)}, 4)"},
-    "b30_jiggle": {"j": f"round({L.jiggle('l_orderkey', 'l_partkey')} * 1000000, 6)", "k": f"round({L.jiggle('l_partkey', 'l_orderkey', 1)} * 1000000, 6)"},
-    "b33_tick_delay": {"t": f"round({L.tick_delay('l_quantity')}, 6)"},
-    "b36_degree_bytes": {"g": L.article_degree("CAST(l_quantity AS BIGINT)", "CASE WHEN l_linenumber = 2 THEN NULL ELSE -20 END"), "b": f"round({L.article_bytes(_ODD, 'l_quantity')}, 6)"},
-    "b38_safe_direction": {"x": f"round({_DX}, 6) + 0.0", "y": f"round({_DY}, 6) + 0.0"},
-    "d9_projection": {k: f"round({v}, 6)" for k, v in L.project("(l_discount * 1000)", "(l_tax * 1000)", "l_quantity", 0.5, 0.3, L.camera_distance("500")).items()},
-    "k9_boundary_force": {"f": f"round({L.boundary_pull('(l_extendedprice / 10)', '4000.0')}, 4)"},
-    "k3_spring_law": {"f": f"round({L.spring('(l_extendedprice / 30)')}, 4)"},
-    "k10_k11_speed_cap": {"k": "round(least(1.0, greatest(1.0, l_quantity + 18) / greatest(sqrt(l_extendedprice), 0.000001)), 6)"},
-    "k12_cooling": {"a": f"round(0.8 * pow(1.0 - {Settings().alpha_decay!r}, l_quantity), 8)"},
-}.items():
-    _sql = _NUM.format(", ".join(f"{v} AS {k}" for k, v in _exprs.items()))
+#: The engine's expressions over lineitem, and beside each the definition written out by hand for DuckDB.
+_NUMBERS = {
+    "b19_b37_finite_floats": (
+        {"f": f"round({L.f32(_ODD)}, 3)", "g": f"round({L.finite(_ODD, '7.0')}, 3)"},
+        "SELECT l_orderkey, l_linenumber, round(CAST(CAST(CASE WHEN l_linenumber IN (3, 4, 5) THEN 0 ELSE l_extendedprice / 7 END AS FLOAT) AS DOUBLE), 3) AS f, round(CASE WHEN l_linenumber IN (3, 4, 5) THEN 7 ELSE l_extendedprice / 7 END, 3) AS g FROM lineitem",
+    ),
+    "b20_link_distance": (
+        {"d": L.link_distance("(l_extendedprice / 3)")},
+        "SELECT l_orderkey, l_linenumber, CASE WHEN t >= 1 THEN 10.0 ELSE round(150000 - 149990 * (3 * t - 3 * t * t + t * t * t)) END AS d FROM (SELECT *, l_extendedprice / 90000 AS t FROM lineitem)",
+    ),
+    "b21_spacing": (
+        {"s": f"round({L.spacing('l_extendedprice')}, 6)"},
+        "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_extendedprice <= 250 THEN 1 WHEN l_extendedprice >= 250 * 39.0625 THEN 2.5 ELSE sqrt(sqrt(l_extendedprice / 250)) END, 6) AS s FROM lineitem",
+    ),
+    "b22_boundary_radius": (
+        {"r2": f"round({L.boundary_radius('l_extendedprice')}, 6)", "r3": f"round({L.boundary_radius('l_extendedprice', True)}, 6)"},
+        "SELECT l_orderkey, l_linenumber, round(sqrt(25600 * l_extendedprice / pi()), 6) AS r2, round(cbrt(10648000 * 0.75 * l_extendedprice / pi()), 6) AS r3 FROM lineitem",
+    ),
+    "b23_b24_importance_radius": (
+        {"i": f"round({L.importance('l_extendedprice', 'l_quantity')}, 6)", "r": f"round({L.node_radius('l_returnflag', L.importance('l_extendedprice', 'l_quantity'))}, 6)"},
+        "SELECT l_orderkey, l_linenumber, round(i, 6) AS i, round(6 * (1 + i), 6) AS r FROM (SELECT *, 0.45 * log(1 + l_extendedprice) / log(2000001) + 0.55 * sqrt(l_quantity / 56) AS i FROM lineitem)",
+    ),
+    "b25_hub_score": (
+        {"h": f"round({L.hub_score('l_linenumber = 1', 'l_quantity', '50')}, 6)"},
+        "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN round(0.8 + log2(1 + l_quantity) / log2(51) / 5, 6) ELSE 0 END AS h FROM lineitem",
+    ),
+    "b26_collision_strength": (
+        {"c": f"round({L.collision_strength('l_discount * 10')}, 6)"},
+        "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.075 THEN 4.0 ELSE round(1 / (1 - 10 * l_discount), 6) END AS c FROM lineitem",
+    ),
+    "b27_export_radius": (
+        {"r": f"round({L.export_radius('l_quantity', '(1.0 + l_discount * 5)')}, 6)"},
+        "SELECT l_orderkey, l_linenumber, round(l_quantity + least(6.3, 5 * l_discount * l_quantity), 6) AS r FROM lineitem",
+    ),
+    "b28_visual_scale": (
+        {"v": f"round({L.visual_scale('CAST(l_quantity AS BIGINT) * 40', 'CAST(l_linenumber AS BIGINT) * 800', '(l_discount * 12)', 'CAST(l_linenumber AS BIGINT) * 10')}, 6)"},
+        """WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity * 40 AS n, l_linenumber * 800.0 AS t, l_discount * 12 AS zoom, l_linenumber * 10.0 AS h FROM lineitem),
+b AS (SELECT *, CASE WHEN n >= t THEN 0 ELSE 1 - n / t END AS gone, CASE WHEN n <= h THEN 0 WHEN n >= t THEN 1 ELSE (n - h) / (t - h) END AS part, CASE WHEN t <= 1000 THEN 1 WHEN n <= h THEN 0 ELSE 1 - exp((h - n) / greatest(1, h / 20)) END AS dense FROM a),
+c AS (SELECT *, log10(1 + 9 * gone) * (exp(8 - 8 * part) - 1) / (exp(8) - 1) * dense AS w, CASE WHEN zoom <= 0.58 THEN 1 WHEN zoom >= 1.15 THEN 0 ELSE (1.15 - zoom) / 0.57 END AS away, CASE WHEN zoom >= 0.85 THEN 0 WHEN zoom <= 0.2 THEN 1 ELSE (0.85 - zoom) / 0.65 END AS far FROM b)
+SELECT l_orderkey, l_linenumber, round(1 + 1.45 * w * away + 0.45 * w * far + 0.6525 * w * w * away * far, 6) AS v FROM c""",
+    ),
+    "b29_log_slider": (
+        {"p": f"round({L.slider_position('l_extendedprice', 10.0, 1000.0, 200000.0)}, 6)", "v": f"round({L.slider_value('(l_discount * 10)', 10.0, 1000.0, 200000.0)}, 4)"},
+        "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_extendedprice <= 1000 THEN (log10(l_extendedprice) - 1) / 4 ELSE 0.5 + (log10(l_extendedprice) - 3) / 2 / (log10(2) + 2) END, 6) AS p, round(CASE WHEN l_discount <= 0.05 THEN 10 * pow(100, 20 * l_discount) ELSE 1000 * pow(200, 20 * least(0.1, l_discount) - 1) END) AS v FROM lineitem",
+    ),
+    "b30_jiggle": (
+        {"j": f"round({L.jiggle('l_orderkey', 'l_partkey')} * 1000000, 6)", "k": f"round({L.jiggle('l_partkey', 'l_orderkey', 1)} * 1000000, 6)"},
+        """WITH h AS (SELECT *, (CAST(least(l_orderkey, l_partkey) AS HUGEINT) * 1664525 + CAST(greatest(l_orderkey, l_partkey) AS HUGEINT) * 1013904223) % 4294967296 AS h FROM lineitem), g AS (SELECT *, (h + 2246822519) % 4294967296 AS g FROM h)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN l_orderkey < l_partkey THEN 1 ELSE -1 END * (CAST(xor(CAST(h % 65536 AS BIGINT), CAST(h // 65536 AS BIGINT)) AS DOUBLE) / 65535 - 0.5), 6) + 0.0 AS j, round(CASE WHEN l_partkey < l_orderkey THEN 1 ELSE -1 END * (CAST(xor(CAST(g % 65536 AS BIGINT), CAST(g // 65536 AS BIGINT)) AS DOUBLE) / 65535 - 0.5), 6) + 0.0 AS k FROM g""",
+    ),
+    "b33_tick_delay": (
+        {"t": f"round({L.tick_delay('l_quantity')}, 6)"},
+        "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 16 THEN 0.0 ELSE round((50 - 3 * l_quantity) / 3, 6) END AS t FROM lineitem",
+    ),
+    "b36_degree_bytes": (
+        {"g": L.article_degree("CAST(l_quantity AS BIGINT)", "CASE WHEN l_linenumber = 2 THEN NULL ELSE -20 END"), "b": f"round({L.article_bytes(_ODD, 'l_quantity')}, 6)"},
+        "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN CAST(l_quantity AS BIGINT) WHEN l_quantity <= 20 THEN 0 ELSE CAST(l_quantity AS BIGINT) - 20 END AS g, round(CASE WHEN l_linenumber IN (3, 4) THEN 0 WHEN l_linenumber = 5 THEN l_quantity ELSE l_extendedprice / 7 END, 6) AS b FROM lineitem",
+    ),
+    "b38_safe_direction": (
+        {"x": f"round({_DX}, 6) + 0.0", "y": f"round({_DY}, 6) + 0.0"},
+        """WITH h AS (SELECT l_orderkey, l_linenumber, l_discount * (l_linenumber - 3) AS dx, l_tax - 0.04 AS dy, CASE WHEN l_orderkey < l_partkey THEN 1e-6 ELSE -1e-6 END AS unit, (CAST(least(l_orderkey, l_partkey) AS HUGEINT) * 1664525 + CAST(greatest(l_orderkey, l_partkey) AS HUGEINT) * 1013904223) % 4294967296 AS h FROM lineitem), g AS (SELECT *, (h + 2246822519) % 4294967296 AS g FROM h),
+o AS (SELECT *, CASE WHEN dx <> 0 THEN dx ELSE unit * (CAST(xor(CAST(h % 65536 AS BIGINT), CAST(h // 65536 AS BIGINT)) AS DOUBLE) / 65535 - 0.5) END AS ox, CASE WHEN dy <> 0 THEN dy ELSE unit * (CAST(xor(CAST(g % 65536 AS BIGINT), CAST(g // 65536 AS BIGINT)) AS DOUBLE) / 65535 - 0.5) END AS oy FROM g)
+SELECT l_orderkey, l_linenumber, round(ox / greatest(1e-12, sqrt(ox * ox + oy * oy)), 6) + 0.0 AS x, round(oy / greatest(1e-12, sqrt(ox * ox + oy * oy)), 6) + 0.0 AS y FROM o""",
+    ),
+    "d9_projection": (
+        {k: f"round({v}, 6)" for k, v in L.project("(l_discount * 1000)", "(l_tax * 1000)", "l_quantity", 0.5, 0.3, L.camera_distance("500")).items()},
+        """WITH p AS (SELECT l_orderkey, l_linenumber, l_discount * 1000 AS x, l_tax * 1000 AS y, l_quantity AS z, greatest(900, 660 * cbrt(375 / pi())) AS cam FROM lineitem),
+t AS (SELECT *, x * cos(0.5) - z * sin(0.5) AS side, y * cos(0.3) - (x * sin(0.5) + z * cos(0.5)) * sin(0.3) AS up, y * sin(0.3) + x * sin(0.5) * cos(0.3) + z * cos(0.5) * cos(0.3) AS deep FROM p), q AS (SELECT *, CASE WHEN cam + deep <= cam / 1.8 THEN 1.8 WHEN cam + deep >= cam / 0.42 THEN 0.42 ELSE 1 / (1 + deep / cam) END AS k FROM t)
+SELECT l_orderkey, l_linenumber, round(side * k, 6) AS px, round(up * k, 6) AS py, round(deep, 6) AS depth, round(k, 6) AS perspective FROM q""",
+    ),
+    "k9_boundary_force": (
+        {"f": f"round({L.boundary_pull('(l_extendedprice / 10)', '4000.0')}, 4)"},
+        "SELECT l_orderkey, l_linenumber, round(CASE WHEN x <= 0 THEN 0 WHEN x >= 6000 THEN least(14.4 * (exp(50) - 1), 0.6 * x) ELSE least(14.4 * (exp(x / 120) - 1), 0.6 * x) END, 4) AS f FROM (SELECT *, l_extendedprice / 10 - 4000 AS x FROM lineitem)",
+    ),
+    "k3_spring_law": (
+        {"f": f"round({L.spring('(l_extendedprice / 30)')}, 4)"},
+        "SELECT l_orderkey, l_linenumber, round(CASE WHEN e <= 0 THEN 0 WHEN e >= 1024 THEN 192 ELSE least(192, e * (e * e / 150000 + 0.16)) END, 4) AS f FROM (SELECT *, l_extendedprice / 30 - 48 AS e FROM lineitem)",
+    ),
+}
+for _name, (_exprs, _sql) in _NUMBERS.items():
     # decimals of the text become doubles in Spark, as they do in arithmetic with doubles anyway
-    _spark = re.sub(r"(?<![\w.])(\d+\.\d+|\d+\.\d*e-?\d+)(?![\w.])", r"\1D", _sql)
+    _spark = re.sub(r"(?<![\w.])(\d+\.\d+|\d+\.\d*e-?\d+)(?![\w.])", r"\1D", _NUM.format(", ".join(f"{v} AS {k}" for k, v in _exprs.items())))
     query(_name, _sql)(lambda s, d, q=_spark: X.run_sql(s, d, q, "lineitem"))
 
+
+@query("k10_k11_speed_cap", """WITH n AS (SELECT l_orderkey, l_linenumber, l_discount * 1000 AS x, l_tax * 1000 AS y, l_extendedprice / 500 * (l_linenumber - 3) AS vx, l_quantity - 25 AS vy, l_quantity AS radius FROM lineitem),
+k AS (SELECT *, 0.6 * CASE WHEN sqrt(vx * vx + vy * vy) <= radius + 18 THEN 1 ELSE (radius + 18) / sqrt(vx * vx + vy * vy) END AS k FROM n)
+SELECT l_orderkey, l_linenumber, round(CAST(CAST(x + vx * k AS FLOAT) AS DOUBLE), 2) AS x, round(CAST(CAST(y + vy * k AS FLOAT) AS DOUBLE), 2) AS y, round(CAST(CAST(vx * k AS FLOAT) AS DOUBLE), 3) + 0.0 AS vx FROM k""")
+def _(s, d):
+    """A step of integration: speeds capped by the radius, decayed, added, as 32-bit floats."""
+    n = X.run_sql(s, d, "SELECT l_orderkey, l_linenumber, l_discount * 1000D AS x, l_tax * 1000D AS y, l_extendedprice / 500D * (l_linenumber - 3) AS vx, l_quantity - 25D AS vy, l_quantity AS radius FROM lineitem", "lineitem")
+    return layout.integrate(n, Settings()).select("l_orderkey", "l_linenumber", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), (F.round("vx", 3) + 0.0).alias("vx"))
+
+
+@query("k12_cooling", "SELECT l_orderkey, l_linenumber, round(0.8 * exp(l_partkey % 1801 / 1800.0 * ln(1 / 800.0)), 8) AS a FROM lineitem")
+def _(s, d):
+    """Alpha after as many ticks as a row says; 1800 of them go from 0.8 to 0.001."""
+    return X.tables(s, d, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber", F.round(F.expr(L.cooled("(l_partkey % 1801)")), 8).alias("a"))
+
 # --- A: sources ----------------------------------------------------------------------------------------------------
 
 
