@@ -2,14 +2,17 @@
 
 Candidates come from a partition of the universe of shingles: hashing deals a
 set's shingles to the segments of its size band. Two sets that link differ in
-at most H shingles, so of any H + 1 non-empty segments of one of them at least
-one is equal in both; a document indexes the segments of its band in order of
-cost, up to H + 1 non-empty ones. Costs are estimates: the collisions that a
-segment causes among the classes of one task, summed over tasks; those between
-tasks are not counted. Any common order gives the same links, a worse one more
-candidates. Where a document has too few non-empty segments it
-indexes all, with their one-deletion neighbourhoods, each of which forgives a
-further difference. Every candidate is verified on the full sets.
+at most H shingles. A segment is left out of a set's index, or indexed as it
+is, which meets sets that have it equal, or with its one-deletion
+neighbourhood as well, which meets those that differ by one there. Each of the
+two is a unit; of any H + 1 units of a set one meets every set that links. All
+sets of a band take their units in one order, the cheapest first, so that the
+first unit that meets is among those of both. A unit's cost is what it adds to
+the index and the pairs that come to share a signature by it, for each set
+that gains it: rows are counted over all classes, pairs among CHUNK classes at
+a time and scaled up. Any common order gives the same links, a worse one more
+candidates. A set with too few units indexes all segments, empty ones too,
+with their neighbourhoods. Every candidate is verified on the full sets.
 
 Exact copies are one class from the start. Links are looked for from a
 bucket's leader first; only buckets that then still hold several components
@@ -36,6 +39,8 @@ SHINGLE = 5
 #: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
 STAR_ROUNDS = 1
+#: Classes among which colliding signatures are counted, and what such a pair costs beside a row of the index.
+CHUNK, PAIR = 2000, 0.02
 #: Cells of the sketch that pairs of an open bucket must pass.
 MID = 512
 #: Signatures by which a class knows in a group whom it has met in an earlier one; beyond them a pair may come up again.
@@ -106,15 +111,29 @@ def _sign(seg: np.ndarray, total: np.ndarray, band: int) -> np.ndarray:
     return mix(total + mix(seg.astype(np.uint64), 31 + band), 77).view(np.int64)
 
 
-def signatures(s: np.ndarray, rank: dict[int, np.ndarray]) -> np.ndarray:
-    """The signatures that a set is indexed under. rank: of a band, each segment's place by cost."""
+def _units(own: np.ndarray, size: np.ndarray, band: int, order: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the band's order, index of the segment, level) of all units of a set: the exact segment (1), and its neighbourhood (2) where it has two shingles or more. order: of a band, each segment's place at both levels; by default exact ones first."""
+    first, second = order[band] if band in order else (np.arange(segments(band)), segments(band) + np.arange(segments(band)))
+    more = np.nonzero(size > 1)[0]
+    return np.concatenate([first[own], second[own[more]]]), np.concatenate([np.arange(len(own)), more]), np.concatenate([np.ones(len(own), np.int8), np.full(len(more), 2, np.int8)])
+
+
+def signatures(s: np.ndarray, order: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The signatures that a set is indexed under: those of its first H + 1 units."""
     out = []
     for band, most in roles(len(s)):
         seg, m, own, total = segment_sums(s, band)
-        place = rank[band][own] if band in rank else own
-        if len(own) > most:
-            first = np.argpartition(place, most)[: most + 1] if len(own) > most + 1 else np.arange(len(own))
-            out.append(_sign(own[first], total[first], band))
+        at = np.searchsorted(own, seg)
+        place, which, level = _units(own, np.bincount(at), band, order)
+        if len(place) > most:
+            taken = np.argpartition(place, most)[: most + 1] if len(place) > most + 1 else np.arange(len(place))
+            exact = which[taken[level[taken] == 1]]
+            out.append(_sign(own[exact], total[exact], band))
+            deep = np.zeros(len(own), bool)
+            deep[which[taken[level[taken] == 2]]] = True
+            k = np.nonzero(deep[at])[0]
+            if len(k):
+                out.append(_sign(seg[k], total[at[k]] - m[k], band))
             continue
         every = np.zeros(segments(band), np.uint64)
         every[own] = total
@@ -125,51 +144,93 @@ def signatures(s: np.ndarray, rank: dict[int, np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _classes(docs: DataFrame, bits: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """Members (d, th, n, cls, chk, s0..s3) of all rows, and each band's segments ranked by cost."""
+class Costs:
+    """Of each segment of a band: sets that have it, pairs that have it equal, sets with two shingles or more there, their neighbours, and pairs that only these bring together. Pairs are counted among CHUNK sets at a time."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, list] = {}
+        self.n, self.chunks, self.sums = 0, 0, {}
+
+    def add(self, s: np.ndarray) -> None:
+        for band, _ in roles(len(s)):
+            self.held.setdefault(band, []).append(segment_sums(s, band))
+        self.n += 1
+        if self.n == CHUNK:
+            self.flush()
+
+    def flush(self) -> None:
+        for band, sets in self.held.items():
+            out = self.sums.setdefault(band, np.zeros((5, segments(band))))
+            own, total = (np.concatenate([x[k] for x in sets]) for k in (2, 3))
+            size = np.concatenate([np.bincount(np.searchsorted(x[2], x[0])) for x in sets])
+            seg, less = np.concatenate([x[0] for x in sets]), np.repeat(total, size) - np.concatenate([x[1] for x in sets])
+            more = np.repeat(size > 1, size)
+            out[0] += np.bincount(own, minlength=out.shape[1])
+            out[1] += self._pairs(own, _sign(own, total, band), out.shape[1])
+            out[2] += np.bincount(own[size > 1], minlength=out.shape[1])
+            out[3] += np.bincount(seg[more], minlength=out.shape[1])
+            both = self._pairs(np.concatenate([own, seg[more]]), np.concatenate([_sign(own, total, band), _sign(seg[more], less[more], band)]), out.shape[1])
+            out[4] += both - self._pairs(own, _sign(own, total, band), out.shape[1])
+        self.chunks += bool(self.n)
+        self.held, self.n = {}, 0
+
+    @staticmethod
+    def _pairs(seg: np.ndarray, sig: np.ndarray, n: int) -> np.ndarray:
+        order = np.argsort(sig, kind="stable")
+        sig, seg = sig[order], seg[order]
+        at = np.nonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))[0]
+        count = np.diff(np.append(at, len(sig))).astype(float)
+        return np.bincount(seg[at], weights=count * (count - 1) / 2, minlength=n)
+
+
+def allocation(sums: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a band's units in order of cost for each set that gains one; a neighbourhood never comes before its segment, and ties go by level and segment."""
+    held, pairs, deep, near, more = sums
+    exact = 1 + PAIR * chunks * pairs / np.maximum(held, 1)
+    second = np.maximum(exact, (near + PAIR * chunks * more) / np.maximum(deep, 1))
+    n = len(exact)
+    order = np.lexsort((np.arange(2 * n), np.round(np.concatenate([exact, second]), 6)))
+    place = np.empty(2 * n, np.int64)
+    place[order] = np.arange(2 * n)
+    return place[:n], place[n:]
+
+
+def _classes(docs: DataFrame, bits: int) -> tuple[DataFrame, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Members (d, th, n, cls, chk, s0..s3) of all rows, and each band's units in order of cost."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        bands: dict[int, list] = {}
+        costs = Costs()
         empty = np.zeros(4, np.int64)
         for b in batches:
             out = []
             for d, th, s in zip(b["d"], b["th"], shingle_sets(b["t"].tolist())):
                 cls, chk = name_of(s, bits=bits)
-                out.append((0, d, th, len(s), cls, chk, *(sketch(s) if len(s) else empty), 0, 0, 0.0))
+                out.append((0, d, th, len(s), cls, chk, *(sketch(s) if len(s) else empty), 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0))
                 if len(s) and cls not in seen:
                     seen.add(cls)
-                    for band, _ in roles(len(s)):
-                        _, _, own, total = segment_sums(s, band)
-                        bands.setdefault(band, []).append((own, total))
+                    costs.add(s)
             yield pd.DataFrame(out, columns=cols).astype({"d": "Int64"})
-        for band, found in bands.items():
-            own, total = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((total, own))
-            own, total = own[order], total[order]
-            at = np.nonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (total[1:] != total[:-1])]))[0]
-            count = np.diff(np.concatenate([at, [len(own)]])).astype(float)
-            cost = np.bincount(own[at], weights=count * (count - 1) / 2)
-            seg = np.nonzero(cost)[0]
-            if len(seg):
-                yield pd.DataFrame({"kind": 1, "d": pd.array([None] * len(seg), "Int64"), **dict.fromkeys(cols[2:10], 0), "band": band, "seg": seg, "cost": cost[seg]})
-
-    cols = ["kind", "d", "th", "n", "cls", "chk", "s0", "s1", "s2", "s3", "band", "seg", "cost"]
-    schema = "kind int, d long, th long, n long, cls long, chk long, s0 long, s1 long, s2 long, s3 long, band int, seg int, cost double"
+        costs.flush()
+        for band, sums in costs.sums.items():
+            seg = np.nonzero(sums[0])[0]
+            yield pd.DataFrame({"kind": 1, "d": pd.array([None] * len(seg), "Int64"), **dict.fromkeys(cols[2:10], 0), "band": band, "seg": seg, **{f"c{k}": sums[k][seg] for k in range(5)}})
+        if costs.chunks:
+            yield pd.DataFrame({"kind": [2], "d": pd.array([None], "Int64"), **dict.fromkeys(cols[2:10], 0), "band": 0, "seg": costs.chunks, **{f"c{k}": 0.0 for k in range(5)}})
+
+    cols = ["kind", "d", "th", "n", "cls", "chk", "s0", "s1", "s2", "s3", "band", "seg", "c0", "c1", "c2", "c3", "c4"]
+    schema = "kind int, d long, th long, n long, cls long, chk long, s0 long, s1 long, s2 long, s3 long, band int, seg int, c0 double, c1 double, c2 double, c3 double, c4 double"
     all_ = stored(docs.select("d", "th", "t").mapInPandas(rows, schema), "classes")
-    # a row a segment that has collisions: bounded by the longest text, not by the number of texts
-    rank: dict[int, np.ndarray] = {}
-    for r in all_.where("kind = 1").groupBy("band", "seg").agg(F.sum("cost").alias("cost")).orderBy("band", "cost", "seg").collect():
-        if r["band"] not in rank:
-            rank[r["band"]] = np.zeros(segments(r["band"]), np.int64)
-        rank[r["band"]][r["seg"]] = 1 + rank[r["band"]].max()
-    for band, place in rank.items():  # equal costs (none) in order of the segment
-        order = np.lexsort((np.arange(len(place)), place))
-        place[order] = np.arange(len(place))
-    return all_.where("kind = 0").drop("kind", "band", "seg", "cost"), rank
-
-
-def _buckets(docs: DataFrame, rank: dict[int, np.ndarray], parts: int, name) -> DataFrame:
+    # a row a segment: bounded by the longest text, not by the number of texts
+    chunks = all_.where("kind = 2").agg(F.sum("seg")).first()[0] or 0
+    sums: dict[int, np.ndarray] = {}
+    for r in all_.where("kind = 1").groupBy("band", "seg").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(5)]).collect():
+        sums.setdefault(r["band"], np.zeros((5, segments(r["band"]))))[:, r["seg"]] = [r[f"c{k}"] for k in range(5)]
+    rank = {band: allocation(x, chunks) for band, x in sums.items()}
+    return all_.where("kind = 0").drop("kind", "band", "seg", "c0", "c1", "c2", "c3", "c4"), rank
+
+
+def _buckets(docs: DataFrame, rank: dict[int, tuple[np.ndarray, np.ndarray]], parts: int, name) -> DataFrame:
     """(sig, cls) of the signatures that several classes share."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
