@@ -86,6 +86,26 @@ def pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
 
 
+def linked_with(nodes: DataFrame, edges: DataFrame, others: DataFrame) -> DataFrame:
+    """(id, linked) of all nodes: whether a link either way joins it to one of ``others``."""
+    to = others.select(F.col("id").alias("other")).distinct()
+    ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    met = ends.join(to, "other", "left_semi").select("id").distinct().withColumn("linked", F.lit(True))
+    return nodes.select("id").join(met, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+def frontier_scores(articles: DataFrame) -> DataFrame:
+    """(k, n): keys that articles refer to and that none has, with the number of articles that do."""
+    refs = explode_links(articles).select("seq", key(F.col("ref")).alias("k")).distinct()
+    return refs.join(last_aliases(articles).select("k"), "k", "left_anti").groupBy("k").agg(F.count("*").alias("n"))
+
+
+def averages(nodes: DataFrame, edges: DataFrame, eligible: Column) -> DataFrame:
+    """(links_per_node, eligible): links for each node, and how many nodes meet a condition."""
+    n, ok = nodes.agg(F.count("*"), F.count_if(eligible)).first()
+    return edges.agg(F.count("*").alias("e")).select((F.col("e") / F.lit(max(1, n))).alias("links_per_node"), F.lit(ok).cast("long").alias("eligible"))
+
+
 def hub_count(n: int) -> int:
     return 0 if n <= 0 else min(100, max(1, -(-5 * n // 100)))
 

@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import api, storage
@@ -15,7 +14,7 @@ from ..functions import text as T
 from ..functions.layout import Settings
 from ..operators import graph, labels, layout, rank, reservoir
 from ..sources import articles as S
-from ..sources import corpus, drawing, dumps, files, paged, tiles
+from ..sources import corpus, csr, drawing, dumps, files, paged, tiles, titles
 from ..streaming import dump as stream_dump
 from . import fixtures as X
 
@@ -483,6 +482,14 @@ def _(s, d):
     return e.join(rank.csr_offsets(e), "node").select("node", "t", "pos", "first", "n")
 
 
+@query("d7_csr_file", f"{E_}, b AS (SELECT DISTINCT CAST(src AS BIGINT) AS node, CAST(dst AS BIGINT) AS t FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)) SELECT node, t FROM b WHERE node BETWEEN 20 AND 140")
+def _(s, d):
+    """Neighbours of a range of nodes, read from delta-coded blocks by their bytes."""
+    path = local(folder(s, "csr"))
+    csr.write(graph.resolve(arts(s, d)).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), path, 500)
+    return csr.read(s, path, 20, 140)
+
+
 @query("d5_dense_index", "SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part")
 def _(s, d):
     return rank.dense_index(arts(s, d)).select("id", "idx")
@@ -547,10 +554,7 @@ def _(s, d):
 @query("c10_relations", f"{E_}, h AS (SELECT id FROM art WHERE seq <= 10) SELECT id, EXISTS (SELECT 1 FROM edges e, h WHERE (e.src = art.id AND e.dst = h.id) OR (e.dst = art.id AND e.src = h.id)) AS linked FROM art")
 def _(s, d):
     a = arts(s, d)
-    h, p = a.where("seq <= 10").select("id"), graph.pairs(graph.resolve(a))
-    both_ = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    m = both_.join(h.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"), F.lit(True).alias("linked")).distinct()
-    return a.select("id").join(m, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"))
+    return graph.linked_with(a, graph.resolve(a), a.where("seq <= 10"))
 
 
 @query("e6_alias_closure", "WITH RECURSIVE r AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey % 3 = 0), c(src, z) AS (SELECT src, dst FROM r UNION ALL SELECT c.src, r.dst FROM c JOIN r ON r.src = c.z AND r.dst <> c.z) SELECT src, min(z) AS final FROM c GROUP BY src")
@@ -583,14 +587,13 @@ def _(s, d):
 @query("e10_unrelated_pairs", _NEAR.format(pos=X.POS_DUCK) + " AND (a.idx - b.idx) % 7 <> 0")
 def _(s, d):
     p = layout.near_pairs(positions(s, d), 150.0)
-    linked = p.where("(i - j) % 7 = 0").select("i", "j")
-    return p.join(linked, ["i", "j"], "left_anti").select("i", "j", F.round("d", 4).alias("d"))
+    linked = p.where("(i - j) % 7 = 0 and i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return layout.unlinked_pairs(p, linked).select("i", "j", F.round("d", 4).alias("d"))
 
 
 @query("g10_nearest_k", f"SELECT i, j, k FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS k FROM (SELECT a.idx AS i, b.idx AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pos a JOIN pos b ON a.idx <> b.idx) WHERE d2 <= 22500) WHERE k <= 4".replace("SELECT i, j, k", f"WITH {X.POS_DUCK} SELECT i, j, k", 1))
 def _(s, d):
-    k = F.row_number().over(W.partitionBy("i").orderBy(F.expr("dx * dx + dy * dy"), "j")).cast("long")
-    return layout.near_pairs(positions(s, d), 150.0).select("i", "j", k.alias("k")).where("k <= 4")
+    return layout.nearest(positions(s, d), 150.0, 4)
 
 
 @query("e11_hub_article_join", f"WITH {X.POS_DUCK} SELECT a.idx, h.idx AS hub FROM pos a JOIN pos h ON h.idx < 20 AND a.idx <> h.idx WHERE (a.x - h.x) * (a.x - h.x) + (a.y - h.y) * (a.y - h.y) < 230400")
@@ -683,24 +686,20 @@ def _(s, d):
 
 @query("f7_frontier", f"WITH {X.refs_sql(False)} SELECT {KEY} AS k, count(DISTINCT seq) AS n FROM raw WHERE ref LIKE 'dangling%' GROUP BY 1")
 def _(s, d):
-    a = arts(s, d)
-    known = graph.last_aliases(a).select("k")
-    return graph.explode_links(a).select("seq", T.key(F.col("ref")).alias("k")).distinct().join(known, "k", "left_anti").groupBy("k").agg(F.count("*").alias("n"))
+    return graph.frontier_scores(arts(s, d))
 
 
 @query("f8_spring_weights", f"{E_}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), g AS (SELECT n, count(*) AS k FROM (SELECT a AS n FROM p UNION ALL SELECT b FROM p) GROUP BY n) SELECT n AS id, round(sum(w), 6) AS total FROM (SELECT p.a AS n, greatest(0.02, 1 / sqrt(x.k * y.k)) AS w FROM p JOIN g x ON x.n = p.a JOIN g y ON y.n = p.b UNION ALL SELECT p.b, greatest(0.02, 1 / sqrt(x.k * y.k)) FROM p JOIN g x ON x.n = p.a JOIN g y ON y.n = p.b) GROUP BY n")
 def _(s, d):
     p = graph.pairs(graph.resolve(arts(s, d)))
-    g = p.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("k"))
-    w = p.join(g.select(F.col("n").alias("a"), F.col("k").alias("ka")), "a").join(g.select(F.col("n").alias("b"), F.col("k").alias("kb")), "b")
-    return w.select(F.explode(F.array("a", "b")).alias("id"), F.expr("greatest(0.02D, 1 / sqrt(ka * kb))").alias("w")).groupBy("id").agg(F.round(F.sum("w"), 6).alias("total"))
+    return layout.weight_totals(layout.spring_weights(p)).select(F.col("n").alias("id"), F.round("t", 6).alias("total"))
 
 
 @query("f9_hub_memberships", f"{E_} SELECT id, count(DISTINCT h) AS hubs FROM (SELECT src AS id, dst AS h FROM edges UNION ALL SELECT dst, src FROM edges) WHERE CAST(h AS BIGINT) <= 10 AND CAST(id AS BIGINT) > 10 GROUP BY id")
 def _(s, d):
-    p = graph.pairs(graph.resolve(arts(s, d)))
-    e = p.select(F.col("a").alias("id"), F.col("b").alias("h")).unionByName(p.select(F.col("b").alias("id"), F.col("a").alias("h")))
-    return e.where("cast(h as bigint) <= 10 and cast(id as bigint) > 10").groupBy("id").agg(F.count("*").alias("hubs"))
+    a, p = arts(s, d).select(F.col("id").alias("idx"), F.col("seq")), graph.pairs(graph.resolve(arts(s, d)))
+    linked = layout.hub_links(p, a.where("seq > 10"), a.where("seq <= 10").select(F.col("idx").alias("h")))
+    return layout.hub_memberships(linked).select(F.col("idx").alias("id"), F.col("m").alias("hubs"))
 
 
 @query("f10_impulse_cap", "SELECT l_partkey AS idx, round(sum(l_discount) * least(1.0, 0.5 / greatest(sqrt(sum(l_discount) * sum(l_discount) + sum(l_tax) * sum(l_tax)), 0.000001)), 4) AS dvx FROM lineitem GROUP BY l_partkey")
@@ -712,8 +711,7 @@ def _(s, d):
 @query("f13_f14_averages", f"{E_} SELECT round((SELECT count(*) FROM edges) / (SELECT count(*) FROM art), 6) AS links_per_node, (SELECT count(*) FROM art WHERE seq % 4 <> 0) AS eligible")
 def _(s, d):
     a = arts(s, d)
-    e = graph.resolve(a)
-    return e.agg(F.count("*").alias("e")).crossJoin(a.agg(F.count("*").alias("n"), F.count_if(F.col("seq") % 4 != 0).alias("eligible"))).select(F.round(F.col("e") / F.col("n"), 6).alias("links_per_node"), "eligible")
+    return graph.averages(a, graph.resolve(a), F.col("seq") % 4 != 0).select(F.round("links_per_node", 6).alias("links_per_node"), "eligible")
 
 
 # --- G, H, I: ranking, sets, samples -------------------------------------------------------------------------------
@@ -724,6 +722,18 @@ def _(s, d):
     return rank.search(arts(s, d), " 11 ")
 
 
+_ASKED = ["11", "gizmo 1", "Old  WIDGET", "e", "no such title"]
+
+
+@query("g1_o3_title_index", " UNION ALL ".join(f"(SELECT {k} AS q, id, title FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title FROM part) WHERE contains(lower(title), '{' '.join(q.split()).lower()}') ORDER BY length(title), title, id LIMIT 20)" for k, q in enumerate(_ASKED)))
+def _(s, d):
+    """Answers of a title index, written and read back: one gram, several, spelled otherwise, of nearly all titles, and of none."""
+    path = folder(s, "titles")
+    titles.write(arts(s, d).select("id", "title"), path)
+    out = [titles.search(s, path, q).select(F.lit(k).alias("q"), "id", "title") for k, q in enumerate(_ASKED)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
 @query("g2_finder", "SELECT id, title, CASE WHEN lower(title) = '1' THEN 0 WHEN instr(lower(title), '1') = 1 THEN 1 WHEN instr(lower(title), '1') > 0 THEN 2 ELSE 3 END AS score, CASE WHEN instr(lower(title), '1') > 0 THEN instr(lower(title), '1') ELSE instr(id, '1') END AS place FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_partkey AS title FROM part) WHERE contains(lower(title), '1') OR contains(id, '1') ORDER BY score, place, title, id LIMIT 18")
 def _(s, d):
     return rank.finder(arts(s, d), "1 ")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, rank
 from ..storage import positions, stored
 from . import articles as S
-from . import files
+from . import files, titles
 
 SAMPLE = 500
 #: Edges of the tier of the whole corpus.
@@ -45,7 +45,7 @@ def once(articles: DataFrame) -> DataFrame:
 
 
 def build_index(spark: SparkSession, source: str, root: str, limit: int | None = None) -> dict:
-    """Normalise article lines into root/index, with a sample graph and a manifest.
+    """Normalise article lines into root/index, with a title index, a sample graph and a manifest.
 
     limit counts accepted articles. An index that is there is left as it is:
     an error, nothing is overwritten.
@@ -62,6 +62,7 @@ def build_index(spark: SparkSession, source: str, root: str, limit: int | None =
         bad = bad.where(F.col("seq") < (last if last is not None and good.count() >= limit else 1 << 62))
     rows = stored(good.select("seq", "id", "title", "url", "extract", F.col("byte_length").alias("byteLength"), "links").repartitionByRange("seq").sortWithinPartitions("seq"), "index")
     rows.drop("seq").write.json(out)
+    titles.write(rows.select("id", "title"), f"{root}/index/titles")
     picked = positions(rank.hash_sample(good, SAMPLE), ["h", "seq"], "place")  # at most SAMPLE rows
     edges = graph.resolve_own(picked.drop("seq").withColumnRenamed("place", "seq"))
     write_graph(graph.degrees(picked.select("seq", "id", "title", "byte_length"), edges), edges, f"{root}/index/sample")
