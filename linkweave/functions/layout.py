@@ -121,7 +121,8 @@ def jiggle(a: str, b: str, axis: int = 0) -> str:
     part = lambda v, m: f"((({v}) & 65535) * {m} + ((((({v}) >> 16) & 65535) * {m} & 65535) << 16))"
     h = f"(({part(f'least({a}, {b})', 1664525)} + {part(f'greatest({a}, {b})', 1013904223)} + {axis * 2246822519}) & 4294967295)"
     low = f"(({h} & 65535) + ({h} >> 16) - 2 * ({h} & ({h} >> 16) & 65535))"  # exclusive or
-    return f"(CASE WHEN {a} < {b} THEN 1 ELSE -1 END * ({low} / 65535.0 - 0.5) * 0.000001)"
+    # written with exponents: decimals of whole numbers would be rounded to nothing
+    return f"(CASE WHEN {a} < {b} THEN 1 ELSE -1 END * ({low} / 65535e0 - 5e-1) * 1e-6)"
 
 
 def finite(x: str, default: str = "0.0") -> str:

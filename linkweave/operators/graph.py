@@ -143,7 +143,10 @@ def hubs(nodes: DataFrame, edges: DataFrame, window: int = 512) -> DataFrame:
         closed = both.where(F.col("a").isin([i for i, _ in new])).select(F.col("b").alias("id"))
         last = head[-1]
         behind = (F.col("degree") < last[1]) | ((F.col("degree") == last[1]) & (F.col("id") > last[0]))
-        left = left.where(behind).join(closed, "id", "left_anti")
+        rest = stored(left.where(behind).join(closed, "id", "left_anti"), "open")  # so that the plan stays one round deep
+        discard(left)
+        left = rest
+    discard(left, both)
     rows = [(i, d, k + 1) for k, (i, d) in enumerate(chosen[:want])]  # at most 100
     return nodes.sparkSession.createDataFrame(rows, "id string, degree long, rank long")
 

@@ -950,7 +950,15 @@ for _name, (_force, _sql) in _FORCES.items():
     query(_name, _sql)(lambda s, d, f=_force, far=12.0 if _name == "k9_boundary" else 1.0: forced(s, d, f, far))
 QUERIES["k13_k15_tick"] = lambda s, d: layout.tick(*layout_graph(s, d), Settings(), 0.8)
 QUERIES["k8_overlap_repair"] = lambda s, d: layout.separated(layout_graph(s, d)[0])
-QUERIES["i7_k16_sampled_charge"] = lambda s, d: layout.sampled_charge(*layout_graph(s, d), Settings(), 0.8, samples=64)
+
+
+@query("i7_k16_sampled_charge", f"""{_LAY}, st AS (SELECT greatest(1, n // 64) AS step, n, 480 * least(2.5, greatest(1.0, pow(n / 250.0, 0.25))) AS cut FROM c), t AS (SELECT p.idx AS i, (p.idx * 37 + k) % st.n AS j FROM n p, st, (SELECT unnest(range(0, (SELECT n FROM st), (SELECT step FROM st))) AS k)),
+p AS (SELECT t.i, q.x - p.x AS dx, q.y - p.y AS dy, pow(q.x - p.x, 2) + pow(q.y - p.y, 2) AS d2, rho * (115 + 126 * q.imp) AS q, cut FROM t JOIN n p ON p.idx = t.i JOIN n q ON q.idx = t.j, rho, st WHERE t.i <> t.j)
+SELECT i AS idx, round(sum(-dx * q * 0.8 / greatest(d2, 1)), 3) + 0.0 AS dvx, round(sum(-dy * q * 0.8 / greatest(d2, 1)), 3) + 0.0 AS dvy FROM p WHERE d2 > 0.0001 AND d2 < cut * cut GROUP BY i""")
+def _(s, d):
+    return layout.sampled_charge(*layout_graph(s, d), Settings(), 0.8, samples=64).select("idx", (F.round("dvx", 3) + 0.0).alias("dvx"), (F.round("dvy", 3) + 0.0).alias("dvy"))
+
+
 QUERIES["l5_label_placement"] = lambda s, d: labels.placed_labels(layout_graph(s, d)[0].withColumns({"width": F.lit(60.0), "priority": F.col("importance")}), layout_graph(s, d)[0], (-1000.0, -1000.0, 1000.0, 1000.0), 1.0)
 
 # --- flagship ------------------------------------------------------------------------------------------------------

@@ -75,12 +75,16 @@ def svg_lines(nodes: DataFrame, links: DataFrame, labels: bool = True, no_links:
     num = lambda v: "0" if (t := f"{v:.3f}".rstrip("0").rstrip(".")) == "-0" else t
     p = stored(_points(nodes, padding), "points")
     stroke = lambda other: F.when(F.col("hub"), "#2f9e44").otherwise(other)
+    facts = p.count(), 0 if no_links else links.count()
+    # fixed format from here on: elements and their attributes as readers of drawings expect them
     head = [
-        '<?xml version="1.0" encoding="UTF-8"?>', f'<svg xmlns="http://www.w3.org/2000/svg" version="1.1" width="{num(width or w)}" height="{num(height or h)}" viewBox="{num(x0)} {num(y0)} {num(w)} {num(h)}" role="img">',
+        '<?xml version="1.0" encoding="UTF-8"?>', f'<svg xmlns="http://www.w3.org/2000/svg" version="1.1" width="{num(width or w)}" height="{num(height or h)}" viewBox="{num(x0)} {num(y0)} {num(w)} {num(h)}" role="img" aria-labelledby="graph-title graph-description">',
+        f'<title id="graph-title">{facts[0]:,} articles</title>', f'<desc id="graph-description">Article graph with {facts[1]:,} connections{" and labels" if labels else ""}.</desc>',
+        '<defs><marker id="arrow" viewBox="0 0 8 8" refX="7" refY="4" markerWidth="8" markerHeight="8" orient="auto" markerUnits="userSpaceOnUse"><path d="M 0 0 L 8 4 L 0 8 z" fill="#73777f" fill-opacity=".34" /></marker></defs>',
         f'<rect x="{num(x0)}" y="{num(y0)}" width="{num(w)}" height="{num(h)}" fill="#fbfcfe" />',
     ]
     fixed = [(0, k, 0, v) for k, v in enumerate(head)]
-    fixed += [] if no_links else [(1, 0, 0, '<g class="links" fill="none" stroke="#73777f" stroke-opacity=".28">'), (3, 0, 0, "</g>")]
+    fixed += [] if no_links else [(1, 0, 0, '<g class="links" fill="none" stroke="#73777f" stroke-opacity=".28" stroke-width="1" stroke-linecap="round" marker-end="url(#arrow)">'), (3, 0, 0, "</g>")]
     fixed += [(4, 0, 0, '<g class="nodes">'), (6, 0, 0, "</g>")]
     fixed += [(7, 0, 0, f'<g class="labels" font-size="{FONT:g}" text-anchor="middle" dominant-baseline="central">'), (9, 0, 0, "</g>")] if labels else []
     out = spark.createDataFrame([*fixed, (10, 0, 0, "</svg>")], "section int, seq long, part int, value string")
