@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import key, stable_hash
-from ..storage import discard, fresh, measured, positions, stored, written
+from ..storage import discard, measured, positions, stored
 from .blocks import EDGES_A_BLOCK, least_costs
 from .components import components
+from .levels import levels, places
 
 
 def explode_links(articles: DataFrame) -> DataFrame:
@@ -156,36 +157,26 @@ def connected_order(edges: DataFrame, max_rounds: int | None = None) -> DataFram
 
     Components follow their smallest member by (hash, id); within one, nodes
     follow their first parent's place, then (hash, id). Nodes without an edge
-    are not listed. A level is placed by a range sort, so no task holds it or
-    a component whole, and is written as a folder of one growing table, so the
-    plan does not grow with the depth. Rounds go on until a level is empty; a
-    bound that is reached before is an error.
+    are not listed. Levels and places come from operators.levels, so that
+    jobs grow with the logarithm of the depth and with the levels where paths
+    meet, not with all levels. ``max_rounds`` bounds the levels; more are an
+    error.
     """
-    spark = edges.sparkSession
     p = pairs(edges)
-    both = stored(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
     comp = components(p, "a", "b").withColumnRenamed("node", "id")
-    nodes = stored(comp.withColumn("h", stable_hash(F.col("id"))), "nodes")
-    start = nodes.groupBy("component").agg(F.min(F.struct("h", "id")).alias("s"))
-    order = stored(positions(start, ["s.h", "s.id"], "c").select("component", "c", F.col("s.id").alias("id")), "starts")
-    folder = fresh(spark, "levels")
-    written(order.select("id", "component", F.col("c").alias("at")), f"{folder}/level=0")
-    schema = f"id {nodes.schema['id'].dataType.simpleString()}, component {nodes.schema['component'].dataType.simpleString()}, at long, level int"
-    k = 0
-    while True:
-        k += 1
-        seen = spark.read.schema(schema).parquet(folder)
-        front = seen.where(F.col("level") == k - 1).select(F.col("id").alias("a"), "at")
-        step = both.join(front, "a").groupBy(F.col("b").alias("id")).agg(F.min("at").alias("parent")).join(seen, "id", "left_anti").join(nodes, "id")
-        if not (step := stored(step, "step")).limit(1).count():
-            break
-        if max_rounds is not None and k >= max_rounds:
-            raise RuntimeError(f"nodes are left after {max_rounds} levels")
-        placed = positions(step, ["component", "parent", "h", "id"], "at")
-        written(placed.select("id", "component", "at"), f"{folder}/level={k}")
-        discard(step)
-    seen = spark.read.schema(schema).parquet(folder).join(order.select("component", "c"), "component")
-    return positions(seen, ["c", "level", "at"]).select("id", "component", "level", (F.col("pos") + 1).alias("pos"))
+    nodes = stored(positions(comp.withColumn("h", stable_hash(F.col("id"))), ["component", "h", "id"], "u"), "nodes")
+    number = nodes.select("u", "id")
+    half = p.join(number.select(F.col("u"), F.col("id").alias("a")), "a").join(number.select(F.col("u").alias("v"), F.col("id").alias("b")), "b").select("u", "v")
+    half = stored(half, "pairs")
+    arcs = half.unionByName(half.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    start = nodes.groupBy("component").agg(F.min_by(F.struct("u", "h", "id"), "u").alias("s"))
+    order = stored(positions(start, ["s.h", "s.id"], "c").select("component", "c", F.col("s.u").alias("u")), "starts")
+    far = nodes.select("u", "component").join(levels(arcs, order.select("u")), "u")
+    far, facts = measured(far, "levels", deepest=F.max("level"))
+    if max_rounds is not None and (facts["deepest"] or 0) >= max_rounds:
+        raise RuntimeError(f"nodes are left after {max_rounds} levels")
+    placed = places(far, arcs).join(far, "u").join(order.select("component", "c"), "component").join(number, "u")
+    return positions(placed, ["c", "level", "place", "rank"]).select("id", "component", F.col("level").cast("int").alias("level"), (F.col("pos") + 1).alias("pos"))
 
 
 def completed_order(nodes: DataFrame, ordered: DataFrame, order: list) -> DataFrame:
