@@ -16,6 +16,7 @@ from ..operators import graph, labels, layout, rank, reservoir
 from ..sources import articles as S
 from ..sources import corpus, csr, drawing, dumps, files, paged, tiles, titles
 from ..streaming import dump as stream_dump
+from ..streaming import merge
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -788,6 +789,19 @@ def _(s, d):
     return rank.merge_batches(nodes, l.select(F.col("l_linenumber").alias("batch"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))[1]
 
 
+@query("h3_m4_merge_stream", ORACLE_SQL["h3_progressive_merge"])
+def _(s, d):
+    """The same rows dealt by hash to six files, which come two at a time."""
+    l = X.tables(s, d, "lineitem")["lineitem"].select(F.col("l_linenumber").cast("long").alias("batch"), F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"))
+    nodes, links = storage.fresh(s, "nodes"), storage.fresh(s, "links")
+    l.where("batch <= 4").select("batch", F.col("src").alias("id")).distinct().repartition(6, F.hash("id", "batch")).write.parquet(nodes)
+    l.repartition(6, F.hash("src", "dst", "batch")).write.parquet(links)
+    live = lambda f: s.readStream.schema(s.read.parquet(f).schema).option("maxFilesPerTrigger", 2).parquet(f)
+    out = storage.fresh(s, "merged")
+    merge.merge_stream(live(nodes), live(links), out, storage.fresh(s, "merge-checkpoint"))
+    return merge.merged_links(s, out).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "batch")
+
+
 @query("h4_h5_tail_append", "WITH c AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size, p_partkey) AS pos FROM part WHERE p_partkey % 3 = 0), m AS (SELECT max(pos) AS m FROM c) SELECT id, pos FROM c UNION ALL SELECT p_partkey, m + row_number() OVER (ORDER BY p_partkey) FROM part CROSS JOIN m WHERE p_partkey % 3 <> 0")
 def _(s, d):
     p = X.tables(s, d, "part")["part"].select(F.col("p_partkey").alias("id"), "p_size")
