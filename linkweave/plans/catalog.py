@@ -962,6 +962,36 @@ def forced(s, d, f, far=1.0):
 
 for _name, (_force, _sql) in _FORCES.items():
     query(_name, _sql)(lambda s, d, f=_force, far=12.0 if _name == "k9_boundary" else 1.0: forced(s, d, f, far))
+#: The same nodes in space, their third coordinate from the third dimension.
+_SPACE = """WITH n AS (SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) * 3000 AS x, CAST(embedding[2] AS DOUBLE) * 3000 AS y, CAST(embedding[3] AS DOUBLE) * 3000 AS z, 6 + 6 * (vec_id % 10) / 10.0 AS radius FROM embeddings), c AS (SELECT count(*) AS n FROM n),
+e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT idx AS a, (idx + unnest([1, 7, 31])) % (SELECT n FROM c) AS b FROM n) WHERE a <> b), both_ AS (SELECT a AS i, b AS j FROM e UNION ALL SELECT b, a FROM e),
+k AS (SELECT least(3.0, sqrt(greatest(1.0, 2.0 * (SELECT count(*) FROM e) / n / 6))) AS rho, 480 * least(2.5, greatest(1.0, pow(n / 250.0, 0.25))) AS cut, n FROM c),
+pair AS (SELECT p.idx AS i, q.idx AS j, q.x - p.x AS dx, q.y - p.y AS dy, q.z - p.z AS dz, sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2) + pow(q.z - p.z, 2)) AS d, p.radius AS ri, q.radius AS rj FROM n p JOIN n q ON p.idx <> q.idx)"""
+_OUT3 = "SELECT i AS idx, round(sum(f * dx), 3) + 0.0 AS dvx, round(sum(f * dy), 3) + 0.0 AS dvy, round(sum(f * dz), 3) + 0.0 AS dvz"
+
+
+def in_space(s, d, force, far=1.0):
+    n, e = layout_graph(s, d)
+    z = X.run_sql(s, d, "SELECT vec_id AS idx, CAST(embedding[2] AS DOUBLE) * 3000 AS z, 0.0D AS vz FROM embeddings", "embeddings")
+    n = n.join(z, "idx").withColumns({c: F.col(c) * far for c in "xyz"})
+    return force(n, e, _ONCE, 0.8).select("idx", *[(F.round(c, 3) + 0.0).alias(c) for c in ("dvx", "dvy", "dvz")])
+
+
+@query("k2_charge_in_space", f"{_SPACE}, p AS (SELECT pair.*, -rho * (115 + 126 * (j % 10) / 10.0) * 0.8 / greatest(d * d, 1.0) AS f FROM pair, k WHERE d <= cut) {_OUT3} FROM p GROUP BY i")
+def _(s, d):
+    return in_space(s, d, layout.charge)
+
+
+@query("k7_collision_in_space", f"{_SPACE}, p AS (SELECT *, -(ri + rj + 36 - d) / d / 0.6 * pow(rj + 18, 2) / (pow(ri + 18, 2) + pow(rj + 18, 2)) AS f FROM pair WHERE d < ri + rj + 36 AND d > 0) {_OUT3} FROM p GROUP BY i")
+def _(s, d):
+    return in_space(s, d, layout.collide)
+
+
+@query("k9_boundary_in_space", f"{_SPACE}, b AS (SELECT idx AS i, x * 12 AS dx, y * 12 AS dy, z * 12 AS dz, sqrt(x * x + y * y + z * z) * 12 AS d, 220 * cbrt(3 * n / (4 * pi())) AS r FROM n, k), p AS (SELECT *, -least(0.12 * least(120.0, greatest(1.0, 0.08 * r)) * (exp(least(50.0, (d - r) / least(120.0, greatest(1.0, 0.08 * r)))) - 1), 0.6 * (d - r)) / d AS f FROM b WHERE d > r) {_OUT3} FROM p GROUP BY i")
+def _(s, d):
+    return in_space(s, d, layout.boundary, 12.0)
+
+
 QUERIES["k13_k15_tick"] = lambda s, d: layout.tick(*layout_graph(s, d), Settings(), 0.8)
 QUERIES["k8_overlap_repair"] = lambda s, d: layout.separated(layout_graph(s, d)[0])
 
