@@ -21,6 +21,8 @@ from .common import bounded_batches, fresh, stored
 LEAST = 1000
 CHUNK = 1 << 16
 _NAME = "urn:linkweave:page:"
+#: Names of header fields, by their lower case.
+_FIELDS = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Refers-To", "WARC-Profile", "Content-Type", "Content-Length", "X-Payload-Length")}
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -58,10 +60,15 @@ class _Member:
         self.out += self.z.decompress(data, CHUNK)
         return True
 
-    def until(self, mark: bytes) -> bytes:
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """What stands before a mark, which is used up; None if the mark does not end within the next ``most`` bytes."""
         while (i := self.out.find(mark)) < 0:
+            if most is not None and len(self.out) >= most:
+                return None
             if not self.more():
                 raise ValueError("a record has no end of header")
+        if most is not None and i + len(mark) > most:
+            return None
         head, self.out = self.out[:i], self.out[i + len(mark) :]
         return head
 
@@ -81,34 +88,66 @@ class _Member:
         return self.z.unused_data
 
 
+def fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by name. Names count in any case and are given as the standard writes them; space around values goes, and a line that begins with space continues the one before."""
+    out: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            last = _FIELDS.get(name.strip().lower(), name.strip())
+            out[last] = value.strip()
+    return out
+
+
+def digest_matches(want: str | None, sums: dict) -> bool:
+    """Whether a digest field, in base 32 or hexadecimal, is that of one of the sums by algorithm. A missing one, or one of another algorithm, is not held against anything."""
+    kind, _, value = (want or "").partition(":")
+    if kind.lower() not in sums:
+        return True
+    h = sums[kind.lower()]
+    return value.strip().lower() in (h.hexdigest(), base64.b32encode(h.digest()).decode().lower(), base64.b32encode(h.digest()).decode().rstrip("=").lower())
+
+
 def records(src: BinaryIO) -> Iterator[tuple[dict[str, str], Iterator[bytes], dict]]:
     """(header, payload parts, facts) one after the other, holding a chunk at a time.
 
+    The payload is what follows the header of an HTTP message, and the whole
+    block of records that hold none (of the archive itself, of resources,
+    metadata and conversions); an HTTP header without an end has no payload.
     Once the parts are used up, facts has ``bytes`` and ``sha1`` of the
-    payload; a digest other than the header's is an error, as are short or
-    overlong records. Parts that the caller leaves are read and verified.
+    payload; a digest other than the header's is an error, but for revisits,
+    which don't hold what it is of, as are short or overlong records. Parts
+    that the caller leaves are read and verified.
     """
     held = src.read(CHUNK)
     while held:
         m = _Member(src, held)
-        first, *lines = m.until(b"\r\n\r\n").decode().split("\r\n")
+        first, *lines = m.until(b"\r\n\r\n").decode(errors="replace").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError("not a WARC record")
-        head = dict(x.split(": ", 1) for x in lines)
+        head = fields(lines)
         facts: dict = {}
 
         def payload(m=m, head=head, facts=facts) -> Iterator[bytes]:
             length, sha, size = int(head["Content-Length"]), hashlib.sha1(), 0
-            if length:
-                http = m.until(b"\r\n\r\n")
-                length -= len(http) + 4
-                for part in m.exactly(length):
-                    sha.update(part)
+            want = None if head.get("WARC-Type", "").lower() == "revisit" else head.get("WARC-Payload-Digest")
+            sums = {"sha1": sha} | {k: hashlib.new(k) for k in ("md5", "sha256") if (want or "").lower().startswith(k + ":")}
+            hidden = False
+            if length and head.get("Content-Type", "").lower().startswith("application/http"):
+                http = m.until(b"\r\n\r\n", length)
+                hidden = http is None
+                length -= 0 if hidden else len(http) + 4
+            for part in m.exactly(length):
+                if not hidden:
+                    for h in sums.values():
+                        h.update(part)
                     size += len(part)
                     yield part
-                want = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                if sha.hexdigest() != want:
-                    raise ValueError(f"digest of {head['WARC-Record-ID']} is {sha.hexdigest()}, not {want}")
+            if not hidden and not digest_matches(want, sums):
+                raise ValueError(f"digest of {head.get('WARC-Record-ID')} is {sha.hexdigest()}, not {want}")
             facts.update(bytes=size, sha1=sha.hexdigest())
 
         parts = payload()
