@@ -2,8 +2,8 @@
 
 Four base kinds follow fixed patterns and stay whatever the trees say. High-
 recall generators propose further, possibly overlapping spans (cards and phones
-that a base pattern runs into their neighbour, phones without a country code,
-masked addresses, IPv6); trees fitted on generated labelled examples score
+that a base pattern runs into their neighbour, phones without a country code
+or in groups of digits, masked addresses, IPv6); trees fitted on generated labelled examples score
 them, and a threshold calibrated for each kind selects those to redact.
 """
 
@@ -40,16 +40,28 @@ GENERATORS = [
         r"|(?<![0-9A-Za-z.+/-])[0-9]{2,4}([./-])[0-9]{2,4}(?:\1[0-9]{2,5}){1,2}(?![0-9A-Za-z]|[./-][0-9])",  # three or four groups
         r"[0-9][0-9 ()./-]{5,}[0-9]",
     ),
-    ("masked_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?)[A-Za-z0-9-]{2,64}){1,4}", r"[\[(] ?(?:at|AT) ?[\])]"),
-    ("ipv6", r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])", r":[0-9a-fA-F]{1,4}:[0-9a-fA-F]{1,4}:"),
+    (
+        "masked_email",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?:\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?)[A-Za-z0-9-]{2,64}){1,4}"
+        r"|\x20(?:at|AT)\x20[A-Za-z0-9-]{1,64}(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]{2,64}){1,4})",  # in words
+        r"[\[(] ?(?:at|AT) ?[\])]| (?:at|AT) [A-Za-z0-9-]{1,64} (?:dot|DOT) ",
+    ),
+    (
+        "ipv6",
+        r"(?<![0-9A-Za-z:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![0-9A-Za-z:])",  # the second with a gap of zeros
+        r":[0-9a-fA-F]{1,4}:[0-9a-fA-F]{1,4}:|[0-9a-fA-F]::[0-9a-fA-F]",
+    ),
+    ("spaced_phone", r"(?<![0-9A-Za-z.+/,:-])(?<![0-9]\x20)[0-9]{2,5}(?:\x20[0-9]{2,4}){2,4}(?![0-9A-Za-z]|[\x20.,:/-][0-9])", r"[0-9]{2} [0-9]{2,4} [0-9]{2}"),
 ]
 KINDS = BASE_KINDS + [g[0] for g in GENERATORS]
 
 #: Words before a span that speak for or against personal data.
-FOR = r"(?i)(phone|tel|mobile|call|fax|contact|card|visa|iban|account|ssn|mail|passport|address)[^A-Za-z]{0,6}$"
-AGAINST = r"(?i)(version|isbn|order|invoice|date|page|pages|rev|build|id|no|issue|chapter|year|since)[^A-Za-z]{0,6}$"
+FOR = r"(?i)(?<![A-Za-z])(phone|tel|mobile|call|fax|contact|card|visa|iban|account|ssn|mail|passport|address)[^A-Za-z]{0,6}$"
+AGAINST = r"(?i)(?<![A-Za-z])(version|isbn|order|invoice|date|page|pages|rev|build|id|no|issue|chapter|year|since)[^A-Za-z]{0,6}$"
 CONTEXT = 24
-FEATURES = ["kind", "digits", "length", "groups", "luhn", "brackets", "dots", "slashes", "for", "against", "letters", "isodate", "ssn"]
+FEATURES = ["kind", "digits", "length", "groups", "luhn", "brackets", "dots", "slashes", "for", "against", "letters", "isodate", "ssn", "zero", "article"]
+#: A word after "at" that begins a place and no address.
+ARTICLE = r"(?i)\x20at\x20(?:the|a|an|this|that|one|each|every|any|its|my|our|your|their)\x20"
 #: A year with month and day, either way round.
 DATE = r"^(?:[12][0-9]{3}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][12][0-9]{3})$"
 
@@ -93,6 +105,8 @@ def features(hit: Column, before: Column, kind: Column) -> dict[str, Column]:
         "letters": count("A-Za-z"),
         "isodate": hit.rlike(DATE).cast("int"),
         "ssn": hit.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$").cast("int"),
+        "zero": hit.rlike("^0[1-9]").cast("int"),
+        "article": hit.rlike(ARTICLE).cast("int"),
     }
 
 
@@ -107,6 +121,7 @@ def _example_features(kind: str, hit: str, before: str) -> list[float]:
     return [
         [g[0] for g in GENERATORS].index(kind), len(d), len(hit), len(re.split("[^0-9A-Za-z]+", hit)), int(12 <= len(d) <= 19 and _luhn(d)), count(r"()\[\]"), count("."), count("/"),
         test(FOR, before), test(AGAINST, before), count("A-Za-z"), test(DATE, hit), test(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", hit),
+        test("^0[1-9]", hit), test(ARTICLE, hit),
     ]
 
 
@@ -125,8 +140,14 @@ def examples(rows: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]
     def spaced(d, sign):
         return sign.join(d[k : k + 4] for k in range(0, 16, 4))
 
+    def word(letters, least, most):
+        return "".join(r.choice(letters) for _ in range(r.randrange(least, most + 1)))
+
+    def groups(sizes, first):
+        return " ".join([first + num(sizes[0] - 1), *map(num, sizes[1:])])
+
     def one():
-        match r.randrange(14):
+        match r.randrange(21):
             case 0:
                 return "number", card(), r.choice(plain + ["card ", num(4) + " "]), 1
             case 1:
@@ -155,8 +176,24 @@ def examples(rows: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]
                 return "phone_number", f"+{num(r.choice([1, 2]))} ({num(3)}) {num(3)}-{num(4)}", r.choice(plain + good), 1
             case 12:
                 return "masked_email", "".join(r.choice("abcdefmnot") for _ in range(6)) + r.choice(["(at)", " [at] "]) + "mail" + r.choice([".org", " [dot] com"]), r.choice(plain + good), 1
-            case _:
+            case 13:
                 return "ipv6", ":".join("%x" % r.randrange(65536) for _ in range(8)), r.choice(plain), 1
+            case 14:
+                a, b = r.randrange(2, 4), r.randrange(1, 4)
+                return "ipv6", ":".join("%x" % r.randrange(4096, 65536) for _ in range(a)) + "::" + ":".join("%x" % r.randrange(1, 65536) for _ in range(b)), r.choice(plain), 1
+            case 15:  # names of code, clock times
+                return "ipv6", r.choice(["{}::{}", "{}::{}", "{}:{}::{}"]).format(*(r.choice([word("abcdef", 1, 4), num(2)]) for _ in range(3))), r.choice(plain), 0
+            case 16:
+                return "masked_email", f"{word('abcdefmnot', 3, 9)} at {word('abcdefmnot', 3, 9)} dot {r.choice(['com', 'org', 'net', 'de'])}", r.choice(plain + good), 1
+            case 17:
+                return "masked_email", f"{word('abcdefmnot', 3, 9)} at {r.choice(['the', 'a', 'this', 'each', 'one'])} dot {word('abcdefmnot', 2, 9)}", r.choice(plain), 0
+            case 18:
+                return "spaced_phone", groups(r.choice([(3, 4, 4), (4, 3, 4), (2, 2, 2, 2, 2), (4, 3, 3), (5, 3, 3)]), r.choice("0123456789")), r.choice(good), 1
+            case 19:
+                d = num(16)
+                return "number", spaced(d, r.choice(" -")), r.choice(plain + bad), int(_luhn(d))
+            case _:  # rows of tables, years, counted things
+                return "spaced_phone", groups(r.choice([(2, 2, 2), (4, 4, 4), (3, 3, 3), (2, 2, 2, 2, 2), (4, 3, 3), (3, 4, 4)]), r.choice("123456789")), r.choice(plain + bad), 0
 
     return [(k, h, b, y ^ (r.random() < 0.02)) for k, h, b, y in (one() for _ in range(min(rows, MAX_ROWS)))]
 
