@@ -29,8 +29,22 @@ def now() -> str:
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a file or folder with their state and place (A6); seq goes by file and line."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    """Lines of a file or folder with their state and place (A6); seq goes by file and line.
+
+    Spark deals files to partitions by size, so a partition's number says
+    nothing of their order. Within a block of a file lines are numbered by the
+    task that reads it; a count for each block, gathered in order of files and
+    blocks, tells where it begins.
+    """
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), at.alias("_at"))
+    blocks = sorted(tuple(r) for r in lines.groupBy("_f", "_b").agg(F.min("_at"), F.count("*")).collect())
+    base, rows = 0, []
+    for f, b, first, n in blocks:
+        rows.append((f, b, base - first))
+        base += n
+    shift = spark.createDataFrame(rows, "_f string, _b long, _shift long")  # a row for each block
+    lines = lines.join(F.broadcast(shift), ["_f", "_b"]).select("value", (F.col("_at") + F.col("_shift")).alias("seq"))
     return S.read_lines(lines)
 
 
