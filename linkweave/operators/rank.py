@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions.text import is_disambiguation_title, is_year_or_day, key, stable_hash
-from ..storage import positions
+from ..storage import measured, positions
 from .graph import degrees, induced
 
 
@@ -210,10 +210,11 @@ def top_up(fetch, wanted: int, most: int, calendar: bool = True) -> DataFrame:
 
 
 def labelled(candidates: DataFrame, zoom: float, show_all: bool = False) -> DataFrame:
-    """Candidates (id, degree, active, hub) that get a label (G11): all active ones and hubs, then others by degree up to the budget."""
-    n, hubs, must = candidates.agg(F.count("*"), F.count_if("hub"), F.count_if(F.col("hub") | F.col("active"))).first()
+    """Candidates (id, degree, active, hub) that get a label (G11): all active ones and hubs, then others by degree up to the budget. Candidates are made once and stored, as they are counted, ranked and read again."""
     if show_all:
         return candidates
+    candidates, facts = measured(candidates, "candidates", n=F.count("*"), hubs=F.count_if("hub"), must=F.count_if(F.col("hub") | F.col("active")))
+    n, hubs, must = facts["n"], facts["hubs"], facts["must"]
     budget = candidates.sparkSession.range(1).select(F.expr(L.label_budget(f"{n}L", zoom, f"{hubs}L"))).first()[0]
     rest = candidates.where("not hub and not active").orderBy(F.desc("degree"), "id").limit(max(0, budget - must))
     return candidates.where("hub or active").unionByName(rest)
