@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import documents
 
 PAGE = "title string, ns int, id string, redirect struct<_title:string>, revision struct<text:struct<_VALUE:string>>"
 
@@ -52,10 +53,11 @@ def index_manifest(states: DataFrame) -> DataFrame:
     return states.agg(n("accepted"), n("malformed"), n("disambiguation"), n("blank"))
 
 
-def graph_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def graph_document(spark: SparkSession, path: str, chunk: int = documents.CHUNK) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of a {nodes, links} document."""
-    d = spark.read.schema("nodes array<struct<id:string,title:string>>, links array<struct<source:string,target:string>>").json(path, multiLine=True)
-    return d.select(F.posexplode("nodes").alias("pos", "n")).select("pos", "n.*"), d.select(F.posexplode("links").alias("pos", "l")).select("pos", "l.*")
+    found = documents.elements(spark, path, "nodes", "links", chunk=chunk)
+    of = lambda name, schema: found.where(F.col("name") == name).select("pos", F.from_json("value", schema).alias("v")).select("pos", "v.*")
+    return of("nodes", "id string, title string"), of("links", "source string, target string")
 
 
 def svg_elements(lines: DataFrame, *carry: str) -> DataFrame:
