@@ -16,6 +16,8 @@ from . import files
 MAGIC = b"1AY&SY"
 #: Bytes that a task searches for streams.
 CHUNK = 64 << 20
+#: Small files that a task searches at most, and characters of pages that it hands on at a time.
+SMALL, AT_ONCE = 256, 1 << 20
 
 
 def dump_files(path: str) -> list[str]:
@@ -38,12 +40,14 @@ def stream_offsets(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFr
         import pandas as pd
 
         for b in batches:
+            found = []
             for file, start, size in zip(b["file"], b["start"], b["size"]):
                 data = files.part(file, int(start), min(int(size), int(start) + chunk + 9) - int(start))
-                at = [int(start) + m.start() for m in re.finditer(rb"BZh[1-9]" + re.escape(MAGIC), data)]
-                yield pd.DataFrame({"file": pd.Series([file] * len(at), dtype=object), "offset": pd.Series(at, dtype="int64"), "size": pd.Series([size] * len(at), dtype="int64")})
+                found += [(file, int(start) + m.start(), int(size)) for m in re.finditer(rb"BZh[1-9]" + re.escape(MAGIC), data)]
+            yield pd.DataFrame(found, columns=["file", "offset", "size"]).astype({"offset": "int64", "size": "int64"})
 
-    todo = spark.createDataFrame(parts, "file string, start long, size long").repartition(max(1, min(len(parts), 10_000)))
+    tasks = max(-(-len(parts) // SMALL), -(-sum(sizes.values()) // chunk), spark.sparkContext.defaultParallelism)  # a task takes one part of a large file or many small files
+    todo = spark.createDataFrame(parts, "file string, start long, size long").repartition(max(1, min(len(parts), tasks)))
     found = stored(todo.mapInPandas(search, "file string, offset long, size long").distinct(), "offsets")
     begun = {r[0] for r in found.where("offset = 0").select("file").collect()}
     for f in sizes:
@@ -88,9 +92,16 @@ def stream_pages(spark: SparkSession, offsets: DataFrame, streams_a_task: int =
         import pandas as pd
 
         for b in batches:
+            rows, size = [], 0
             for file, offset, length in zip(b["file"], b["offset"], b["length"]):
                 pages = pages_of(file, int(offset), int(length))
-                yield pd.DataFrame({"file": pd.Series([file] * len(pages), dtype=object), "offset": pd.Series([offset] * len(pages), dtype="int64"), "k": range(len(pages)), "xml": pd.Series(pages, dtype=object)})
+                rows += [(file, int(offset), k, x) for k, x in enumerate(pages)]
+                size += sum(map(len, pages))
+                if size >= AT_ONCE:
+                    yield pd.DataFrame(rows, columns=["file", "offset", "k", "xml"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["file", "offset", "k", "xml"])
 
     n = offsets.count()
     raw = offsets.repartitionByRange(max(1, -(-n // streams_a_task)), "file", "offset").mapInPandas(unpack, "file string, offset long, k long, xml string")
