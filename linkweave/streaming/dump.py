@@ -2,14 +2,16 @@
 
 A streaming source whose offsets are numbers of bz2 streams in a plan; a
 micro-batch is a range of them, dealt to tasks that unpack only their own
-bytes. Each batch writes its own folder of article lines over what an attempt
-before may have left, with its counters beside it. So whatever ends a run, the
-next one takes up the streams after the last committed batch, and lines and
-counters are those of a run without a break.
+bytes. It holds one large batch or many small ones. Each batch has its own
+folder of article lines, written over what an attempt before may have left,
+and is committed by its counters beside it. So whatever ends a run, the next
+one commits the batches after the last committed one, and lines and counters
+are those of a run without a break.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ from ..sources import articles as S
 from ..sources import dumps, files
 
 PAGES = "n long, k long, xml string"
+#: A micro-batch takes as many batches as have so many streams, and no more than so many batches.
+STREAMS, BATCHES = 4096, 256
 
 
 @dataclass
@@ -47,9 +51,16 @@ class DumpReader(DataSourceStreamReader):
 
     def read(self, partition: Streams) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("n", pa.int64()), ("k", pa.int64()), ("xml", pa.string())])
+        rows, size = [], 0
         for n, file, offset, length in partition.streams:
             pages = dumps.pages_of(file, offset, length)
-            yield pa.RecordBatch.from_arrays([pa.array([n] * len(pages), pa.int64()), pa.array(range(len(pages)), pa.int64()), pa.array(pages, pa.string())], schema=schema)
+            rows += [(n, k, x) for k, x in enumerate(pages)]
+            size += sum(map(len, pages))
+            if size >= dumps.AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 class DumpStreams(DataSource):
@@ -88,7 +99,7 @@ def parse(spark: SparkSession, source: str, output: str, streams_a_batch: int =
     The plan of streams and the size of a batch are fixed by the first call
     and kept below output, with the stream's checkpoint; a later call finds
     them there. A dump of another size than the plan's is an error. on_batch
-    hears of each batch once it is written. Returns progress(). Pages come in
+    hears of each batch once it is written, with others of its micro-batch. Returns progress(). Pages come in
     order of the file within a batch, and batches in order of their numbers; a
     dump without pages gives no lines.
     """
@@ -97,26 +108,41 @@ def parse(spark: SparkSession, source: str, output: str, streams_a_batch: int =
     sizes = {f: files.size(f) for f in dumps.dump_files(source)}
     if state is None:
         n = dumps.write_plan(spark, source, plan)
-        state = {"source": source, "streams": n, "streamsABatch": streams_a_batch, "bytes": sum(sizes.values())}
+        state = {"source": source, "streams": n, "streamsABatch": streams_a_batch, "batchesARun": max(1, min(BATCHES, STREAMS // streams_a_batch)), "bytes": sum(sizes.values())}
         files.write_json(f"{output}/plan.json", state)
     elif state["bytes"] != sum(sizes.values()):
         raise ValueError(f"{source} is not the dump that {output} was begun with")
     spark.dataSource.register(DumpStreams)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    size, many = state["streamsABatch"], state.get("batchesARun", 1)
+    total = -(-state["streams"] // size)
+
+    def write(run: DataFrame, run_id: int) -> None:
+        batches = range(run_id * many, min((run_id + 1) * many, total))
+        of = F.floor(F.col("n") / size)
+        counts = lambda c: F.histogram_numeric(c, F.lit(len(batches) + 1)).alias("n")  # noqa: E731  exact, as there is a bin for each batch
+
+        def count_of(seen: Observation) -> Counter:
+            out: Counter = Counter()
+            for r in seen.get["n"] or ():  # several bins may be of one batch; all rows of a bin are
+                out[round(r["x"])] += round(r["y"])
+            return out
+
         read, kept = Observation(), Observation()
-        pages = batch.observe(read, F.count("*").alias("n")).select(F.struct("n", "k").alias("at"), F.from_xml("xml", S.PAGE).alias("p")).select("at", "p.*")
-        lines = S.articles_of(pages, "at").observe(kept, F.count("*").alias("n"))
+        pages = run.observe(read, counts(of)).select(of.alias("batch"), F.struct("n", "k").alias("at"), F.from_xml("xml", S.PAGE).alias("p")).select("batch", "at", "p.*")
+        lines = S.articles_of(pages, "batch", "at").observe(kept, counts(F.col("batch")))
         # a batch is sorted in its tasks: its partitions are ranges of streams already
-        lines.sortWithinPartitions("at").drop("at").write.mode("overwrite").json(f"{output}/lines/batch={batch_id}")
-        n, m = read.get["n"], kept.get["n"]
-        facts = {"pagesRead": n, "recordsWritten": m, "pagesSkipped": n - m, "streams": min(state["streams"], (batch_id + 1) * state["streamsABatch"])}
-        if on_batch:
-            on_batch(batch_id, facts)
-        files.write_json(f"{output}/counters/{batch_id}.json", facts)
+        lines.sortWithinPartitions("batch", "at").drop("at").write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{output}/lines")
+        n_read, n_kept = count_of(read), count_of(kept)
+        for b in batches[max(0, progress(output)["batches"] - run_id * many) :]:  # those before were committed by an attempt that ended here
+            n, m = n_read[b], n_kept[b]
+            facts = {"pagesRead": n, "recordsWritten": m, "pagesSkipped": n - m, "streams": min(state["streams"], (b + 1) * size)}
+            if on_batch:
+                on_batch(b, facts)
+            files.write_json(f"{output}/counters/{b}.json", facts)
 
     while (done := progress(output)["streams"]) < state["streams"]:
-        until = min(state["streams"], done + state["streamsABatch"])
+        until = min(state["streams"], (done // (size * many) + 1) * size * many)
         stream = spark.readStream.format("bz2-streams").option("plan", plan).option("until", until).option("streamsATask", streams_a_task).load()
         stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{output}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         if progress(output)["streams"] == done:

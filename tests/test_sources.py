@@ -311,3 +311,25 @@ def test_dump_stopped_and_resumed(spark, tmp_path):
         stream.parse(spark, source, at)
     with pytest.raises(ValueError):
         stream.parse(spark, source, "relative")
+
+
+def test_many_small_batches(spark, tmp_path):
+    """Batches of one stream each share a micro-batch, also one that ends in the middle, and each is committed by itself."""
+    from linkweave.streaming import dump as stream
+
+    pages = ["".join(page(f"T{k}", k, "[[X]]") for k in range(3 * j, 3 * j + 3)) for j in range(40)]
+    (tmp_path / "d.bz2").write_bytes(b"".join(bz2.compress(x.encode()) for x in pages))
+    heard = []
+
+    def hear(batch_id, facts):
+        heard.append((batch_id, facts["pagesRead"]))
+        if len(heard) == 18:
+            raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        stream.parse(spark, str(tmp_path / "d.bz2"), str(tmp_path / "out"), streams_a_batch=1, on_batch=hear)
+    assert stream.progress(str(tmp_path / "out"))["batches"] == 17
+    m = stream.parse(spark, str(tmp_path / "d.bz2"), str(tmp_path / "out"), on_batch=hear)
+    assert heard == [(k, 3) for k in range(18)] + [(k, 3) for k in range(17, 40)]
+    assert (m["batches"], m["pagesRead"], stream.read_lines(spark, str(tmp_path / "out")).count()) == (40, 120, 120)
+    assert len(list((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"))) == 1  # 40 before
