@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import key
-from ..storage import stored
+from ..storage import discard, stored
 
 GRAM = 3
 #: Grams of a search that are intersected, the rarest ones; what is left is compared whole.
@@ -23,20 +23,28 @@ POSTING = "gram string, length int, title string, id string"
 
 
 def postings(articles: DataFrame) -> DataFrame:
-    """(gram, length, title, id) of articles(id, title); null titles have none."""
-    k = F.col("k")
-    size = lambda n: F.when(F.length(k) >= n, F.transform(F.sequence(F.lit(1), F.length(k) - (n - 1)), lambda p: F.substring(k, p, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = F.array_distinct(F.flatten(F.array(*[size(n) for n in range(1, GRAM + 1)])))
-    return articles.where("title is not null").withColumn("k", key(F.col("title"))).select(F.explode(grams).alias("gram"), F.length("title").alias("length"), "title", "id")
+    """(gram, length, title, id) of articles(id, title); null titles have none.
+
+    Plain rows and filters, which Spark compiles, in place of functions over
+    arrays: a run of letters counts where the key has it first.
+    """
+    at = articles.where("title is not null").select("id", "title", key(F.col("title")).alias("k")).where("k <> ''").withColumn("p", F.explode(F.expr("sequence(1, length(k))")))
+    runs = at.withColumn("n", F.explode(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]))).where("p + n - 1 <= length(k)").withColumn("gram", F.expr("substring(k, p, n)"))
+    return runs.where("instr(k, gram) = p").select("gram", F.length("title").alias("length"), "title", "id")
 
 
 def write(articles: DataFrame, path: str) -> None:
-    """The postings in order, and their counts. Ranges are cut by gram, length and title, so that a gram of most titles is spread over tasks."""
-    p = stored(postings(articles), "postings")
+    """The postings in order, and their counts. Ranges are cut by gram, length and title, so that a gram of most titles is spread over tasks.
+
+    Titles are stored, postings, which are many times as many, are written
+    once; their counts come from what is written, of which they read two columns.
+    """
+    a = stored(articles.select("id", "title"), "titles")
     order = ["gram", "length", "title", "id"]
     # small row groups: little is read beside what is asked for
-    p.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", 1 << 20).parquet(f"{path}/postings")
-    n = p.groupBy("gram", "length").agg(F.count("*").alias("n"))
+    postings(a).repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", 1 << 20).option("parquet.enable.dictionary#title", "false").option("parquet.enable.dictionary#id", "false").parquet(f"{path}/postings")
+    discard(a)
+    n = a.sparkSession.read.schema(POSTING).parquet(f"{path}/postings").groupBy("gram", "length").agg(F.count("*").alias("n"))
     n.repartitionByRange("gram", "length").sortWithinPartitions("gram", "length").write.parquet(f"{path}/counts")
 
 
