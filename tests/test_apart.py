@@ -77,3 +77,14 @@ def test_a_tick_lays_out_its_nodes_once_for_each_state(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one tick"))
     assert len(out) == 2100 and jobs < 150, jobs
+
+
+def test_work_is_dealt_out_in_tiles(spark):
+    """Each pair of chunks in reach is in one item, in order, and an item reads few chunks for the pairs it has."""
+    nodes = spark.range(6000).selectExpr("id AS idx", "CAST(id % 77 AS DOUBLE) AS x", "CAST(id div 77 AS DOUBLE) AS y")
+    _, items = chunks.work(nodes, ["x", "y"], 1000.0, chunk=50)
+    rows = [[(p["a"], p["b"]) for p in r["pairs"]] for r in items.collect()]
+    every = sorted(p for r in rows for p in r)
+    n = len({a for a, _ in every})
+    assert every == [(a, b) for a in range(n) for b in range(n)] and n >= 120 and all(r == sorted(r) for r in rows)
+    assert all(len({a for a, _ in r}) <= chunks.TILE and len({b for _, b in r}) <= chunks.TILE for r in rows) and len(rows) < n * n / 16
