@@ -20,18 +20,13 @@ CHUNK = 64 << 20
 SMALL, AT_ONCE = 256, 1 << 20
 
 
-def dump_files(path: str) -> list[str]:
-    """The file, or the files of a folder in order of their names; hidden ones and those of Spark's own marks are passed over."""
-    return files.listed(path)
-
-
 def stream_offsets(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(file, offset, length) of each bz2 stream of a file or of a folder's files (A3).
 
     Files are searched in parts that overlap by the length of a mark; one that
     does not begin with a stream is an error.
     """
-    sizes = {f: files.size(f) for f in dump_files(path)}
+    sizes = files.sizes(path)
     parts = [(f, k * chunk, n) for f, n in sizes.items() for k in range(max(1, -(-n // chunk)))]
 
     def search(batches: Iterator) -> Iterator:
@@ -49,10 +44,9 @@ def stream_offsets(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFr
     tasks = max(-(-len(parts) // SMALL), -(-sum(sizes.values()) // chunk), spark.sparkContext.defaultParallelism)  # a task takes one part of a large file or many small files
     todo = spark.createDataFrame(parts, "file string, start long, size long").repartition(max(1, min(len(parts), tasks)))
     found = stored(todo.mapInPandas(search, "file string, offset long, size long").distinct(), "offsets")
-    begun = {r[0] for r in found.where("offset = 0").select("file").collect()}
-    for f in sizes:
-        if f not in begun:
-            raise ValueError(f"{f} does not begin with a bz2 stream")
+    begun = found.where("offset = 0").select("file")
+    if begun.count() < len(sizes):
+        raise ValueError(f"{min(set(sizes) - {r[0] for r in begun.collect()})} does not begin with a bz2 stream")
     following = F.lead("offset").over(Window.partitionBy("file").orderBy("offset"))  # a number a stream of one file, as a split plan has
     return found.select("file", "offset", (F.coalesce(following, "size") - F.col("offset")).alias("length"))
 
@@ -62,19 +56,19 @@ def write_plan(spark: SparkSession, path: str, plan: str) -> int:
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    rows = sorted(tuple(r) for r in stream_offsets(spark, path).collect())  # some 30 bytes a stream of a megabyte
+    rows = stream_offsets(spark, path).orderBy("file", "offset").toArrow()  # a name and some 20 bytes a stream
     fs, p = files.opened(plan)
     fs.create_dir(p.rpartition("/")[0], recursive=True)
-    names = ["n", "file", "offset", "length"]
-    pq.write_table(pa.table([list(range(len(rows))), *map(list, zip(*rows))] if rows else [[], [], [], []], names=names), p, filesystem=fs)
-    return len(rows)
+    pq.write_table(rows.add_column(0, "n", pa.array(range(rows.num_rows), pa.int64())), p, filesystem=fs)
+    return rows.num_rows
 
 
-def read_plan(plan: str) -> list[tuple[int, str, int, int]]:
+def read_plan(plan: str, start: int, end: int) -> list[tuple[int, str, int, int]]:
+    """The streams of a plan from number start on, before end."""
     import pyarrow.parquet as pq
 
     fs, p = files.opened(plan)
-    t = pq.read_table(p, filesystem=fs)
+    t = pq.read_table(p, filesystem=fs).slice(start, max(0, end - start))
     return list(zip(*[t.column(c).to_pylist() for c in ("n", "file", "offset", "length")]))
 
 
